@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash, warc
+from . import licenses, packing, quality, simhash, warc
 from ._common import table
 
 
+def op1_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op1_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op2_groups(table(spark, sf_dir, "documents"))
 
@@ -22,10 +26,16 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op7_pack(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op8_labels(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_discriminant": op1_quality_discriminant,
     "op2_simhash_groups": op2_simhash_groups,
     "op4_warc_round_trip": op4_warc_round_trip,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_license_scan": op8_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
