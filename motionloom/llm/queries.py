@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, packing, quality, simhash, warc
+from . import decontaminate, langid, licenses, packing, quality, simhash, warc
 from ._common import table
 
 
@@ -22,6 +22,10 @@ def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op4_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op6_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op7_pack(table(spark, sf_dir, "documents"))
 
@@ -30,12 +34,18 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op8_labels(table(spark, sf_dir, "documents"))
 
 
+def op10_language_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op10_languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_discriminant": op1_quality_discriminant,
     "op2_simhash_groups": op2_simhash_groups,
     "op4_warc_round_trip": op4_warc_round_trip,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_license_scan": op8_license_scan,
+    "op10_language_field": op10_language_field,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_benchmark_decontamination": decontaminate.OP6_SQL}
