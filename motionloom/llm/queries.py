@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licenses, packing, quality, simhash, warc
+from . import decontaminate, langid, licenses, order_minhash, packing, quality, simhash, warc
 from ._common import table
 
 
@@ -18,6 +18,10 @@ def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op2_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.op3_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op4_round_trip(table(spark, sf_dir, "pages"))
 
@@ -41,6 +45,7 @@ def op10_language_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_discriminant": op1_quality_discriminant,
     "op2_simhash_groups": op2_simhash_groups,
+    "op3_order_minhash": op3_order_minhash,
     "op4_warc_round_trip": op4_warc_round_trip,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
