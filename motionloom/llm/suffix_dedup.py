@@ -248,8 +248,13 @@ def _split_hot(contexts: DataFrame, length: int) -> DataFrame:
     repeat. If another run has all bytes from u to v + length, all are. Else the interval is split; at width 1 both agree.
     """
     cells, spans, width = contexts.withColumn("hi", F.col("lo") + F.length("s") - length), None, 64
-    place = lambda w: F.explode(F.sequence(F.floor(F.col("lo") / w), F.floor(F.col("hi") / w)))
-    cells = cells.select("kid", "content", "a", "lo", "hi", "h", "n", "s", (place(width) * width).cast("int").alias("u"))
+    columns = ["kid", "content", "a", "lo", "hi", "h", "n", "s"]
+
+    def split(cells: DataFrame, first: str, last: str, width: int) -> DataFrame:
+        starts = F.sequence(F.floor(F.col(first) / width), F.floor(F.col(last) / width))
+        return cells.select(*columns, F.explode(starts).alias("q")).select(*columns, (F.col("q") * width).cast("int").alias("u"))
+
+    cells = split(cells, "lo", "hi", width)
 
     def part(start: Column, size: Column) -> Column:
         return F.md5(F.substring(F.col("s"), start - F.col("lo") + 1, size))
@@ -262,16 +267,19 @@ def _split_hot(contexts: DataFrame, length: int) -> DataFrame:
         )
         cells = cut(cells)
         core, hull = ["h", "u", "core"], ["h", "u", "cu", "cv", "hull"]
-        count = lambda by: cut(cells.groupBy(by).agg(F.count("*").alias("c")).where("c > 1").drop("c"))
-        whole = cells.join(count(hull), hull, "left_semi").where("n = 1")
+        one = F.struct("kid", "content", "a")
+        count = lambda by: cut(cells.groupBy(by).agg(F.count("*").alias("c"), F.min(one).alias("one")).where("c > 1").drop("c"))
+        copies = count(hull)
+        whole = cells.join(copies, hull, "left_semi").where("n = 1")
         found = cut(whole.select("kid", "content", *[(F.col(c) - F.col("lo") + F.col("a")).cast("int").alias(x) for c, x in (("cu", "a"), ("cv", "b"))]))
         spans = found if spans is None else spans.unionByName(found)
         if width == 1:
             return spans
-        open_ = cells.join(count(core), core, "left_semi").join(count(hull).withColumn("done", F.lit(1)), hull, "left")
+        # of equal intervals one goes on, for runs that overlap it otherwise
+        left = cells.join(count(core).drop("one"), core, "left_semi").join(copies, hull, "left")
+        left = left.where((F.col("one").isNull()) | (F.col("one") == one)).withColumn("n", F.expr("if(one is null, n, 2L)"))
         width //= 4
-        quarter = F.explode(F.sequence(F.floor(F.col("cu") / width), F.floor(F.col("cv") / width)))
-        cells = open_.where("done is null").select("kid", "content", "a", "lo", "hi", "h", "n", "s", (quarter * width).cast("int").alias("u"))
+        cells = split(left, "cu", "cv", width)
 
 
 def repeated_windows(rows: DataFrame, length: int = LENGTH) -> DataFrame:
