@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licenses, order_minhash, packing, quality, simhash, suffix_dedup, warc
+from . import decontaminate, langid, licenses, lm_score, order_minhash, packing, quality, simhash, suffix_dedup, warc
 from ._common import table
 
 
@@ -42,6 +42,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op8_labels(table(spark, sf_dir, "documents"))
 
 
+def op9_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.op9_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_language_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op10_languages(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_license_scan": op8_license_scan,
+    "op9_recurrent_lm": op9_recurrent_lm,
     "op10_language_field": op10_language_field,
 }
 
