@@ -129,6 +129,14 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     return told.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text and more) that are not contaminated."""
+    bad = cut(hits(docs, items).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("content").alias("_bad")).distinct())
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_TOKENS else bad
+    content = F.xxhash64("text", F.length("text"))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (content == bad["_bad"]), "left_anti")
+
+
 def op6_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     return hits(docs, items).select(
         "doc_id", "n_words", "n_hit",

@@ -92,16 +92,37 @@ def links(fps: DataFrame, distance: int = 3, segments: int = 2) -> DataFrame:
     )
 
 
+def _named(marked: DataFrame, distance: int) -> DataFrame:
+    """fp, component (the smallest fingerprint of the group), of every distinct fp of `marked`."""
+    distinct = cut(marked.select("fp").distinct())
+    joined = components(links(distinct, distance)).withColumnRenamed("node", "fp")
+    return distinct.join(joined, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, distance: int = 3) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id of the group) for every row of docs."""
     marked = cut(fingerprints(docs, id_col, text_col, shingle_words))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    joined = components(links(distinct.select("fp"), distance)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(joined, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    smallest = rooted.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    rooted = cut(_named(marked, distance))
+    first = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")).join(rooted, "fp")
+    smallest = first.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = cut(rooted.join(smallest, "component").select("fp", "component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, shingle_words: int = 3, distance: int = 3) -> DataFrame:
+    """One row of docs (doc_id, text and more) for each group: of the smallest doc_id, and of its texts the one with the
+    smallest hash. Only ids and hashes are compared; texts move once, to meet the keys that stay."""
+    text = F.coalesce("text", F.lit(""))
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_kid"), F.xxhash64(text, F.length(text)).alias("_content"))
+    marked = cut(fingerprints(docs.select(key.alias("key"), "text"), "key", "text", shingle_words).withColumnRenamed("doc_id", "key"))
+    rooted = cut(_named(marked, distance))
+    first = marked.groupBy("fp").agg(F.min("key").alias("key")).join(rooted, "fp")
+    stay = cut(first.groupBy("component").agg(F.min("key").alias("key")).select("key.*"))
+    kept = docs.withColumns({"_kid": key["_kid"], "_content": key["_content"]}).join(stay, ["_kid", "_content"])
+    if not marked.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["_kid", "_content"])
+    return kept.select(*docs.columns)
+
+
 def op2_groups(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -91,10 +91,14 @@ def runs(raw: bytes, length: int = LENGTH) -> Iterator[tuple[int, int, int, int]
             yield start + a, start + b, start + p, x
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _rows_columns(id_col: str, text_col: str) -> list[Column]:
     text = F.coalesce(F.col(text_col), F.lit(""))
     kid = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    return docs.select(kid.alias("kid"), F.xxhash64(text, F.length(text)).alias("content"), text.cast("binary").alias("raw"))
+    return [kid.alias("kid"), F.xxhash64(text, F.length(text)).alias("content"), text.cast("binary").alias("raw")]
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(*_rows_columns(id_col, text_col))
 
 
 RUN_SCHEMA = "kid long, content long, a int, b int, lo int, h long, k1 long, k2 long"
@@ -301,13 +305,18 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     return spans if hot.isEmpty() else spans.unionByName(_split_hot(hot, length))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """kid, content, kept (binary), n_bytes, n_removed, n_spans, for every row."""
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """kid, content, kept (binary), n_bytes, n_removed, n_spans, for every row, and the columns of docs that `keep` names."""
     ready(docs.sparkSession)
     rows = _rows(docs, id_col, text_col)
+    carried = docs.select(*_rows_columns(id_col, text_col), *[F.col(f"`{c}`").alias(f"_{n}") for n, c in enumerate(keep)])
     of_doc = repeated_windows(rows, length).groupBy(*KEY).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    held = [f"_{n}" for n in range(len(keep))]
     schema = "kid long, content long, kept binary, n_bytes long, n_removed long, n_spans long"
-    names = ["kid", "content", "kept", "n_bytes", "n_removed", "n_spans"]
+    schema += "".join(f", {h} {docs.schema[c].dataType.simpleString()}" for h, c in zip(held, keep, strict=True))
+    names = ["kid", "content", "kept", "n_bytes", "n_removed", "n_spans", *held]
 
     def each(batches):
         for batch in batches:
@@ -325,9 +334,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 removed.append(int(gone.sum()))
                 counts.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
             numbers = [pa.array(x, pa.int64()) for x in (sizes, removed, counts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary()), *numbers], names)
-
-    return rows.join(of_doc, KEY, "left").select(*KEY, "raw", "spans").mapInArrow(each, schema)
+            arrays = [batch.column(0), batch.column(1), pa.array(kept, pa.binary()), *numbers, *batch.columns[4:]]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    told = carried.join(of_doc, KEY, "left").select(*KEY, "raw", "spans", *held).mapInArrow(each, schema)
+    clash = {"kid", "content", "kept", "n_bytes", "n_removed", "n_spans"}.intersection(keep)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} cannot be kept under their own names")
+    return told.withColumnsRenamed(dict(zip(held, keep, strict=True)))
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs (doc_id, text, n_chars and more) with repeats taken out of the texts; a character that loses some of its bytes
+    goes whole. A null text becomes empty; no row goes."""
+    renamed = {c: f"_c{n}" for n, c in enumerate(docs.columns)}
+    kept = remove_repeats(docs.withColumnsRenamed(renamed), renamed["doc_id"], renamed["text"], length, tuple(renamed.values()))
+    text = F.when(F.col("n_removed") == 0, F.coalesce(renamed["text"], F.lit(""))).otherwise(
+        F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\uFFFD", "")
+    )
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return kept.select(*[new.get(c, F.col(renamed[c])).alias(c) for c in docs.columns])
 
 
 def op5_removed(docs: DataFrame) -> DataFrame:
