@@ -118,10 +118,12 @@ def representatives(docs: DataFrame, shingle_words: int = 3, distance: int = 3)
     rooted = cut(_named(marked, distance))
     first = marked.groupBy("fp").agg(F.min("key").alias("key")).join(rooted, "fp")
     stay = cut(first.groupBy("component").agg(F.min("key").alias("key")).select("key.*"))
-    kept = docs.withColumns({"_kid": key["_kid"], "_content": key["_content"]}).join(stay, ["_kid", "_content"])
+    columns = [f"c{n}" for n in range(len(docs.columns))]  # any name may be a column's
+    named = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, columns, strict=True)], key["_kid"].alias("_kid"), key["_content"].alias("_content"))
+    kept = named.join(stay, ["_kid", "_content"])
     if not marked.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         kept = kept.dropDuplicates(["_kid", "_content"])
-    return kept.select(*docs.columns)
+    return kept.select(*columns).toDF(*docs.columns)
 
 
 def op2_groups(docs: DataFrame) -> DataFrame:

@@ -348,7 +348,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs (doc_id, text, n_chars and more) with repeats taken out of the texts; a character that loses some of its bytes
     goes whole. A null text becomes empty; no row goes."""
     renamed = {c: f"_c{n}" for n, c in enumerate(docs.columns)}
-    kept = remove_repeats(docs.withColumnsRenamed(renamed), renamed["doc_id"], renamed["text"], length, tuple(renamed.values()))
+    kept = remove_repeats(docs.toDF(*renamed.values()), renamed["doc_id"], renamed["text"], length, tuple(renamed.values()))
     text = F.when(F.col("n_removed") == 0, F.coalesce(renamed["text"], F.lit(""))).otherwise(
         F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\uFFFD", "")
     )
