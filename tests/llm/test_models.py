@@ -77,6 +77,18 @@ def test_marginals_agree_with_all_paths():
     assert field.marginals(weights, np.ones(4, int))[:, 0] == pytest.approx(want / total, rel=1e-4)
 
 
+def test_chains_of_other_lengths_beside_it_change_no_text():
+    pairs = [("de", "der hund läuft und die katze schläft im haus"), ("en", "the dog runs and the cat sleeps in this house")]
+    field = langid.train(pairs * 5, ["de", "en"])
+    texts = ["the dog", "der hund und die katze " * 40, "the cat sleeps in this house " * 200, None, "haus"]
+    together = langid.Tagger(field).shares(texts)
+    for text, shares in zip(texts, together, strict=True):
+        (alone,) = langid.Tagger(field).shares([text])
+        assert (alone is None) == (shares is None) == (text is None)
+        if text:
+            assert np.isfinite(shares).all() and shares == pytest.approx(alone, rel=1e-5) and shares.sum() == pytest.approx(1, abs=1e-4)
+
+
 def test_base_scores_and_counts_are_exact(spark, monkeypatch, sf_dir):
     monkeypatch.setattr(lm_score, "HEAD", 6000)  # so that words beyond the head occur
     monkeypatch.setattr(lm_score, "BANDS", (5000, 6000))
