@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, ready, texts_of
+from ._common import cut, ready, release, texts_of
 
 SEQUENCE_TOKENS = 2048
 SHARD_PIECES = 8192
-#: Words a worker keeps with their ids; the store is emptied when it is full.
-CACHED_WORDS = 1_000_000
+#: Words a worker keeps with their ids; when the store is full, only those of the batch at hand stay.
+CACHED_WORDS = 600_000
 MARKS = frozenset(".,;:!?|")
 #: Capitals whose lower case depends on their place or has two characters.
 FOLDS_ODDLY = frozenset("\u03a3\u0130")
@@ -40,7 +40,6 @@ BYTE_CHARS = {b: chr(b) for b in PRINTABLE} | {
     b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in PRINTABLE)
 }
 NONE_OPEN = -(1 << 40)
-SPACES = str.maketrans("\t\n\r", "   ")
 
 
 def default_tokenizer() -> str:
@@ -83,11 +82,11 @@ class WordTokenizer:
             self.known.update(zip(part, map(raw.__getitem__, map(slice, edges[:-1], edges[1:])), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [text.translate(SPACES).split(" ") for text in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + 2 * len(new) > CACHED_WORDS:
-            self.known = {"": b""}
-            new = set().union(*split)
+        split = [text.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") for text in texts]
+        words = set().union(*split)
+        new = words.difference(self.known)
+        if len(self.known) + 2 * len(new) > CACHED_WORDS:  # what this batch has goes on
+            self.known = {w: self.known[w] for w in words.difference(new)} | {"": b""}
         known, other = self.known, []
         self._encode([m for m in MARKS if m not in known])
         for word in new:
@@ -133,6 +132,8 @@ def pieces(
                     which, piece, start, length, ids, size = [], [], [], [], [], 0
             if which:
                 yield piece_batch(batch, which, piece, start, length, ids)
+        tokenizer = None
+        release()
 
     def piece_batch(batch, which, piece, start, length, ids):
         arrays = [
