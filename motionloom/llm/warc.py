@@ -32,6 +32,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 EMPTY_MEMBER = zlib.compressobj(1, zlib.DEFLATED, 31).flush()
 #: Below so many revisits (a few MB) their table is sent to every task; beyond, pages are joined by id.
 BROADCAST_ROWS = 100_000
+#: Ranges are dealt to so many tasks at most; beyond, a task takes several.
+MOST_TASKS = 20_000
 
 
 def record(page_id, url: str | None, payload: bytes, refers_to, date: str) -> bytes:
@@ -184,7 +186,9 @@ def read(spark: SparkSession, path: str, range_bytes: int = 16 << 20) -> DataFra
     ready(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long")))
-    ranges = files.select("path", starts.alias("start"), "length").repartition("path", "start")
+    ranges = files.select("path", starts.alias("start"), "length")
+    tasks = min(max(1, ranges.count()), MOST_TASKS)  # a stated number: a few bytes a range would be merged into one task
+    ranges = ranges.repartition(tasks, "path", "start")
 
     def records(batches):
         types = pa.schema([(n, pa.binary() if n == "payload" else pa.string()) for n in RECORD_SCHEMA.replace(" string", "").replace(" binary", "").split(", ")])
