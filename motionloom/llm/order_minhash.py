@@ -8,8 +8,7 @@ Likeness is the share of signatures that agree: a text with the same k-mers in a
 One hash deals elements to signatures (each signature sees its own share of the elements), so that a
 text is passed over once. From texts with more than `kept` distinct k-mers those with the smallest
 hashes are used, which are the same ones in any text that has them; all occurrences of a used k-mer
-count. K-mers are runs of three words, and in texts under `short_chars` code points runs of five
-code points.
+count. K-mers are runs of `RUN` code points, in texts of every length and script; a shorter text is one run.
 
 DataFrame functions only. The neighbour of a document in the order of ids is found on (id, content
 hash) alone, within ranges of ids; texts move twice through one and the same shuffle: to hand the
@@ -31,7 +30,8 @@ from ._common import cut, ready
 BINS = 32
 HASH_BITS, PLACE_BITS = 34, 24
 KEPT = 256
-SHORT_CHARS = 400
+#: Code points of a k-mer: few enough for an edit in a short text, enough for runs of long texts to differ.
+RUN = 8
 NO_ID = -(1 << 63)
 ABSENT = "--------"
 
@@ -90,15 +90,12 @@ def _signed(dealt: Column) -> Column:
 def fingerprint(text: Column) -> Column:
     """BINS signatures, 8 hex digits each, ABSENT where a signature has no element."""
 
-    def grams(units, k):
-        each = F.transform(units, lambda u, i: F.xxhash64(u, *[F.get(units, i + n) for n in range(1, k)]))
-        return F.slice(each, 1, F.greatest(F.size(units) - (k - 1), F.lit(1)))
+    def grams(points):  # four bytes a code point
+        runs = F.when(F.length(points) == 0, 0).otherwise(F.greatest(F.length(points) / 4 - (RUN - 1), F.lit(1)))
+        places = F.slice(F.sequence(F.lit(0), F.greatest(F.length(points) / 4 - RUN, F.lit(0)).cast("int")), F.lit(1), runs.cast("int"))
+        return F.transform(places, lambda i: F.xxhash64(F.substring(points, i * 4 + 1, F.lit(4 * RUN))))
 
-    hashes = (
-        F.when(F.length(text) == 0, F.array().cast("array<bigint>"))
-        .when(F.length(text) < SHORT_CHARS, _let(F.split(text, ""), lambda u: grams(u, 5)))
-        .otherwise(_let(F.split(F.translate(text, "\n\t\r", "   "), " "), lambda u: grams(u, 3)))
-    )
+    hashes = _let(F.encode(text, "UTF-32"), grams)
 
     def used(h):
         distinct = F.size(F.array_distinct(h))

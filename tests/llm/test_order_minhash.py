@@ -77,6 +77,18 @@ def test_numbered_occurrences_count(spark):
     assert like(fps[3], fps[5]) == 0
 
 
+def test_one_unit_for_every_length_and_script(spark):
+    words = prose(7, 400)
+    for n in (399, 400, 401, 900):  # near copies of less and more than 400 code points
+        fps = shown(spark, [words[:n], words[: n - 2], words[: n // 2] + "x" + words[n // 2 :][: n - n // 2 - 2]])
+        assert like(fps[0], fps[1]) > 0.8 and like(fps[0], fps[2]) > 0.7
+    rng = random.Random(5)
+    for first, span in ((0x4E00, 3000), (0x1F300, 600), (97, 26)):  # no blank in it; one place edited, inserted into, cut
+        text = "".join(chr(first + rng.randrange(span)) for _ in range(1500))
+        fps = shown(spark, [text, text[:700] + "Q" + text[701:], text[:700] + "QQQ" + text[700:], text[:700] + text[705:]])
+        assert min(like(fps[0], fps[n]) for n in (1, 2, 3)) > 0.8
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = order_minhash.op3_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
