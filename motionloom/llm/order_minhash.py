@@ -6,9 +6,9 @@ minimal under a hash, keeps them in the order in which they stand in the text, a
 Likeness is the share of signatures that agree: a text with the same k-mers in another order differs.
 
 One hash deals elements to signatures (each signature sees its own share of the elements), so that a
-text is passed over once. From texts with more than `kept` distinct k-mers those with the smallest
-hashes are used, which are the same ones in any text that has them; all occurrences of a used k-mer
-count. K-mers are runs of `RUN` code points, in texts of every length and script; a shorter text is one run.
+text is passed over once. Every occurrence of every k-mer is an element. K-mers are runs of `RUN` code
+points, in texts of every length and script; a shorter text is one run. Elements above a hash limit are
+set aside before the sort only where each signature has two below it, which changes no signature.
 
 DataFrame functions only. The neighbour of a document in the order of ids is found on (id, content
 hash) alone, within ranges of ids; texts move twice through one and the same shuffle: to hand the
@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from ._common import cut, ready
 
 BINS = 32
-HASH_BITS, PLACE_BITS = 34, 24
-KEPT = 256
+HASH_BITS, PLACE_BITS = 30, 28
+#: Elements that a text is thinned to before the sort, if each signature has its two among them.
+SORTED = 384
 #: Code points of a k-mer: few enough for an edit in a short text, enough for runs of long texts to differ.
 RUN = 8
 NO_ID = -(1 << 63)
@@ -42,28 +43,37 @@ def _let(value: Column, body) -> Column:
 
 
 def _pack(h: Column, occurrence: Column, place: Column) -> Column:
-    """An element as one long that sorts by signature (5 bits), then hash (34), then place in the text (24)."""
+    """An element as one long that sorts by signature (5 bits), then hash (30), then place in the text (28)."""
     top = F.shiftrightunsigned(F.xxhash64(h, occurrence), 64 - 5 - HASH_BITS)
-    return F.shiftleft(top, PLACE_BITS).bitwiseOR(place.cast("long"))
+    return F.shiftleft(top, PLACE_BITS).bitwiseOR(place)
 
 
-def _numbered(used: Column) -> Column:
-    """Packed elements of the used k-mers, given by hash in text order."""
+def _numbered(ordered: Column) -> Column:
+    """Packed elements of k-mers given as longs of hash and place, sorted."""
+    places = F.lit((1 << PLACE_BITS) - 1)
+    apart = lambda j: F.get(ordered, j).bitwiseXOR(F.get(ordered, j - 1)) > places
+    starts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), apart)
 
-    def repeated(ordered):
-        h = lambda j: F.get(ordered, j)["h"]
-        starts = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda j: (j == 0) | (h(j) != h(j - 1)))
+    def number(edges):
+        run = lambda x: F.slice(ordered, F.get(edges, x) + 1, F.get(edges, x + 1) - F.get(edges, x))
+        each = lambda x: F.transform(run(x), lambda e, o: _pack(F.shiftright(e, PLACE_BITS), o, e.bitwiseAND(places)))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(edges) - 2), each))
 
-        def number(edges):
-            run = lambda x: F.slice(ordered, F.get(edges, x) + 1, F.get(edges, x + 1) - F.get(edges, x))
-            each = lambda x: F.transform(run(x), lambda e, o: _pack(e["h"], o, e["i"]))
-            return F.flatten(F.transform(F.sequence(F.lit(0), F.size(edges) - 2), each))
+    return _let(F.concat(F.array(F.lit(0)), starts, F.array(F.size(ordered))), number)
 
-        return _let(F.concat(starts, F.array(F.size(ordered))), number)
 
-    once = F.transform(used, lambda x, i: _pack(x, F.lit(0), i))
-    pairs = F.sort_array(F.transform(used, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    return F.when(F.size(F.array_distinct(used)) == F.size(used), once).otherwise(_let(pairs, repeated))
+def _smallest(elements: Column) -> Column:
+    """Elements in order: those below a hash limit if every signature has two of them, else all."""
+    limit = (F.lit(float(SORTED) * (1 << HASH_BITS)) / F.size(elements)).cast("long")
+    hash_of = lambda e: F.shiftright(e, PLACE_BITS).bitwiseAND(F.lit((1 << HASH_BITS) - 1))
+    low = F.sort_array(_let(limit, lambda most: F.filter(elements, lambda e: hash_of(e) <= most)))
+
+    def whole(few):
+        bins = F.transform(few, lambda e: F.shiftright(e, HASH_BITS + PLACE_BITS))
+        second = lambda b: F.filter(b, lambda x, j: (x == F.get(b, j - 1)) & ~F.coalesce(x == F.get(b, j - 2), F.lit(False)))
+        return F.when(_let(bins, lambda b: F.size(second(b))) == BINS, few).otherwise(F.sort_array(elements))
+
+    return F.when(F.size(elements) <= 2 * SORTED, F.sort_array(elements)).otherwise(_let(low, whole))
 
 
 def _signed(dealt: Column) -> Column:
@@ -93,17 +103,11 @@ def fingerprint(text: Column) -> Column:
     def grams(points):  # four bytes a code point
         runs = F.when(F.length(points) == 0, 0).otherwise(F.greatest(F.length(points) / 4 - (RUN - 1), F.lit(1)))
         places = F.slice(F.sequence(F.lit(0), F.greatest(F.length(points) / 4 - RUN, F.lit(0)).cast("int")), F.lit(1), runs.cast("int"))
-        return F.transform(places, lambda i: F.xxhash64(F.substring(points, i * 4 + 1, F.lit(4 * RUN))))
-
-    hashes = _let(F.encode(text, "UTF-32"), grams)
-
-    def used(h):
-        distinct = F.size(F.array_distinct(h))
-        below = lambda most: F.filter(h, lambda x: F.shiftrightunsigned(x, 1) <= most)
-        limit = lambda d: (float(KEPT) / d * float(1 << 63)).cast("long")
-        return _let(distinct, lambda d: F.when(d <= KEPT, h).otherwise(_let(limit(d), below)))
+        h = lambda i: F.shiftrightunsigned(F.xxhash64(F.substring(points, i * 4 + 1, F.lit(4 * RUN))), PLACE_BITS + 1)
+        return F.transform(places, lambda i: F.shiftleft(h(i), PLACE_BITS).bitwiseOR(i.cast("long")))
 
-    dealt = F.sort_array(_let(_let(hashes, used), _numbered))
+    ordered = F.sort_array(_let(F.encode(text, "UTF-32"), grams))
+    dealt = _let(_let(ordered, _numbered), _smallest)
     bins = F.sequence(F.lit(0).cast("long"), F.lit(BINS - 1).cast("long"))
     return _let(
         _let(dealt, _signed),

@@ -89,6 +89,22 @@ def test_one_unit_for_every_length_and_script(spark):
         assert min(like(fps[0], fps[n]) for n in (1, 2, 3)) > 0.8
 
 
+def test_signatures_select_from_all_elements(spark, monkeypatch):
+    rng = random.Random(8)
+    new = lambda n: "".join(chr(0x4E00 + rng.randrange(20000)) for _ in range(n))
+    shares = []
+    for _ in range(16):  # three quarters of the runs kept, in texts of other lengths
+        text = new(1200)
+        fps = shown(spark, [text, text[:900], text[:900] + new(300)])
+        shares.append((like(fps[0], fps[1]), like(fps[0], fps[2])))
+    cut_, changed = (sum(x) / len(x) for x in zip(*shares, strict=True))
+    assert abs(cut_ - 0.75**2) < 0.07 and abs(changed - 0.6**2) < 0.07  # pairs of 900 of 1200 and of 1500 elements
+    texts = [prose(n, size) for n, size in enumerate((130, 150, 200, 700, 3000))] + ["A" * 3000]
+    thinned = shown(spark, texts)
+    monkeypatch.setattr(order_minhash, "SORTED", 1 << 20)
+    assert shown(spark, texts) == thinned
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = order_minhash.op3_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
