@@ -1,7 +1,8 @@
 """Language of each word and text, from a linear-chain conditional random field.
 
-Method: a chain over the words that hold letters. A word's weights come from hashed features: prefixes
-and suffixes, character n-grams and lexicon entries; transitions between the languages of
+Method: a chain over all runs of letters of a text, in training and in scoring alike; runs of over
+`PIECE` bytes, as in scripts without blanks, are cut into consecutive pieces. The weights of a word (a
+run or piece) come from hashed features: prefixes and suffixes, character n-grams and lexicon entries; transitions between the languages of
 neighbouring words are learned with them. Forward-backward gives every word's marginal, also in texts
 that switch language; a text's language is the one with the largest mean marginal, and that mean is
 its score.
@@ -34,13 +35,33 @@ UNKNOWN = "und"
 SLOTS = 1 << 15
 CHAIN = 64
 LETTERS = re.compile(r"[^\W\d_]+")
+PIECE = 64
 #: Words a worker keeps with their weights; emptied when full.
 CACHED_WORDS = 250_000
 
 
+def runs(text: str) -> list[str]:
+    """All lower-case runs of letters of a text in order, long ones in pieces of up to PIECE bytes."""
+    found = LETTERS.findall(text.lower())
+    if all(len(run) <= PIECE // 4 for run in found):
+        return found
+    return [piece for run in found for piece in ([run] if len(run) <= PIECE // 4 else pieces(run))]
+
+
+def pieces(run: str) -> list[str]:
+    raw, found, at = run.encode(), [], 0
+    while at < len(raw):
+        end = at + PIECE
+        while end < len(raw) and raw[end] & 0xC0 == 0x80:  # inside a code point
+            end -= 1
+        found.append(raw[at:end].decode())
+        at = end
+    return found
+
+
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
     """Slots of a lower-case word's features: affixes, n-grams, and its lexicon entry's language."""
-    raw = word.encode()[:64]
+    raw = word.encode()
     n = len(raw)
     edged = b"^" + raw + b"$"
     found = [crc32(raw[:k], 1) for k in range(1, min(3, n) + 1)]
@@ -109,7 +130,7 @@ def train(samples: list[tuple[str, str]], languages: list[str], rounds: int = 30
     vocabulary: dict[str, int] = {}
     spans, counts = [], [Counter() for _ in languages]
     for language, text in samples:
-        words = LETTERS.findall(text.lower())
+        words = runs(text)
         counts[code[language]].update(set(words))
         ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words]
         at = 0
@@ -190,20 +211,13 @@ class Tagger:
         self.table = np.zeros((1 << 14, len(self.field.languages)), np.float32)
         self.used = 0
 
-    def _learn(self, tokens: set[str]) -> None:
-        if len(self.known) + len(tokens) > CACHED_WORDS:
+    def _learn(self, words: set[str]) -> None:
+        if len(self.known) + len(words) > CACHED_WORDS:
             self._empty()
-        words, new = [], []
-        for token in tokens:
-            parts = LETTERS.findall(token.lower())
-            if parts:
-                new.append(token)
-                words.append(max(parts, key=len))
-            else:
-                self.known[token] = -1
+        new = list(words)
         if not new:
             return
-        rows = self.field.emissions(*self.field.slots(words))
+        rows = self.field.emissions(*self.field.slots(new))
         while self.used + len(new) > len(self.table):
             self.table = np.concatenate((self.table, np.zeros_like(self.table)))
         self.table[self.used : self.used + len(new)] = rows
@@ -212,17 +226,14 @@ class Tagger:
 
     def shares(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Mean marginal of each language per text; None if no word has a letter."""
-        split = [(t or "").split() for t in texts]
+        split = [runs(t or "") for t in texts]
         new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > CACHED_WORDS:
             self._empty()
             new = set().union(*split)
         self._learn(new)
         found: list[np.ndarray | None] = [None] * len(texts)
-        ids = []
-        for words in split:
-            row = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            ids.append(row[row >= 0])
+        ids = [np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) for words in split]
         order = sorted((n for n in range(len(texts)) if len(ids[n])), key=lambda n: -len(ids[n]))
         at = 0
         while at < len(order):
@@ -241,11 +252,13 @@ class Tagger:
         return found
 
     def words(self, text: str) -> list[tuple[str, str]]:
-        """(word, language) of each word with a letter: the tagging of one text."""
-        tokens = [t for t in text.split() if LETTERS.search(t)]
-        self._learn({t for t in tokens if t not in self.known})
+        """(word, language) of each run of letters: the tagging of one text."""
+        tokens = runs(text)
         if not tokens:
             return []
+        if not self.known.keys() >= set(tokens):
+            self._empty()
+            self._learn(set(tokens))
         rows = self.table[[self.known[t] for t in tokens]][:, None, :]
         best = self.field.marginals(rows, np.ones(len(tokens), int)).argmax(axis=2)[:, 0]
         return [(t, self.field.languages[b]) for t, b in zip(tokens, best, strict=True)]

@@ -61,6 +61,24 @@ def test_switched_texts_are_tagged_word_by_word():
     assert [x for _, x in got] == ["de"] * 4 + ["en"] * 5
 
 
+def test_every_run_of_letters_is_scored_whole():
+    de = ["der hund läuft schnell und die katze schläft nicht weil das haus groß ist"] * 6
+    en = ["the dog runs quickly and the cat does not sleep because this house is big"] * 6
+    zh = ["".join(chr(0x4E00 + (7 * n + m) % 300) for n in range(90)) for m in range(6)]
+    pairs = [(k, t) for k, ts in (("de", de), ("en", en), ("zh", zh)) for t in ts]
+    tagger = langid.Tagger(langid.train(pairs, ["de", "en", "zh"]))
+    blanks = "der hund schläft nicht the cat does not sleep"
+    joined = blanks.replace(" ", "_", 3).replace(" ", "/")
+    assert tagger.words(joined) == tagger.words(blanks)  # no run of a token is left out
+    plain, other = tagger.shares([blanks, joined])
+    assert plain == pytest.approx(other, rel=1e-5)
+    long = "".join(zh) * 10
+    assert "".join(langid.runs(long)) == long and max(len(x.encode()) for x in langid.runs(long)) <= langid.PIECE
+    words = tagger.words(long[:30] + "".join(en[0].split()) * 5 + long)  # one run: what stands behind its start counts
+    assert len(words) > 200 and sum(x == "zh" for _, x in words) > 200
+    assert langid.runs("x" * 65 + "1ab") == ["x" * 64, "x", "ab"]
+
+
 def test_marginals_agree_with_all_paths():
     from itertools import product
 
