@@ -9,9 +9,9 @@ token to its end token, so that a score is the log-likelihood of the complete te
 On Spark: counts of all training tokens are summed by word and stay a distributed table. The
 `HEAD` most frequent words, a fixed number, go to every task with the weights; all other words of a
 document are joined with the counts by shuffle, in both scores alike. Training is data-parallel: in
-each of `ROUNDS` rounds every partition trains the current weights on its own share of the training
-documents (one in SHARE, by a hash of the id, another share each round), and the results are averaged
-by Spark block by block. The work and what is gathered grow with the corpus, the weights do not.
+each of `ROUNDS` rounds every partition trains the current weights on its own part of a share of the
+training documents (one in ROUNDS, by a hash of the id, another share each round, so that all have been
+trained on), and the results are averaged by Spark block by block. The work and what is gathered grow with the corpus, the weights do not.
 
 Both scores share one event space: the distinct training tokens and one symbol for all others.
 
@@ -42,7 +42,8 @@ BANDS = (1 << 14, HEAD)
 SYMBOLS = OWN + len(BANDS) + 1
 EMBED, HIDDEN, WINDOW = 24, 32, 32
 STREAMS = 128
-ROUNDS, SHARE = 2, 8
+#: Each round takes another share of the training documents; all rounds together take all.
+ROUNDS = SHARE = 2
 RATE = 0.15
 BLOCK = 4096
 #: Tokens that a task scores at a time.
@@ -212,14 +213,15 @@ class Gru:
         return new + z * (state - new), z, r, inner, new
 
     def learn(self, symbols: np.ndarray, rate: float = RATE) -> int:
-        """One pass over a stream of texts by truncated backpropagation; returns the tokens learned from."""
-        steps = len(symbols) // STREAMS
-        if steps < 2:
-            return 0
-        stream = symbols[: steps * STREAMS].reshape(STREAMS, steps).T
-        inputs = np.concatenate((np.zeros((1, STREAMS), np.int64), stream[:-1]))
+        """One pass over a stream of texts by truncated backpropagation; returns the tokens learned from.
+
+        All tokens are learned from: few go into fewer streams, and what lacks of the last is filled up with the first."""
+        streams = min(STREAMS, max(1, len(symbols) // WINDOW))
+        steps = -(-len(symbols) // streams)
+        stream = np.resize(symbols, steps * streams).reshape(streams, steps).T
+        inputs = np.concatenate((np.zeros((1, streams), np.int64), stream[:-1]))
         w, squares = self.w, {k: np.full(s, 1e-4, np.float32) for k, s in self.SHAPES.items()}
-        state = np.zeros((STREAMS, HIDDEN), np.float32)
+        state = np.zeros((streams, HIDDEN), np.float32)
         for start in range(0, steps, WINDOW):
             x, y = inputs[start : start + WINDOW], stream[start : start + WINDOW]
             embedded = w["embed"][x.ravel()]
@@ -231,9 +233,9 @@ class Gru:
                 kept.append((before, *inside))
                 states.append(state)
             _, back, grads = self.output(np.concatenate(states), y.ravel(), learn=True)
-            back = back.reshape(len(x), STREAMS, HIDDEN)
-            carried = np.zeros((STREAMS, HIDDEN), np.float32)
-            into = np.empty((len(x), STREAMS, 3 * HIDDEN), np.float32)
+            back = back.reshape(len(x), streams, HIDDEN)
+            carried = np.zeros((streams, HIDDEN), np.float32)
+            into = np.empty((len(x), streams, 3 * HIDDEN), np.float32)
             grads |= {"gates": np.zeros_like(w["gates"]), "candidate": np.zeros_like(w["candidate"])}
             for t in range(len(x) - 1, -1, -1):
                 before, z, r, inner, new = kept[t]
@@ -258,7 +260,7 @@ class Gru:
                 g = np.clip(g / y.size * 16, -1, 1)
                 squares[k] += g * g
                 w[k] -= rate * g / np.sqrt(squares[k])
-        return steps * STREAMS
+        return len(symbols)
 
 
 def _symbols(text: str, index: dict[bytes, int], of_head: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:

@@ -156,5 +156,22 @@ def test_learning_follows_the_gradient(monkeypatch):
     assert model.scores([stream[:200]])[0] > before + 50
 
 
+def test_every_training_document_reaches_the_model(spark):
+    assert lm_score.ROUNDS == lm_score.SHARE  # the shares of the rounds are all there are
+    rows = spark.createDataFrame([(n, f"word{n} stays here") for n in range(60)], "doc_id long, text string").repartition(3)
+    words = lm_score.vocabulary(lm_score.token_counts(rows))
+    before, after = lm_score.Gru(len(words.words)).w, lm_score.train(rows, words).w
+    at = {w: n for n, w in enumerate(words.words)}
+    moved = [not np.array_equal(before["embed"][at[f"word{n}"]], after["embed"][at[f"word{n}"]]) for n in range(60)]
+    assert all(moved)  # as an input, each word is in one document alone
+
+
+def test_few_tokens_and_remainders_teach():
+    for n in (1, 7, lm_score.STREAMS + 1, 5 * lm_score.STREAMS * lm_score.WINDOW + 3):
+        one, other = lm_score.Gru(64), lm_score.Gru(64)
+        assert one.learn(np.array([5] * (n - 1) + [9])) == other.learn(np.array([5] * n)) == n
+        assert not np.array_equal(one.flat(), other.flat())  # the last token counts
+
+
 def test_prose_helper_is_stable():
     assert prose(1, 5) == prose(1, 5)
