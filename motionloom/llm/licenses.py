@@ -6,8 +6,9 @@ all; only those run. Overlapping detections are resolved by priority and contain
 that lies inside one of higher priority, or inside a longer one of the same priority, is dropped; of
 equal ones the first rule's stays.
 
-Rules are hand-written names of licenses (NAMES) seen in hand-written contexts (CONTEXTS), plus
-notices that need no name (NOTICES): some 300 regexes. A context gives priority and confidence: an
+Rules are hand-written names of licenses (NAMES) seen in hand-written contexts (CONTEXTS),
+SPDX identifiers (IDS) behind an SPDX tag, anywhere in its expression, or a grant, and notices that
+need no name (NOTICES): some 500 regexes. A context gives priority and confidence: an
 SPDX tag is above a grant, a grant above a bare mention.
 
 Edge cases: a null or empty text has no words and no labels; repeated rows are scanned alike; extra
@@ -18,6 +19,7 @@ length and its detections.
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -119,7 +121,95 @@ llama; llama; llama \\d(?: \\d)? community licen[sc]e
 openrail; rail; (?:big ?science |creativeml )?(?:open ?)?rail(?: m)? licen[sc]e
 json; json; json licen[sc]e
 beerware; beer; beer ?ware licen[sc]e
+agpl-3.0; agpl; (?:gnu )?agpl(?: ?v ?| version | )?3(?: 0)?
+agpl; agpl; (?:gnu )?agpl
+lgpl-2.1; lgpl; (?:gnu )?lgpl(?: ?v ?| version | )?2 1
+lgpl-2.0; lgpl; (?:gnu )?lgpl(?: ?v ?| version | )?2(?: 0)?
+lgpl-3.0; lgpl; (?:gnu )?lgpl(?: ?v ?| version | )?3(?: 0)?
+lgpl; lgpl; (?:gnu )?lgpl
+gpl-3.0; gpl; (?:gnu )?gpl(?: ?v ?| version | )?3(?: 0)?
+gpl-2.0; gpl; (?:gnu )?gpl(?: ?v ?| version | )?2(?: 0)?
+gpl-1.0; gpl; (?:gnu )?gpl(?: ?v ?| version | )?1(?: 0)?
+gpl; gpl; (?:gnu )?gpl
 """
+#: label; keyword that every match holds; regex of the SPDX identifier in words, without "only" and "or later".
+IDS = """
+apache-2.0; apache; apache 2 0
+apache-1.1; apache; apache 1 1
+apache-1.0; apache; apache 1 0
+mit; mit; mit
+mit-0; mit; mit 0
+x11; x11; x11
+bsd-2-clause; bsd; bsd 2 clause(?: patent| views)?
+bsd-3-clause; bsd; bsd 3 clause(?: clear| lbnl| attribution)?
+bsd-4-clause; bsd; bsd 4 clause(?: uc)?
+bsd-0-clause; bsd; 0bsd
+agpl-3.0; agpl; agpl 3 0
+agpl-1.0; agpl; agpl 1 0
+lgpl-2.0; lgpl; lgpl 2 0
+lgpl-2.1; lgpl; lgpl 2 1
+lgpl-3.0; lgpl; lgpl 3 0
+gpl-1.0; gpl; gpl 1 0
+gpl-2.0; gpl; gpl 2 0
+gpl-3.0; gpl; gpl 3 0
+gfdl-1.1; gfdl; gfdl 1 1
+gfdl-1.2; gfdl; gfdl 1 2
+gfdl-1.3; gfdl; gfdl 1 3
+mpl-1.0; mpl; mpl 1 0
+mpl-1.1; mpl; mpl 1 1
+mpl-2.0; mpl; mpl 2 0(?: no copyleft exception)?
+epl-1.0; epl; epl 1 0
+epl-2.0; epl; epl 2 0
+cddl-1.0; cddl; cddl 1 0
+cddl-1.1; cddl; cddl 1 1
+cpl-1.0; cpl; cpl 1 0
+ipl-1.0; ipl; ipl 1 0
+eupl-1.1; eupl; eupl 1 1
+eupl-1.2; eupl; eupl 1 2
+osl-3.0; osl; osl 3 0
+afl-3.0; afl; afl 3 0
+artistic-1.0; artistic; artistic 1 0(?: perl| cl8)?
+artistic-2.0; artistic; artistic 2 0
+bsl-1.0; bsl; bsl 1 0
+busl-1.1; busl; busl 1 1
+sspl-1.0; sspl; sspl 1 0
+elastic-2.0; elastic; elastic 2 0
+isc; isc; isc
+zlib; zlib; zlib
+libpng; libpng; libpng(?: 2 0)?
+ms-pl; ms pl; ms pl
+ms-rl; ms rl; ms rl
+wtfpl; wtfpl; wtfpl
+unlicense; unlicense; unlicense
+python-2.0; python; python 2 0(?: 1)?
+psf-2.0; psf; psf 2 0
+php-3.01; php; php 3 01
+ruby; ruby; ruby
+openssl; openssl; openssl
+postgresql; postgresql; postgresql
+vim; vim; vim
+ncsa; ncsa; ncsa
+w3c; w3c; w3c
+ofl-1.1; ofl; ofl 1 1(?: no rfn| rfn)?
+odbl-1.0; odbl; odbl 1 0
+odc-by-1.0; odc by; odc by 1 0
+pddl-1.0; pddl; pddl 1 0
+cc0-1.0; cc0; cc0 1 0
+cc-by-nc-nd; cc by; cc by nc nd \\d \\d
+cc-by-nc-sa; cc by; cc by nc sa \\d \\d
+cc-by-nc; cc by; cc by nc \\d \\d
+cc-by-nd; cc by; cc by nd \\d \\d
+cc-by-sa; cc by; cc by sa \\d \\d
+cc-by; cc by; cc by \\d \\d
+cecill-2.1; cecill; cecill 2 1
+mulan-psl; mulan; mulanpsl [12] 0
+upl-1.0; upl; upl 1 0
+rpl-1.5; rpl; rpl 1 5
+json; json; json
+beerware; beerware; beerware
+"""
+SUFFIX = "(?: only| or later)?"
+EXCEPTION = "(?: with (?:[a-z0-9]+ ){1,5}?exception(?: \\d \\d)?)?"
 #: kind; priority; confidence; what stands before a name.
 CONTEXTS = """
 spdx; 4; 1.0; spdx licen[sc]e identifier\x20
@@ -143,7 +233,7 @@ bsd-text; 1; 0.6; neither the name; neither the name of .{1,80}? nor the names o
 apache-text; 3; 0.9; you may not use this file; you may not use this file except in compliance with the licen[sc]e
 gpl-text; 3; 0.9; free software foundation; as published by the free software foundation
 gpl-or-later; 3; 0.9; any later version; (?:either version \\d(?: \\d)? of the licen[sc]e )?or(?: at your option)? any later version
-warranty; 1; 0.3; without warranty; without warrant(?:y|ies)(?: or conditions)? of any kind
+warranty; 1; 0.3; without warrant; without warrant(?:y|ies)(?: or conditions)? of any kind
 warranty; 1; 0.3; without any warranty; without any warranty
 warranty; 1; 0.3; provided as is; provided as is(?: and)?(?: without)?
 proprietary; 2; 0.8; proprietary; proprietary and confidential
@@ -151,8 +241,8 @@ proprietary; 2; 0.8; unauthorized; unauthorized (?:copying|use|reproduction|dist
 non-commercial; 2; 0.6; commercial; (?:for )?non ?commercial (?:use|purposes)(?: only)?
 no-redistribution; 2; 0.6; may not be; may not be (?:reproduced|redistributed|copied)(?: in any form)?
 permission-required; 2; 0.5; permission; without (?:the )?(?:prior )?(?:express )?written permission
-license-reference; 1; 0.3; see the license; see the licen[sc]e(?: file)?(?: for)?
-license-reference; 1; 0.3; license file; (?:in the |the )licen[sc]e file
+license-reference; 1; 0.3; see the licen; see the licen[sc]e(?: file)?(?: for)?
+license-reference; 1; 0.3; the licen; (?:in the |the )licen[sc]e file
 license-url; 2; 0.8; apache org licenses; (?:https? )?(?:www )?apache org licenses licen[sc]e 2 0
 license-url; 2; 0.8; opensource org; (?:https? )?(?:www )?opensource org licenses [a-z0-9]+
 license-url; 2; 0.8; gnu org licenses; (?:https? )?(?:www )?gnu org licenses [a-z0-9]+
@@ -161,6 +251,7 @@ license-url; 2; 0.8; mozilla org mpl; (?:https? )?(?:www )?mozilla org mpl
 """
 
 
+@cache
 def rules() -> list[tuple[str, str, int, float, str, re.Pattern]]:
     """(label, kind, priority, confidence, keyword, regex), in the order in which ties are resolved."""
     lines = lambda text: [[c.strip() if i else c.lstrip("\n") for i, c in enumerate(line.split("; "))] for line in text.strip("\n").split("\n")]
@@ -169,6 +260,12 @@ def rules() -> list[tuple[str, str, int, float, str, re.Pattern]]:
         prefix = f"{before[0].strip()} " if before and before[0].strip() else ""
         for label, keyword, name in lines(NAMES):
             found.append((label, kind, int(priority), float(confidence), keyword, prefix + name))
+    spdx, grant = [f"{c[3].strip()} " for c in lines(CONTEXTS.replace("0.7;\n", "0.7; \n"))[:2]]
+    every = "|".join(name for _, _, name in lines(IDS))
+    for label, keyword, name in lines(IDS):
+        found.append((label, "spdx", 4, 1.0, keyword, f"{spdx}{name}{SUFFIX}"))
+        found.append((label, "spdx", 4, 1.0, keyword, f"{spdx}(?:(?:{every}){SUFFIX}{EXCEPTION} (?:and|or) )+(?P<id>{name}{SUFFIX})"))
+        found.append((label, "grant", 3, 0.95, keyword, f"{grant}{name}{SUFFIX}"))
     for label, priority, confidence, keyword, pattern in lines(NOTICES):
         found.append((label, "notice", int(priority), float(confidence), keyword, pattern))
     return [(*rest, re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])")) for *rest, pattern in found]
@@ -219,7 +316,8 @@ class Scanner:
         matches = []
         for n in sorted({n for k in present for n in self.by_keyword.get(k, ())}):
             priority, pattern = self.rules[n][2], self.rules[n][5]
-            matches += [(m.start(), m.end(), priority, n) for m in pattern.finditer(line)]
+            part = "id" if "id" in pattern.groupindex else 0  # of an SPDX expression, the identifier itself
+            matches += [(m.start(part), m.end(part), priority, n) for m in pattern.finditer(line)]
         found = []
         for start, end, _, n in resolve(matches):
             label, kind, _, confidence = self.rules[n][:4]

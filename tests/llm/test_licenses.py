@@ -47,6 +47,24 @@ def test_rules():
     assert labels("nothing to see here") == []
 
 
+def test_spdx_tags_short_forms_and_keywords():
+    import re
+
+    for line in licenses.IDS.strip().split("\n"):
+        label, _, name = line.split("; ")
+        real = re.sub(r"\(\?:.*?\)\?", "", name).replace(r"\d", "4").replace("[12]", "2")
+        for text in (f"SPDX-License-Identifier: {real.upper().replace(' ', '-')}", f"It is licensed under the {real}", f"SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0 OR {real})"):
+            assert label in [x for x, _ in labels(text)], text
+    tag = "SPDX-License-Identifier: "
+    real = {"MIT": ["mit"], "Apache-2.0": ["apache-2.0"], "GPL-3.0-only": ["gpl-3.0"], "GPL-2.0-or-later": ["gpl-2.0"], "MPL-2.0": ["mpl-2.0"], "LGPL-2.1": ["lgpl-2.1"], "EPL-2.0": ["epl-2.0"], "ISC": ["isc"], "MIT-0": ["mit-0"], "Foo-1.0": ["spdx"]}
+    assert {k: [x for x, kind in labels(tag + k) if kind in ("spdx", "notice")] for k in real} == real
+    assert {"mit", "apache-2.0"} <= {x for x, _ in labels(tag + "MIT OR Apache-2.0")}
+    short = {"GPLv3": "gpl-3.0", "GPL v2": "gpl-2.0", "LGPLv2.1+": "lgpl-2.1", "AGPL-3.0": "agpl-3.0", "the LGPL": "lgpl", "GNU GPL": "gpl", "GNU AGPL": "agpl"}
+    assert {k: [x for x, _ in labels(k)] for k in short} == {k: [x] for k, x in short.items()}
+    for text, label in (("without warranties of any kind", "warranty"), ("see the licence", "license-reference"), ("in the licence file", "license-reference")):
+        assert label in [x for x, _ in labels(text)]
+
+
 def test_containment_and_priority():
     keep = licenses.resolve([(0, 10, 1, 0), (2, 8, 1, 1), (2, 8, 3, 2), (5, 15, 1, 3), (0, 10, 1, 4), (0, 20, 2, 5)])
     assert keep == [(0, 20, 2, 5), (2, 8, 3, 2)]
