@@ -1,15 +1,17 @@
+import collections
+import functools
 import hashlib
 import random
+import struct
 
 from corpus import odd_rows, prose
-from pyspark.sql import functions as F
 
 from motionloom.llm import order_minhash
 
 
 def shown(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "n long, t string")
-    return {r.n: r.fp for r in df.select("n", order_minhash.fingerprint(F.col("t")).alias("fp")).collect()}
+    return {r.n: r.fp for r in order_minhash.fingerprint(df, "t", "fp").collect()}
 
 
 def like(a, b):
@@ -108,3 +110,30 @@ def test_signatures_select_from_all_elements(spark, monkeypatch):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = order_minhash.op3_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def brute(text):
+    """Signatures of a text, with no thinning: every k-mer numbered, every signature's two smallest elements picked one by one."""
+    from xxhash import xxh64_intdigest as xxh
+
+    m = order_minhash
+    chained = lambda *longs: functools.reduce(lambda seed, x: xxh(x, seed), longs, 42)  # noqa: E731  Spark's hash of several values
+    seen, elements = collections.Counter(), []
+    for place in range(max(1, len(text) - m.RUN + 1) if text else 0):
+        kmer = xxh(text[place : place + m.RUN].encode("utf-32-be"), 42) & m.HASHES
+        seen[kmer] += 1
+        again = chained(struct.pack("<q", kmer >> m.PLACE_BITS), struct.pack("<i", seen[kmer])) & m.HASHES
+        elements.append(((kmer if seen[kmer] == 1 else again) >> m.PLACE_BITS, place))
+    found = []
+    for n in range(m.BINS):
+        own = sorted((h >> m.BIN_BITS, place) for h, place in elements if h % m.BINS == n)[:2]
+        longs = [struct.pack("<q", n << 30 | h) for h, place in sorted(own, key=lambda e: e[1])]
+        found.append(f"{chained(*longs):016x}"[-8:] if own else m.ABSENT)
+    return found
+
+
+def test_signatures_against_brute_force(spark, sf_dir):
+    texts = ["", "abc", "abcdefgh", "abcdefghi", "a" * 2000, prose(9, 30), prose(10, 400), prose(11, 3000), "中文字符" * 300]
+    texts += [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
+    got = shown(spark, texts)
+    assert all(got[n] == brute(t) for n, t in enumerate(texts))
