@@ -6,32 +6,37 @@ own with learned outputs; rarer ones fall into frequency bands, whose class is l
 words share it by their counts. State is carried from window to window, from a document's first
 token to its end token, so that a score is the log-likelihood of the complete text.
 
-On Spark: counts of all training tokens are summed by word and stay a distributed table. The
-`HEAD` most frequent words, a fixed number, go to every task with the weights; all other words of a
-document are joined with the counts by shuffle, in both scores alike. Training is data-parallel: in
-each of `ROUNDS` rounds every partition trains the current weights on its own part of a share of the
-training documents (one in ROUNDS, by a hash of the id, another share each round, so that all have been
-trained on), and the results are averaged by Spark block by block. The work and what is gathered grow with the corpus, the weights do not.
+On Spark: counts of all training tokens are summed by word and stay a distributed table. Words above a
+count that at most `HEAD` words reach go to every task; all other words of a document are joined with
+the counts by shuffle, in both scores alike. Every text is turned into symbols once, two bytes a
+token, in a checkpointed table that training and scoring read. Training is data-parallel: in each of
+`ROUNDS` rounds every partition trains the current weights on its own part of a share of the training
+documents (one in ROUNDS, by a hash of the id, another share each round, so that all have been trained
+on), and the results are averaged by Spark block by block, in two levels. The work and what is gathered
+grow with the corpus, the weights do not.
 
 Both scores share one event space: the distinct training tokens and one symbol for all others.
 
 Edge cases: a null or empty text is the end token alone; repeated rows are scored, and counted, as
-rows of their own; a null id counts as an empty one in the fold; without training documents every
-count is zero and classes keep their initial weights; an empty table gives an empty result; extra
-columns are ignored.
+rows of their own; a null id counts as an empty one in the fold; words of one count are all in the head
+or none is; a very long text is scored whole, window by window; without training documents every count
+is zero and classes keep their initial weights; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ASCII_LOWER, cut, fold, ready, texts_of
+from ._common import ASCII_LOWER, cut, fold, ready, release, texts_of
 
 END = "\n"  # no word holds one
 HEAD = 1 << 18
@@ -41,13 +46,17 @@ OWN = CLASSES * CLASS_WORDS
 BANDS = (1 << 14, HEAD)
 SYMBOLS = OWN + len(BANDS) + 1
 EMBED, HIDDEN, WINDOW = 24, 32, 32
-STREAMS = 128
+STREAMS = 256
+#: Rows of states whose outputs are worked out at a time, so that they stay in a core's cache.
+ROWS = 8192
 #: Each round takes another share of the training documents; all rounds together take all.
 ROUNDS = SHARE = 2
 RATE = 0.15
 BLOCK = 4096
-#: Tokens that a task scores at a time.
-GROUP_TOKENS = 1 << 21
+#: Groups into which the weights of partitions are averaged first.
+PARTS = 256
+#: Tokens that a task holds at a time, to train on or to score.
+GROUP_TOKENS = 1 << 19
 
 
 def tokens(text: str) -> list[bytes]:
@@ -106,10 +115,6 @@ class Words:
         return self.total - self.counts.sum() + 0.1 * (self.distinct - int((self.counts > 0).sum()) + 1)
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 class Gru:
     """Weights by name, and what is done with them. Symbol 0 is the end token; it is also the first input of a text."""
 
@@ -139,41 +144,57 @@ class Gru:
     def class_of(symbols: np.ndarray) -> np.ndarray:
         return np.where(symbols < OWN, symbols // CLASS_WORDS, symbols - OWN + CLASSES)
 
+    @staticmethod
+    def tame(logits: np.ndarray) -> np.ndarray:
+        """Logits that can be raised to the power; only large ones need their row's maximum taken off."""
+        return logits - logits.max(axis=1, keepdims=True) if logits.size and logits.max() > 60 else logits
+
     def output(self, states: np.ndarray, targets: np.ndarray, learn: bool = False):
         """Natural log P(target | state), without shares in bands. With learn, also gradients of their negative sum."""
-        w, kind = self.w, self.class_of(targets)
-        n = len(targets)
-        logits = states @ w["classes"] + w["class_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        shares = np.exp(logits)
-        sums = shares.sum(axis=1)
-        logp = logits[np.arange(n), kind] - np.log(sums)
+        w, kind = self.w, self.class_of(targets).astype(np.uint8)
+        order = np.argsort(kind, kind="stable")  # rows of one class stand together
+        states, kind = states[order], kind[order].astype(np.int64)
+        at = targets[order] - kind * CLASS_WORDS
+        n = np.arange(len(order))
+        shares = self.tame(states @ w["classes"] + w["class_bias"])
+        logp = shares[n, kind]
+        np.exp(shares, out=shares)
+        sums = shares @ np.ones(shares.shape[1], np.float32)
+        logp -= np.log(sums)
         if learn:
             shares /= sums[:, None]
-            shares[np.arange(n), kind] -= 1
+            shares[n, kind] -= 1
             back = shares @ w["classes"].T
             grads = {"classes": states.T @ shares, "class_bias": shares.sum(axis=0, keepdims=True)}
             grads |= {"words": np.zeros_like(w["words"]), "word_bias": np.zeros_like(w["word_bias"])}
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        edges = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+        ones = np.ones(CLASS_WORDS, np.float32)
         for c in range(CLASSES):
-            rows = order[edges[c] : edges[c + 1]]
-            if not len(rows):
+            rows = slice(edges[c], edges[c + 1])
+            if edges[c] == edges[c + 1]:
                 continue
             part = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-            own, at = states[rows], targets[rows] - c * CLASS_WORDS
-            inner = own @ w["words"][part].T + w["word_bias"][part].T
-            inner -= inner.max(axis=1, keepdims=True)
-            p = np.exp(inner)
-            total = p.sum(axis=1)
-            logp[rows] += inner[np.arange(len(rows)), at] - np.log(total)
+            own, which, k = states[rows], at[rows], n[: edges[c + 1] - edges[c]]
+            p = own @ w["words"][part].T
+            p += w["word_bias"][part].T
+            p = self.tame(p)
+            logp[rows] += p[k, which]
+            np.exp(p, out=p)
+            total = p @ ones
+            logp[rows] -= np.log(total)
             if learn:
                 p /= total[:, None]
-                p[np.arange(len(rows)), at] -= 1
+                p[k, which] -= 1
                 back[rows] += p @ w["words"][part]
-                grads["words"][part] = p.T @ own
-                grads["word_bias"][part] = p.sum(axis=0)[:, None]
-        return (logp, back, grads) if learn else logp
+                np.matmul(p.T, own, out=grads["words"][part])
+                grads["word_bias"][part, 0] = p.sum(axis=0)
+        found = np.empty_like(logp)
+        found[order] = logp
+        if not learn:
+            return found
+        placed = np.empty_like(back)
+        placed[order] = back
+        return found, placed, grads
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural log-likelihood of each text, given as symbols that end with 0; without shares in bands."""
@@ -183,34 +204,55 @@ class Gru:
         gates, candidate = self.w["gates"], self.w["candidate"]
         total = np.zeros(len(texts))
         state, last = np.zeros((len(texts), HIDDEN), np.float32), np.zeros(len(texts), np.int64)
+        states, targets, owners, held = [], [], [], 0
+
+        def work_out():
+            logp = self.output(np.concatenate(states), np.concatenate(targets))
+            total[:] += np.bincount(np.concatenate(owners), weights=logp, minlength=len(texts))
+            states.clear(), targets.clear(), owners.clear()
+
         for start in range(0, int(lengths[0]) if len(lengths) else 0, WINDOW):
             live = int((lengths > start).sum())
             steps = min(WINDOW, int(lengths[0]) - start)
-            ids = np.full((steps, live), -1, np.int64)
+            ids = np.full((live, steps), -1, np.int64)
             for b in range(live):
                 part = texts[order[b]][start : start + steps]
-                ids[: len(part), b] = part
-            states, targets, owners = [], [], []
+                ids[b, : len(part)] = part
+            ids = np.ascontiguousarray(ids.T)
             for t in range(steps):
                 k = int(np.count_nonzero(ids[t] >= 0))  # the longest stand first
-                state[:k] = self.step(entered[last[:k]], state[:k], gates, candidate)[0]
-                states.append(state[:k].copy())
+                state = state[:k]
+                state = self.step(entered[last[:k]], state, gates, candidate)[0]
+                states.append(state)
                 targets.append(ids[t, :k])
                 owners.append(np.arange(k))
-                last[:k] = ids[t, :k]
-            logp = self.output(np.concatenate(states), np.concatenate(targets))
-            total[:live] += np.bincount(np.concatenate(owners), weights=logp, minlength=live)
+                last = ids[t, :k]
+                held += k
+                if held > ROWS:
+                    work_out()
+                    held = 0
+        if states:
+            work_out()
         found = np.zeros(len(texts))
         found[order] = total
         return found
 
     @staticmethod
     def step(entered, state, gates, candidate):
-        zr = sigmoid(entered[:, : 2 * HIDDEN] + state @ gates)
+        zr = entered[:, : 2 * HIDDEN] + state @ gates
+        zr *= 0.5
+        np.tanh(zr, out=zr)  # a sigmoid
+        zr *= 0.5
+        zr += 0.5
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
         inner = state @ candidate
-        new = np.tanh(entered[:, 2 * HIDDEN :] + r * inner)
-        return new + z * (state - new), z, r, inner, new
+        new = r * inner
+        new += entered[:, 2 * HIDDEN :]
+        np.tanh(new, out=new)
+        out = state - new
+        out *= z
+        out += new
+        return out, z, r, inner, new
 
     def learn(self, symbols: np.ndarray, rate: float = RATE) -> int:
         """One pass over a stream of texts by truncated backpropagation; returns the tokens learned from.
@@ -218,147 +260,190 @@ class Gru:
         All tokens are learned from: few go into fewer streams, and what lacks of the last is filled up with the first."""
         streams = min(STREAMS, max(1, len(symbols) // WINDOW))
         steps = -(-len(symbols) // streams)
-        stream = np.resize(symbols, steps * streams).reshape(streams, steps).T
+        stream = np.ascontiguousarray(np.resize(symbols, steps * streams).reshape(streams, steps).T).astype(np.int64)
         inputs = np.concatenate((np.zeros((1, streams), np.int64), stream[:-1]))
         w, squares = self.w, {k: np.full(s, 1e-4, np.float32) for k, s in self.SHAPES.items()}
         state = np.zeros((streams, HIDDEN), np.float32)
+
+        def adapt(values, sums, g, scale):
+            g *= scale
+            np.clip(g, -1, 1, out=g)
+            sums += g * g
+            g /= np.sqrt(sums)
+            g *= rate
+            values -= g
+
         for start in range(0, steps, WINDOW):
             x, y = inputs[start : start + WINDOW], stream[start : start + WINDOW]
-            embedded = w["embed"][x.ravel()]
-            entered = (embedded @ w["enter"] + w["enter_bias"]).reshape(*x.shape, -1)
-            kept, states = [], []
-            for t in range(len(x)):
-                before = state * (x[t] != 0)[:, None]  # a text starts without state
-                state, *inside = self.step(entered[t], before, w["gates"], w["candidate"])
-                kept.append((before, *inside))
-                states.append(state)
-            _, back, grads = self.output(np.concatenate(states), y.ravel(), learn=True)
-            back = back.reshape(len(x), streams, HIDDEN)
+            size, scale = len(x), 16 / y.size
+            order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
+            ranked = x.ravel()[order]
+            first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+            seen = ranked[first]  # each symbol's way into the gates is worked out once
+            place = np.empty(x.size, np.int64)
+            place[order] = np.repeat(np.arange(len(seen)), np.diff(np.append(first, x.size)))
+            embedded = w["embed"][seen]
+            entered = (embedded @ w["enter"] + w["enter_bias"])[place].reshape(size, streams, -1)
+            alive = (x != 0).astype(np.float32)[:, :, None]  # a text starts without state
+            before, z, r, inner, new, states = (np.empty((size, streams, HIDDEN), np.float32) for _ in range(6))
+            for t in range(size):
+                np.multiply(state, alive[t], out=before[t])
+                state, z[t], r[t], inner[t], new[t] = self.step(entered[t], before[t], w["gates"], w["candidate"])
+                states[t] = state
+            _, back, grads = self.output(states.reshape(-1, HIDDEN), y.ravel(), learn=True)
+            back = back.reshape(size, streams, HIDDEN)
+            # what the errors of states are multiplied by, for all steps at once
+            by_new, by_z, by_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), inner * r * (1 - r)
+            into = np.empty((size, streams, 3 * HIDDEN), np.float32)
+            d_inner = np.empty_like(z)
             carried = np.zeros((streams, HIDDEN), np.float32)
-            into = np.empty((len(x), streams, 3 * HIDDEN), np.float32)
-            grads |= {"gates": np.zeros_like(w["gates"]), "candidate": np.zeros_like(w["candidate"])}
-            for t in range(len(x) - 1, -1, -1):
-                before, z, r, inner, new = kept[t]
-                d = back[t] + carried
-                d_new = d * (1 - z) * (1 - new * new)
-                d_z = d * (before - new) * z * (1 - z)
-                d_r = d_new * inner * r * (1 - r)
-                d_inner = d_new * r
-                into[t, :, :HIDDEN], into[t, :, HIDDEN : 2 * HIDDEN], into[t, :, 2 * HIDDEN :] = d_z, d_r, d_new
-                both = into[t, :, : 2 * HIDDEN]
-                grads["gates"] += before.T @ both
-                grads["candidate"] += before.T @ d_inner
-                carried = (d * z + both @ w["gates"].T + d_inner @ w["candidate"].T) * (x[t] != 0)[:, None]
-            into = into.reshape(-1, 3 * HIDDEN)
-            grads["enter"], grads["enter_bias"] = embedded.T @ into, into.sum(axis=0, keepdims=True)
-            by_input = into @ w["enter"].T
-            order = np.argsort(x.ravel(), kind="stable")
-            seen, first = np.unique(x.ravel()[order], return_index=True)
-            grads["embed"] = np.zeros_like(w["embed"])
-            grads["embed"][seen] = np.add.reduceat(by_input[order], first, axis=0)
+            back_gates, back_candidate = np.ascontiguousarray(w["gates"].T), np.ascontiguousarray(w["candidate"].T)
+            for t in range(size - 1, -1, -1):
+                carried += back[t]
+                d_new = into[t, :, 2 * HIDDEN :]
+                np.multiply(carried, by_new[t], out=d_new)
+                np.multiply(carried, by_z[t], out=into[t, :, :HIDDEN])
+                np.multiply(d_new, by_r[t], out=into[t, :, HIDDEN : 2 * HIDDEN])
+                np.multiply(d_new, r[t], out=d_inner[t])
+                carried *= z[t]
+                carried += into[t, :, : 2 * HIDDEN] @ back_gates
+                carried += d_inner[t] @ back_candidate
+                carried *= alive[t]
+            into, before = into.reshape(-1, 3 * HIDDEN), before.reshape(-1, HIDDEN)
+            grads["gates"] = before.T @ into[:, : 2 * HIDDEN]
+            grads["candidate"] = before.T @ d_inner.reshape(-1, HIDDEN)
+            by_symbol = np.add.reduceat(into[order], first, axis=0)
+            grads["enter"], grads["enter_bias"] = embedded.T @ by_symbol, by_symbol.sum(axis=0, keepdims=True)
+            kept, sums = w["embed"][seen], squares["embed"][seen]
+            adapt(kept, sums, by_symbol @ w["enter"].T, scale)
+            w["embed"][seen], squares["embed"][seen] = kept, sums
             for k, g in grads.items():
-                g = np.clip(g / y.size * 16, -1, 1)
-                squares[k] += g * g
-                w[k] -= rate * g / np.sqrt(squares[k])
+                adapt(w[k], squares[k], g, scale)
         return len(symbols)
 
 
-def _symbols(text: str, index: dict[bytes, int], of_head: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words of a text; head numbers (-1: beyond) and symbols of its tokens, the end included."""
-    words = tokens(text)
-    get = index.get
-    head = np.array([get(w, -1) for w in words] + [0], np.int64)
-    return words, head, np.where(head >= 0, of_head[head], SYMBOLS - 1)
+def vocabulary(counts: DataFrame) -> Words:
+    """The head of a table of token counts: all words above the lowest count that HEAD - 1 words at most are above."""
+    row = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    words = counts.where(F.col("word") != END)
+    step = F.floor(16 * F.log2("c"))  # some thousand of them for any counts
+    steps = words.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
+    least, room = None, HEAD - 1
+    for level in steps:
+        room -= level["n"]
+        if room < 0:
+            break
+        least = level["step"]
+    head = words.where(step >= least).select("word", "c").collect() if least is not None else []
+    head.sort(key=lambda r: (-r["c"], r["word"]))
+    end = counts.where(F.col("word") == END).collect()
+    return Words([END, *(r["word"] for r in head)], [end[0]["c"] if end else 0, *(r["c"] for r in head)], row["n"] or 0, row["v"])
 
 
-def train(docs: DataFrame, words: Words) -> Gru:
-    """Averaged weights after ROUNDS rounds over shares of docs (doc_id, text)."""
-    spark = docs.sparkSession
+def coded(docs: DataFrame, words: Words, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, n_known, base, band (log10 of the words' shares of their bands), symbols (two bytes a token) and
+    rare (words beyond the head, with their numbers) of every row of docs."""
+    spark = ready(docs.sparkSession)
     sent = spark.sparkContext.broadcast(words)
-    model = Gru(min(OWN, len(words.words)))
-    drawn = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(SHARE))
-    schema = "block int, tokens long, weights binary"
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = ["doc_id", "n_tokens", "n_known", "base", "band", "symbols", "rare"]
+    rare_type = pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())]))
+    schema = f"doc_id {kind}, n_tokens long, n_known long, base double, band double, symbols binary, rare array<struct<word:string,tf:long>>"
+
+    def each(batches):
+        head = sent.value
+        get, of_head = head.index().get, np.append(head.symbols(), SYMBOLS - 1).astype("<u2")  # the last: beyond the head
+        sums = np.column_stack((head.counts > 0, head.base_logs(), head.band_logs()))
+        for batch in batches:
+            rows, symbols, rare = [], [], []
+            for text in texts_of(batch.column(1)):
+                told = tokens(text)
+                at = np.fromiter(map(get, told, repeat(-1)), np.int64, len(told))
+                at = np.append(at, 0)
+                beyond = at < 0
+                rows.append((len(at), *sums[at[~beyond]].sum(axis=0)))
+                symbols.append(of_head[at].tobytes())
+                more = Counter(told[n] for n in np.flatnonzero(beyond).tolist())
+                rare.append([{"word": w.decode(), "tf": c} for w, c in more.items()])
+            n_tokens, n_known, base, band = zip(*rows, strict=True) if rows else ((),) * 4
+            arrays = [pa.array(n_tokens, pa.int64()), pa.array(map(int, n_known), pa.int64()), pa.array(base, pa.float64()), pa.array(band, pa.float64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, pa.array(symbols, pa.binary()), pa.array(rare, rare_type)], names)
+        get = sums = None
+        release()
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(each, schema)
+
+
+def _symbols(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(s.as_py(), "<u2") for s in column]
+
+
+def train(texts: DataFrame, own_words: int) -> Gru:
+    """Averaged weights after ROUNDS rounds over shares of `coded` texts. own_words: words of the head."""
+    spark = texts.sparkSession
+    model = Gru(min(OWN, own_words))
+    drawn = F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(SHARE))
+    schema = "block int, part int, tokens long, weights binary"
     for round_ in range(ROUNDS):
         now = spark.sparkContext.broadcast(model.flat())
 
         def each(batches, now=now):
-            index, of_head = sent.value.index(), sent.value.symbols()
-            own, held, size, learned = Gru().load(now.value), [], 0, 0
+            own, held, size, learned, part = Gru().load(now.value), [], 0, 0, TaskContext.get().partitionId()
             for batch in batches:
-                for text in texts_of(batch.column(0)):
-                    held.append(_symbols(text, index, of_head)[2])
-                    size += len(held[-1])
-                if size > 1 << 19:
+                held += _symbols(batch.column(0))
+                size += sum(map(len, held[-batch.num_rows :])) if batch.num_rows else 0
+                if size > GROUP_TOKENS:
                     learned += own.learn(np.concatenate(held))
                     held, size = [], 0
             learned += own.learn(np.concatenate(held)) if held else 0
             if learned:
                 flat = own.flat()
                 blocks = [flat[at : at + BLOCK].tobytes() for at in range(0, len(flat), BLOCK)]
-                arrays = [pa.array(range(len(blocks)), pa.int32()), pa.array([learned] * len(blocks), pa.int64()), pa.array(blocks, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["block", "tokens", "weights"])
+                numbers = [pa.array([n] * len(blocks), t) for n, t in ((part % PARTS, pa.int32()), (learned, pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), *numbers, pa.array(blocks, pa.binary())], ["block", "part", "tokens", "weights"])
 
         def mean(rows: pd.DataFrame) -> pd.DataFrame:
             share = rows["tokens"].to_numpy(np.float64) / rows["tokens"].sum()
             total = sum(s * np.frombuffer(w, np.float32) for s, w in zip(share, rows["weights"], strict=True))
-            return pd.DataFrame({"block": rows["block"].iloc[:1], "weights": [total.astype(np.float32).tobytes()]})
+            return pd.DataFrame({"block": rows["block"].iloc[:1], "part": [0], "tokens": [rows["tokens"].sum()], "weights": [total.astype(np.float32).tobytes()]})
 
-        trained = docs.where(drawn == round_).select("text").mapInArrow(each, schema)
-        blocks = trained.groupBy("block").applyInPandas(mean, "block int, weights binary").collect()
+        trained = texts.where(drawn == round_).select("symbols").mapInArrow(each, schema)
+        in_parts = trained.groupBy("block", "part").applyInPandas(mean, schema)  # so that no group holds a row of every partition
+        blocks = in_parts.groupBy("block").applyInPandas(mean, schema).select("block", "weights").collect()
         if blocks:
             model.load(np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(blocks, key=lambda r: r["block"])]))
     return model
 
 
-def vocabulary(counts: DataFrame) -> Words:
-    """The head of a table of token counts."""
-    row = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    head = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(HEAD - 1).collect()
-    end = counts.where(F.col("word") == END).collect()
-    return Words([END, *(r["word"] for r in head)], [end[0]["c"] if end else 0, *(r["c"] for r in head)], row["n"] or 0, row["v"])
+def score(texts: DataFrame, counts: DataFrame, words: Words, model: Gru) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score (log10) of every row of a checkpointed table of `coded` texts."""
+    spark = texts.sparkSession
+    sent = spark.sparkContext.broadcast(model.flat())
+    texts = texts.withColumn("row", F.monotonically_increasing_id())
+    kept = ["doc_id", "row", "n_tokens", "n_known", "base"]
+    schema = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in kept) + ", model double"
 
+    def each(batches):
+        gru = Gru().load(sent.value)
 
-def score(docs: DataFrame, counts: DataFrame, words: Words, model: Gru, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score (log10) of every row of docs."""
-    spark = ready(docs.sparkSession)
-    sent = spark.sparkContext.broadcast((words, model.flat()))
-    kind = docs.schema[id_col].dataType.simpleString()
-    names = ["doc_id", "n_tokens", "n_known", "base", "model", "rare"]
-    rare_type = pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())]))
-    schema = f"doc_id {kind}, n_tokens long, n_known long, base double, model double, rare array<struct<word:string,tf:long>>"
+        def rows(held):
+            logs = gru.scores([t for b in held for t in _symbols(b.column(len(kept) + 1))]) / np.log(10)
+            band = np.concatenate([b.column(len(kept)).to_numpy() for b in held])
+            columns = [pa.concat_arrays([b.column(i) for b in held]) for i in range(len(kept))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(logs + band)], [*kept, "model"])
 
-    def each(batches):
-        head, flat = sent.value
-        index, of_head, base_logs, band_logs = head.index(), head.symbols(), head.base_logs(), head.band_logs()
-        gru, counted = Gru().load(flat), head.counts > 0
-
-        def rows(ids, texts, numbers, rare):
-            logs = gru.scores(texts) / np.log(10)
-            columns = list(zip(*numbers, strict=True))
-            model_scores = logs + np.array(columns[3])
-            arrays = [pa.concat_arrays(ids), *(pa.array(c) for c in columns[:3]), pa.array(model_scores), pa.array(rare, rare_type)]
-            return pa.RecordBatch.from_arrays(arrays, names)
-
-        ids, texts, numbers, rare, size = [], [], [], [], 0
+        held, size = [], 0
         for batch in batches:
-            ids.append(batch.column(0))
-            for text in texts_of(batch.column(1)):
-                words_, at, symbols = _symbols(text, index, of_head)
-                in_head = at[at >= 0]
-                texts.append(symbols)
-                numbers.append((len(at), int(counted[in_head].sum()), float(base_logs[in_head].sum()), float(band_logs[in_head].sum())))
-                beyond = Counter(words_[n] for n in np.flatnonzero(at < 0).tolist())
-                rare.append([{"word": w.decode(), "tf": c} for w, c in beyond.items()])
-                size += len(at)
+            held.append(batch)
+            size += batch.column(len(kept) + 1).nbytes // 2
             if size > GROUP_TOKENS:
-                yield rows(ids, texts, numbers, rare)
-                ids, texts, numbers, rare, size = [], [], [], [], 0
-        if texts:
-            yield rows(ids, texts, numbers, rare)
-
-    scored = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(each, schema)
-    scored = cut(scored.withColumn("row", F.monotonically_increasing_id()))
-    each_rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf")
+                yield rows(held)
+                held, size = [], 0
+        if held:
+            yield rows(held)
+
+    scored = texts.select(*kept, "band", "symbols").mapInArrow(each, schema)
+    each_rare = texts.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf")
     told = each_rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     log_share = lambda whole: F.sum(F.col("tf") * F.log10((F.col("c") + 0.1) / F.lit(float(whole))))
     of_row = told.groupBy("row").agg(
@@ -367,7 +452,7 @@ def score(docs: DataFrame, counts: DataFrame, words: Words, model: Gru, id_col:
         log_share(words.tail_mass()).alias("rare_model"),
     )
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return scored.drop("rare").join(of_row, "row", "left").select(
+    return scored.join(of_row, "row", "left").select(
         "doc_id", "n_tokens", plus("n_known", "rare_known").alias("n_known"),
         plus("base", "rare_base").alias("base_score"), plus("model", "rare_model").alias("score"),
     )
@@ -376,10 +461,11 @@ def score(docs: DataFrame, counts: DataFrame, words: Words, model: Gru, id_col:
 def op9_scores(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     ready(docs.sparkSession)
-    learners = docs.where(fold(F.col("doc_id"), 10) != 0)
-    counts = cut(token_counts(learners))
+    counts = cut(token_counts(docs.where(fold(F.col("doc_id"), 10) != 0)))
     words = vocabulary(counts)
-    return score(docs, counts, words, train(learners, words)).select(
+    texts = cut(coded(docs, words))
+    model = train(texts.where(fold(F.col("doc_id"), 10) != 0), len(words.words))
+    return score(texts, counts, words, model).select(
         "doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known",
         F.lit(words.total).cast("long").alias("train_tokens"), "base_score", "score",
     )

@@ -160,7 +160,7 @@ def test_every_training_document_reaches_the_model(spark):
     assert lm_score.ROUNDS == lm_score.SHARE  # the shares of the rounds are all there are
     rows = spark.createDataFrame([(n, f"word{n} stays here") for n in range(60)], "doc_id long, text string").repartition(3)
     words = lm_score.vocabulary(lm_score.token_counts(rows))
-    before, after = lm_score.Gru(len(words.words)).w, lm_score.train(rows, words).w
+    before, after = lm_score.Gru(len(words.words)).w, lm_score.train(lm_score.coded(rows, words), len(words.words)).w
     at = {w: n for n, w in enumerate(words.words)}
     moved = [not np.array_equal(before["embed"][at[f"word{n}"]], after["embed"][at[f"word{n}"]]) for n in range(60)]
     assert all(moved)  # as an input, each word is in one document alone
