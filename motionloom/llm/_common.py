@@ -27,15 +27,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ready(spark: SparkSession) -> SparkSession:
     """Names a checkpoint folder and keeps Arrow batches small enough for long texts.
 
-    A cluster names the folder in spark.checkpoint.dir; only where nothing is set (local tests) a
-    temporary folder of this machine stands in.
+    A cluster names the folder in spark.checkpoint.dir; only where all runs on this machine (local tests) and
+    nothing is set, a temporary folder stands in.
     """
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1024:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     return spark
 
 

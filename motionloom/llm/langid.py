@@ -8,25 +8,30 @@ that switch language; a text's language is the one with the largest mean margina
 its score.
 
 Learning: about `docs_per_language` labelled documents of each language (whole texts, drawn by a hash
-of the id, a documented bound on what the classifier is fitted on) train the field by full-batch
-Adam. Their words are cut into spans, and spans of different languages follow one another in the
+of the id, together no more than `FIT_BYTES` a language, of the `LANGUAGES` most frequent label values:
+documented bounds on what the classifier is fitted on) train the field by full-batch Adam. Their words are cut into spans, and spans of different languages follow one another in the
 training chains, so that transitions see switches. The lexicon holds words typical of one language
 in that sample. The fitted weights have a fixed size; every text is scored, whole, where it lies.
 
 Edge cases: a null text and one without any letter are `und` with score 0; so is all if nothing can be
 learned. Repeated rows are scored alike; a null id is a text like any other; labels that are null
-teach nothing; an empty table gives an empty result. Ties go to the first language in order.
+teach nothing; an empty table gives an empty result. Ties go to the first language in order. Numbers
+and signs (½, ², 一 is a letter) are no letters. A very long text is one chain, scored whole. Extra
+columns are ignored by `predict` and kept by `accepted`, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
+from collections.abc import Iterator
+from functools import cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import fold, ready, release
@@ -34,15 +39,24 @@ from ._common import fold, ready, release
 UNKNOWN = "und"
 SLOTS = 1 << 15
 CHAIN = 64
-LETTERS = re.compile(r"[^\W\d_]+")
 PIECE = 64
-#: Words a worker keeps with their weights; emptied when full.
-CACHED_WORDS = 250_000
+#: Words a worker keeps with their weights; when it is full, only those of the texts at hand stay.
+CACHED_WORDS = 150_000
+#: Characters of texts that a task splits into words at a time, unless one text has more.
+PART_CHARS = 1 << 20
+LANGUAGES, FIT_BYTES = 256, 4 << 20
+
+
+@cache
+def letters() -> re.Pattern:
+    """Runs of letters: word characters other than numbers of any kind and the underscore."""
+    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
+    return re.compile(f"[^\\W_{numbers}]+")
 
 
 def runs(text: str) -> list[str]:
     """All lower-case runs of letters of a text in order, long ones in pieces of up to PIECE bytes."""
-    found = LETTERS.findall(text.lower())
+    found = letters().findall(text.lower())
     if all(len(run) <= PIECE // 4 for run in found):
         return found
     return [piece for run in found for piece in ([run] if len(run) <= PIECE // 4 else pieces(run))]
@@ -189,13 +203,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     ready(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return Field([], {})
-    rate = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(docs_per_language / n))])
-    draw = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20)) / (1 << 20)
-    drawn = rows.where(draw < F.element_at(rate, F.col("lang"))).select("lang", "text").collect()
-    pairs = sorted((r["lang"], r["text"]) for r in drawn)
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    rate = F.broadcast(most.select("lang", (F.lit(float(docs_per_language)) / F.col("n")).alias("rate")))  # a row a language
+    draw = F.xxhash64("doc_id", F.length("text"))
+    drawn = rows.join(rate, "lang").where(F.pmod(draw, F.lit(1 << 20)) / (1 << 20) < F.col("rate"))
+    so_far = F.sum(F.length(F.col("text").cast("binary"))).over(Window.partitionBy("lang").orderBy(draw, "text").rowsBetween(Window.unboundedPreceding, 0))
+    sample = drawn.withColumn("bytes", so_far).where(F.col("bytes") <= FIT_BYTES).select("lang", "text").collect()
+    pairs = sorted((r["lang"], r["text"]) for r in sample)
     return train(pairs, sorted({p[0] for p in pairs}))
 
 
@@ -206,20 +220,25 @@ class Tagger:
         self.field = field
         self._empty()
 
-    def _empty(self) -> None:
-        self.known: dict[str, int] = {}
-        self.table = np.zeros((1 << 14, len(self.field.languages)), np.float32)
-        self.used = 0
+    def _empty(self, but: list[str] = ()) -> None:
+        rows = self.table[[self.known[w] for w in but]] if but else None
+        self.known: dict[str, int] = dict(zip(but, range(len(but)), strict=True))
+        self.table = np.zeros((max(1 << 14, len(but)), len(self.field.languages)), np.float32)
+        self.used = len(but)
+        if but:
+            self.table[: len(but)] = rows
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > CACHED_WORDS:
-            self._empty()
-        new = list(words)
+        """Makes all of `words` known."""
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > CACHED_WORDS:
+            self._empty([w for w in words if w in self.known])
         if not new:
             return
         rows = self.field.emissions(*self.field.slots(new))
-        while self.used + len(new) > len(self.table):
-            self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+        if self.used + len(new) > len(self.table):
+            more = np.zeros((max(len(self.table), len(new)), self.table.shape[1]), np.float32)
+            self.table = np.concatenate((self.table, more))
         self.table[self.used : self.used + len(new)] = rows
         self.known.update(zip(new, range(self.used, self.used + len(new)), strict=True))
         self.used += len(new)
@@ -227,11 +246,7 @@ class Tagger:
     def shares(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Mean marginal of each language per text; None if no word has a letter."""
         split = [runs(t or "") for t in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self._empty()
-            new = set().union(*split)
-        self._learn(new)
+        self._learn(set().union(*split))
         found: list[np.ndarray | None] = [None] * len(texts)
         ids = [np.fromiter(map(self.known.__getitem__, words), np.int64, len(words)) for words in split]
         order = sorted((n for n in range(len(texts)) if len(ids[n])), key=lambda n: -len(ids[n]))
@@ -256,14 +271,25 @@ class Tagger:
         tokens = runs(text)
         if not tokens:
             return []
-        if not self.known.keys() >= set(tokens):
-            self._empty()
-            self._learn(set(tokens))
+        self._learn(set(tokens))
         rows = self.table[[self.known[t] for t in tokens]][:, None, :]
         best = self.field.marginals(rows, np.ones(len(tokens), int)).argmax(axis=2)[:, 0]
         return [(t, self.field.languages[b]) for t, b in zip(tokens, best, strict=True)]
 
 
+def parts(column: pa.Array) -> Iterator[list[str | None]]:
+    """Texts of a column, few at a time."""
+    held, size = [], 0
+    for value in column:
+        held.append(value.as_py())
+        size += len(held[-1] or "")
+        if size > PART_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def predict(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, outputs: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """doc_id, lang_pred, score of every row; `keep` names columns to carry along instead of doc_id alone, `outputs` the
     two new columns."""
@@ -277,8 +303,7 @@ def predict(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str
     def each(batches):
         tagger = Tagger(field)
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            shares = tagger.shares(texts) if field.languages else [None] * len(texts)
+            shares = [s for texts in parts(batch.column(len(keep))) for s in (tagger.shares(texts) if field.languages else [None] * len(texts))]
             langs = [UNKNOWN if s is None else field.languages[int(s.argmax())] for s in shares]
             scores = [0.0 if s is None else min(1.0, float(s.max())) for s in shares]
             arrays = [*(batch.column(i) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]

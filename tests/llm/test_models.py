@@ -77,6 +77,19 @@ def test_every_run_of_letters_is_scored_whole():
     words = tagger.words(long[:30] + "".join(en[0].split()) * 5 + long)  # one run: what stands behind its start counts
     assert len(words) > 200 and sum(x == "zh" for _, x in words) > 200
     assert langid.runs("x" * 65 + "1ab") == ["x" * 64, "x", "ab"]
+    assert langid.runs("½ ² ① 12 _ Ⅷ") == [] and langid.runs("a½b x² 中一") == ["a", "b", "x", "中一"]
+    assert langid.Tagger(langid.train(pairs, ["de", "en", "zh"])).shares(["½ ² ①", "12"]) == [None, None]
+
+
+def test_small_caches_change_nothing(monkeypatch):
+    pairs = [("de", prose(1, 300)), ("en", "the dog runs and the cat sleeps in this house " * 9)]
+    field = langid.train(pairs, ["de", "en"])
+    texts = [prose(n, 40 + n) for n in range(30)]
+    whole = langid.Tagger(field).shares(texts)
+    monkeypatch.setattr(langid, "CACHED_WORDS", 20)
+    small = langid.Tagger(field)
+    for n in range(0, 30, 3):
+        assert all(a == pytest.approx(b, rel=1e-5) for a, b in zip(small.shares(texts[n : n + 3]), whole[n : n + 3], strict=True))
 
 
 def test_marginals_agree_with_all_paths():
