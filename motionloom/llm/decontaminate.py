@@ -10,14 +10,15 @@ words of a span as long as the window. A window with a token that no document ha
 
 On Spark, with DataFrame functions only: one pass over the texts finds the places of all benchmark
 tokens, with their words, against a broadcast table of tokens; counts of that table are the rarity
-order. The token table is broadcast only up to `broadcast_tokens` rows, else it is joined by shuffle.
+order. The token table is broadcast only up to `BROADCAST_TOKENS` rows, else it is joined by shuffle.
 Whole texts are tokenized once; only places of benchmark tokens, and one row per document, leave
 that pass.
 
 Edge cases: a null text has no words; a null or empty item has no window; equal windows of several
 items count for each of them; documents with one id and text are one content and get equal rows; two
 texts with one id are judged each by itself; a null id is kept; an empty benchmark hits nothing; an
-empty table of documents gives an empty result; extra columns are ignored.
+empty table of documents gives an empty result; very long texts are searched whole; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -55,28 +56,38 @@ def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", w
     return each.select("item_id", F.slice("all", F.col("at"), F.lit(window_words)).alias("w")).distinct()
 
 
-def places(docs: DataFrame, tokens: DataFrame, sizes: list[int], broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
+def places(docs: DataFrame, tokens: DataFrame, sizes: list[int]) -> DataFrame:
     """Where documents have benchmark tokens: doc (a key of id and text), size, token, pos, n_words, around; and one row
     of size 0 per document.
 
-    docs: doc_id, text. tokens: size, token. around: the words from window_words - size before the place to
-    window_words - 1 behind it, for verification.
+    docs: doc_id, text. tokens: size, token. around: the words from WINDOW_WORDS - 1 before the place to WINDOW_WORDS - 1
+    behind it, for verification. Tokens beyond BROADCAST_TOKENS are joined by shuffle, on hashes and places alone; words
+    are fetched for the places that match.
     """
     worded = docs.select("doc_id", F.xxhash64("text", F.length("text")).alias("content"), words(F.col("text")).alias("all"))
     worded = worded.withColumn("n_words", F.size("all"))
     own = F.struct(F.lit(0).alias("size"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("token"))
+
     def at(size: int) -> Column:
         hashes = _shingles(size, F.col("all"), F.col("n_words"))
         return F.transform(hashes, lambda h, i: F.struct(F.lit(size).alias("size"), i.alias("pos"), h.alias("token")))
 
-    exploded = worded.select("doc_id", "content", "n_words", "all", F.explode(F.concat(F.array(own), *map(at, sizes))).alias("at"))
-    flat = exploded.select("doc_id", "content", "n_words", "all", "at.size", "at.pos", "at.token")
     every = tokens.select("size", "token").unionByName(tokens.sparkSession.sql("select 0 size, 0L token")).distinct()
     every = cut(every)
-    known = F.broadcast(every) if every.count() <= broadcast_tokens else every
+    all_places = F.explode(F.concat(F.array(own), *map(at, sizes))).alias("at")
+    if every.count() <= BROADCAST_TOKENS:
+        flat = worded.select("doc_id", "content", "n_words", "all", all_places).select("doc_id", "content", "n_words", "all", "at.*")
+        met = flat.join(F.broadcast(every), ["size", "token"])
+    else:
+        keys = worded.select("doc_id", "content", all_places).select("doc_id", "content", "at.*").where("size > 0")
+        of_doc = keys.join(every, ["size", "token"]).groupBy("doc_id", "content").agg(F.collect_set(F.struct("size", "pos", "token")).alias("met"))
+        same = worded["doc_id"].eqNullSafe(of_doc["doc_id"]) & (worded["content"] == of_doc["content"])
+        kept = worded.join(of_doc, same, "left").select(worded["doc_id"], worded["content"], "n_words", "all", "met")
+        met = kept.select("*", F.explode(F.concat(F.array(own), F.coalesce("met", F.array().cast("array<struct<size:int,pos:int,token:bigint>>")))).alias("at"))
+        met = met.select("doc_id", "content", "n_words", "all", "at.*")
     start = F.greatest(F.col("pos") - WINDOW_WORDS + 1, F.lit(0))
     around = F.slice("all", start + 1, F.col("pos") - start + WINDOW_WORDS)
-    return flat.join(known, ["size", "token"]).select(
+    return met.select(
         "doc_id", "content", "n_words", "size", "pos", "token", start.alias("from"),
         F.when(F.col("size") > 0, around).alias("around"),
     )

@@ -11,8 +11,8 @@ SPDX identifiers (IDS) behind an SPDX tag, anywhere in its expression, or a gran
 need no name (NOTICES): some 500 regexes. A context gives priority and confidence: an
 SPDX tag is above a grant, a grant above a bare mention.
 
-Edge cases: a null or empty text has no words and no labels; repeated rows are scanned alike; extra
-columns are ignored; an empty table gives an empty result. Time and memory are linear in a text's
+Edge cases: a null or empty text has no words and no labels; repeated rows are scanned alike; of equal
+detections the first rule's stays; extra columns are ignored; an empty table gives an empty result. Time and memory are linear in a text's
 length and its detections.
 """
 
@@ -30,7 +30,6 @@ from ._common import WORD_BYTES, ready, texts_of
 #: Phrases that are labels by themselves, wherever their words stand next to each other.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-VERSION = r"(?: (?:version |v ?)?\d+(?: \d)?)?"
 #: label; keyword that every match holds; regex of the name in words.
 NAMES = """
 apache-2.0; apache; apache (?:software )?licen[sc]e(?: version| v)? 2(?: 0)?
@@ -229,7 +228,7 @@ public-domain; 2; 0.5; public domain; public domain
 mit-text; 3; 0.9; permission is hereby granted; permission is hereby granted free of charge to any person obtaining a copy
 isc-text; 3; 0.9; permission to use; permission to use copy modify and or distribute this software for any purpose
 bsd-text; 3; 0.9; redistribution and use; redistribution and use in source and binary forms(?: with or without modification)?
-bsd-text; 1; 0.6; neither the name; neither the name of .{1,80}? nor the names of its contributors
+bsd-text; 1; 0.6; neither the name; neither the name of (?:[^ ]+ ){1,12}?nor the names of its contributors
 apache-text; 3; 0.9; you may not use this file; you may not use this file except in compliance with the licen[sc]e
 gpl-text; 3; 0.9; free software foundation; as published by the free software foundation
 gpl-or-later; 3; 0.9; any later version; (?:either version \\d(?: \\d)? of the licen[sc]e )?or(?: at your option)? any later version
@@ -246,7 +245,7 @@ license-reference; 1; 0.3; the licen; (?:in the |the )licen[sc]e file
 license-url; 2; 0.8; apache org licenses; (?:https? )?(?:www )?apache org licenses licen[sc]e 2 0
 license-url; 2; 0.8; opensource org; (?:https? )?(?:www )?opensource org licenses [a-z0-9]+
 license-url; 2; 0.8; gnu org licenses; (?:https? )?(?:www )?gnu org licenses [a-z0-9]+
-license-url; 2; 0.8; creativecommons org; (?:https? )?(?:www )?creativecommons org (?:licenses|publicdomain) [a-z]+(?: [a-z]+)*
+license-url; 2; 0.8; creativecommons org; (?:https? )?(?:www )?creativecommons org (?:licenses|publicdomain) (?:by|nc|nd|sa|zero|mark|sampling)(?: (?:nc|nd|sa|plus))*(?: \\d \\d)?
 license-url; 2; 0.8; mozilla org mpl; (?:https? )?(?:www )?mozilla org mpl
 """
 

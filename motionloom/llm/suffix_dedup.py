@@ -18,7 +18,8 @@ A collection is all different runs with one anchor gram, aligned on it: suffixes
 column are all that can be equal, and 2 * length - GRAM rounds suffice for any number of runs.
 
 On Spark: runs are hashed where the texts lie. Copies of a run are counted and collapsed; a run that
-occurs twice is a repeat as a whole. Only runs whose anchor also has a different run, one of each
+occurs twice is a repeat as a whole (its marks come back by a join, from a broadcast table for the
+few kinds that stand for many rows). Only runs whose anchor also has a different run, one of each
 kind, are cut out of the texts and brought together by anchor. An anchor with over `MOST_RUNS`
 different runs is not brought into one task: its windows are compared as hashed intervals of shrinking
 width (`_split_hot`), which counts and never gathers. Both ways give the same result.
@@ -31,7 +32,7 @@ content; a null id is kept; an empty table gives an empty result; extra columns
 from __future__ import annotations
 
 from collections.abc import Iterator
-from tempfile import SpooledTemporaryFile
+from tempfile import TemporaryFile
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,8 @@ PIECE = 1 << 22
 BROADCAST_ANCHORS = 500_000
 #: Runs that one task orders at a time; a task holds some of their columns in memory, the rest in files.
 BATCH_RUNS = 8192
+#: Kinds of run that stand for over HOT_ROWS rows and over a HOT_KINDS-th of all are hot: HOT_KINDS kinds at most.
+HOT_ROWS, HOT_KINDS = 1000, 100_000
 NO_ID = -(1 << 63)
 KEY = ["kid", "content"]
 
@@ -131,10 +134,12 @@ def all_runs(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 class Columns:
-    """A sequential file of columns: written one after the other, then read in that order."""
+    """A sequential file of columns: written one after the other, then read in that order.
 
-    def __init__(self, dtype, size: int, memory: int = 64 << 20):
-        self.file, self.dtype, self.size = SpooledTemporaryFile(max_size=memory), np.dtype(dtype), size
+    A nameless file of the task that writes it, as a spill is: it goes with the task, and nothing else reads it."""
+
+    def __init__(self, dtype, size: int):
+        self.file, self.dtype, self.size = TemporaryFile(), np.dtype(dtype), size
 
     def write(self, column: np.ndarray) -> None:
         self.file.write(np.ascontiguousarray(column, self.dtype).tobytes())
@@ -295,14 +300,19 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     kinds = cut(
         found.groupBy("h", "k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "a", "b", "lo")).alias("one"))
     )
-    copied = found.join(cut(kinds.where("n > 1").select("h", "k1", "k2")), ["h", "k1", "k2"], "left_semi").select(*KEY, "a", "b")
+    kind = ["h", "k1", "k2"]
+    repeated = cut(kinds.where("n > 1").select(*kind, "n"))
+    many = HOT_ROWS + (repeated.agg(F.sum("n")).first()[0] or 0) // HOT_KINDS
+    hot = F.broadcast(repeated.where(F.col("n") > many).drop("n"))  # HOT_KINDS rows at most, whatever the input
+    rest = found.join(hot, kind, "left_anti").join(repeated.where(F.col("n") <= many).drop("n"), kind, "left_semi")
+    copied = found.join(hot, kind, "left_semi").unionByName(rest).select(*KEY, "a", "b")
     of_anchor = kinds.groupBy("h").agg(F.count("*").alias("d"), F.count_if(F.col("n") == 1).alias("open")).where("d > 1 and open > 0")
     mixed = kinds.join(cut(of_anchor.select("h", "d")), "h").select("one.*", "h", "n", "d")
     wanted = mixed.groupBy(*KEY).agg(F.collect_list(F.struct("a", "b", "lo", "h", "n", "d")).alias("runs"))
     contexts = cut(_cut_out(rows, wanted, length))
     spans = copied.unionByName(_by_columns(contexts.where(F.col("d") <= MOST_RUNS), length))
-    hot = contexts.where(F.col("d") > MOST_RUNS)
-    return spans if hot.isEmpty() else spans.unionByName(_split_hot(hot, length))
+    wide = contexts.where(F.col("d") > MOST_RUNS)
+    return spans if wide.isEmpty() else spans.unionByName(_split_hot(wide, length))
 
 
 def remove_repeats(

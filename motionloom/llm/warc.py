@@ -1,8 +1,9 @@
 """WARC archives: one gzip member per record, written by Spark's own committer, read by byte ranges.
 
 Method of the reader: splittable. Tasks get byte ranges of the archives, scan their range for gzip
-magic, validate each candidate by inflating its first bytes and decoding a WARC header, and own the
-records whose member starts inside the range; a record may end beyond it.
+magic, validate each candidate by inflating and decoding its header lines, and own the records whose
+member starts inside the range; a record may end beyond it. A record that is damaged or cut off behind
+its header raises; none is left out silently.
 
 The writer deduplicates payloads. Of records with equal payloads of at least `min_revisit_bytes`
 bytes the one with the largest id is the response, the others are revisits of it without a body.
@@ -10,7 +11,8 @@ Which record is which is found on (id, digest) alone; pages move only to meet th
 
 Edge cases: a null payload is empty; repeated rows with one id and payload are each a response if the
 id is the largest; a null id is written as such and refers to the largest non-null id; a null URL is
-left out; an empty table gives no records. Members over 16 MB are followed by an empty member.
+left out; an empty table gives no records; extra columns are ignored. Members over 16 MB are followed by
+an empty member. Archives lie where pyarrow's file systems reach (local, HDFS, S3, GCS).
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from ._common import checkpoint_dir, cut, local_path, ready
 
 MAGIC = b"\x1f\x8b\x08"
 BLOCK = 1 << 20
+#: Bytes in which a record's header lines must end.
+MOST_HEADER = 1 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EMPTY_MEMBER = zlib.compressobj(1, zlib.DEFLATED, 31).flush()
 #: Below so many revisits (a few MB) their table is sent to every task; beyond, pages are joined by id.
@@ -112,32 +116,52 @@ class Ranged:
             store, name = fs.LocalFileSystem(), local_path(path)
         else:
             store, name = fs.FileSystem.from_uri(path)
-        self.file = store.open_input_file(name)
+        self.path, self.file = path, store.open_input_file(name)
 
     def at(self, start: int, size: int = BLOCK) -> bytes:
         self.file.seek(start)
         return self.file.read(size)
 
 
+def is_record(head: bytes) -> bool:
+    """Whether these are the header lines of a WARC record, with the fields that every record has."""
+    first, *lines = head.split(b"\r\n")
+    names = {line.partition(b":")[0].strip().lower() for line in lines}
+    return first.startswith(b"WARC/1.") and {b"warc-type", b"warc-record-id", b"content-length"} <= names
+
+
 def inflate(source: Ranged, start: int) -> tuple[bytes, int] | None:
-    """The content of the member that starts at `start` and where it ends; None if no WARC record starts there."""
-    unpack, out, at, checked = zlib.decompressobj(31), [], start, False
-    size = 1 << 14
+    """The content of the member that starts at `start` and where it ends; None if no WARC record starts there.
+
+    What does not decode to a whole record header is no record. What fails behind one is damage, and raises."""
+    unpack, head, at = zlib.decompressobj(31), b"", start
+    block = source.at(at, 1 << 14)
+    at += len(block)
     try:
-        while not unpack.eof:
-            block = source.at(at, size)
-            if not block:
-                return None  # cut off
-            out.append(unpack.decompress(block))
-            at += len(block)
-            if not checked and sum(map(len, out)) >= 7:
-                if not b"".join(out).startswith(b"WARC/1."):
+        while b"\r\n\r\n" not in head:  # little by little, as what comes behind may be damaged
+            if unpack.eof or len(head) > MOST_HEADER or not head.startswith(b"WARC/1."[: len(head)]):
+                return None
+            more = unpack.decompress(block, 256)
+            head, block = head + more, b"" if unpack.eof else unpack.unconsumed_tail
+            if not more and not block and not unpack.eof:
+                at += len(block := source.at(at))
+                if not block:
                     return None
-                checked = True
-            size = BLOCK
     except zlib.error:
         return None
-    return (b"".join(out), at - len(unpack.unused_data)) if checked else None
+    if not is_record(head.partition(b"\r\n\r\n")[0]):
+        return None
+    parts = [head]
+    try:
+        parts.append(unpack.decompress(block))
+        while not unpack.eof:
+            at += len(block := source.at(at))
+            if not block:
+                raise ValueError(f"the record at byte {start} of {source.path} is cut off")
+            parts.append(unpack.decompress(block))
+    except zlib.error as error:
+        raise ValueError(f"the record at byte {start} of {source.path} is damaged: {error}") from error
+    return b"".join(parts), at - len(unpack.unused_data)
 
 
 def scan(source: Ranged, start: int, end: int):
@@ -162,6 +186,8 @@ def parse(content: bytes) -> dict:
     head, _, rest = content.partition(b"\r\n\r\n")
     named = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:] if ": " in line)
     block = rest[: int(named["Content-Length"])]
+    if len(block) < int(named["Content-Length"]):
+        raise ValueError(f"the block of {named['WARC-Record-ID']} is shorter than its header states")
     payload = block.partition(b"\r\n\r\n")[2]
     urn = lambda key: named[key].removeprefix("<urn:page:").removesuffix(">") or None if key in named else None
     revisit = named["WARC-Type"] == "revisit"

@@ -69,3 +69,27 @@ def test_containment_and_priority():
     keep = licenses.resolve([(0, 10, 1, 0), (2, 8, 1, 1), (2, 8, 3, 2), (5, 15, 1, 3), (0, 10, 1, 4), (0, 20, 2, 5)])
     assert keep == [(0, 20, 2, 5), (2, 8, 3, 2)]
     assert licenses.resolve([(0, 10, 1, 0), (5, 15, 1, 3)]) == [(0, 10, 1, 0), (5, 15, 1, 3)]
+
+
+def brute_labels(text):
+    """Labels and score with every rule tried on every text and every detection held against every other."""
+    line = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER)))
+    found = []
+    for n, (label, _, priority, confidence, _, pattern) in enumerate(licenses.rules()):
+        part = "id" if "id" in pattern.groupindex else 0
+        found += [(m.start(part), m.end(part), priority, n, label, confidence) for m in pattern.finditer(line)]
+    above = lambda d, e: e[0] <= d[0] and d[1] <= e[1] and (e[2] > d[2] or e[2] == d[2] and (e[1] - e[0] > d[1] - d[0] or e[1] - e[0] == d[1] - d[0] and e[3] < d[3]))
+    kept = [d for d in found if not any(above(d, e) for e in found)]
+    base = {label for p, label in PHRASES.items() if f" {' '.join(p)} " in f" {line} "}
+    return ",".join(sorted({d[4] for d in kept} | base)), max((d[5] for d in kept), default=0.0)
+
+
+def test_labels_and_scores_against_brute_force(spark, sf_dir):
+    names = [line.split("; ")[2] for line in licenses.NAMES.strip().split("\n")]
+    plain = [re.sub(r"\(\?:([^()|]*)[^()]*\)\??", r"\1", x).replace("[sc]", "s").replace(r"\d", "4").replace("?", "") for x in names]
+    rows = [(n, f"{prose(n, 12)} licensed under the {x}. {prose(n + 1, 9)} {x} SPDX-License-Identifier: MIT OR {x}") for n, x in enumerate(plain)]
+    rows += [(500 + n, t) for n, t in enumerate(("See creativecommons.org/licenses/by for details and the code itself comes under the mit license which is fine. This is apache license code", "creativecommons.org/licenses/by-nc-sa/4.0/ all rights reserved", "neither the name of the Foo Bar Inc nor the names of its contributors", "neither the name of " + prose(1, 90) + " nor the names of its contributors", None, ""))]
+    rows += [(1000 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.op8_labels(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: brute_labels(t) for i, t in rows}
+    assert {"mit", "apache", "license-url"} <= set(got[500][0].split(","))

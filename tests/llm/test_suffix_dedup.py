@@ -57,3 +57,14 @@ def test_stage_leaves_valid_text(spark):
     out = {r.doc_id: r for r in suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")).collect()}
     assert out[1].text == "a" and out[2].text == "bcüend" and out[3].text == ""
     assert out[2].n_chars == 6 and out[2].source == "k"
+
+
+def test_all_bounds_crossed_change_nothing(spark, monkeypatch):
+    """Texts longer than a piece, anchors beyond the broadcast, every kind hot or none, batches of a few runs."""
+    rows = list(enumerate(texts()))
+    want = dict(enumerate(brute([t for _, t in rows], 60)))
+    for bounds in ({"PIECE": 128, "BROADCAST_ANCHORS": 0}, {"HOT_ROWS": 1, "BATCH_RUNS": 2}):
+        for name, value in bounds.items():
+            monkeypatch.setattr(suffix_dedup, name, value)
+        found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=60).collect()
+        assert {r.kid: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in found} == want

@@ -72,3 +72,22 @@ def test_changed_payload_is_told(spark):
     content = warc.record(1, None, b"abc", None, "1970-01-01T00:00:00Z").replace(b"abc", b"abd")
     with pytest.raises(ValueError):
         warc.parse(content)
+
+
+def test_damage_behind_a_header_raises(tmp_path):
+    members = [gzip.compress(warc.record(n, "http://x/", prose(n, 300).encode(), None, "1970-01-01T00:00:00Z")) for n in range(3)]
+    name = tmp_path / "w"
+
+    def contents(raw):
+        name.write_bytes(raw)
+        return [warc.parse(c)["page_id"] for c in warc.scan(warc.Ranged(f"file://{name}"), 0, len(raw))]
+
+    whole = b"".join(members)
+    assert contents(whole) == ["0", "1", "2"]
+    at = len(members[0]) + len(members[1]) - 60  # in the block of the second
+    with pytest.raises(ValueError, match="damaged"):
+        contents(whole[:at] + bytes(b ^ 255 for b in whole[at : at + 2]) + whole[at + 2 :])
+    with pytest.raises(ValueError, match="cut off"):
+        contents(whole[:-20])
+    other = gzip.compress(b"WARC/1.1\r\nno: fields of a record\r\n\r\nabc") + gzip.compress(b"anything") + warc.MAGIC
+    assert contents(other + whole + other) == ["0", "1", "2"]  # these are no records
