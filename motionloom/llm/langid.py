@@ -39,6 +39,7 @@ from ._common import fold, ready, release
 UNKNOWN = "und"
 SLOTS = 1 << 15
 CHAIN = 64
+LETTERS = re.compile(r"[^\W\d_]+")
 PIECE = 64
 #: Words a worker keeps with their weights; when it is full, only those of the texts at hand stay.
 CACHED_WORDS = 150_000
@@ -48,15 +49,17 @@ LANGUAGES, FIT_BYTES = 256, 4 << 20
 
 
 @cache
-def letters() -> re.Pattern:
-    """Runs of letters: word characters other than numbers of any kind and the underscore."""
-    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
-    return re.compile(f"[^\\W_{numbers}]+")
+def numbers() -> frozenset[str]:
+    """Word characters that count and are neither letters nor digits: ½ ² ① Ⅷ."""
+    return frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
 
 
 def runs(text: str) -> list[str]:
     """All lower-case runs of letters of a text in order, long ones in pieces of up to PIECE bytes."""
-    found = letters().findall(text.lower())
+    text = text.lower()
+    if not text.isascii() and not numbers().isdisjoint(text):
+        text = text.translate(dict.fromkeys(map(ord, numbers().intersection(text)), " "))
+    found = LETTERS.findall(text)
     if all(len(run) <= PIECE // 4 for run in found):
         return found
     return [piece for run in found for piece in ([run] if len(run) <= PIECE // 4 else pieces(run))]
