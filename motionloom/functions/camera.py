@@ -111,3 +111,8 @@ def planar_recording(df: DataFrame, by: str = "recording_id") -> DataFrame:
         .withColumns({"x": F.col("u") - (F.col("_lo") + F.col("_hi")) / 2, "y": F.lit(0.0), "z": F.col("_top") - F.col("v")})
         .drop("_lo", "_hi", "_top")
     )
+
+
+def signed_error(u: Column, v: Column, projected_u: Column, projected_v: Column) -> tuple[Column, Column]:
+    """Observation less projection, by axis."""
+    return u - projected_u, v - projected_v

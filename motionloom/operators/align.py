@@ -2,32 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def completeness(obs: DataFrame, cameras: int) -> DataFrame:
-    """frame, n_cameras, complete: whether all cameras have the frame."""
-    return obs.groupBy("frame").agg(F.count_distinct("camera_id").alias("n_cameras")).withColumn(
+def completeness(obs: DataFrame, cameras: int, by: tuple[str, ...] = ("frame",)) -> DataFrame:
+    """by, n_cameras, complete: whether all cameras have the frame. by: the keys of a frame, as recording and frame."""
+    return obs.groupBy(*by).agg(F.count_distinct("camera_id").alias("n_cameras")).withColumn(
         "complete", F.col("n_cameras") == cameras
     )
 
 
-def missing(obs: DataFrame) -> DataFrame:
-    """(frame, camera_id) of the grid of seen frames and seen cameras that no observation has.
+def missing(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, frame, camera_id) of the grid of a recording's seen frames and seen cameras that no observation has.
 
     The grid is built on frames with at least one camera missing only, so complete recordings cost an aggregate.
     """
-    cameras = obs.agg(F.sort_array(F.collect_set("camera_id")).alias("all_cameras"))  # one row, one name per camera
-    of_frame = obs.groupBy("frame").agg(F.collect_set("camera_id").alias("have"))
-    lacking = F.array_except("all_cameras", "have")
-    return of_frame.join(F.broadcast(cameras)).select("frame", F.explode(lacking).alias("camera_id"))
+    cameras = obs.groupBy(*by).agg(F.sort_array(F.collect_set("camera_id")).alias("all_cameras"))  # one name per camera
+    of_frame = obs.groupBy(*by, "frame").agg(F.collect_set("camera_id").alias("have"))
+    both = of_frame.join(cameras, list(by)) if by else of_frame.join(F.broadcast(cameras))
+    return both.select(*by, "frame", F.explode(F.array_except("all_cameras", "have")).alias("camera_id"))
 
 
-def by_frame(obs: DataFrame) -> DataFrame:
+def by_frame(obs: DataFrame, by: tuple[str, ...] = ("frame",)) -> DataFrame:
     """One row per frame with a map from camera to value; absent cameras are absent keys."""
     entries = F.sort_array(F.collect_list(F.struct("camera_id", "value")))
-    return obs.groupBy("frame").agg(F.map_from_entries(entries).alias("cameras"))
+    return obs.groupBy(*by).agg(F.map_from_entries(entries).alias("cameras"))
 
 
 def cached(frames: DataFrame, cache: DataFrame) -> DataFrame:
@@ -70,3 +70,58 @@ def match_camera(data: DataFrame, cameras: DataFrame) -> DataFrame:
     rest = data.join(F.broadcast(cameras.select(F.col("camera_id").alias("data_key"))), "data_key", "left_anti")
     by_number = rest.withColumn("_n", camera_index(F.col("data_key"))).join(known, "_n").drop("_n")
     return exact.select("data_key", "camera_id").unionByName(by_number.select("data_key", "camera_id"))
+
+
+def match_by_part(data: DataFrame, cameras: DataFrame) -> DataFrame:
+    """data_key, camera_id where the name of a calibrated camera is part of the key; of several the longest name. cameras is a
+    short list, broadcast."""
+    names = F.broadcast(cameras.select("camera_id"))
+    met = data.join(names, F.contains("data_key", "camera_id"))
+    best = F.max_by("camera_id", F.struct(F.length("camera_id"), "camera_id"))
+    return met.groupBy("data_key").agg(best.alias("camera_id"))
+
+
+def frame_at(t: Column, fps: Column | float) -> Column:
+    """Number of the frame that shows at t seconds."""
+    return F.floor(t * fps).cast("long")
+
+
+def captured(frames: DataFrame, windows: DataFrame, by: list[str]) -> DataFrame:
+    """Frames within a recording window of their key. windows: by, start, stop (null: still open), few to a key."""
+    inside = (F.col("t") >= F.col("start")) & (F.col("stop").isNull() | (F.col("t") < F.col("stop")))
+    return frames.join(windows, by).where(inside)
+
+
+def sampled(*samples: DataFrame) -> DataFrame:
+    """The union of samples of frames, each frame once."""
+    union = samples[0]
+    for other in samples[1:]:
+        union = union.unionByName(other)
+    return union.distinct()
+
+
+def dense_ids(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Adds ids 0, 1, 2 ... in the order of the distinct values of a column with few of them (a board's or a rig's)."""
+    values = F.array_sort(F.collect_set(column))
+    listed = df.agg(values.alias("_all"))
+    return df.join(F.broadcast(listed)).withColumn(out, F.array_position("_all", F.col(column)).cast("long") - 1).drop("_all")
+
+
+def on_board(corners: DataFrame, board: DataFrame) -> DataFrame:
+    """Corners with their place on the board (corner_id, bx, by); the board is a fixed table."""
+    return corners.join(F.broadcast(board), "corner_id")
+
+
+def all_corners(corners: DataFrame, board: DataFrame, by: list[str]) -> DataFrame:
+    """A row for every corner of the board in every view of `by`, with nulls where it was not seen."""
+    grid = corners.select(*by).distinct().join(F.broadcast(board.select("corner_id")))
+    return grid.join(corners, [*by, "corner_id"], "left")
+
+
+def adjustment_points(corners: DataFrame, min_corners: int = 6, min_cameras: int = 2) -> DataFrame:
+    """Corners to adjust a rig with: of views (frame, camera_id) with min_corners of them, those that min_cameras such views
+    of a frame share."""
+    rich = corners.groupBy("frame", "camera_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_corners).drop("_n")
+    kept = corners.join(rich, ["frame", "camera_id"], "left_semi")
+    shared = kept.groupBy("frame", "corner_id").agg(F.count_distinct("camera_id").alias("_n")).where(F.col("_n") >= min_cameras).drop("_n")
+    return kept.join(shared, ["frame", "corner_id"], "left_semi")

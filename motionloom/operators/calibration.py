@@ -7,10 +7,12 @@ the driver.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.camera import rotation_angle
+from . import windows
 
 AXES = ("x", "y", "z")
 
@@ -153,3 +155,33 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
         gap("px", "py", "pz").alias("position_delta"),
         rotation_angle([F.col(n) for n in names], [F.col(f"{n}_b") for n in names]).alias("angle"),
     )
+
+
+def ground_plane(corners: DataFrame, board: DataFrame, cameras: np.ndarray, by: str, limit: float, least: int, least_seen: int = 3) -> DataFrame:
+    """by, n_frames, origin ox, oy, oz and axes g00 to g22 (columns) of the floor that a lying board shows, per recording.
+
+    The longest run of frames in which the board rests (median motion under `limit`, `least` frames at least) gives a median
+    place of each corner, and these a rigid fit to the board (corner_id, bx, by, by its own plane). Axes as of ground_axes;
+    cameras: positions, (C, 3). Recordings without such a run, or with corners on a line, are absent.
+    """
+    runs = windows.stable_runs(windows.board_motion(corners, least_seen, (by,)), by, "frame", limit, least)
+    inside = (F.col("frame") >= F.col("start")) & (F.col("frame") < F.col("start") + F.col("n_frames"))
+    still = corners.join(runs.select(by, "start", "n_frames"), by).where(inside)
+    places = windows.corner_medians(still, least_seen, (by,)).select(by, "corner_id", *[F.col(c).alias(f"{c}2") for c in AXES])
+    flat = F.broadcast(board.select("corner_id", F.col("bx").alias("x"), F.col("by").alias("y"), F.lit(0.0).alias("z")))
+    sums = kabsch_sums(places.join(flat, "corner_id"), (by,)).join(runs.select(by, "n_frames"), by)
+    names = [f"g{i}{j}" for i in range(3) for j in range(3)]
+    kind = corners.schema[by].dataType.simpleString()
+
+    def fit(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_dict("records"):
+                try:
+                    turn, origin = kabsch(row)
+                except ValueError:
+                    continue
+                out.append((row[by], row["n_frames"], *origin, *ground_axes(turn, origin, cameras).ravel()))
+            yield pd.DataFrame(out, columns=[by, "n_frames", "ox", "oy", "oz", *names])
+
+    return sums.mapInPandas(fit, f"`{by}` {kind}, n_frames long, " + ", ".join(f"{n} double" for n in ("ox", "oy", "oz", *names)))

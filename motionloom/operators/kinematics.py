@@ -47,15 +47,15 @@ def inertial_parameters(spark, sex: str = "mean") -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def segment_com(ends: DataFrame, fractions: DataFrame) -> DataFrame:
-    """frame, segment, x, y, z of segments with both ends. ends: frame, segment, px.., dx..; fractions: segment, com, mass."""
+def segment_com(ends: DataFrame, fractions: DataFrame, by: tuple[str, ...] = ("frame",)) -> DataFrame:
+    """by, segment, x, y, z of segments with both ends. ends: by, segment, px.., dx..; fractions: segment, com, mass."""
     joined = ends.join(F.broadcast(fractions.select("segment", "com")), "segment")
     at = [(F.col(f"p{c}") + (F.col(f"d{c}") - F.col(f"p{c}")) * F.col("com")).alias(c) for c in ("x", "y", "z")]
-    return joined.select("frame", "segment", *at).where("x is not null")
+    return joined.select(*by, "segment", *at).where("x is not null")
 
 
-def center_of_mass(coms: DataFrame, masses: DataFrame) -> DataFrame:
-    """frame, x, y, z, observed_mass, confidence (0 to 3) of the whole body.
+def center_of_mass(coms: DataFrame, masses: DataFrame, by: tuple[str, ...] = ("frame",)) -> DataFrame:
+    """by, x, y, z, observed_mass, confidence (0 to 3) of the whole body.
 
     The mass of an unseen segment moves along its limb to the next seen segment nearer the trunk, else to the spine;
     that of an unseen head or spine is lost, as no other segment stands for it (the sum is not normalized). Only a
@@ -65,38 +65,40 @@ def center_of_mass(coms: DataFrame, masses: DataFrame) -> DataFrame:
     spark = coms.sparkSession
     chains = spark.createDataFrame(links, "chain int, place int, segment string")
     listed = F.broadcast(masses.select("segment", "mass").join(chains, "segment", "left"))
-    grid = coms.select("frame").distinct().join(listed)  # frames x about fifteen segments
-    seen = grid.join(coms, ["frame", "segment"], "left")
-    far_to_near = Window.partitionBy("frame", "chain").orderBy("place")
+    grid = coms.select(*by).distinct().join(listed)  # frames x about fifteen segments
+    seen = grid.join(coms.select(*by, "segment", "x", "y", "z"), [*by, "segment"], "left")
+    far_to_near = Window.partitionBy(*by, "chain").orderBy("place")
     taken = F.count("x").over(far_to_near.rowsBetween(Window.unboundedPreceding, -1))
     limb = seen.where("chain is not null").withColumn("_to", taken)
-    moved = F.sum("mass").over(Window.partitionBy("frame", "chain", "_to"))
+    moved = F.sum("mass").over(Window.partitionBy(*by, "chain", "_to"))
     limb = limb.withColumn("_carried", moved)
     own = F.when(F.col("x").isNotNull(), F.col("mass")).otherwise(0.0)
     sums = lambda weight: [F.sum(F.when(F.col("x").isNotNull(), F.col(c) * weight)).alias(f"_{c}") for c in ("x", "y", "z")]
-    last = F.count("x").over(Window.partitionBy("frame", "chain", "_to"))
+    last = F.count("x").over(Window.partitionBy(*by, "chain", "_to"))
     limb = limb.withColumn("_orphan", F.when(last == 0, F.col("mass")).otherwise(0.0))
-    limbs = limb.groupBy("frame").agg(*sums(F.col("_carried")), F.sum(own).alias("_own"), F.sum("_orphan").alias("_left"))
+    limbs = limb.groupBy(*by).agg(*sums(F.col("_carried")), F.sum(own).alias("_own"), F.sum("_orphan").alias("_left"))
     of = lambda s, c: F.max(F.when(F.col("segment") == s, F.col(c)))
-    trunk = seen.where(F.col("segment").isin("spine", "head")).groupBy("frame").agg(
+    trunk = seen.where(F.col("segment").isin("spine", "head")).groupBy(*by).agg(
         *[of(s, c).alias(f"{s}_{c}") for s in ("spine", "head") for c in ("x", "y", "z", "mass")]
     )
-    both = limbs.join(trunk, "frame", "left")
+    both = limbs.join(trunk, list(by), "left")
     spine_mass = F.col("spine_mass") + F.col("_left")
     whole = lambda c: (
         F.coalesce(f"_{c}", F.lit(0.0)) + F.coalesce(F.col(f"spine_{c}") * spine_mass, F.lit(0.0)) + F.coalesce(F.col(f"head_{c}") * F.col("head_mass"), F.lit(0.0))
     )
     observed = F.col("_own") + F.when(F.col("spine_x").isNotNull(), F.col("spine_mass")).otherwise(0.0) + F.when(F.col("head_x").isNotNull(), F.col("head_mass")).otherwise(0.0)
-    out = both.select("frame", *[whole(c).alias(c) for c in ("x", "y", "z")], observed.alias("observed_mass"))
+    out = both.select(*by, *[whole(c).alias(c) for c in ("x", "y", "z")], observed.alias("observed_mass"))
     tier = F.lit(0)
     for least, number in reversed(TIERS):
         tier = F.when(F.col("observed_mass") >= least, number).otherwise(tier)
     return out.withColumn("confidence", tier)
 
 
-def xcom(df: DataFrame, by: str | None, t: str) -> DataFrame:
+def xcom(df: DataFrame, by: str, t: str) -> DataFrame:
     """Adds xcom_x, xcom_y: where the body would come to rest (Hof 2008); null at a height of 0 or less, or without a step back."""
-    order = Window.partitionBy(by or F.lit(0)).orderBy(t)
+    if not by:
+        raise ValueError("name the key of a recording: without one all rows would go to one task")
+    order = Window.partitionBy(by).orderBy(t)
     dt = F.col(t) - F.lag(t).over(order)
     omega = F.sqrt(F.lit(GRAVITY) / F.col("z"))
     at = lambda c: F.when((F.col("z") > 0) & (dt > 0), F.col(c) + (F.col(c) - F.lag(c).over(order)) / dt / omega)
@@ -131,8 +133,8 @@ def principal_moments(df: DataFrame) -> DataFrame:
     r = F.when(c("_p") > 0, det / (2 * c("_p") * c("_p") * c("_p"))).otherwise(0.0)
     df = df.withColumn("_phi", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))) / 3)
     third = 2 * 3.141592653589793 / 3
-    df = df.withColumns({"i3": c("_q") + 2 * c("_p") * F.cos("_phi"), "i1": c("_q") + 2 * c("_p") * F.cos(c("_phi") + third)})
-    return df.withColumn("i2", 3 * c("_q") - c("i1") - c("i3")).drop("_q", "_p", "_p1", "_phi")
+    at = lambda turn: c("_q") + 2 * c("_p") * F.cos(c("_phi") + turn)
+    return df.withColumns({"i1": at(third), "i2": at(2 * third), "i3": at(0.0)}).drop("_q", "_p", "_p1", "_phi")
 
 
 def ellipsoid(df: DataFrame) -> DataFrame:
@@ -140,3 +142,11 @@ def ellipsoid(df: DataFrame) -> DataFrame:
     c = F.col
     axis = lambda i, j, k: F.sqrt(F.greatest(c(j) + c(k) - c(i), F.lit(0.0)) * 5 / (2 * c("mass")))
     return df.withColumns({"s1": axis("i1", "i2", "i3"), "s2": axis("i2", "i1", "i3"), "s3": axis("i3", "i1", "i2")})
+
+
+def segment_seeds(ratios: DataFrame, height: float) -> DataFrame:
+    """segment, length: ratio x height, for a body whose segments are not measured yet; raises without a positive height."""
+    if not height > 0:
+        raise ValueError(f"a height of {height} seeds nothing")
+    length = F.col("ratio") * F.lit(float(height))
+    return ratios.select("segment", F.when(F.col("ratio") > 0, length).otherwise(F.raise_error(F.concat(F.lit("no ratio of "), "segment"))).alias("length"))

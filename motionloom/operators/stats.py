@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Thresholds of the human-shape and equivalence verdicts.
@@ -15,21 +15,21 @@ def median(c: Column | str) -> Column:
     return F.percentile(c, F.lit(0.5))
 
 
-def segment_lengths(points: DataFrame, segments: DataFrame) -> DataFrame:
-    """frame, segment, pair, length for every frame and segment; null where an endpoint is missing.
+def segment_lengths(points: DataFrame, segments: DataFrame, by: tuple[str, ...] = ("frame",)) -> DataFrame:
+    """by, segment, pair, length for every frame (by: its keys) and segment; null where an endpoint is missing.
 
     segments (segment, pair, proximal, distal) is a short fixed table. Points are shuffled once by frame and pivoted in the
     same aggregate: one map of positions per frame, from which both ends of every segment are taken.
     """
     entry = F.struct("keypoint", F.struct("x", "y", "z").alias("p"))
-    frames = points.where("x is not null and y is not null and z is not null").groupBy("frame").agg(
+    frames = points.where("x is not null and y is not null and z is not null").groupBy(*by).agg(
         F.map_from_entries(F.collect_list(entry)).alias("at")
     )
-    empty = points.select("frame").distinct().join(frames, "frame", "left")
+    empty = points.select(*by).distinct().join(frames, list(by), "left")
     each = empty.join(F.broadcast(segments))
     a, b = F.try_element_at("at", "proximal"), F.try_element_at("at", "distal")
     square = sum(((a[c] - b[c]) * (a[c] - b[c]) for c in ("y", "z")), (a["x"] - b["x"]) * (a["x"] - b["x"]))
-    return each.select("frame", "segment", "pair", F.sqrt(square).alias("length"))
+    return each.select(*by, "segment", "pair", F.sqrt(square).alias("length"))
 
 
 def segment_stats(lengths: DataFrame, by: tuple[str, ...] = ("segment", "pair")) -> DataFrame:
@@ -100,14 +100,14 @@ def pair_percentiles(errors: DataFrame, low: float = 0.15, high: float = 0.75, o
     ).where(F.col("n") > over)
 
 
-def board_errors(corners: DataFrame, squares_x: int, square_mm: float) -> DataFrame:
+def board_errors(corners: DataFrame, squares_x: int, square_mm: float, by: tuple[str, ...] = ("frame",)) -> DataFrame:
     """Signed errors of distances between neighbours on a board of squares_x columns. corners: frame, corner_id, x, y, z."""
     right = corners.where((F.col("corner_id") % squares_x) < squares_x - 1)
-    other = corners.select("frame", *[F.col(c).alias(f"{c}2") for c in ("corner_id", "x", "y", "z")])
+    other = corners.select(*by, *[F.col(c).alias(f"{c}2") for c in ("corner_id", "x", "y", "z")])
     ends = right.withColumn("corner_id2", F.col("corner_id") + 1).unionByName(corners.withColumn("corner_id2", F.col("corner_id") + squares_x))
-    pairs = ends.join(other, ["frame", "corner_id2"])
+    pairs = ends.join(other, [*by, "corner_id2"])
     square = sum(((F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) for c in ("y", "z")), (F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")))
-    return pairs.select("frame", "corner_id", "corner_id2", (F.sqrt(square) - square_mm).alias("error"))
+    return pairs.select(*by, "corner_id", "corner_id2", (F.sqrt(square) - square_mm).alias("error"))
 
 
 def board_health(errors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -170,10 +170,10 @@ def plausible_fps(rates: DataFrame, column: str, least: int = 10, low: float = 1
 
 
 def recording_stats(stamps: DataFrame, by: str, t: str, order: str) -> DataFrame:
-    """rows, duration_s and fps = rows / duration. Stamps over 1e15 are nanoseconds, over 1e6 milliseconds, else seconds."""
+    """rows, duration_s and fps = rows / duration. Durations over 1e15 are nanoseconds, over 1e6 milliseconds, else seconds."""
     ends = stamps.groupBy(by).agg(F.count("*").alias("rows"), F.min_by(t, order).alias("_a"), F.max_by(t, order).alias("_b"))
-    unit = F.when(F.abs("_b") > 1e15, 1e9).when(F.abs("_b") > 1e6, 1e3).otherwise(1.0)
-    ends = ends.withColumn("duration_s", F.abs(F.col("_b") - F.col("_a")) / unit)
+    span = F.abs(F.col("_b") - F.col("_a"))
+    ends = ends.withColumn("duration_s", span / F.when(span > 1e15, 1e9).when(span > 1e6, 1e3).otherwise(1.0))
     return ends.select(by, "rows", "duration_s", F.when(F.col("duration_s") > 0, F.col("rows") / F.col("duration_s")).alias("fps"))
 
 
@@ -185,3 +185,27 @@ def in_sync(counts: DataFrame, by: str, frames: str) -> DataFrame:
 def stage_completeness(files: DataFrame) -> DataFrame:
     """stage, present, total. files: stage, present (boolean)."""
     return files.groupBy("stage").agg(F.count_if("present").alias("present"), F.count("*").alias("total"))
+
+
+def best_half(df: DataFrame, by: list[str], order: list, least: int = 3) -> DataFrame:
+    """The better half of each key's rows, `least` at least."""
+    key = Window.partitionBy(*by)
+    keep = F.greatest(F.floor(F.count("*").over(key) / 2), F.lit(least))
+    ranked = df.withColumns({"_k": F.row_number().over(key.orderBy(*order)), "_keep": keep})
+    return ranked.where("_k <= _keep").drop("_k", "_keep")
+
+
+def largest_group(df: DataFrame, by: list[str], group: str) -> DataFrame:
+    """by, group, n: the most frequent value of each key, of equals the smallest."""
+    counts = df.groupBy(*by, group).agg(F.count("*").alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("_n"), group)).alias("_b")
+    return counts.groupBy(*by).agg(best).select(*by, F.col(f"_b.{group}").alias(group), (-F.col("_b._n")).alias("n"))
+
+
+def detection_counts(points: DataFrame, by: list[str], total: int) -> DataFrame:
+    """by, detected (rows with a position), total (the fixed number of points there are)."""
+    return points.groupBy(*by).agg(F.count("x").alias("detected"), F.lit(total).cast("long").alias("total"))
+
+
+def frame_range(frames: DataFrame, by: list[str], frame: str = "frame") -> DataFrame:
+    return frames.groupBy(*by).agg(F.min(frame).alias("first_frame"), F.max(frame).alias("last_frame"), F.count_distinct(frame).alias("n_frames"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,10 +59,11 @@ class Predicting:
 
     def step(self, t: float, x: np.ndarray) -> tuple[np.ndarray | None, bool]:
         """Position and whether it is predicted."""
+        backwards = self.filter.t is not None and t <= self.filter.t
         if not np.isnan(x).any():
             self.lost = 0
-            return self.filter.step(t, x), False
-        if self.filter.t is None or self.lost >= self.most:
+            return (x if backwards else self.filter.step(t, x)), False  # a frame out of order passes as it is
+        if self.filter.t is None or backwards or self.lost >= self.most:
             return None, False
         self.lost += 1
         return self.filter.drift(t, self.decay), True
@@ -72,7 +73,8 @@ class Predicting:
 class VelocityGate:
     """Holds the last accepted position while the implied velocity is over the limit, at most `streak` times in a row.
 
-    Velocity is the distance from the last accepted position over the time since the previous frame."""
+    Velocity is the distance from the last accepted position over the time since the previous frame of the recording,
+    whether or not the keypoint was seen in it."""
 
     limit: float
     streak: int = 5
@@ -86,7 +88,11 @@ class VelocityGate:
         if dt is not None and dt <= 0:
             raise ValueError(f"time must grow: {self.t} then {t}")
         self.t = t
-        if dt is None or self.rejected >= self.streak or float(np.linalg.norm(x - self.x)) / dt <= self.limit:
+        return self.after(dt, x)
+
+    def after(self, dt: float | None, x: np.ndarray) -> tuple[np.ndarray, bool]:
+        """As step, with the time since the previous frame given."""
+        if self.x is None or dt is None or self.rejected >= self.streak or float(np.linalg.norm(x - self.x)) / dt <= self.limit:
             self.x, self.rejected = x, 0
             return x, False
         self.rejected += 1
@@ -127,8 +133,17 @@ def predict_lost(df: DataFrame, by: list[str], t: str, columns: list[str], most:
     return over_time(df, by, t, columns, lambda: Predicting(OneEuro(**config), most, decay).step, "is_predicted")
 
 
-def velocity_gate(df: DataFrame, by: list[str], t: str, columns: list[str], limit: float, streak: int = 5) -> DataFrame:
-    return over_time(df, by, t, columns, lambda: VelocityGate(limit, streak).step, "is_held")
+def frame_clock(df: DataFrame, recording: list[str], t: str) -> DataFrame:
+    """Adds _dt: time since the previous frame of the recording, over all of its rows; null in the first."""
+    frames = df.select(*recording, t).distinct()
+    step = F.col(t) - F.lag(t).over(Window.partitionBy(*recording).orderBy(t))
+    return df.join(frames.withColumn("_dt", step), [*recording, t])
+
+
+def velocity_gate(df: DataFrame, by: list[str], t: str, columns: list[str], limit: float, streak: int = 5, recording: list[str] | None = None) -> DataFrame:
+    """Rows of `by` are one keypoint; `recording` names the keys of what shares a frame clock (all of `by` if not given)."""
+    clocked = frame_clock(df, recording or by, t).select(*df.columns, "_dt")
+    return over_time(clocked, by, "_dt", columns, lambda: VelocityGate(limit, streak).after, "is_held", [t]).drop("_dt")
 
 
 def low_pass(x: np.ndarray, rate: float, cutoff: float, order: int = 4) -> np.ndarray:
@@ -155,8 +170,33 @@ def smooth(df: DataFrame, by: list[str], t: str, columns: list[str], rate: float
     return df.groupBy(*by).applyInPandas(run, df.schema)
 
 
+def curvatures(h: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    """Second derivatives at the knots of a not-a-knot spline, from the widths and slopes of its pieces (two at least)."""
+    rise = 6 * np.diff(slope)
+    if len(h) == 2:  # one parabola
+        return np.full(3, rise[0] / (3 * (h[0] + h[1])))
+    low, middle, high = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()
+    # the end curvatures are on the line through the two next to them
+    middle[0] += h[0] * (1 + h[0] / h[1])
+    high[0] -= h[0] * h[0] / h[1]
+    middle[-1] += h[-1] * (1 + h[-1] / h[-2])
+    low[-1] -= h[-1] * h[-1] / h[-2]
+    for i in range(1, len(middle)):
+        share = low[i] / middle[i - 1]
+        middle[i] -= share * high[i - 1]
+        rise[i] -= share * rise[i - 1]
+    inner = np.empty(len(middle))
+    inner[-1] = rise[-1] / middle[-1]
+    for i in range(len(middle) - 2, -1, -1):
+        inner[i] = (rise[i] - high[i] * inner[i + 1]) / middle[i]
+    first = inner[0] + (inner[0] - inner[1]) * h[0] / h[1]
+    last = inner[-1] + (inner[-1] - inner[-2]) * h[-1] / h[-2]
+    return np.concatenate(([first], inner, [last]))
+
+
 def spline_fill(df: DataFrame, by: list[str], t: str, columns: list[str]) -> DataFrame:
-    """Fills nulls by a natural cubic spline through the values present; ends keep the nearest value."""
+    """Fills nulls by the cubic spline through the values present whose first two and last two pieces are one cubic each
+    (not-a-knot); ends keep the nearest value. A series takes time and memory in proportion to its length."""
 
     def fill(time: np.ndarray, y: np.ndarray) -> np.ndarray:
         ok = ~np.isnan(y)
@@ -164,9 +204,7 @@ def spline_fill(df: DataFrame, by: list[str], t: str, columns: list[str]) -> Dat
         if len(x) < 3:
             return np.interp(time, x, v) if len(x) else y
         h, slope = np.diff(x), np.diff(v) / np.diff(x)
-        m = np.zeros(len(x))
-        system = np.diag(2 * (h[:-1] + h[1:])) + np.diag(h[1:-1], 1) + np.diag(h[1:-1], -1)
-        m[1:-1] = np.linalg.solve(system, 6 * np.diff(slope))
+        m = curvatures(h, slope)
         at = np.clip(time, x[0], x[-1])
         i = np.clip(np.searchsorted(x, at, side="right") - 1, 0, len(h) - 1)
         a, b = (x[i + 1] - at) / h[i], (at - x[i]) / h[i]

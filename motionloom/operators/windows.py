@@ -52,14 +52,17 @@ def fill_linear(df: DataFrame, by: str, t: str, columns: list[str]) -> DataFrame
     return df.withColumns(filled)
 
 
-def board_motion(corners: DataFrame, least: int = 3) -> DataFrame:
-    """frame, motion: median displacement of the corners seen in this frame and the next one; infinite with under `least`."""
-    order = Window.partitionBy("corner_id").orderBy("frame")
+def board_motion(corners: DataFrame, least: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, frame, motion of every frame but a recording's last: median displacement of the corners seen in it and in the
+    next one; infinite with under `least` of them, as where the next frame is missing."""
+    order = Window.partitionBy(*by, "corner_id").orderBy("frame")
     nxt = {f"_{c}": F.lead(c).over(order) for c in ("frame", "x", "y", "z")}
-    moved = corners.withColumns(nxt).where("_frame = frame + 1")
     square = sum(((F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}")) for c in ("y", "z")), (F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")))
-    grouped = moved.withColumn("_d", F.sqrt(square)).groupBy("frame").agg(F.percentile("_d", F.lit(0.5)).alias("_m"), F.count("*").alias("_n"))
-    return grouped.select("frame", F.when(F.col("_n") >= least, F.col("_m")).otherwise(float("inf")).alias("motion"))
+    moved = corners.withColumns(nxt).withColumn("_d", F.when(F.col("_frame") == F.col("frame") + 1, F.sqrt(square)))
+    grouped = moved.groupBy(*by, "frame").agg(F.percentile("_d", F.lit(0.5)).alias("_m"), F.count("_d").alias("_n"))
+    ends = corners.groupBy(*by).agg(F.max("frame").alias("_last"))
+    inner = (grouped.join(ends, list(by)) if by else grouped.join(F.broadcast(ends))).where(F.col("frame") < F.col("_last"))
+    return inner.select(*by, "frame", F.when(F.col("_n") >= least, F.col("_m")).otherwise(float("inf")).alias("motion"))
 
 
 def stable_runs(motion: DataFrame, by: str, order: str, limit: float, least: int) -> DataFrame:
@@ -77,7 +80,7 @@ def stable_runs(motion: DataFrame, by: str, order: str, limit: float, least: int
     return runs.groupBy(by).agg(best).select(by, F.col("_b.start").alias("start"), (-F.col("_b._k")).alias("n_frames"), F.col("_b.mean_motion").alias("mean_motion"))
 
 
-def corner_medians(corners: DataFrame, least: int = 3) -> DataFrame:
-    """corner_id, x, y, z: component-wise medians of corners seen at least `least` times."""
+def corner_medians(corners: DataFrame, least: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, corner_id, x, y, z: component-wise medians of corners seen at least `least` times."""
     middle = [F.percentile(c, F.lit(0.5)).alias(c) for c in ("x", "y", "z")]
-    return corners.groupBy("corner_id").agg(F.count("x").alias("_n"), *middle).where(F.col("_n") >= least).drop("_n")
+    return corners.groupBy(*by, "corner_id").agg(F.count("x").alias("_n"), *middle).where(F.col("_n") >= least).drop("_n")

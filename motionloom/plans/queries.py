@@ -409,10 +409,9 @@ def value_histogram(spark, sf_dir):
     return rounded(stats.histogram(demo.events(spark, sf_dir), "value"))
 
 
-@query(f"SELECT \"user\", count(*) AS rows, {r('abs(max(t) - min(t))/1e3', 'duration_s', 3)}, {r('count(*)/(abs(max(t) - min(t))/1e3)', 'fps')} FROM ({demo.EVENTS_SQL}) GROUP BY 1")
+@query(f"SELECT \"user\", rows, {r('span', 'duration_s', 3)}, {r('rows/span', 'fps')} FROM (SELECT \"user\", rows, d/CASE WHEN d > 1e15 THEN 1e9 WHEN d > 1e6 THEN 1e3 ELSE 1 END AS span FROM (SELECT \"user\", count(*) AS rows, max(t) - min(t) AS d FROM ({demo.EVENTS_SQL}) GROUP BY 1)) WHERE span > 0")
 def recording_stats(spark, sf_dir):
-    """Stamps of 1.7e9 seconds look like milliseconds to the rule, as they would in a recording."""
-    df = stats.recording_stats(demo.events(spark, sf_dir), "user", "t", "t")
+    df = stats.recording_stats(demo.events(spark, sf_dir), "user", "t", "t").where("duration_s > 0")
     return df.select("user", "rows", (F.round("duration_s", 3) + 0.0).alias("duration_s"), (F.round("fps", 6) + 0.0).alias("fps"))
 
 
@@ -434,11 +433,12 @@ def stage_completeness(spark, sf_dir):
 
 # Boards and calibrations
 
-BOARD = f"SELECT frame, keypoint::INT AS corner_id, x, y, z FROM ({demo.POINTS_SQL}) WHERE keypoint::INT < 20"
+#: A board of 20 corners, of which frames leave out some and every fiftieth frame is missing.
+BOARD = f"SELECT frame, keypoint::INT AS corner_id, x, y, z FROM ({demo.POINTS_SQL}) WHERE keypoint::INT < 20 AND frame % 50 <> 49"
 
 
 def _corners(spark, sf_dir):
-    return demo.points(spark, sf_dir).select("frame", F.col("keypoint").cast("int").alias("corner_id"), "x", "y", "z").where("corner_id < 20")
+    return demo.points(spark, sf_dir).select("frame", F.col("keypoint").cast("int").alias("corner_id"), "x", "y", "z").where("corner_id < 20 and frame % 50 <> 49")
 
 
 BOARD_ERRORS = f"""b AS ({BOARD}), e AS (SELECT a.frame, a.corner_id, c.corner_id AS corner_id2, sqrt((a.x-c.x)*(a.x-c.x)+(a.y-c.y)*(a.y-c.y)+(a.z-c.z)*(a.z-c.z)) - 250 AS error
@@ -460,7 +460,8 @@ def board_health(spark, sf_dir):
 
 @query(
     f"""WITH b AS ({BOARD}), m AS (SELECT a.frame, sqrt((a.x-c.x)*(a.x-c.x)+(a.y-c.y)*(a.y-c.y)+(a.z-c.z)*(a.z-c.z)) AS d FROM b a JOIN b c ON a.corner_id = c.corner_id AND c.frame = a.frame + 1)
-SELECT frame, {r('median(d)', 'motion')} FROM m GROUP BY 1"""
+SELECT f.frame, round(CASE WHEN n >= 3 THEN d ELSE 'infinity'::DOUBLE END, 6) + 0.0 AS motion FROM (SELECT DISTINCT frame FROM b) f
+LEFT JOIN (SELECT frame, median(d) AS d, count(*) AS n FROM m GROUP BY 1) m USING (frame) WHERE f.frame < (SELECT max(frame) FROM b)"""
 )
 def board_motion(spark, sf_dir):
     return rounded(windows.board_motion(_corners(spark, sf_dir)))
@@ -584,10 +585,15 @@ def principal_trace(spark, sf_dir):
     return rounded(df.select("frame", (F.col("i1") + F.col("i2") + F.col("i3")).alias("trace")), 2)
 
 
-@query()
+PRINCIPAL = f"""{INERTIA}, q AS (SELECT *, (ixx+iyy+izz)/3 AS q, sqrt(((ixx-(ixx+iyy+izz)/3)**2 + (iyy-(ixx+iyy+izz)/3)**2 + (izz-(ixx+iyy+izz)/3)**2 + 2*(ixy*ixy+ixz*ixz+iyz*iyz))/6) AS p FROM i),
+d AS (SELECT *, acos(greatest(-1, least(1, ((ixx-q)*((iyy-q)*(izz-q)-iyz*iyz) - ixy*(ixy*(izz-q)-iyz*ixz) + ixz*(ixy*iyz-(iyy-q)*ixz))/(2*p*p*p))))/3 AS phi FROM q),
+e AS (SELECT frame, mass, q + 2*p*cos(phi + 2*pi()/3) AS i1, q + 2*p*cos(phi - 2*pi()/3) AS i2, q + 2*p*cos(phi) AS i3 FROM d)"""
+
+
+@query(f"{PRINCIPAL.replace('d AS (SELECT *, acos', 'd2 AS (SELECT *, acos').replace('FROM d)', 'FROM d2)')} SELECT frame, " + ", ".join([*(r(c, c, 2) for c in ("i1", "i2", "i3")), *(r(f"sqrt(greatest({a}+{b}-{c}, 0)*5/(2*mass))", f"s{n}", 3) for n, (c, a, b) in enumerate((("i1", "i2", "i3"), ("i2", "i1", "i3"), ("i3", "i1", "i2")), 1))]) + " FROM e")
 def equimomental_ellipsoid(spark, sf_dir):
     df = kinematics.ellipsoid(kinematics.principal_moments(_inertia(spark, sf_dir)))
-    return rounded(df.select("frame", "i1", "i2", "i3", "s1", "s2", "s3"), 3)
+    return df.select("frame", *[(F.round(c, 2 if c[0] == "i" else 3) + 0.0).alias(c) for c in ("i1", "i2", "i3", "s1", "s2", "s3")])
 
 
 @query(
@@ -685,3 +691,179 @@ def stream_frame_join(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
     joined = live.join_frames(df.where("event_type = 'error'"), df.where("event_type = 'click'"), wait="2 hours")
     return joined.select("event_id", "skel_event_id")
+
+
+# Rigs, boards and views
+
+@query("SELECT * FROM (VALUES (0, 'cam2'), (1, 'cam0')) AS v(ord, camera_id)")
+def camera_subset(spark, sf_dir):
+    return triangulate.rig_subset(demo.cameras(spark), ["cam2", "cam0"]).select("ord", "camera_id")
+
+
+@query(f"SELECT frame, keypoint, {r('x', 'x', 3)}, {r('y', 'y', 3)}, {r('z', 'z', 3)} FROM ({demo.POINTS_SQL})")
+def triangulate_pixels(spark, sf_dir):
+    df = _projected(spark, sf_dir).withColumns({"u": F.col("fx") * F.col("a") + F.col("cx"), "v": F.col("fy") * F.col("b") + F.col("cy")})
+    return rounded(triangulate.triangulate_pixels(df.select("frame", "keypoint", "camera_id", "u", "v"), demo.cameras(spark)), 3)
+
+
+@query(f"SELECT frame, keypoint, {r('x', 'x', 3)}, {r('y', 'y', 3)}, {r('z', 'z', 3)}, CASE WHEN frame % 2 = 1 THEN 0.0 ELSE 1.0 END::DOUBLE AS w2 FROM ({demo.POINTS_SQL})")
+def triangulate_outlier(spark, sf_dir):
+    """One camera of four is off by half a unit in every second frame: the ensemble of three and more must find the points without it."""
+    off = F.when(F.col("frame") % 2 == 1, 0.5).otherwise(0.0)
+    df = _projected(spark, sf_dir).withColumn("un", F.col("a") + F.when(F.col("camera_id") == "cam2", off).otherwise(0.0))
+    found = triangulate.triangulate(df.select("frame", "keypoint", "camera_id", "un", F.col("b").alias("vn")), demo.cameras(spark), triangulate.Rejection(min_cameras=3))
+    return rounded(found.select("frame", "keypoint", "x", "y", "z", F.element_at("weights", "cam2").alias("w2")), 3)
+
+
+@query(f"SELECT frame, keypoint, camera_id, (frame % 3)::DOUBLE AS du, -2.0::DOUBLE AS dv FROM ({demo.SEEN_SQL})")
+def signed_reprojection(spark, sf_dir):
+    df = _projected(spark, sf_dir)
+    du, dv = cam.signed_error(F.col("u") + F.col("frame") % 3, F.col("v") - 2, F.col("u"), F.col("v"))
+    return rounded(df.select("frame", "keypoint", "camera_id", du.alias("du"), dv.alias("dv")))
+
+
+VIEWS = f"SELECT frame, camera_id, keypoint::INT AS corner_id, x FROM ({demo.SEEN_SQL}) WHERE visibility >= 0.7 AND keypoint::INT < 20"
+
+
+def _views(spark, sf_dir):
+    return demo.seen(spark, sf_dir).where("visibility >= 0.7").select("frame", "camera_id", F.col("keypoint").cast("int").alias("corner_id"), "x").where("corner_id < 20")
+
+
+@query(
+    f"""WITH v AS ({VIEWS}), k AS (SELECT v.* FROM v JOIN (SELECT frame, camera_id FROM v GROUP BY ALL HAVING count(*) >= 6) USING (frame, camera_id))
+SELECT frame, camera_id, corner_id FROM k JOIN (SELECT frame, corner_id FROM k GROUP BY ALL HAVING count(DISTINCT camera_id) >= 2) USING (frame, corner_id)"""
+)
+def adjustment_points(spark, sf_dir):
+    return align.adjustment_points(_views(spark, sf_dir)).select("frame", "camera_id", "corner_id")
+
+
+def _board(spark):
+    return spark.range(20).select(F.col("id").cast("int").alias("corner_id"), ((F.col("id") % 5) * 40.0).alias("bx"), (F.floor(F.col("id") / 5) * 40.0).alias("by"))
+
+
+@query(f"WITH v AS ({VIEWS}) SELECT g.frame, g.camera_id, c.k::INT AS corner_id, {r('v.x', 'x')} FROM (SELECT DISTINCT frame, camera_id FROM v) g CROSS JOIN range(20) AS c(k) LEFT JOIN v ON v.frame = g.frame AND v.camera_id = g.camera_id AND v.corner_id = c.k")
+def all_corners(spark, sf_dir):
+    return rounded(align.all_corners(_views(spark, sf_dir), _board(spark), ["frame", "camera_id"]).select("frame", "camera_id", "corner_id", "x"))
+
+
+@query(f"SELECT frame, camera_id, corner_id, (corner_id % 5)*40.0::DOUBLE AS bx, (corner_id // 5)*40.0::DOUBLE AS by FROM ({VIEWS})")
+def corners_on_board(spark, sf_dir):
+    return align.on_board(_views(spark, sf_dir), _board(spark)).select("frame", "camera_id", "corner_id", "bx", F.col("by").cast("double").alias("by"))
+
+
+@query(f"SELECT DISTINCT type, dense_rank() OVER (ORDER BY type) - 1 AS id FROM ({demo.EVENTS_SQL})")
+def dense_ids(spark, sf_dir):
+    return align.dense_ids(demo.events(spark, sf_dir), "type", "id").select("type", "id").distinct()
+
+
+@query("SELECT 'rec_cam' || k || '_xyz.npy' AS data_key, 'cam' || k AS camera_id FROM range(3) AS t(k)")
+def camera_by_part(spark, sf_dir):
+    data = spark.range(3).select(F.concat(F.lit("rec_cam"), "id", F.lit("_xyz.npy")).alias("data_key")).unionByName(spark.createDataFrame([("rec_camx",)], "data_key string"))
+    return align.match_by_part(data, demo.cameras(spark))
+
+
+@query(f"SELECT label, frame, segment, {r('length', 'length')} FROM (WITH {LENGTHS} SELECT * FROM lengths) JOIN (SELECT vec_id AS frame, label FROM embeddings) USING (frame)")
+def recording_lengths(spark, sf_dir):
+    """Two keys of a frame: labels stand for recordings."""
+    return rounded(stats.segment_lengths(demo.points(spark, sf_dir), demo.segments(spark), ("label", "frame")).drop("pair"))
+
+
+# Times, groups and lists
+
+@query(f'SELECT "user", type, t FROM (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY "user") AS n FROM ({demo.EVENTS_SQL}) WINDOW w AS (PARTITION BY "user" ORDER BY value, t)) WHERE k <= greatest(n // 2, 3)')
+def best_half(spark, sf_dir):
+    return stats.best_half(demo.events(spark, sf_dir), ["user"], ["value", "t"]).select("user", "type", "t")
+
+
+@query(f'SELECT "user", type, n FROM (SELECT "user", type, count(*) AS n, row_number() OVER (PARTITION BY "user" ORDER BY count(*) DESC, type) AS k FROM ({demo.EVENTS_SQL}) GROUP BY 1, 2) WHERE k = 1')
+def largest_group(spark, sf_dir):
+    return stats.largest_group(demo.events(spark, sf_dir), ["user"], "type")
+
+
+@query(f'SELECT "user", count(*) FILTER (value > 50) AS detected, 20::BIGINT AS total FROM ({demo.EVENTS_SQL}) GROUP BY 1')
+def detection_counts(spark, sf_dir):
+    return stats.detection_counts(demo.events(spark, sf_dir).withColumn("x", F.when(F.col("value") > 50, F.col("value"))), ["user"], 20)
+
+
+@query(f'SELECT "user", min(f) AS first_frame, max(f) AS last_frame, count(DISTINCT f) AS n_frames FROM (SELECT "user", floor(t*30)::BIGINT AS f FROM ({demo.EVENTS_SQL})) GROUP BY 1')
+def frame_range(spark, sf_dir):
+    df = demo.events(spark, sf_dir).select("user", align.frame_at(F.col("t"), 30.0).alias("frame"))
+    return stats.frame_range(df, ["user"])
+
+
+SPANS = f'SELECT "user", min(t) + 1000 AS start, CASE WHEN "user" % 2 = 0 THEN min(t) + 500000 END AS stop FROM ({demo.EVENTS_SQL}) GROUP BY 1'
+
+
+@query(f'SELECT e."user", e.t FROM ({demo.EVENTS_SQL}) e JOIN ({SPANS}) s ON e."user" = s."user" AND e.t >= s.start AND (s.stop IS NULL OR e.t < s.stop)')
+def captured_frames(spark, sf_dir):
+    df = demo.events(spark, sf_dir).select("user", "t")
+    spans = df.groupBy("user").agg((F.min("t") + 1000).alias("start"), F.when(F.col("user") % 2 == 0, F.min("t") + 500000).alias("stop"))
+    return align.captured(df, spans, ["user"]).select("user", "t")
+
+
+@query("SELECT vec_id AS frame FROM embeddings WHERE vec_id % 10 = 0 UNION SELECT vec_id FROM embeddings WHERE vec_id % 15 = 0")
+def sampled_frames(spark, sf_dir):
+    frames = demo.embeddings(spark, sf_dir).select(F.col("vec_id").alias("frame"))
+    return align.sampled(frames.where("frame % 10 = 0"), frames.where("frame % 15 = 0"))
+
+
+@query(
+    f"""WITH RECURSIVE c AS (SELECT *, t - lag(t) OVER (PARTITION BY "user" ORDER BY t) AS dt, row_number() OVER (PARTITION BY "user", type ORDER BY t) AS i FROM ({demo.EVENTS_SQL})),
+e AS MATERIALIZED (SELECT * FROM c), f AS (
+  SELECT "user", type, i, t, value AS x, 0 AS n, false AS held FROM e WHERE i = 1
+  UNION ALL
+  SELECT e."user", e.type, e.i, e.t, CASE WHEN f.n >= 5 OR abs(e.value - f.x)/e.dt <= 0.005 THEN e.value ELSE f.x END,
+    CASE WHEN f.n >= 5 OR abs(e.value - f.x)/e.dt <= 0.005 THEN 0 ELSE f.n + 1 END, NOT (f.n >= 5 OR abs(e.value - f.x)/e.dt <= 0.005)
+  FROM f JOIN e ON e."user" = f."user" AND e.type = f.type AND e.i = f.i + 1)
+SELECT "user", type, t, {r('x', 'value_out')}, held AS is_held FROM f"""
+)
+def velocity_gate_clock(spark, sf_dir):
+    """Types stand for keypoints of a user's recording: all of its rows are the frame clock, whatever they hold."""
+    df = demo.events(spark, sf_dir).select("user", "type", "t", "value")
+    return rounded(temporal.velocity_gate(df, ["user", "type"], "t", ["value"], 0.005, recording=["user"]).drop("value"))
+
+
+# Names, layers and displays
+
+@query(f"SELECT frame, 't6' AS keypoint, {r('x', 'x')} FROM ({demo.POINTS_SQL}) WHERE keypoint = '6'")
+def tracker_names(spark, sf_dir):
+    mapping = spark.createDataFrame([("t6", "left_hand", 1.0), ("t9", "center", 0.5), ("t10", "center", 0.5)], "tracker string, canonical string, weight double")
+    named = F.when(F.col("keypoint") == "6", "left_hand").when(F.col("keypoint") == "9", "center")
+    pts = demo.points(spark, sf_dir).select("frame", named.alias("keypoint"), "x").where("keypoint is not null")
+    return rounded(gates.tracker_names(pts, mapping))
+
+
+@query(f"SELECT frame, CASE k WHEN 1 THEN 'brow' WHEN 2 THEN 'nose' ELSE 'chin' END AS keypoint, {r('x', 'x')} FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY keypoint::INT) AS k FROM ({demo.POINTS_SQL}) WHERE keypoint::INT % 2 = 1) WHERE k <= 3")
+def renamed_by_rank(spark, sf_dir):
+    pts = demo.points(spark, sf_dir).withColumn("index", F.col("keypoint").cast("int")).where("index % 2 = 1")
+    return rounded(gates.renamed_by_rank(pts, ["brow", "nose", "chin"]).select("frame", "keypoint", "x"))
+
+
+@query(f"SELECT frame, keypoint, {r('CASE WHEN frame % 2 = 0 THEN x + 1 ELSE x END', 'x')} FROM ({demo.POINTS_SQL})")
+def gate_over_filter(spark, sf_dir):
+    pts = demo.points(spark, sf_dir).select("frame", "keypoint", "x")
+    return rounded(gates.gate_over_filter(pts, pts.withColumn("x", F.when(F.col("frame") % 2 == 0, F.col("x") + 1)), enabled=True))
+
+
+@query(f"SELECT event_id, {r('value - 50', 'width')}, {r('60 - value', 'height')} FROM events WHERE value > 50 AND value < 60")
+def with_area(spark, sf_dir):
+    df = demo.events(spark, sf_dir).select("event_id", (F.col("value") - 50).alias("width"), (60 - F.col("value")).alias("height"))
+    return rounded(gates.with_area(df))
+
+
+@query("SELECT event_id, ['TRACE', 'DEBUG', 'INFO', 'WARNING', 'ERROR', 'NONE'][event_id % 6 + 1] AS level FROM events WHERE event_id % 6 IN (3, 4)")
+def log_level(spark, sf_dir):
+    names_ = F.array(*map(F.lit, ("TRACE", "DEBUG", "INFO", "WARNING", "ERROR", "NONE")))
+    df = demo.events(spark, sf_dir).select("event_id", F.get(names_, (F.col("event_id") % 6).cast("int")).alias("level"))
+    return gates.at_least(df, "WARNING")
+
+
+@query(f"SELECT frame, count(*)::INT AS n, {r('min(x)/2', 'left')}, {r('max(x)/2', 'right')}, {r('min(y)/4', 'top')}, {r('max(y)/4', 'bottom')} FROM ({demo.POINTS_SQL}) WHERE keypoint <> '3' GROUP BY 1".replace('AS left', 'AS "left"').replace('AS right', 'AS "right"'))
+def overlay_boxes(spark, sf_dir):
+    pts = demo.points(spark, sf_dir).withColumn("x", F.when(F.col("keypoint") != "3", F.col("x")))
+    return rounded(gates.overlay(pts, 0.5, 0.25).select("frame", F.size("points").alias("n"), "left", "right", "top", "bottom"))
+
+
+@query(f"SELECT segment, {r('ratio*1700', 'length')} FROM {demo.SEGMENTS_SQL}")
+def segment_seeds(spark, sf_dir):
+    return rounded(kinematics.segment_seeds(demo.segments(spark), 1700.0))

@@ -20,7 +20,7 @@ def join_frames(camera: DataFrame, skeleton: DataFrame, wait: str = "2 seconds",
 def align_cameras(obs: DataFrame, cameras: int, late: str = "10 seconds", span: str = "1 hour") -> DataFrame:
     """Per frame and window: cameras that delivered it, and whether all did."""
     marked = obs.withWatermark("ts", late) if obs.isStreaming else obs
-    counts = marked.groupBy(F.window("ts", span), "frame").agg(F.approx_count_distinct("camera_id").alias("n_cameras"))
+    counts = marked.groupBy(F.window("ts", span), "frame").agg(F.size(F.collect_set("camera_id")).cast("long").alias("n_cameras"))
     return counts.select(F.col("window.start").alias("start"), "frame", "n_cameras", (F.col("n_cameras") >= cameras).alias("complete"))
 
 

@@ -1,5 +1,6 @@
 """Scenes with known answers: cameras, filters, rigid trees, balance, alignment, files, streams."""
 
+import itertools
 import json
 import math
 
@@ -291,3 +292,69 @@ def test_filter_on_a_stream_agrees_with_batch(spark, sf_dir, tmp_path):
     want = temporal.one_euro(df, ["keypoint"], "t", ["value"], min_cutoff=1e-7, beta=1e-9, d_cutoff=1e-6)
     key = lambda rows: sorted((r.keypoint, r.t, round(r.value_out, 6)) for r in rows.collect())
     assert key(got) == key(want) and got.count() > 0
+
+
+def test_a_rig_of_36_cameras_and_a_camera_listed_twice():
+    """Sets of cameras are told apart whatever their numbers; the rule of the ensemble against a plain reading of it."""
+    rng = np.random.default_rng(3)
+    cameras = np.concatenate((np.linalg.qr(rng.normal(size=(4, 3, 3)))[0], rng.normal(size=(4, 3, 1)) + [[[0], [0], [6]]]), axis=2)
+    points = rng.normal(size=(5, 3)) * 0.3
+    seen = np.einsum("cij,pj->pci", cameras[:, :, :3], points) + cameras[:, :, 3]
+    seen = seen[..., :2] / seen[..., 2:]
+    seen[:, 2] += 0.2
+    config = triangulate.Rejection()
+    at, weights = triangulate.robust(seen, cameras, config, True)
+    for p in range(5):
+        best, found, used = None, [], []
+        for k in (k for n in (4, 3, 2) for k in itertools.combinations(range(4), n)):
+            x = triangulate.solve(seen[p : p + 1, k], cameras[list(k)])
+            e = triangulate.errors(x, seen[p : p + 1, k], cameras[list(k)]).mean()
+            found.append((e, x[0], [n in k for n in range(4)]))
+        w = np.array([np.exp(-config.decay * (e - min(f[0] for f in found)) / config.target) for e, _, _ in found])
+        want = sum(s * f[1] for s, f in zip(w / w.sum(), found, strict=True))
+        assert at[p] == pytest.approx(want, abs=1e-9) and at[p] == pytest.approx(points[p], abs=1e-3)
+        assert weights[p] == pytest.approx((w / w.sum()) @ np.array([f[2] for f in found]), abs=1e-9) and weights[p].argmin() == 2
+
+
+def test_spline_is_not_a_knot(spark):
+    rng = np.random.default_rng(5)
+    t = np.cumsum(rng.uniform(0.5, 2, 40))
+    cubic = 2 - t + 0.3 * t**2 - 0.01 * t**3  # such a spline holds any cubic as it is
+    rows = [("k", float(a), None if n in (1, 2, 7, 20, 37, 38) else float(b)) for n, (a, b) in enumerate(zip(t, cubic, strict=True))]
+    got = temporal.spline_fill(spark.createDataFrame(rows, "k string, t double, x double"), ["k"], "t", ["x"]).orderBy("t").collect()
+    assert [r.x for r in got] == pytest.approx(cubic.tolist(), rel=1e-9)
+    assert temporal.curvatures(np.array([1.0, 2.0]), np.array([1.0, 4.0])).tolist() == pytest.approx([2.0] * 3)  # x^2 at 0, 1, 3
+
+
+def test_frames_out_of_order_pass_and_gaps_break_runs(spark):
+    step = temporal.Predicting().step
+    assert step(1.0, np.array([5.0]))[0] == 5 and step(0.5, np.array([9.0]))[0] == 9 and step(0.7, np.array([np.nan]))[0] is None
+    rows = [(rec, f, c, 0.01 * f, 0.0, 0.0) for rec in ("a", "b") for f in [*range(8), *range(20, 28)] for c in range(4)]
+    corners = spark.createDataFrame(rows, "rec string, frame int, corner_id int, x double, y double, z double")
+    motion = windows.board_motion(corners, 3, ("rec",))
+    assert {r.frame for r in motion.where("motion > 1e9").collect()} == {7} and motion.count() == 30
+    assert {(r.rec, r.start, r.n_frames) for r in windows.stable_runs(motion, "rec", "frame", 1.0, 5).collect()} == {("a", 0, 8), ("b", 0, 8)}
+
+
+def test_ground_plane_of_a_lying_board(spark):
+    turn = calibration.rodrigues(np.array([0.09, 0.12, 0.2]))
+    board = [(k, 40.0 * (k % 5), 40.0 * (k // 5)) for k in range(20)]
+    rows = [(rec, f, k, *(turn @ [bx, by, 0.0] + [120.0, -45.0, 8.0] + (0.0 if f >= 10 else 30.0 * f)).tolist()) for rec in (1, 2) for f in range(40) for k, bx, by in board]
+    corners = spark.createDataFrame(rows, "rec int, frame int, corner_id int, x double, y double, z double")
+    found = calibration.ground_plane(corners, spark.createDataFrame(board, "corner_id int, bx double, by double"), np.array([[0.0, 0.0, 900.0]]), "rec", 1.0, 10).collect()
+    assert {r.rec for r in found} == {1, 2}
+    for r in found:
+        assert [r.ox, r.oy, r.oz] == pytest.approx([120, -45, 8], abs=1e-6)
+        assert [r[f"g{i}{j}"] for i in range(3) for j in range(3)] == pytest.approx(turn.ravel().tolist(), abs=1e-9)
+
+
+def test_two_recordings_stay_apart(spark):
+    rows = [(rec, 0, k, float(n * s), 0.0, 0.0) for s, rec in ((1, "a"), (3, "b")) for n, k in enumerate(("p", "q"))]
+    points = spark.createDataFrame(rows, "rec string, frame int, keypoint string, x double, y double, z double")
+    segments = spark.createDataFrame([("s", "s", "p", "q")], "segment string, pair string, proximal string, distal string")
+    assert {(r.rec, r.length) for r in stats.segment_lengths(points, segments, ("rec", "frame")).collect()} == {("a", 1.0), ("b", 3.0)}
+    obs = spark.createDataFrame([("a", 0, "c1"), ("b", 0, "c1"), ("b", 0, "c2"), ("b", 1, "c1")], "rec string, frame int, camera_id string")
+    assert {(r.rec, r.frame, r.complete) for r in align.completeness(obs, 2, ("rec", "frame")).collect()} == {("a", 0, False), ("b", 0, True), ("b", 1, False)}
+    assert [(r.rec, r.frame, r.camera_id) for r in align.missing(obs, ("rec",)).collect()] == [("b", 1, "c2")]
+    with pytest.raises(ValueError):
+        kinematics.xcom(points, None, "frame")
