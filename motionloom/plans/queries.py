@@ -711,7 +711,7 @@ def triangulate_outlier(spark, sf_dir):
     """One camera of four is off by half a unit in every second frame: the ensemble of three and more must find the points without it."""
     off = F.when(F.col("frame") % 2 == 1, 0.5).otherwise(0.0)
     df = _projected(spark, sf_dir).withColumn("un", F.col("a") + F.when(F.col("camera_id") == "cam2", off).otherwise(0.0))
-    found = triangulate.triangulate(df.select("frame", "keypoint", "camera_id", "un", F.col("b").alias("vn")), demo.cameras(spark), triangulate.Rejection(min_cameras=3))
+    found = triangulate.triangulate(df.select("frame", "keypoint", "camera_id", "un", F.col("b").alias("vn")), demo.cameras(spark), triangulate.Rejection(min_cameras=3, decay=50.0))
     return rounded(found.select("frame", "keypoint", "x", "y", "z", F.element_at("weights", "cam2").alias("w2")), 3)
 
 
