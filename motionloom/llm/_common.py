@@ -46,6 +46,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return ready(spark).sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate files wherever Spark can write."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder: cuts lineage and is read by all executors."""
     ready(df.sparkSession)

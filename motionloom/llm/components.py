@@ -12,8 +12,9 @@ def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long). Returns node, component: the smallest node that can be reached; nodes without edges are absent.
 
     Each round every node points at its smallest neighbour or itself, pointers are followed twice,
-    and edges between what they reach go to the next round. A round at least halves the nodes of a
-    component that has not become a single node. The links of a round and the map so far are
+    and edges between what they reach go to the next round. Every round takes away all nodes that have a
+    smaller neighbour, so a component that is not a single node loses one node at least (a star with its largest
+    node in the middle loses that one, and all others in the second round). The links of a round and the map so far are
     checkpointed, so that a lost executor costs one round at most.
     """
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()

@@ -55,8 +55,8 @@ RATE = 0.15
 BLOCK = 4096
 #: Groups into which the weights of partitions are averaged first.
 PARTS = 256
-#: Tokens that a task holds at a time, to train on or to score.
-GROUP_TOKENS = 1 << 19
+#: Tokens that a task holds at a time, two bytes each, to train on and to score; many texts side by side keep steps full.
+GROUP_TOKENS, SCORE_TOKENS = 1 << 19, 1 << 22
 
 
 def tokens(text: str) -> list[bytes]:
@@ -436,7 +436,7 @@ def score(texts: DataFrame, counts: DataFrame, words: Words, model: Gru) -> Data
         for batch in batches:
             held.append(batch)
             size += batch.column(len(kept) + 1).nbytes // 2
-            if size > GROUP_TOKENS:
+            if size > SCORE_TOKENS:
                 yield rows(held)
                 held, size = [], 0
         if held:

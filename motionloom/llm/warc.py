@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import checkpoint_dir, cut, local_path, ready
+from ._common import checkpoint_dir, cut, drop_folder, local_path, ready
 
 MAGIC = b"\x1f\x8b\x08"
 BLOCK = 1 << 20
@@ -248,8 +248,7 @@ def op4_round_trip(pages: DataFrame) -> DataFrame:
             F.col("refers_to").cast(pages.schema["page_id"].dataType),
         )
     )
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    drop_folder(spark, path)
     responses = kept.where("record_type = 'response'")
     originals = responses.groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("own_bytes").alias("full_bytes"))
     resolved = kept.where("record_type = 'revisit'").join(originals, ["refers_to", "payload_digest"], "left")
