@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from motionloom.llm import decontaminate, langid, packing, simhash, suffix_dedup
-from motionloom.llm._common import checkpoint_dir, table
+from motionloom.llm._common import checkpoint_dir, cut, drop_folder, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,4 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if n + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{n}")
             docs = spark.read.parquet(f"{folder}/{n}")
-    return docs
+    packed = cut(docs)  # what the last stage returns stands by itself, so that the copies in between can go
+    drop_folder(spark, folder)
+    return packed
