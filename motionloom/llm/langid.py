@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from ._common import fold, ready, release
 
 UNKNOWN = "und"
-SLOTS = 1 << 15
+SLOT_BITS = 15
+SLOTS = 1 << SLOT_BITS
 CHAIN = 64
 LETTERS = re.compile(r"[^\W\d_]+")
 PIECE = 64
@@ -76,18 +77,44 @@ def pieces(run: str) -> list[str]:
     return found
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Slots of a lower-case word's features: affixes, n-grams, and its lexicon entry's language."""
-    raw = word.encode()
-    n = len(raw)
-    edged = b"^" + raw + b"$"
-    found = [crc32(raw[:k], 1) for k in range(1, min(3, n) + 1)]
-    found += [crc32(raw[-k:], 2) for k in range(1, min(4, n) + 1)]
-    found += [crc32(edged[i : i + 2], 3) for i in range(n + 1)]
-    found += [crc32(edged[i : i + 3], 4) for i in range(n)]
-    if (language := lexicon.get(word)) is not None:
-        found += [crc32(b"%d" % language, 5), crc32(raw, 6)]
-    return [f % SLOTS for f in found]
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the features of lower-case words, word after word, and how many each word has: affixes, n-grams of the word
+    with its edges, and its lexicon entry with its language. All words are worked on at once."""
+    raws = [w.encode() for w in words]
+    sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+    letters = np.frombuffer(b"".join([b"^%b$" % raw for raw in raws]) + bytes(3), np.uint8).astype(np.uint64)
+    starts = np.cumsum(sizes + 2) - (sizes + 2)
+    which, slots = [], []
+
+    def add(kind: int, words_: np.ndarray, values: np.ndarray) -> None:
+        mixed = (values * np.uint64(8) + np.uint64(kind)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        which.append(words_)
+        slots.append((mixed >> np.uint64(64 - SLOT_BITS)).astype(np.int64))
+
+    def run(at: np.ndarray, k: int) -> np.ndarray:
+        """The k letters from each place on as one number, which tells runs of other lengths apart."""
+        value = np.full(len(at), k, np.uint64)
+        for i in range(k):
+            value = value << np.uint64(8) | letters[at + i]
+        return value
+
+    for k in range(1, 5):
+        long = np.flatnonzero(sizes >= k)
+        if k <= 3:
+            add(1, long, run(starts[long] + 1, k))
+        add(2, long, run(starts[long] + 1 + sizes[long] - k, k))
+    owner = np.repeat(np.arange(len(raws)), sizes + 2)
+    inside = np.arange(len(owner)) - starts[owner]
+    for k, kind in ((2, 3), (3, 4)):
+        at = np.flatnonzero(inside <= sizes[owner] + 2 - k)
+        add(kind, owner[at], run(at, k))
+    known = np.array([n for n, w in enumerate(words) if w in lexicon], np.int64)
+    add(5, known, np.array([lexicon[words[n]] for n in known], np.uint64))
+    add(6, known, np.array([crc32(raws[n]) for n in known], np.uint64))
+    all_words = np.concatenate(which)
+    order = np.argsort(all_words, kind="stable")
+    return np.concatenate(slots)[order], np.bincount(all_words, minlength=len(raws))
 
 
 class Field:
@@ -101,9 +128,7 @@ class Field:
         self.start = np.zeros(k, np.float32)
 
     def slots(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        each = [features(w, self.lexicon) for w in words]
-        counts = np.fromiter(map(len, each), np.int64, len(each))
-        return np.fromiter((f for fs in each for f in fs), np.int64, int(counts.sum())), counts
+        return features(words, self.lexicon)
 
     def emissions(self, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Mean of the weights of each word's features, times their number's root."""
