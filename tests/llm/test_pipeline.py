@@ -2,6 +2,8 @@
 
 import corpus_pipeline
 import pytest
+from corpus import empty_docs, odd_docs
+
 from motionloom.llm import decontaminate, simhash, suffix_dedup
 
 
@@ -62,3 +64,13 @@ def test_run_gives_the_same_rows(spark, sf_dir, steps):
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     key = lambda df: sorted(map(tuple, df.select(*columns).collect()))
     assert key(corpus_pipeline.run(spark, sf_dir)) == key(steps[4][2])
+
+
+@pytest.mark.parametrize("make", [empty_docs, odd_docs])
+def test_run_stands_odd_and_no_rows(spark, tmp_path, make):
+    docs = make(spark)
+    docs.write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([("i1", "one"), ("i2", None)], "item_id string, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    packed = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    assert packed.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert (packed.count() > 0) == (docs.count() > 0)
