@@ -31,7 +31,7 @@ from ._common import cut, ready, release, texts_of
 SEQUENCE_TOKENS = 2048
 SHARD_PIECES = 8192
 #: Words a worker keeps with their ids; when the store is full, only those of the batch at hand stay.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 400_000
 MARKS = frozenset(".,;:!?|")
 #: Capitals whose lower case depends on their place or has two characters.
 FOLDS_ODDLY = frozenset("\u03a3\u0130")
