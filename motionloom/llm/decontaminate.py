@@ -81,8 +81,8 @@ def places(docs: DataFrame, tokens: DataFrame, sizes: list[int]) -> DataFrame:
     else:
         keys = worded.select("doc_id", "content", all_places).select("doc_id", "content", "at.*").where("size > 0")
         of_doc = keys.join(every, ["size", "token"]).groupBy("doc_id", "content").agg(F.collect_set(F.struct("size", "pos", "token")).alias("met"))
-        same = worded["doc_id"].eqNullSafe(of_doc["doc_id"]) & (worded["content"] == of_doc["content"])
-        kept = worded.join(of_doc, same, "left").select(worded["doc_id"], worded["content"], "n_words", "all", "met")
+        same = F.col("w.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("w.content") == F.col("o.content"))
+        kept = worded.alias("w").join(of_doc.alias("o"), same, "left").select("w.doc_id", "w.content", "w.n_words", "w.all", "o.met")
         met = kept.select("*", F.explode(F.concat(F.array(own), F.coalesce("met", F.array().cast("array<struct<size:int,pos:int,token:bigint>>")))).alias("at"))
         met = met.select("doc_id", "content", "n_words", "all", "at.*")
     start = F.greatest(F.col("pos") - WINDOW_WORDS + 1, F.lit(0))
