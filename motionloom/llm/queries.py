@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licenses, lm_score, order_minhash, packing, quality, simhash, suffix_dedup, warc
+from . import decontaminate, langid, licenses, lm_score, order_minhash, packing, quality, simhash, suffix_dedup, token_align, warc
 from ._common import table
 
 
@@ -50,6 +50,10 @@ def op10_language_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op10_languages(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.op13_alignments(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_discriminant": op1_quality_discriminant,
     "op2_simhash_groups": op2_simhash_groups,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_recurrent_lm": op9_recurrent_lm,
     "op10_language_field": op10_language_field,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_benchmark_decontamination": decontaminate.OP6_SQL}

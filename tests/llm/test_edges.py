@@ -4,7 +4,7 @@ import pytest
 from corpus import CLASHING, bag, empty_docs, odd_docs, odd_rows, with_clashes
 from pyspark.sql import functions as F
 
-from motionloom.llm import decontaminate, langid, licenses, lm_score, order_minhash, packing, quality, simhash, suffix_dedup, warc
+from motionloom.llm import decontaminate, langid, licenses, lm_score, order_minhash, packing, quality, simhash, suffix_dedup, token_align, warc
 
 ITEMS = [("i1", "one"), ("i2", None), ("i3", ""), (None, "zz yy"), ("i1", "one")]
 
@@ -32,6 +32,7 @@ OPERATORS = {
     "licenses": licenses.op8_labels,
     "lm_score": lm_score.op9_scores,
     "langid": langid.op10_languages,
+    "token_align": token_align.op13_alignments,
 }
 STAGES = {
     "language": lambda d: langid.accepted(d, langid.fit(d)),
