@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, licenses, lm_score, order_minhash, packing, quality, simhash, suffix_dedup, token_align, warc
+from . import decontaminate, divergence, langid, licenses, lm_score, order_minhash, packing, quality, simhash, suffix_dedup, token_align, toxicity, warc
 from ._common import table
 
 
@@ -50,6 +50,14 @@ def op10_language_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op10_languages(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.op11_audit(table(spark, sf_dir, "documents"))
+
+
+def op12_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op12_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.op13_alignments(table(spark, sf_dir, "documents"))
 
@@ -65,7 +73,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_recurrent_lm": op9_recurrent_lm,
     "op10_language_field": op10_language_field,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_toxic_neighbours": op12_toxic_neighbours,
     "op13_token_alignment": op13_token_alignment,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_benchmark_decontamination": decontaminate.OP6_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op6_benchmark_decontamination": decontaminate.OP6_SQL,
+    "op11_source_divergence": divergence.OP11_SQL,
+}

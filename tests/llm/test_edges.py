@@ -4,7 +4,7 @@ import pytest
 from corpus import CLASHING, bag, empty_docs, odd_docs, odd_rows, with_clashes
 from pyspark.sql import functions as F
 
-from motionloom.llm import decontaminate, langid, licenses, lm_score, order_minhash, packing, quality, simhash, suffix_dedup, token_align, warc
+from motionloom.llm import decontaminate, divergence, langid, licenses, lm_score, order_minhash, packing, quality, simhash, suffix_dedup, token_align, toxicity, warc
 
 ITEMS = [("i1", "one"), ("i2", None), ("i3", ""), (None, "zz yy"), ("i1", "one")]
 
@@ -33,6 +33,7 @@ OPERATORS = {
     "lm_score": lm_score.op9_scores,
     "langid": langid.op10_languages,
     "token_align": token_align.op13_alignments,
+    "toxicity": lambda d: toxicity.op12_scores(d, labels(d.sparkSession)),
 }
 STAGES = {
     "language": lambda d: langid.accepted(d, langid.fit(d)),
@@ -60,6 +61,13 @@ def test_odd_rows_and_clashing_columns(spark, name):
     assert bag(OPERATORS[name](with_clashes(docs)), columns) == got
 
 
+def test_audit_of_odd_rows_and_clashing_columns(spark):
+    docs = odd_docs(spark).withColumn("source", F.concat(F.lit("s"), F.col("n_chars") % 3))
+    plain = divergence.op11_audit(docs)
+    assert plain.count() > 0 and bag(divergence.op11_audit(with_clashes(docs)), plain.columns) == bag(plain)
+    assert divergence.op11_audit(with_clashes(empty_docs(spark))).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_empty_table(spark, name):
     assert OPERATORS[name](empty_docs(spark)).count() == 0
