@@ -39,6 +39,7 @@ TERMS = 4096
 LEAST_DOCS = 4
 LEAST_CHI = 25.0
 BLOCK = 64
+FIRST_BLOCKS = 4
 NEIGHBOURS = 16
 #: Length of beginnings and ends of words that are terms.
 SHORTEST, LONGEST = 3, 6
@@ -47,6 +48,7 @@ SOFT = 0.1
 PRIOR = 0.5
 #: Words a worker keeps with their terms.
 CACHED_WORDS = 500_000
+CACHED_ANSWERS = 20_000
 
 
 def word_terms(word: bytes) -> list[str]:
@@ -127,22 +129,33 @@ class Index:
         if not len(ids) or not len(self.order):
             return []
         bound = weights @ self.bounds[ids]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] * (1 + 1e-9) < -best[-1][0]:
-                break
-            cosine = np.zeros(self.block)
-            base = b * len(self.terms)
-            for t, w in zip(ids.tolist(), weights.tolist(), strict=True):
-                lo, hi = self.starts[base + t], self.starts[base + t + 1]
-                if lo < hi:
-                    cosine[self.posted[lo:hi]] += w * self.weights[lo:hi]
+        for at in (slice(0, FIRST_BLOCKS), slice(FIRST_BLOCKS, None)):  # the first blocks set the mark for the rest
+            blocks = order[at]
             floor = -best[-1][0] if len(best) == k else 0.0
-            at = np.flatnonzero((cosine >= floor) & (cosine > 0))
-            met = zip((-cosine[at]).tolist(), self.order[b * self.block + at].tolist(), strict=True)
-            best = sorted([*best, *[m for m in met if m[1] != without]])[:k]
+            blocks = np.sort(blocks[bound[blocks] * (1 + 1e-9) >= floor])
+            if not len(blocks):
+                break
+            cosine = self._cosines(blocks, ids, weights)
+            met = np.flatnonzero((cosine >= floor) & (cosine > 0))
+            if len(met) > 4 * k:  # only what can be among the k + 1 largest
+                met = met[cosine[met] >= np.partition(cosine[met], -k - 1)[-k - 1]]
+            found = self.order[blocks[met // self.block] * self.block + met % self.block]
+            pairs = zip((-cosine[met]).tolist(), found.tolist(), strict=True)
+            best = sorted([*best, *[m for m in pairs if m[1] != without]])[:k]
         return [(-c, i) for c, i in best]
 
+    def _cosines(self, blocks: np.ndarray, ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Cosines of all examples of these blocks, block by block, from the postings of the terms `ids` in them."""
+        keys = (blocks[:, None] * len(self.terms) + ids).ravel()
+        lo, sizes = self.starts[keys], self.starts[keys + 1] - self.starts[keys]
+        ends = np.cumsum(sizes)
+        which = np.arange(ends[-1]) + np.repeat(lo - ends + sizes, sizes)
+        row = np.repeat(np.repeat(np.arange(len(blocks)) * self.block, len(ids)), sizes) + self.posted[which]
+        return np.bincount(row, self.weights[which] * np.repeat(np.tile(weights, len(blocks)), sizes), minlength=len(blocks) * self.block)
+
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of toxic votes, between which and the prior the weight of the neighbours decides."""
         total, toxic = PRIOR, PRIOR * self.share
@@ -249,15 +262,21 @@ def scores(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str
 
     def each(batches):
         index = shared.value
-        reader = Reader(index.terms)
+        reader, known = Reader(index.terms), {}
         for batch in batches:
             scores_, near_ = [], []
             for text in texts_of(batch.column(1)):
-                near = index.nearest(*index.vector(found)) if (found := reader.counts(text)) else []
-                scores_.append(index.score(near))
-                near_.append([{"doc_id": index.doc_ids[i], "cosine": c, "label": int(index.labels[i])} for c, i in near])
+                found = reader.counts(text)
+                key = tuple(sorted(found.items()))
+                if key not in known:  # texts with equal counts of kept terms have equal answers
+                    near = index.nearest(*index.vector(found)) if found else []
+                    if len(known) >= CACHED_ANSWERS:
+                        known.clear()
+                    known[key] = index.score(near), [{"doc_id": index.doc_ids[i], "cosine": c, "label": int(index.labels[i])} for c, i in near]
+                scores_.append(known[key][0])
+                near_.append(known[key][1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores_, pa.float64()), pa.array(near_, evidence)], ["doc_id", "score", "evidence"])
-        reader = None
+        reader = known = None
         release()
 
     schema = f"doc_id {kind}, score double, evidence array<struct<doc_id: long, cosine: double, label: int>>"
