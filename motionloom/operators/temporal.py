@@ -29,6 +29,9 @@ class OneEuro:
     dx: np.ndarray | None = None
 
     def step(self, t: float, x: np.ndarray) -> np.ndarray:
+        """A row without an observation (null) stays null and leaves the state as it is."""
+        if np.isnan(x).any():
+            return np.full_like(x, np.nan)
         if self.t is None:
             self.t, self.x, self.dx = t, x, np.zeros_like(x)
             return x
@@ -91,7 +94,10 @@ class VelocityGate:
         return self.after(dt, x)
 
     def after(self, dt: float | None, x: np.ndarray) -> tuple[np.ndarray, bool]:
-        """As step, with the time since the previous frame given."""
+        """As step, with the time since the previous frame given. A row without an observation (null) stays null: it moves the
+        clock alone and neither holds, nor counts as a rejection, nor is accepted."""
+        if np.isnan(x).any():
+            return np.full_like(x, np.nan), False
         if self.x is None or dt is None or self.rejected >= self.streak or float(np.linalg.norm(x - self.x)) / dt <= self.limit:
             self.x, self.rejected = x, 0
             return x, False
@@ -146,16 +152,20 @@ def velocity_gate(df: DataFrame, by: list[str], t: str, columns: list[str], limi
     return over_time(clocked, by, "_dt", columns, lambda: VelocityGate(limit, streak).after, "is_held", [t]).drop("_dt")
 
 
-def low_pass(x: np.ndarray, rate: float, cutoff: float, order: int = 4) -> np.ndarray:
-    """Zero-phase Butterworth low-pass of a series, as the squared magnitude response applied to its odd extension."""
+def low_pass(x: np.ndarray, rate: float, cutoff: float, order: int = 4, left: int | None = None, right: int | None = None) -> np.ndarray:
+    """Zero-phase Butterworth low-pass of a series, as the squared magnitude response applied to its odd extension.
+
+    left, right: samples by which the ends are extended; if not given, so many that the response has died away."""
     n = len(x)
-    if n < 3:
-        return x
-    pad = min(n - 1, int(3 * rate / cutoff) + 1)
-    wide = np.concatenate((2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]))
+    if n < 3 or np.isnan(x).any():
+        return x if n < 3 else np.full(n, np.nan)
+    warped = 2 * math.tan(math.pi * min(cutoff / rate, 0.499))
+    far = math.ceil(30 / (warped * math.sin(math.pi / (2 * order)))) + 8
+    left, right = min(n - 1, far if left is None else left), min(n - 1, far if right is None else right)
+    wide = np.concatenate((2 * x[0] - x[left:0:-1], x, 2 * x[-1] - x[-2 : -right - 2 : -1]))
     f = np.fft.rfftfreq(len(wide), 1 / rate)
     warp = np.tan(np.pi * np.minimum(f, rate / 2 * 0.999999) / rate) / np.tan(np.pi * cutoff / rate)
-    return np.fft.irfft(np.fft.rfft(wide) / (1 + warp ** (2 * order)), len(wide))[pad : pad + n]
+    return np.fft.irfft(np.fft.rfft(wide) / (1 + warp ** (2 * order)), len(wide))[left : left + n]
 
 
 def smooth(df: DataFrame, by: list[str], t: str, columns: list[str], rate: float, cutoff: float, order: int = 4) -> DataFrame:
@@ -239,11 +249,13 @@ class Rigid:
     def __init__(self, bones: list[tuple[str, str, float]], root: str):
         self.bones, self.root, self.last = tree_order(bones, root), root, {}
 
-    def step(self, points: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    def step(self, points: dict[str, np.ndarray], lengths: dict[tuple[str, str], float] | None = None) -> dict[str, np.ndarray]:
+        """lengths: of this frame, in place of those given at the start."""
         if self.root not in points:
             return {}
         held = {self.root: points[self.root]}
         for parent, child, length in self.bones:
+            length = lengths.get((parent, child), length) if lengths else length
             if parent not in held or length <= 0:
                 continue
             way = points[child] - held[parent] if child in points else np.zeros(3)
