@@ -98,6 +98,15 @@ def test_bound_on_examples_and_copies(spark):
     assert [r.doc_id for r in got if r.text == "vile text"] == [0]
 
 
+def test_words_have_the_terms_that_are_kept():
+    words = ["aber", "abe", "ab", "a", "überaus", "überau", "aberglaube", "zzz", "ber", "laus"]
+    terms = {t: n for n, t in enumerate(t for w in words[::2] for t in toxicity.word_terms(w.encode()))}
+    terms = {t: n for n, t in enumerate(sorted(terms)) if n % 3 or t == "=a"}
+    reader = toxicity.Reader(terms)
+    for w in words:
+        assert sorted(reader.counts(w)) == sorted(terms[t] for t in set(toxicity.word_terms(w.encode())) if t in terms)
+
+
 def test_no_labels_and_one_label(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None), (None, "c")], "doc_id long, text string")
     for rows in ([], [(1, 0), (2, 0)]):
