@@ -213,9 +213,9 @@ def _pair_errors(errors: DataFrame, by: list[str]) -> DataFrame:
     return two.select(F.col("a.camera_id").alias("cam_a"), F.col("b.camera_id").alias("cam_b"), ((F.col("a.error") + F.col("b.error")) / 2).alias("error"))
 
 
-def camera_sums(frames: DataFrame, rig: Rig, stiffness: float, huber: float, limit: float | None = None) -> tuple[np.ndarray, np.ndarray, float, int]:
+def camera_sums(frames: DataFrame, rig: Rig, stiffness: float, huber: float, limit: float | None = None, judge: Rig | None = None) -> tuple[np.ndarray, np.ndarray, float, int]:
     """The summed normal equations of the cameras, their slope, the cost and the number of frames. Corners whose mean error over
-    their views is `limit` or more do not count. Tasks add up their frames; Spark adds up the (rig-sized) sums of tasks."""
+    their views, with the cameras of `judge`, is `limit` or more do not count. Tasks add up their frames; Spark adds up the (rig-sized) sums of tasks."""
     number, size = {name: n for n, name in enumerate(rig.names)}, UNKNOWNS * len(rig.names)
 
     def add(batches):
@@ -224,8 +224,8 @@ def camera_sums(frames: DataFrame, rig: Rig, stiffness: float, huber: float, lim
             for views in batch["views"]:
                 frame = _frame(views, number)
                 if limit is not None:
-                    points = _triangulated(rig, frame.cam, frame.corner, frame.uv, len(frame.board))
-                    errors = np.linalg.norm(rig.pixels(frame.cam, points[frame.corner]) - frame.uv, axis=1)
+                    points = _triangulated(judge, frame.cam, frame.corner, frame.uv, len(frame.board))
+                    errors = np.linalg.norm(judge.pixels(frame.cam, points[frame.corner]) - frame.uv, axis=1)
                     means = np.bincount(frame.corner, errors) / np.bincount(frame.corner)
                     corners = sorted({v["corner_id"] for v in views})
                     frame = _frame(views, number, {c for c, m in zip(corners, means.tolist(), strict=True) if m < limit})
@@ -254,12 +254,12 @@ def adjust(
     `start` to `end` (even steps of the logarithm), but not over the largest 75th and not under the largest 15th percentile
     of any pair of cameras. Then up to `steps` damped Gauss-Newton passes over all kept corners, with Huber weights. It
     ends early where the median error is under `enough`. The camera `pinned` stays in its place. stiffness: weight of a unit
-    of distance between a point and its board, in pixels. Passes: at most rounds * (1 + 2 * steps).
+    of distance between a point and its board, in pixels. Passes: at most rounds * (2 + steps).
     """
     frames = cut(packed_frames(views, board, by, rig.names))
     free = np.ones(UNKNOWNS * len(rig.names), bool)
     free[UNKNOWNS * pinned : UNKNOWNS * pinned + 6] = False
-    told = []
+    told, damping = [], 1e-9
     for limit in np.exp(np.linspace(np.log(start), np.log(end), rounds)).tolist():
         errors = cut(scored(frames, rig, by, stiffness))
         means = errors.groupBy(*by, "corner_id").agg(F.avg("error").alias("error"))
@@ -269,20 +269,20 @@ def adjust(
             break
         lowest, highest = pair_percentiles(_pair_errors(errors, by)).agg(F.max("low"), F.max("high")).first()
         limit = max(min(limit, limit if highest is None else highest), lowest or 0.0)
-        damping, cost = 1e-4, None
-        whole, slope, cost, n = camera_sums(frames, rig, stiffness, huber, limit)
+        judge = rig
+        whole, slope, cost, n = camera_sums(frames, rig, stiffness, huber, limit, judge)
         for _ in range(steps if n else 0):
             a = whole[np.ix_(free, free)]
             step = np.zeros(len(free))
-            step[free] = -np.linalg.solve(a + damping * np.diag(np.diag(a)) + 1e-12 * np.trace(a) / len(a) * np.eye(len(a)), slope[free])
+            step[free] = -np.linalg.solve(a + np.diag(damping * np.diag(a) + 1e-300), slope[free])
             tried = rig.moved(step)
-            again = camera_sums(frames, tried, stiffness, huber, limit)
-            if again[3] >= n and again[2] / max(again[3], 1) <= cost / n * (1 + 1e-12):
-                done = cost - again[2] < 1e-6 * cost
-                rig, (whole, slope, cost, n), damping = tried, again, damping / 10
+            again = camera_sums(frames, tried, stiffness, huber, limit, judge)
+            if again[3] >= n and again[2] <= cost:
+                done = cost - again[2] < 1e-9 * cost
+                rig, (whole, slope, cost, n), damping = tried, again, max(damping / 10, 1e-12)
                 if done:
                     break
             else:
-                damping *= 10
+                damping *= 1000
         told.append({"median": median, "limit": limit, "cost": cost})
     return rig, told
