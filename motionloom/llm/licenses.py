@@ -8,7 +8,7 @@ equal ones the first rule's stays.
 
 Rules are hand-written names of licenses (NAMES) seen in hand-written contexts (CONTEXTS),
 SPDX identifiers (IDS) behind an SPDX tag, anywhere in its expression, or a grant, and notices that
-need no name (NOTICES): some 500 regexes. A context gives priority and confidence: an
+need no name (NOTICES): some 600 regexes. A context gives priority and confidence: an
 SPDX tag is above a grant, a grant above a bare mention.
 
 Edge cases: a null or empty text has no words and no labels; repeated rows are scanned alike; of equal
@@ -209,6 +209,8 @@ beerware; beerware; beerware
 """
 SUFFIX = "(?: only| or later)?"
 EXCEPTION = "(?: with (?:[a-z0-9]+ ){1,5}?exception(?: \\d \\d)?)?"
+#: What stands before an identifier that is granted.
+UNDER = "(?:(?:dual |re|sub)?licen[sc]ed(?: as)?|(?:(?:dual |re|sub)?licen[sc]ed|released|distributed|published|available|redistributed|provided|covered|offered)(?: to you)? under)(?: the)?(?: terms(?: and conditions)? of)?(?: the)?(?: gnu)? "
 #: kind; priority; confidence; what stands before a name.
 CONTEXTS = """
 spdx; 4; 1.0; spdx licen[sc]e identifier\x20
@@ -259,12 +261,14 @@ def rules() -> list[tuple[str, str, int, float, str, re.Pattern]]:
         prefix = f"{before[0].strip()} " if before and before[0].strip() else ""
         for label, keyword, name in lines(NAMES):
             found.append((label, kind, int(priority), float(confidence), keyword, prefix + name))
+    # identifiers are also names of products and people: a grant says `under` or `licensed`, or has the word license behind them
     spdx, grant = [f"{c[3].strip()} " for c in lines(CONTEXTS.replace("0.7;\n", "0.7; \n"))[:2]]
     every = "|".join(name for _, _, name in lines(IDS))
     for label, keyword, name in lines(IDS):
         found.append((label, "spdx", 4, 1.0, keyword, f"{spdx}{name}{SUFFIX}"))
         found.append((label, "spdx", 4, 1.0, keyword, f"{spdx}(?:(?:{every}){SUFFIX}{EXCEPTION} (?:and|or) )+(?P<id>{name}{SUFFIX})"))
-        found.append((label, "grant", 3, 0.95, keyword, f"{grant}{name}{SUFFIX}"))
+        found.append((label, "grant", 3, 0.95, keyword, f"{UNDER}{name}{SUFFIX}"))
+        found.append((label, "grant", 3, 0.95, keyword, f"{grant}{name}{SUFFIX} licen[sc]e"))
     for label, priority, confidence, keyword, pattern in lines(NOTICES):
         found.append((label, "notice", int(priority), float(confidence), keyword, pattern))
     return [(*rest, re.compile(rf"(?<![^ ])(?:{pattern})(?![^ ])")) for *rest, pattern in found]

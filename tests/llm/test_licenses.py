@@ -93,3 +93,16 @@ def test_labels_and_scores_against_brute_force(spark, sf_dir):
     got = {r.doc_id: (r.labels, r.score) for r in licenses.op8_labels(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: brute_labels(t) for i, t in rows}
     assert {"mit", "apache", "license-url"} <= set(got[500][0].split(","))
+
+
+def test_ordinary_prose_has_no_labels():
+    """Names of licenses are also products, people and places."""
+    names = ["JSON", "Vim", "Ruby", "MIT", "ISC", "W3C", "OpenSSL", "PostgreSQL", "zlib", "Python 2.0", "PHP 3.01", "NCSA", "X11", "libpng", "Elastic 2.0"]
+    frames = ["The data is provided with {} and the editor", "The book was published by {}", "It is available with {}", "offered by {} in 1999", "was released by {}", "covered by {} and others", "They have distributed with {} since May", "licensed by {} staff"]
+    for frame in frames:
+        for name in names:
+            assert labels(frame.format(name)) == [], frame.format(name)
+    for text in ("The data is provided with JSON and the editor is distributed with Vim", "a license to drive", "Apache helicopters", "he went to the common and by the river", "permission was denied", "reserved seats for all", "the general public", "copyright law changed", "the public library"):
+        assert labels(text) == [], text
+    for text, label in (("Licensed MIT", "mit"), ("dual licensed under MIT and others", "mit"), ("released under the terms of the ISC", "isc"), ("provided with Ruby license", "ruby"), ("distributed by the Vim licence", "vim")):
+        assert label in [x for x, _ in labels(text)], text
