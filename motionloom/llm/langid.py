@@ -236,7 +236,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     draw = F.xxhash64("doc_id", F.length("text"))
     drawn = rows.join(rate, "lang").where(F.pmod(draw, F.lit(1 << 20)) / (1 << 20) < F.col("rate"))
     so_far = F.sum(F.length(F.col("text").cast("binary"))).over(Window.partitionBy("lang").orderBy(draw, "text").rowsBetween(Window.unboundedPreceding, 0))
-    sample = drawn.withColumn("bytes", so_far).where(F.col("bytes") <= FIT_BYTES).select("lang", "text").collect()
+    before = so_far - F.length(F.col("text").cast("binary"))  # the text that passes the bound is the last one, and is cut to it
+    sample = drawn.withColumn("before", before).where(F.col("before") < FIT_BYTES).select("lang", F.substr("text", F.lit(1), F.lit(FIT_BYTES) - F.col("before")).alias("text")).collect()
     pairs = sorted((r["lang"], r["text"]) for r in sample)
     return train(pairs, sorted({p[0] for p in pairs}))
 

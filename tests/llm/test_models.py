@@ -188,3 +188,11 @@ def test_few_tokens_and_remainders_teach():
 
 def test_prose_helper_is_stable():
     assert prose(1, 5) == prose(1, 5)
+
+
+def test_a_language_whose_first_text_is_over_the_bound_is_learnt(spark, monkeypatch):
+    monkeypatch.setattr(langid, "FIT_BYTES", 2000)
+    es, en = "el perro corre por la calle y la gata duerme en la casa ", "the dog runs along the street while the cat sleeps in a house "
+    rows = [(n, en * 3, "en") for n in range(10)] + [(100, es * 200, "es"), (101, es * 300, "es")]
+    field = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(field.languages) == ["en", "es"]
