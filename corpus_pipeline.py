@@ -55,11 +55,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{n}")
-            docs = spark.read.parquet(f"{folder}/{n}")
-    packed = cut(docs)  # what the last stage returns stands by itself, so that the copies in between can go
-    drop_folder(spark, folder)
-    return packed
+    try:
+        for n, (_, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if n + 1 < len(STAGES):
+                docs.write.parquet(f"{folder}/{n}")
+                docs = spark.read.parquet(f"{folder}/{n}")
+        return cut(docs)  # what the last stage returns stands by itself, so that the copies in between can go
+    finally:
+        drop_folder(spark, folder)
