@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import adjust, asof, boards, epochs, rigid, robust, series
+from ..sources import cache, npy, wire
 from ..streaming import epochs as live_epochs
 from ..streaming import pending, replay
 from . import demo
@@ -288,3 +289,45 @@ def filled_and_smoothed(spark, sf_dir):
     return rounded(series.fill_and_smooth(df, ["keypoint"], "frame", ["x", "y", "z"], 30.0, 6.0, 256.0, block_samples=256), 4)
 
 
+
+
+# Sinks: what is written comes back
+
+
+@query(f"SELECT label AS recording, frame, keypoint, {r('x::FLOAT::DOUBLE', 'x', 3)}, {r('y::FLOAT::DOUBLE', 'y', 3)}, {r('z::FLOAT::DOUBLE', 'z', 3)} FROM ({demo.POINTS_SQL}) WHERE keypoint <> '4' OR frame % 3 > 0")
+def wire_round_trip(spark, sf_dir):
+    """Every frame as a binary message and back; some points are not there, and come back as not seen."""
+    points = demo.points(spark, sf_dir).where("keypoint <> '4' or frame % 3 > 0").withColumnRenamed("label", "recording")
+    points = points.select("*", F.lit("").alias("camera_id"), F.lit("body").alias("tracker_id"))
+    names = spark.range(demo.KEYPOINTS).select(F.lit("body").alias("tracker_id"), F.col("id").cast("string").alias("keypoint"), F.col("id").cast("int").alias("ord"))
+    messages = wire.encoded(wire.blocks(points, names, ["recording"]), ["recording"], embed_names=True)
+    seen = wire.decoded(messages, ["recording"]).where("visibility > 0")
+    return rounded(seen.select("recording", "frame", F.col("name").alias("keypoint"), "x", "y", "z"), 3)
+
+
+CACHED = f"""WITH {EVENTS}, f AS (SELECT 'r' || ("user" % 3) AS recording, type AS camera_id, event_id AS frame, event_id + 1000 AS connection_frame, value FROM e)
+SELECT recording, camera_id, frame, CASE WHEN frame % 4 > 0 THEN {r('value', 'x')[:-5]} END AS x FROM f"""
+
+
+@query(CACHED)
+def observation_cache(spark, sf_dir):
+    """Observations by connection frame are written and found again by recording frame; frames that were dropped have none."""
+    df = demo.events(spark, sf_dir)
+    frames = df.select(F.concat(F.lit("r"), F.col("user") % 3).alias("recording"), F.col("type").alias("camera_id"), F.col("event_id").alias("frame"), (F.col("event_id") + 1000).alias("connection_frame"), F.col("value").alias("x"))
+    folder = replay.shared_folder(spark, "observations")
+    board = cache.Board(7, 5, 58.0, "DICT_4X4_250")
+    kept = frames.where("frame % 4 > 0").withColumns({"corner_id": F.lit(0), "y": F.lit(0.0)})
+    cache.write_cache(kept, folder, board)
+    hits, misses = cache.recalled(frames.drop("x"), cache.cached_observations(spark, folder, board))
+    told = hits.select("recording", "camera_id", "frame", "x").unionByName(misses, allowMissingColumns=True)
+    return rounded(told)
+
+
+@query(f"SELECT 'label' || label AS camera_id, frame, keypoint::BIGINT AS point, {r('x', 'v0')}, {r('y', 'v1')}, {r('z', 'v2')} FROM ({demo.POINTS_SQL}) WHERE keypoint::INT < 5")
+def array_round_trip(spark, sf_dir):
+    """Points as arrays of a camera (a label) and back, in ranges of 100 frames."""
+    points = demo.points(spark, sf_dir).where("cast(keypoint as int) < 5")
+    rows = points.select(F.concat(F.lit("label"), "label").alias("camera_id"), "frame", F.col("keypoint").cast("long").alias("point"), F.col("x").alias("v0"), F.col("y").alias("v1"), F.col("z").alias("v2"))
+    folder = replay.shared_folder(spark, "arrays")
+    npy.write_npy(rows, folder, 5, frames_per_task=100)
+    return rounded(npy.read_npy(spark, folder, frames_per_task=100))
