@@ -72,6 +72,14 @@ def match_camera(data: DataFrame, cameras: DataFrame) -> DataFrame:
     return exact.select("data_key", "camera_id").unionByName(by_number.select("data_key", "camera_id"))
 
 
+def match_camera_strictly(data: DataFrame, cameras: DataFrame) -> DataFrame:
+    """As `match_camera`; the query fails at a key that no camera fits."""
+    found = match_camera(data, cameras)
+    all_ = data.select("data_key").distinct().join(found, "data_key", "left")
+    fail = F.raise_error(F.concat(F.lit("no camera fits "), "data_key"))
+    return all_.select("data_key", F.when(F.col("camera_id").isNotNull(), F.col("camera_id")).otherwise(fail).alias("camera_id"))
+
+
 def match_by_part(data: DataFrame, cameras: DataFrame) -> DataFrame:
     """data_key, camera_id where the name of a calibrated camera is part of the key; of several the longest name. cameras is a
     short list, broadcast."""

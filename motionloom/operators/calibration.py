@@ -157,6 +157,23 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+def summary(deltas: DataFrame) -> DataFrame:
+    """One row: n_cameras, and mean and largest of each difference of `compare`."""
+    names = {"focal": "focal_delta", "center": "center_delta", "position": "position_delta", "angle": "angle"}
+    told = [f(c).alias(f"{k}_{n}") for n, c in names.items() for k, f in (("mean", F.avg), ("max", F.max))]
+    return deltas.agg(F.count("*").alias("n_cameras"), *told)
+
+
+def compare_strictly(a: DataFrame, b: DataFrame) -> DataFrame:
+    """As `compare`; the query fails if one side has a camera that the other lacks."""
+    from .align import same_ids
+
+    odd = same_ids(a, b, "camera_id").agg(F.array_sort(F.collect_list("camera_id")).alias("_odd"))
+    checked = compare(a, b).join(F.broadcast(odd))  # one row
+    fail = F.raise_error(F.concat(F.lit("cameras of one calibration only: "), F.array_join("_odd", ", ")))
+    return checked.withColumn("angle", F.when(F.size("_odd") == 0, F.col("angle")).otherwise(fail)).drop("_odd")
+
+
 def ground_plane(corners: DataFrame, board: DataFrame, cameras: np.ndarray, by: str, limit: float, least: int, least_seen: int = 3) -> DataFrame:
     """by, n_frames, origin ox, oy, oz and axes g00 to g22 (columns) of the floor that a lying board shows, per recording.
 

@@ -19,6 +19,11 @@ def visible(obs: DataFrame) -> DataFrame:
     return obs.withColumns({c: F.when(F.col("visibility") > 0, F.col(c)) for c in ("x", "y")})
 
 
+def stage_points(obs: DataFrame, first: int) -> DataFrame:
+    """The first points of a stage (point: 0, 1 ...), null where they were not seen."""
+    return visible(obs.where(F.col("point") < first))
+
+
 def seen_by(obs: DataFrame, least: int = 2, by: tuple[str, ...] = ("frame", "keypoint")) -> DataFrame:
     """Observations of points that at least `least` cameras see (x is not null); by join, as an aggregate is smaller than a
     window over all observations."""

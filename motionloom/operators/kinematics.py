@@ -150,3 +150,37 @@ def segment_seeds(ratios: DataFrame, height: float) -> DataFrame:
         raise ValueError(f"a height of {height} seeds nothing")
     length = F.col("ratio") * F.lit(float(height))
     return ratios.select("segment", F.when(F.col("ratio") > 0, length).otherwise(F.raise_error(F.concat(F.lit("no ratio of "), "segment"))).alias("length"))
+
+
+def body_seeds(ratios: DataFrame, heights: DataFrame, by: list[str]) -> DataFrame:
+    """by, segment, length: as segment_seeds, for many bodies. heights: by, height (null or not positive: the query fails)."""
+    sure = F.when(F.col("height") > 0, F.col("height")).otherwise(F.raise_error(F.lit("a body without a height")))
+    ratio = F.when(F.col("ratio") > 0, F.col("ratio")).otherwise(F.raise_error(F.concat(F.lit("no ratio of "), "segment")))
+    return heights.join(F.broadcast(ratios.select("segment", "ratio"))).select(*by, "segment", (ratio * sure).alias("length"))
+
+
+def principal_axes(df: DataFrame) -> DataFrame:
+    """Adds i1 <= i2 <= i3 and the unit axes a1x to a3z of the tensor ixx to iyz, right-handed; all rows of a batch at once. Null
+    where the tensor has a null. Of each axis's two directions that counts whose largest part is positive (the third follows)."""
+    import numpy as np
+    import pandas as pd
+
+    tensor = ["ixx", "iyy", "izz", "ixy", "ixz", "iyz"]
+    added = ["i1", "i2", "i3", *(f"a{k}{c}" for k in (1, 2, 3) for c in "xyz")]
+    names = df.columns
+
+    def solve(batches):
+        for batch in batches:
+            out, t = np.full((len(batch), 12), np.nan), batch[tensor].to_numpy(float)
+            ok = np.isfinite(t).all(axis=1)
+            m = t[ok][:, [0, 3, 4, 3, 1, 5, 4, 5, 2]].reshape(-1, 3, 3)
+            moments, axes = np.linalg.eigh(m)
+            axes = axes.transpose(0, 2, 1)
+            largest = np.take_along_axis(axes, np.abs(axes).argmax(axis=2)[:, :, None], axis=2)
+            axes = axes * np.where(largest < 0, -1, 1)
+            axes[:, 2] = np.cross(axes[:, 0], axes[:, 1])
+            out[ok] = np.column_stack((moments, axes.reshape(-1, 9)))
+            yield batch[names].join(pd.DataFrame(out, columns=added, index=batch.index))
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", " + ", ".join(f"{c} double" for c in added)
+    return df.mapInPandas(solve, schema)

@@ -153,6 +153,14 @@ def framerate_stats(intervals: DataFrame, by: tuple[str, ...] = ()) -> DataFrame
     )
 
 
+def framerate_window(intervals: DataFrame, by: tuple[str, ...], t: str, last: int = 1000) -> DataFrame:
+    """framerate_stats over the last rows of each key."""
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(t)))
+    return framerate_stats(intervals.withColumn("_k", rank).where(F.col("_k") <= last), by)
+
+
 def histogram(values: DataFrame, column: str, widest: float = 40.0, bins: int = 30) -> DataFrame:
     """bin_start, n, density: bins of width 1, or ceil(range / bins) where the range is over `widest`."""
     extent = values.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"), F.count(column).alias("_n"))

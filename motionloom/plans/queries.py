@@ -208,9 +208,17 @@ def frame_completeness(spark, sf_dir):
     return align.completeness(_obs(spark, sf_dir), 5)
 
 
-@query(f"WITH o AS ({OBS_SQL}) SELECT frame, camera_id FROM (SELECT DISTINCT frame FROM o), (SELECT DISTINCT camera_id FROM o) EXCEPT SELECT frame, camera_id FROM o")
+DAYS_SQL = f'SELECT DISTINCT "user"*100 + day(ts) AS frame, type AS camera_id FROM ({demo.EVENTS_SQL})'
+
+
+def _days(spark, sf_dir):
+    """A frame is a user's day, so that few cameras have all frames."""
+    return demo.events(spark, sf_dir).select((F.col("user") * 100 + F.dayofmonth("ts")).alias("frame"), F.col("type").alias("camera_id"))
+
+
+@query(f"WITH o AS ({DAYS_SQL}) SELECT frame, camera_id FROM (SELECT DISTINCT frame FROM o), (SELECT DISTINCT camera_id FROM o) EXCEPT SELECT frame, camera_id FROM o")
 def missing_frames(spark, sf_dir):
-    return align.missing(_obs(spark, sf_dir))
+    return align.missing(_days(spark, sf_dir))
 
 
 @query(f"WITH o AS ({OBS_SQL}) SELECT a.camera_id AS cam_a, b.camera_id AS cam_b, count(*) AS n_shared FROM o a JOIN o b ON a.frame = b.frame AND a.camera_id < b.camera_id GROUP BY 1, 2")
@@ -240,9 +248,9 @@ def top_points_per_pair(spark, sf_dir):
     return ranked.select("cam_a", "cam_b", "frame", "rank")
 
 
-@query(f"WITH o AS ({OBS_SQL}) SELECT frame, 'a' AS only_in FROM o WHERE camera_id = 'click' AND frame NOT IN (SELECT frame FROM o WHERE camera_id = 'error') UNION ALL SELECT frame, 'b' FROM o WHERE camera_id = 'error' AND frame NOT IN (SELECT frame FROM o WHERE camera_id = 'click')")
+@query(f"WITH o AS ({DAYS_SQL}) SELECT frame, 'a' AS only_in FROM o WHERE camera_id = 'click' AND frame NOT IN (SELECT frame FROM o WHERE camera_id = 'error') UNION ALL SELECT frame, 'b' FROM o WHERE camera_id = 'error' AND frame NOT IN (SELECT frame FROM o WHERE camera_id = 'click')")
 def frame_set_difference(spark, sf_dir):
-    obs = _obs(spark, sf_dir)
+    obs = _days(spark, sf_dir)
     return align.same_ids(obs.where("camera_id = 'click'"), obs.where("camera_id = 'error'"), "frame")
 
 
@@ -472,18 +480,41 @@ def corner_medians(spark, sf_dir):
     return rounded(windows.corner_medians(_corners(spark, sf_dir)))
 
 
-@query(f"SELECT camera_id, fx > 320 AND fx < 1920 AS focal_ok, abs(cx - 320)/640 < 0.25 AS center_ok, {r('fx/fy', 'aspect')} FROM {demo.CAMERAS_SQL}")
+CUSTOMER_CAMERAS = "SELECT 'cam' || c_custkey AS camera_id, 400 + c_acctbal::DOUBLE/4 AS fx, 410 + c_acctbal::DOUBLE/4 AS fy, 320 + c_nationkey*8.0::DOUBLE AS cx, 240 + c_nationkey*2.0::DOUBLE AS cy, c_nationkey AS n FROM customer"
+
+
+def _customer_cameras(spark, sf_dir):
+    """A camera a customer: focal lengths from the balance, the centre from the nation."""
+    df = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    focal, n = F.col("c_acctbal").cast("double") / 4, F.col("c_nationkey")
+    return df.select(F.concat(F.lit("cam"), "c_custkey").alias("camera_id"), (400 + focal).alias("fx"), (410 + focal).alias("fy"), (320 + n * 8.0).alias("cx"), (240 + n * 2.0).alias("cy"), n.alias("n"))
+
+
+@query(f"SELECT camera_id, fx > 320 AND fx < 1920 AS focal_ok, abs(cx - 320)/640 < 0.25 AS center_ok, {r('fx/fy', 'aspect')} FROM ({CUSTOMER_CAMERAS}) WHERE fy <> 0")
 def camera_sanity(spark, sf_dir):
-    return rounded(stats.camera_sanity(demo.cameras(spark).withColumns({"width": F.lit(640), "height": F.lit(480)})))
+    cameras = _customer_cameras(spark, sf_dir).where("fy <> 0")
+    return rounded(stats.camera_sanity(cameras.withColumns({"width": F.lit(640), "height": F.lit(480)})))
+
+
+def _two_calibrations(spark, sf_dir):
+    """Each camera, and a copy with a nation's own changes that is turned about its axis."""
+    turn = F.radians(F.col("n").cast("double") * 7)
+    zero, one = F.lit(0.0), F.lit(1.0)
+    names = [f"r{i}{j}" for i in range(3) for j in range(3)]
+    a = _customer_cameras(spark, sf_dir).withColumns({c: zero for c in ("px", "py", "pz")} | dict(zip(names, [one, zero, zero, zero, one, zero, zero, zero, one], strict=True)))
+    b = a.withColumns({"fx": F.col("fx") + F.col("n"), "cy": F.col("cy") - 2 * F.col("n"), "px": F.col("n") * 3.0, "pz": F.col("n") * 4.0, "r00": F.cos(turn), "r01": -F.sin(turn), "r10": F.sin(turn), "r11": F.cos(turn)})
+    return a, b
 
 
-@query(f"SELECT camera_id, {r('sqrt(200)', 'focal_delta')}, 5.0::DOUBLE AS center_delta, 0.0::DOUBLE AS position_delta, 90.0::DOUBLE AS angle FROM {demo.CAMERAS_SQL}")
+@query(f"SELECT camera_id, {r('n', 'focal_delta')}, {r('2*n', 'center_delta')}, {r('5*n', 'position_delta')}, {r('7*n', 'angle')} FROM ({CUSTOMER_CAMERAS})".replace("round(n, 6)", "round(n::DOUBLE, 6)").replace("round(2*n, 6)", "round(2.0::DOUBLE*n, 6)").replace("round(5*n, 6)", "round(5.0::DOUBLE*n, 6)").replace("round(7*n, 6)", "round(7.0::DOUBLE*n, 6)"))
 def calibration_deltas(spark, sf_dir):
-    """Against a copy with other intrinsics and the image turned a quarter: rows r0 and r1 change places."""
-    a = demo.cameras(spark).withColumns({c: F.lit(0.0) for c in ("px", "py", "pz")})
-    turned = {f"r0{j}": F.col(f"r1{j}") for j in range(3)} | {f"r1{j}": -F.col(f"r0{j}") for j in range(3)}
-    b = a.withColumns(turned | {"fx": F.col("fx") + 10, "fy": F.col("fy") + 10, "cx": F.col("cx") + 3, "cy": F.col("cy") + 4})
-    return rounded(calibration.compare(a, b))
+    return rounded(calibration.compare(*_two_calibrations(spark, sf_dir)))
+
+
+@query(f"SELECT count(*) AS n_cameras, {r('avg(n::DOUBLE)', 'mean_focal')}, max(n)::DOUBLE AS max_focal, {r('avg(5.0::DOUBLE*n)', 'mean_position')}, max(5*n)::DOUBLE AS max_position, {r('avg(7.0::DOUBLE*n)', 'mean_angle')}, {r('max(7.0::DOUBLE*n)', 'max_angle')} FROM ({CUSTOMER_CAMERAS})")
+def calibration_summary(spark, sf_dir):
+    told = calibration.summary(calibration.compare(*_two_calibrations(spark, sf_dir)))
+    return rounded(told.select("n_cameras", "mean_focal", "max_focal", "mean_position", "max_position", "mean_angle", "max_angle"))
 
 
 @query()
@@ -579,10 +610,12 @@ def inertia(spark, sf_dir):
     return rounded(_inertia(spark, sf_dir), 3)
 
 
-@query(f"{INERTIA} SELECT frame, {r('ixx+iyy+izz', 'trace', 2)} FROM i")
+@query(f"{INERTIA} SELECT frame, {r('ixx+iyy+izz', 'trace', 2)}, {r('cbrt(ixx*(iyy*izz-iyz*iyz) - ixy*(ixy*izz-iyz*ixz) + ixz*(ixy*iyz-iyy*ixz))', 'mean', 2)}, {r('sqrt(ixx*ixx+iyy*iyy+izz*izz+2*(ixy*ixy+ixz*ixz+iyz*iyz))', 'size', 2)} FROM i")
 def principal_trace(spark, sf_dir):
+    """Sum, product (its cube root) and sum of squares (its root) of the principal moments: the three invariants of the tensor."""
     df = kinematics.principal_moments(_inertia(spark, sf_dir))
-    return rounded(df.select("frame", (F.col("i1") + F.col("i2") + F.col("i3")).alias("trace")), 2)
+    i1, i2, i3 = F.col("i1"), F.col("i2"), F.col("i3")
+    return rounded(df.select("frame", (i1 + i2 + i3).alias("trace"), F.cbrt(i1 * i2 * i3).alias("mean"), F.sqrt(i1 * i1 + i2 * i2 + i3 * i3).alias("size")), 2)
 
 
 PRINCIPAL = f"""{INERTIA}, q AS (SELECT *, (ixx+iyy+izz)/3 AS q, sqrt(((ixx-(ixx+iyy+izz)/3)**2 + (iyy-(ixx+iyy+izz)/3)**2 + (izz-(ixx+iyy+izz)/3)**2 + 2*(ixy*ixy+ixz*ixz+iyz*iyz))/6) AS p FROM i),
@@ -695,9 +728,11 @@ def stream_frame_join(spark, sf_dir):
 
 # Rigs, boards and views
 
-@query("SELECT * FROM (VALUES (0, 'cam2'), (1, 'cam0')) AS v(ord, camera_id)")
+@query("SELECT ord::INT AS ord, 'cam' || n_nationkey AS camera_id, n_regionkey FROM nation JOIN (VALUES (0, 7), (1, 2), (2, 21)) AS v(ord, k) ON v.k = n_nationkey")
 def camera_subset(spark, sf_dir):
-    return triangulate.rig_subset(demo.cameras(spark), ["cam2", "cam0"]).select("ord", "camera_id")
+    """Three of a rig whose cameras are nations, in the order asked for."""
+    rig = spark.read.parquet(f"{sf_dir}/nation.parquet").withColumn("camera_id", F.concat(F.lit("cam"), "n_nationkey"))
+    return triangulate.rig_subset(rig, ["cam7", "cam2", "cam21"]).select("ord", "camera_id", "n_regionkey")
 
 
 @query(f"SELECT frame, keypoint, {r('x', 'x', 3)}, {r('y', 'y', 3)}, {r('z', 'z', 3)} FROM ({demo.POINTS_SQL})")
@@ -715,10 +750,11 @@ def triangulate_outlier(spark, sf_dir):
     return rounded(found.select("frame", "keypoint", "x", "y", "z", F.element_at("weights", "cam2").alias("w2")), 3)
 
 
-@query(f"SELECT frame, keypoint, camera_id, (frame % 3)::DOUBLE AS du, -2.0::DOUBLE AS dv FROM ({demo.SEEN_SQL})")
+@query(f"SELECT frame, keypoint, camera_id, {r('fx*a + cx - u', 'du')}, {r('fy*b + cy - v', 'dv')} FROM ({demo.PROJECTED_SQL})")
 def signed_reprojection(spark, sf_dir):
+    """What a lens without distortion would see, against the projection."""
     df = _projected(spark, sf_dir)
-    du, dv = cam.signed_error(F.col("u") + F.col("frame") % 3, F.col("v") - 2, F.col("u"), F.col("v"))
+    du, dv = cam.signed_error(F.col("fx") * F.col("a") + F.col("cx"), F.col("fy") * F.col("b") + F.col("cy"), F.col("u"), F.col("v"))
     return rounded(df.select("frame", "keypoint", "camera_id", du.alias("du"), dv.alias("dv")))
 
 
@@ -756,9 +792,11 @@ def dense_ids(spark, sf_dir):
     return align.dense_ids(demo.events(spark, sf_dir), "type", "id").select("type", "id").distinct()
 
 
-@query("SELECT 'rec_cam' || k || '_xyz.npy' AS data_key, 'cam' || k AS camera_id FROM range(3) AS t(k)")
+@query("SELECT 'rec_cam' || c_custkey % 6 || '_' || c_custkey || '.npy' AS data_key, 'cam' || c_custkey % 6 AS camera_id FROM customer WHERE c_custkey % 6 < 4")
 def camera_by_part(spark, sf_dir):
-    data = spark.range(3).select(F.concat(F.lit("rec_cam"), "id", F.lit("_xyz.npy")).alias("data_key")).unionByName(spark.createDataFrame([("rec_camx",)], "data_key string"))
+    """Arrays named after cameras; two of six cameras are not in the calibration."""
+    n = F.col("c_custkey") % 6
+    data = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("rec_cam"), n, F.lit("_"), "c_custkey", F.lit(".npy")).alias("data_key"))
     return align.match_by_part(data, demo.cameras(spark))
 
 
@@ -864,9 +902,39 @@ def overlay_boxes(spark, sf_dir):
     return rounded(gates.overlay(pts, 0.5, 0.25).select("frame", F.size("points").alias("n"), "left", "right", "top", "bottom"))
 
 
-@query(f"SELECT segment, {r('ratio*1700', 'length')} FROM {demo.SEGMENTS_SQL}")
+@query(f"SELECT label, segment, {r('ratio*height', 'length')} FROM {demo.SEGMENTS_SQL} s, (SELECT label, max(z) AS height FROM ({demo.POINTS_SQL}) GROUP BY 1) h")
 def segment_seeds(spark, sf_dir):
-    return rounded(kinematics.segment_seeds(demo.segments(spark), 1700.0))
+    """Seeds of each recording's body; its height is the largest that was measured."""
+    heights = demo.points(spark, sf_dir).groupBy("label").agg(F.max("z").alias("height"))
+    return rounded(kinematics.body_seeds(demo.segments(spark), heights, ["label"]))
+
+
+@query(f"""WITH f AS (SELECT "user", t, row_number() OVER (PARTITION BY "user" ORDER BY t DESC) AS k, 1000*(t - lag(t) OVER (PARTITION BY "user" ORDER BY t)) AS ms FROM ({demo.EVENTS_SQL}))
+SELECT "user", count(ms) AS n, {r('avg(ms)', 'mean', 4)}, {r('max(ms)', 'max', 4)} FROM f WHERE k <= 20 GROUP BY 1""")
+def framerate_last(spark, sf_dir):
+    """Frame rates over the last 20 intervals of each camera."""
+    df = demo.events(spark, sf_dir)
+    from pyspark.sql import Window
+
+    rows = df.select("user", "t", (1000 * (F.col("t") - F.lag("t").over(Window.partitionBy("user").orderBy("t")))).alias("ms"))
+    return rounded(stats.framerate_window(rows, ("user",), "t", 20).select("user", "n", "mean", "max"), 4)
+
+
+@query(f"SELECT frame, keypoint::INT AS point, {r('CASE WHEN visibility > 0 THEN x END', 'x')} FROM ({demo.SEEN_SQL}) WHERE camera_id = 'cam1' AND keypoint::INT < 10")
+def stage_points(spark, sf_dir):
+    """The first ten points of a camera's stage; those with visibility 0 are null."""
+    seen = demo.seen(spark, sf_dir).where("camera_id = 'cam1'").withColumn("point", F.col("keypoint").cast("int"))
+    return rounded(gates.stage_points(seen, 10).select("frame", "point", "x"))
+
+
+@query(f"WITH {INERTIA} SELECT frame, {r('ixx', 'ixx', 2)}, {r('ixy', 'ixy', 2)}, {r('iyz', 'iyz', 2)}, 1.0::DOUBLE AS handed FROM i".replace("WITH WITH", "WITH"))
+def principal_axes(spark, sf_dir):
+    """The tensor put together again from its moments and axes, which are right-handed."""
+    df = kinematics.principal_axes(_inertia(spark, sf_dir))
+    back = lambda a, b: sum((F.col(f"i{k}") * F.col(f"a{k}{a}") * F.col(f"a{k}{b}") for k in (2, 3)), F.col("i1") * F.col(f"a1{a}") * F.col(f"a1{b}"))
+    a, b, c = ([F.col(f"a{k}{x}") for x in "xyz"] for k in (1, 2, 3))
+    handed = (a[1] * b[2] - a[2] * b[1]) * c[0] + (a[2] * b[0] - a[0] * b[2]) * c[1] + (a[0] * b[1] - a[1] * b[0]) * c[2]
+    return rounded(df.select("frame", back("x", "x").alias("ixx"), back("x", "y").alias("ixy"), back("y", "z").alias("iyz"), handed.alias("handed")), 2)
 
 
 from . import long_queries  # noqa: E402, F401  registers its queries

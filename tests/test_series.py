@@ -333,3 +333,27 @@ def test_fallback_to_the_better_half(spark):
     start = table(spark, [(0, *np.eye(3).ravel().tolist(), 0.0, 0.0, 0.0)], f"pair int, {names}")
     got = robust._step(df, start, ["pair"], 0.1).first()
     assert got.t0 == pytest.approx(1.0)  # the first three of seven
+
+
+def test_strict_forms_fail_on_a_miss(spark):
+    from motionloom.operators import align, calibration, kinematics
+
+    a = table(spark, [("cam0", 1.0), ("cam1", 1.0)], "camera_id string, fx double").withColumns({c: F.lit(1.0) for c in ("fy", "cx", "cy", "px", "py", "pz", *[f"r{i}{j}" for i in range(3) for j in range(3)])})
+    assert calibration.compare_strictly(a, a).count() == 2
+    with pytest.raises(Exception, match="cam1"):
+        calibration.compare_strictly(a, a.where("camera_id = 'cam0'")).collect()
+    keys = table(spark, [("cam0",), ("camera_1",)], "data_key string")
+    assert {(r.data_key, r.camera_id) for r in align.match_camera_strictly(keys, a).collect()} == {("cam0", "cam0"), ("camera_1", "cam1")}
+    with pytest.raises(Exception, match="cam7"):
+        align.match_camera_strictly(keys.unionByName(table(spark, [("cam7",)], "data_key string")), a).collect()
+    ratios = table(spark, [("thigh", 0.2)], "segment string, ratio double")
+    with pytest.raises(Exception, match="height"):
+        kinematics.body_seeds(ratios, table(spark, [(1, 0.0)], "label int, height double"), ["label"]).collect()
+
+
+def test_axes_of_a_tensor_with_a_null(spark):
+    from motionloom.operators import kinematics
+
+    df = table(spark, [(1, 3.0, 1.0, 2.0, 0.0, 0.0, 0.0), (2, None, 1.0, 1.0, 0.0, 0.0, 0.0)], "frame int, ixx double, iyy double, izz double, ixy double, ixz double, iyz double")
+    rows = {r.frame: r for r in kinematics.principal_axes(df).collect()}
+    assert (rows[1].i1, rows[1].i2, rows[1].i3) == (1.0, 2.0, 3.0) and abs(rows[1].a1y) == 1.0 and rows[2].i1 is None or np.isnan(rows[2].i1)
