@@ -315,7 +315,14 @@ def stable_run(spark, sf_dir):
     return rounded(windows.stable_runs(motion, "user", "t", 60.0, 5))
 
 
-ORDERED = f'SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY t) AS i FROM ({demo.EVENTS_SQL})'
+#: Every ninth event was not observed: such a row stays null and leaves a filter's state as it is, but moves the clock of a gate.
+GAPS = f'SELECT *, t - lag(t) OVER (PARTITION BY "user" ORDER BY t) AS dt FROM ({demo.EVENTS_SQL})'
+ORDERED = f'SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY t) AS i FROM ({GAPS}) WHERE event_id % 9 <> 4'
+UNSEEN = f'FROM ({demo.EVENTS_SQL}) WHERE event_id % 9 = 4'
+
+
+def _observed(spark, sf_dir):
+    return demo.events(spark, sf_dir).select("user", "t", F.when(F.col("event_id") % 9 != 4, F.col("value")).alias("value"))
 
 
 @query(
@@ -326,10 +333,10 @@ ORDERED = f'SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY t) AS i FR
     a(2*pi()*(0.0001 + 0.01*abs(d.dxh))*(e.t - f.t))*e.value + (1 - a(2*pi()*(0.0001 + 0.01*abs(d.dxh))*(e.t - f.t)))*f.x, d.dxh
   FROM f JOIN e ON e."user" = f."user" AND e.i = f.i + 1,
   LATERAL (SELECT a(2*pi()*0.001*(e.t - f.t))*(e.value - f.x)/(e.t - f.t) + (1 - a(2*pi()*0.001*(e.t - f.t)))*f.dx AS dxh) d)
-SELECT "user", t, {r('x', 'value_out')} FROM f""".replace("a(2*pi()*(0.0001 + 0.01*abs(d.dxh))*(e.t - f.t))", "(1 - 1/(1 + 2*pi()*(0.0001 + 0.01*abs(d.dxh))*(e.t - f.t)))").replace("a(2*pi()*0.001*(e.t - f.t))", "(1 - 1/(1 + 2*pi()*0.001*(e.t - f.t)))")
+SELECT "user", t, {r('x', 'value_out')} FROM f UNION ALL SELECT "user", t, NULL {UNSEEN}""".replace("a(2*pi()*(0.0001 + 0.01*abs(d.dxh))*(e.t - f.t))", "(1 - 1/(1 + 2*pi()*(0.0001 + 0.01*abs(d.dxh))*(e.t - f.t)))").replace("a(2*pi()*0.001*(e.t - f.t))", "(1 - 1/(1 + 2*pi()*0.001*(e.t - f.t)))")
 )
 def one_euro(spark, sf_dir):
-    df = demo.events(spark, sf_dir).select("user", "t", "value")
+    df = _observed(spark, sf_dir)
     return rounded(temporal.one_euro(df, ["user"], "t", ["value"], min_cutoff=0.0001, beta=0.01, d_cutoff=0.001).drop("value"))
 
 
@@ -337,13 +344,13 @@ def one_euro(spark, sf_dir):
     f"""WITH RECURSIVE e AS MATERIALIZED ({ORDERED}), f AS (
   SELECT "user", i, t, value AS x, 0 AS n, false AS held FROM e WHERE i = 1
   UNION ALL
-  SELECT e."user", e.i, e.t, CASE WHEN f.n >= 5 OR abs(e.value - f.x)/(e.t - f.t) <= 0.005 THEN e.value ELSE f.x END,
-    CASE WHEN f.n >= 5 OR abs(e.value - f.x)/(e.t - f.t) <= 0.005 THEN 0 ELSE f.n + 1 END, NOT (f.n >= 5 OR abs(e.value - f.x)/(e.t - f.t) <= 0.005)
+  SELECT e."user", e.i, e.t, CASE WHEN f.n >= 5 OR abs(e.value - f.x)/e.dt <= 0.005 THEN e.value ELSE f.x END,
+    CASE WHEN f.n >= 5 OR abs(e.value - f.x)/e.dt <= 0.005 THEN 0 ELSE f.n + 1 END, NOT (f.n >= 5 OR abs(e.value - f.x)/e.dt <= 0.005)
   FROM f JOIN e ON e."user" = f."user" AND e.i = f.i + 1)
-SELECT "user", t, {r('x', 'value_out')}, held AS is_held FROM f"""
+SELECT "user", t, {r('x', 'value_out')}, held AS is_held FROM f UNION ALL SELECT "user", t, NULL, false {UNSEEN}"""
 )
 def velocity_gate(spark, sf_dir):
-    df = demo.events(spark, sf_dir).select("user", "t", "value")
+    df = _observed(spark, sf_dir)
     return rounded(temporal.velocity_gate(df, ["user"], "t", ["value"], 0.005).drop("value"))
 
 
