@@ -1,7 +1,7 @@
 """A data source `npy` of per-camera arrays: read in ranges of frames, written in two phases.
 
 Below `path` a camera has a folder `camera_id=<name>` with files of (frames, points, values) arrays of doubles, each with
-its first frame in its name. Tasks write into a folder of the writing; only the commit moves whole files to their places,
+its first frame in its name; frames without any number are not told when it is read. Tasks write into a folder of the writing; only the commit moves whole files to their places,
 and an abort takes the folder away, so that a failed task leaves no file.
 """
 
@@ -79,8 +79,9 @@ class NpyReader(DataSourceReader):
                 block = np.frombuffer(file.read(n * row), kind).reshape(n * points, values).astype(np.float64)
                 wide = np.full((n * points, 3), np.nan)
                 wide[:, :values] = block
-                frame = np.repeat(np.arange(at, at + n) + partition.first, points)
-                arrays = [pa.array([partition.camera_id] * (n * points)), pa.array(frame), pa.array(np.tile(np.arange(points), n)), *(pa.array(wide[:, c], from_pandas=True) for c in range(3))]
+                told = np.repeat(~np.isnan(wide).reshape(n, -1).all(axis=1), points)
+                frame, point, wide = np.repeat(np.arange(at, at + n) + partition.first, points)[told], np.tile(np.arange(points), n)[told], wide[told]
+                arrays = [pa.array([partition.camera_id] * len(frame), pa.string()), pa.array(frame), pa.array(point), *(pa.array(wide[:, c], from_pandas=True) for c in range(3))]
                 yield pa.RecordBatch.from_arrays(arrays, ["camera_id", "frame", "point", "v0", "v1", "v2"])
 
 
@@ -114,10 +115,10 @@ class NpyWriter(DataSourceWriter):
             held = []
 
         for row in rows:
-            if row.camera_id != camera or row.frame != first + len(held) - 1 and row.frame != first + len(held) or len(held) == FRAMES_A_FILE and row.frame == first + len(held):
+            if row.camera_id != camera or not held or row.frame - first >= FRAMES_A_FILE:
                 flush()
                 camera, first = row.camera_id, row.frame
-            if row.frame == first + len(held):
+            while row.frame >= first + len(held):  # frames between have no numbers
                 held.append(np.full((self.points, 3), np.nan))
             held[-1][row.point] = [np.nan if v is None else v for v in (row.v0, row.v1, row.v2)]
         flush()
