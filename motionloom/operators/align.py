@@ -39,19 +39,19 @@ def uncached(frames: DataFrame, cache: DataFrame) -> DataFrame:
     return frames.join(cache, ["camera_id", "connection_frame"], "left_anti")
 
 
-def camera_pairs(obs: DataFrame, key: str = "frame") -> DataFrame:
-    """key, cam_a, cam_b (cam_a < cam_b) for every two cameras that share a key.
+def camera_pairs(obs: DataFrame, key: str = "frame", by: tuple[str, ...] = ()) -> DataFrame:
+    """by, key, cam_a, cam_b (cam_a < cam_b) for every two cameras that share a key. by: keys of a recording.
 
     A key has at most one entry per camera after the set is collected, so pairs grow with cameras squared (tens), not with
     observations.
     """
-    seen = obs.groupBy(key).agg(F.sort_array(F.collect_set("camera_id")).alias("cams"))
-    a = seen.select(key, "cams", F.posexplode("cams").alias("i", "cam_a"))
-    return a.select(key, "cam_a", F.explode(F.slice("cams", F.col("i") + 2, F.size("cams"))).alias("cam_b"))
+    seen = obs.groupBy(*by, key).agg(F.sort_array(F.collect_set("camera_id")).alias("cams"))
+    a = seen.select(*by, key, "cams", F.posexplode("cams").alias("i", "cam_a"))
+    return a.select(*by, key, "cam_a", F.explode(F.slice("cams", F.col("i") + 2, F.size("cams"))).alias("cam_b"))
 
 
-def shared_counts(obs: DataFrame, key: str = "frame") -> DataFrame:
-    return camera_pairs(obs, key).groupBy("cam_a", "cam_b").agg(F.count("*").alias("n_shared"))
+def shared_counts(obs: DataFrame, key: str = "frame", by: tuple[str, ...] = ()) -> DataFrame:
+    return camera_pairs(obs, key, by).groupBy(*by, "cam_a", "cam_b").agg(F.count("*").alias("n_shared"))
 
 
 def same_ids(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
@@ -126,10 +126,11 @@ def all_corners(corners: DataFrame, board: DataFrame, by: list[str]) -> DataFram
     return grid.join(corners, [*by, "corner_id"], "left")
 
 
-def adjustment_points(corners: DataFrame, min_corners: int = 6, min_cameras: int = 2) -> DataFrame:
-    """Corners to adjust a rig with: of views (frame, camera_id) with min_corners of them, those that min_cameras such views
-    of a frame share."""
-    rich = corners.groupBy("frame", "camera_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_corners).drop("_n")
-    kept = corners.join(rich, ["frame", "camera_id"], "left_semi")
-    shared = kept.groupBy("frame", "corner_id").agg(F.count_distinct("camera_id").alias("_n")).where(F.col("_n") >= min_cameras).drop("_n")
-    return kept.join(shared, ["frame", "corner_id"], "left_semi")
+def adjustment_points(corners: DataFrame, min_corners: int = 6, min_cameras: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
+    """Corners to adjust a rig with: of views (by, frame, camera_id) with min_corners of them, those that min_cameras such
+    views of a frame share. by: keys of a recording."""
+    view, point = [*by, "frame", "camera_id"], [*by, "frame", "corner_id"]
+    rich = corners.groupBy(*view).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_corners).drop("_n")
+    kept = corners.join(rich, view, "left_semi")
+    shared = kept.groupBy(*point).agg(F.count_distinct("camera_id").alias("_n")).where(F.col("_n") >= min_cameras).drop("_n")
+    return kept.join(shared, point, "left_semi")

@@ -93,9 +93,9 @@ def equivalence(a: DataFrame, b: DataFrame) -> DataFrame:
     return joined.select("segment", diff.alias("diff"), (diff <= MAX_EQUIVALENCE_DIFF).alias("equivalent"))
 
 
-def pair_percentiles(errors: DataFrame, low: float = 0.15, high: float = 0.75, over: int = 10) -> DataFrame:
-    """cam_a, cam_b, n, low, high of the mean error of points that both see; pairs with over `over` points."""
-    return errors.groupBy("cam_a", "cam_b").agg(
+def pair_percentiles(errors: DataFrame, low: float = 0.15, high: float = 0.75, over: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, cam_a, cam_b, n, low, high of the mean error of points that both see; pairs with over `over` points."""
+    return errors.groupBy(*by, "cam_a", "cam_b").agg(
         F.count("*").alias("n"), F.percentile("error", F.lit(low)).alias("low"), F.percentile("error", F.lit(high)).alias("high")
     ).where(F.col("n") > over)
 

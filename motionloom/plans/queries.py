@@ -248,6 +248,17 @@ def top_points_per_pair(spark, sf_dir):
     return ranked.select("cam_a", "cam_b", "frame", "rank")
 
 
+@query(
+    f"""WITH o AS (SELECT DISTINCT "user" % 3 AS recording, day(ts) AS frame, type AS camera_id FROM ({demo.EVENTS_SQL}) WHERE event_id % 5 > 1)
+SELECT a.recording, a.camera_id AS cam_a, b.camera_id AS cam_b, count(*) AS n_shared FROM o a JOIN o b ON a.recording = b.recording AND a.frame = b.frame AND a.camera_id < b.camera_id GROUP BY 1, 2, 3"""
+)
+def shared_counts_of_recordings(spark, sf_dir):
+    """Three recordings whose frames have the same numbers and must not meet."""
+    df = demo.events(spark, sf_dir).where("event_id % 5 > 1")
+    obs = df.select((F.col("user") % 3).alias("recording"), F.dayofmonth("ts").alias("frame"), F.col("type").alias("camera_id"))
+    return align.shared_counts(obs, by=("recording",))
+
+
 @query(f"WITH o AS ({DAYS_SQL}) SELECT frame, 'a' AS only_in FROM o WHERE camera_id = 'click' AND frame NOT IN (SELECT frame FROM o WHERE camera_id = 'error') UNION ALL SELECT frame, 'b' FROM o WHERE camera_id = 'error' AND frame NOT IN (SELECT frame FROM o WHERE camera_id = 'click')")
 def frame_set_difference(spark, sf_dir):
     obs = _days(spark, sf_dir)
@@ -780,6 +791,15 @@ def adjustment_points(spark, sf_dir):
     return align.adjustment_points(_views(spark, sf_dir)).select("frame", "camera_id", "corner_id")
 
 
+@query(
+    f"""WITH v AS (SELECT frame // 10 AS frame, frame % 10 AS recording, camera_id, corner_id FROM ({VIEWS})), k AS (SELECT v.* FROM v JOIN (SELECT recording, frame, camera_id FROM v GROUP BY ALL HAVING count(*) >= 6) USING (recording, frame, camera_id))
+SELECT recording, frame, camera_id, corner_id FROM k JOIN (SELECT recording, frame, corner_id FROM k GROUP BY ALL HAVING count(DISTINCT camera_id) >= 2) USING (recording, frame, corner_id)"""
+)
+def adjustment_points_of_recordings(spark, sf_dir):
+    views = _views(spark, sf_dir).select(F.floor(F.col("frame") / 10).alias("frame"), (F.col("frame") % 10).alias("recording"), "camera_id", "corner_id")
+    return align.adjustment_points(views, by=("recording",)).select("recording", "frame", "camera_id", "corner_id")
+
+
 def _board(spark):
     return spark.range(20).select(F.col("id").cast("int").alias("corner_id"), ((F.col("id") % 5) * 40.0).alias("bx"), (F.floor(F.col("id") / 5) * 40.0).alias("by"))
 

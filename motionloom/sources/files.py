@@ -55,10 +55,10 @@ def wide_to_long(wide: DataFrame) -> DataFrame:
     return wide.select(F.col("frame").cast("long"), F.explode(each).alias("p")).select("frame", "p.*")
 
 
-def long_to_wide(points: DataFrame, names: list[str]) -> DataFrame:
-    """One row per frame with {name}_x, {name}_y, {name}_z, of the given names: the pivot needs no pass to find them."""
+def long_to_wide(points: DataFrame, names: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """One row per frame (of the keys by) with {name}_x, {name}_y, {name}_z, of the given names: the pivot needs no pass to find them."""
     at = lambda n, c: F.max(F.when(F.col("keypoint") == n, F.col(c))).alias(f"{n}_{c}")
-    return points.groupBy("frame").agg(*[at(n, c) for n in names for c in "xyz"])
+    return points.groupBy(*by, "frame").agg(*[at(n, c) for n in names for c in "xyz"])
 
 
 def trajectory_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -158,31 +158,32 @@ def npy(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(each, "path string, frame long, point long, values array<double>")
 
 
-def wire_frames(points: DataFrame, names: list[str]) -> DataFrame:
-    """frame, payload: little-endian float32 x, y, z, visibility of every name in order, NaN and 0 where not seen."""
-    at = F.map_from_entries(F.collect_list(F.struct("keypoint", F.array("x", "y", "z"))))
-    frames = points.where("x is not null").groupBy("frame").agg(at.alias("at"))
+def wire_frames(points: DataFrame, names: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """by, frame, payload: little-endian float32 x, y, z, visibility of every name in order, NaN and 0 where not seen; the data of
+    one block of a message (`sources.wire` has the whole)."""
+    at = F.map_from_entries(F.collect_list(F.struct("keypoint", F.array(*[F.col(c).cast("float") for c in "xyz"]).alias("at"))))
+    frames = points.where("x is not null").groupBy(*by, "frame").agg(at.alias("at"))
+    nothing = F.array(*[F.lit(v).cast("float") for v in (float("nan"),) * 3 + (0.0,)])
+    one = F.array(F.lit(1.0).cast("float"))
+    row = lambda n: F.coalesce(F.concat(F.try_element_at("at", F.lit(n)), one), nothing)
+    flat = frames.select(*by, "frame", F.concat(*map(row, names)).alias("values"))
+    keys = [*by, "frame"]
 
     def each(batches):
         for batch in batches:
-            out = []
-            for seen in batch.column(1).to_pylist():
-                block, known = np.full((len(names), 4), np.nan, "<f4"), dict(seen)
-                block[:, 3] = 0
-                for i, n in enumerate(names):
-                    if n in known:
-                        block[i] = (*known[n], 1)
-                out.append(block.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["frame", "payload"])
+            values = batch.column(len(keys)).flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(len(batch), -1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([v.tobytes() for v in values], pa.binary())], [*keys, "payload"])
 
-    return frames.mapInArrow(each, "frame long, payload binary")
+    schema = ", ".join(f"`{k}` {flat.schema[k].dataType.simpleString()}" for k in keys)
+    return flat.mapInArrow(each, f"{schema}, payload binary")
 
 
-def payloads(points: DataFrame, com: DataFrame) -> DataFrame:
-    """frame, payload: JSON of a frame's keypoints and centre of mass, for a message sink."""
+def payloads(points: DataFrame, com: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, frame, payload: JSON of a frame's keypoints and centre of mass, for a message sink."""
     listed = F.sort_array(F.collect_list(F.struct("keypoint", "x", "y", "z"))).alias("keypoints")
-    frames = points.groupBy("frame").agg(listed).join(com.select("frame", F.struct("x", "y", "z").alias("center_of_mass")), "frame", "left")
-    return frames.select("frame", F.to_json(F.struct("frame", "keypoints", "center_of_mass")).alias("payload"))
+    keys = [*by, "frame"]
+    frames = points.groupBy(*keys).agg(listed).join(com.select(*keys, F.struct("x", "y", "z").alias("center_of_mass")), keys, "left")
+    return frames.select(*keys, F.to_json(F.struct("frame", "keypoints", "center_of_mass")).alias("payload"))
 
 
 def catalog(spark: SparkSession, root: str) -> DataFrame:

@@ -32,39 +32,43 @@ def tumbling(values: DataFrame, span: str, by: tuple[str, ...] = (), late: str =
     return told.select(F.col("window.start").alias("start"), *by, "n", "mean", "min", "max")
 
 
-def latest_per_trigger(batch: DataFrame) -> DataFrame:
-    """The newest frame of a micro-batch and how many older ones were passed over; for foreachBatch."""
-    return batch.agg(F.max("frame").alias("frame"), (F.count_distinct("frame") - 1).alias("dropped"))
+def latest_per_trigger(batch: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The newest frame of a micro-batch (of each recording, by) and how many older ones were passed over; for foreachBatch."""
+    return batch.groupBy(*by).agg(F.max("frame").alias("frame"), (F.count_distinct("frame") - 1).alias("dropped"))
 
 
-def filter_stream(points: DataFrame, make_step, columns: list[str], flag: str) -> DataFrame:
-    """Runs a step function of operators.temporal per `keypoint` over a stream in order of ts.
+def filter_stream(points: DataFrame, make_step, columns: list[str], flag: str, by: tuple[str, ...] = ("keypoint",)) -> DataFrame:
+    """Runs a step function of operators.temporal per key over a stream in order of t.
 
-    points: keypoint, t (seconds), ts and columns. The step object is the state; rows of one trigger are taken in order of t.
+    points: by (as recording, keypoint), t (seconds), ts and columns. The step object is the state; rows of one trigger are
+    taken in order of t.
     """
     import pickle
 
+    import numpy as np
     import pandas as pd
 
     fields = ", ".join(f"{c} double, {c}_out double" for c in columns)
+    keys = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in by)
 
     def run(key, batches, state):
         step = pickle.loads(state.get[0]) if state.exists else make_step()
         rows = pd.concat(list(batches)).sort_values("t", kind="stable")
-        out = []
-        for row in rows.itertuples(index=False):
-            x = pd.Series([getattr(row, c) for c in columns], dtype=float).to_numpy()
-            got = step.step(row.t, x)
+        seen = rows[columns].to_numpy(float)
+        out, marks = np.full_like(seen, np.nan), []
+        for n, (t, x) in enumerate(zip(rows["t"].to_numpy(float).tolist(), seen, strict=True)):
+            got = step.step(t, x)
             value, marked = got if isinstance(got, tuple) else (got, False)
-            pairs = [v for c, i in zip(columns, range(len(columns)), strict=True) for v in (x[i], None if value is None else float(value[i]))]
-            out.append((key[0], row.t, *pairs, bool(marked)))
+            if value is not None:
+                out[n] = value
+            marks.append(bool(marked))
         state.update((pickle.dumps(step),))
-        names = ["keypoint", "t", *[n for c in columns for n in (c, f"{c}_out")], flag]
-        yield pd.DataFrame(out, columns=names)
+        told = {k: [v] * len(rows) for k, v in zip(by, key, strict=True)} | {"t": rows["t"].to_numpy()}
+        for n, c in enumerate(columns):
+            told |= {c: seen[:, n], f"{c}_out": out[:, n]}
+        yield pd.DataFrame(told | {flag: marks})
 
-    return points.groupBy("keypoint").applyInPandasWithState(
-        run, f"keypoint string, t double, {fields}, {flag} boolean", "step binary", "append", "NoTimeout"
-    )
+    return points.groupBy(*by).applyInPandasWithState(run, f"{keys}, t double, {fields}, {flag} boolean", "step binary", "append", "NoTimeout")
 
 
 def run_to_end(df: DataFrame, name: str) -> DataFrame:
