@@ -131,3 +131,24 @@ def test_a_failed_task_leaves_no_file(spark, tmp_path):
     with pytest.raises(Exception, match="index 9|out of bounds|aborted|WRITING"):
         npy.write_npy(df, path, 2, frames_per_task=10)
     assert [f for _, _, files in os.walk(path) for f in files] == []
+
+
+def test_recordings_stay_apart(spark):
+    from motionloom.operators import align, stats
+    from motionloom.sources import files
+    from motionloom.streaming import frames as live
+
+    points = spark.createDataFrame([("a", 1, "nose", 1.0, 2.0, 3.0), ("b", 1, "nose", 4.0, 5.0, 6.0), ("b", 1, "heel", None, 1.0, 1.0)], "recording string, frame long, keypoint string, x double, y double, z double")
+    wide = {r.recording: r for r in files.long_to_wide(points, ["nose", "heel"], ("recording",)).collect()}
+    assert wide["a"].nose_x == 1.0 and wide["b"].nose_x == 4.0 and wide["b"].heel_x is None
+    blocks = {r.recording: np.frombuffer(r.payload, "<f4").reshape(2, 4) for r in files.wire_frames(points, ["nose", "heel"], ("recording",)).collect()}
+    assert blocks["a"][0].tolist() == [1.0, 2.0, 3.0, 1.0] and blocks["b"][0].tolist() == [4.0, 5.0, 6.0, 1.0] and blocks["b"][1, 3] == 0
+    com = points.where("keypoint = 'nose'").select("recording", "frame", "x", "y", "z")
+    told = {r.recording: r.payload for r in files.payloads(points, com, ("recording",)).collect()}
+    assert '"center_of_mass":{"x":4.0' in told["b"] and '"center_of_mass":{"x":1.0' in told["a"]
+    latest = {r.recording: (r.frame, r.dropped) for r in live.latest_per_trigger(points.withColumn("frame", F.when(F.col("keypoint") == "heel", 9).otherwise(F.col("frame"))), ("recording",)).collect()}
+    assert latest == {"a": (1, 0), "b": (9, 1)}
+    obs = spark.createDataFrame([("a", 1, "c0"), ("b", 1, "c1"), ("b", 1, "c2")], "recording string, frame long, camera_id string")
+    assert [tuple(r) for r in align.shared_counts(obs, by=("recording",)).collect()] == [("b", "c1", "c2", 1)]
+    errors = spark.createDataFrame([(r, "c0", "c1", float(n)) for r in ("a", "b") for n in range(11 if r == "a" else 5)], "recording string, cam_a string, cam_b string, error double")
+    assert [(r.recording, r.n) for r in stats.pair_percentiles(errors, by=("recording",)).collect()] == [("a", 11)]
