@@ -137,3 +137,16 @@ def test_signatures_against_brute_force(spark, sf_dir):
     texts += [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect()]
     got = shown(spark, texts)
     assert all(got[n] == brute(t) for n, t in enumerate(texts))
+
+
+def test_edited_signatures_against_brute_force(spark, sf_dir):
+    """Both fingerprints of every document of the table and of odd texts, each from its own whole text."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()][:120]
+    rows += [(10**6 + n, t) for n, t in enumerate(["", "abc", "a" * 500, "abcdefghijk", None, "中文字符" * 90, prose(10, 400), "a" * 33])]
+    ordered = sorted(rows)
+    got = {r.doc_id: r for r in order_minhash.op3_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n, (i, text) in enumerate(ordered):
+        text, after = text or "", ordered[(n + 1) % len(ordered)][1] or ""
+        q = len(text) // 4
+        assert got[i].fingerprint == "".join(brute(text))
+        assert got[i].edited_fingerprint == "".join(brute(text[: len(text) - q] + after[:q]))
