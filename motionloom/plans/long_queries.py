@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import adjust, asof, boards, epochs, rigid, robust, series
-from ..sources import cache, npy, wire
+from ..sources import cache, npy, recordings, wire
 from ..streaming import epochs as live_epochs
 from ..streaming import pending, replay
 from . import demo
@@ -331,3 +331,42 @@ def array_round_trip(spark, sf_dir):
     folder = replay.shared_folder(spark, "arrays")
     npy.write_npy(rows, folder, 5, frames_per_task=100)
     return rounded(npy.read_npy(spark, folder, frames_per_task=100))
+
+
+# Recording folders: a user is a recording, an event type a camera with its timestamps
+
+
+@query(
+    f"""WITH {EVENTS}, c AS (SELECT 'rec' || "user" % 10 AS recording, type, count(*) AS n FROM e GROUP BY 1, 2)
+SELECT recording, count(*) AS n_cameras, min(n) = max(n) AS in_sync, CASE WHEN min(n) = max(n) THEN max(n) END AS n_frames, 'output/a_body_3d_xyz.csv' AS body_csv, 'body' AS tracker FROM c GROUP BY 1"""
+)
+def recording_bundles(spark, sf_dir):
+    """Folders of ten recordings are written from events and read back as one row each."""
+    df = demo.events(spark, sf_dir).withColumn("recording", F.concat(F.lit("rec"), F.col("user") % 10))
+    root = replay.shared_folder(spark, "recordings")
+    rows = df.select("recording", "type", "t").repartition("recording", "type")
+    written = f"{root}-tables"
+    rows.sortWithinPartitions("recording", "type", "t").write.partitionBy("recording", "type").option("header", True).csv(written)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    system = place(root).getFileSystem(conf)
+
+    def text(path: str, content: str) -> None:
+        out = system.create(place(path), True)
+        out.write(bytearray(content.encode()))
+        out.close()
+
+    for folder in system.listStatus(place(written)):
+        name = folder.getPath().getName()
+        if not name.startswith("recording="):
+            continue
+        recording = name.removeprefix("recording=")
+        for camera in system.listStatus(folder.getPath()):  # a recording's few cameras, one file each
+            kind = camera.getPath().getName().removeprefix("type=")
+            system.mkdirs(place(f"{root}/{recording}/timestamps"))
+            part = next(f.getPath() for f in system.listStatus(camera.getPath()) if f.getPath().getName().startswith("part-"))
+            system.rename(part, place(f"{root}/{recording}/timestamps/{kind}.csv"))
+        text(f"{root}/{recording}/output/b_body_3d_xyz.csv", "frame")
+        text(f"{root}/{recording}/output/a_body_3d_xyz.csv", "frame")
+        text(f"{root}/{recording}/tracker_schema.json", recordings.schema_text("body", "demo", ["a"], []))
+    return recordings.bundles(spark, root).select("recording", "n_cameras", "in_sync", "n_frames", "body_csv", "tracker")
