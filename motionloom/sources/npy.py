@@ -15,12 +15,18 @@ from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 SCHEMA = "camera_id string, frame long, point long, v0 double, v1 double, v2 double"
 FRAMES_A_TASK = 100_000
+#: Where ranges of fewer frames would make more tasks than this, a task reads several of them.
+TASKS = 200
 #: Frames of an array that a task holds while it writes.
 FRAMES_A_FILE = 10_000
+#: Frames that are not there fill a file up to this many in a row; a longer gap begins another file.
+GAP_FRAMES = 1_000
+#: Frames that are read or told at once.
+FRAMES_A_BATCH = 1_000
 
 
 def _place(path: str):
@@ -40,7 +46,7 @@ def _header(file) -> tuple[tuple[int, ...], np.dtype, int]:
 
 
 @dataclass
-class Frames(InputPartition):
+class Frames:
     file: str
     camera_id: str
     first: int  # frame number of the file's first row
@@ -48,41 +54,58 @@ class Frames(InputPartition):
     stop: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What a task reads: at least one range of frames of a file."""
+
+    frames: list[Frames]
+
+
 class NpyReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.step = options["path"], int(options.get("framespertask", FRAMES_A_TASK))
 
-    def partitions(self) -> list[Frames]:
+    def partitions(self) -> list[Ranges]:
         from pyarrow import fs
 
         system, top = _place(self.path)
-        out = []
+        files = []
         for info in sorted(system.get_file_info(fs.FileSelector(top, recursive=True)), key=lambda i: i.path):
             named = re.search(r"/camera_id=([^/]+)/frames-(\d+)-[0-9a-f]+\.npy$", info.path)
             if named is None or "/_" in info.path[len(top) :]:
                 continue
             with system.open_input_file(info.path) as file:
                 frames = _header(file)[0][0]
-            out += [Frames(info.path, unquote(named[1]), int(named[2]), at, min(at + self.step, frames)) for at in range(0, frames, self.step)]
+            files.append(Frames(info.path, unquote(named[1]), int(named[2]), 0, frames))
+        step = max(self.step, min(FRAMES_A_TASK, -(-sum(f.stop for f in files) // TASKS)))
+        out, room = [], 0
+        for whole in files:
+            at = 0
+            while at < whole.stop:
+                if not room:
+                    out.append(Ranges([]))
+                    room = step
+                n = min(room, whole.stop - at)
+                out[-1].frames.append(Frames(whole.file, whole.camera_id, whole.first, at, at + n))
+                at, room = at + n, room - n
         return out
 
-    def read(self, partition: Frames) -> Iterator[pa.RecordBatch]:
-        if partition is None:
-            return
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         system, _ = _place(self.path)
-        with system.open_input_file(partition.file) as file:
-            (_, points, values), kind, head = _header(file)
-            row = points * values * kind.itemsize
-            for at in range(partition.start, partition.stop, 1000):
-                n = min(1000, partition.stop - at)
-                file.seek(head + at * row)
-                block = np.frombuffer(file.read(n * row), kind).reshape(n * points, values).astype(np.float64)
-                wide = np.full((n * points, 3), np.nan)
-                wide[:, :values] = block
-                told = np.repeat(~np.isnan(wide).reshape(n, -1).all(axis=1), points)
-                frame, point, wide = np.repeat(np.arange(at, at + n) + partition.first, points)[told], np.tile(np.arange(points), n)[told], wide[told]
-                arrays = [pa.array([partition.camera_id] * len(frame), pa.string()), pa.array(frame), pa.array(point), *(pa.array(wide[:, c], from_pandas=True) for c in range(3))]
-                yield pa.RecordBatch.from_arrays(arrays, ["camera_id", "frame", "point", "v0", "v1", "v2"])
+        for part in partition.frames if partition is not None else []:
+            with system.open_input_file(part.file) as file:
+                (_, points, values), kind, head = _header(file)
+                row = points * values * kind.itemsize
+                for at in range(part.start, part.stop, FRAMES_A_BATCH):
+                    n = min(FRAMES_A_BATCH, part.stop - at)
+                    file.seek(head + at * row)
+                    block = np.frombuffer(file.read(n * row), kind).reshape(n * points, values).astype(np.float64)
+                    wide = np.full((n * points, 3), np.nan)
+                    wide[:, :values] = block
+                    told = np.repeat(~np.isnan(wide).reshape(n, -1).all(axis=1), points)
+                    frame, point, wide = np.repeat(np.arange(at, at + n) + part.first, points)[told], np.tile(np.arange(points), n)[told], wide[told]
+                    arrays = [pa.array([part.camera_id] * len(frame), pa.string()), pa.array(frame), pa.array(point), *(pa.array(wide[:, c], from_pandas=True) for c in range(3))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["camera_id", "frame", "point", "v0", "v1", "v2"])
 
 
 @dataclass
@@ -90,7 +113,7 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, str]]  # where a file is, and where it goes
 
 
-class NpyWriter(DataSourceWriter):
+class NpyWriter(DataSourceArrowWriter):
     """Rows come sorted by camera_id, frame and point within a task, as `write_npy` deals them."""
 
     def __init__(self, options: dict, overwrite: bool):
@@ -98,29 +121,39 @@ class NpyWriter(DataSourceWriter):
         self.points = int(options["points"])
         self.own = f"_writing-{uuid.uuid4().hex}"
 
-    def write(self, rows: Iterator) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         system, top = _place(self.path)
-        files, held, camera, first = [], [], None, 0
+        files, held, used, camera, first = [], np.empty((0, self.points, 3)), 0, None, 0
 
         def flush():
-            nonlocal held
-            if held:
+            if used:
                 name = f"camera_id={quote(camera, safe='')}/frames-{first:012d}-{uuid.uuid4().hex}.npy"
                 here = f"{top}/{self.own}/{name}"
                 system.create_dir(here.rsplit("/", 1)[0], recursive=True)
                 with system.open_output_stream(here) as out:
-                    np.lib.format.write_array_header_1_0(out, {"descr": "<f8", "fortran_order": False, "shape": (len(held), self.points, 3)})
-                    out.write(np.array(held, "<f8").tobytes())
+                    np.lib.format.write_array_header_1_0(out, {"descr": "<f8", "fortran_order": False, "shape": (used, self.points, 3)})
+                    out.write(held[:used].astype("<f8", copy=False).tobytes())
                 files.append((here, f"{top}/{name}"))
-            held = []
-
-        for row in rows:
-            if row.camera_id != camera or not held or row.frame - first >= FRAMES_A_FILE:
-                flush()
-                camera, first = row.camera_id, row.frame
-            while row.frame >= first + len(held):  # frames between have no numbers
-                held.append(np.full((self.points, 3), np.nan))
-            held[-1][row.point] = [np.nan if v is None else v for v in (row.v0, row.v1, row.v2)]
+
+        for batch in batches:
+            frames, points = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("frame", "point"))
+            values = np.column_stack([np.asarray(batch.column(f"v{k}").to_numpy(zero_copy_only=False), float) for k in range(3)])
+            names = batch.column("camera_id").dictionary_encode()
+            code = names.indices.to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(code) != 0) | (np.diff(frames) > GAP_FRAMES)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(frames)], strict=True):
+                while lo < hi:  # one camera's frames without a long gap
+                    name = names.dictionary[int(code[lo])].as_py()
+                    if name != camera or not used or frames[lo] - first >= FRAMES_A_FILE or frames[lo] - first - used >= GAP_FRAMES:
+                        flush()
+                        camera, first, used = name, int(frames[lo]), 0
+                    end = lo + int(np.searchsorted(frames[lo:hi], first + FRAMES_A_FILE))
+                    more = int(frames[end - 1]) - first + 1
+                    if more > len(held):
+                        held = np.concatenate((held, np.empty((min(FRAMES_A_FILE, 2 * more) - len(held), self.points, 3))))
+                    held[used:more] = np.nan  # frames between have no numbers
+                    held[frames[lo:end] - first, points[lo:end]] = values[lo:end]
+                    used, lo = max(used, more), end
         flush()
         return Written(files)
 
@@ -174,11 +207,11 @@ def read_npy(spark, path: str, frames_per_task: int = FRAMES_A_TASK):
 
 
 def write_npy(df, path: str, points: int, frames_per_task: int = FRAMES_A_TASK, mode: str = "append") -> None:
-    """Writes camera_id, frame, point (0 to points - 1), v0, v1, v2, one row each. A camera's frames are dealt in ranges, so that a
-    long recording has many writers; points that have no row are not numbers."""
+    """Writes camera_id, frame, point (0 to points - 1), v0, v1, v2, one row each. A camera's frames are dealt in ranges, neighbours
+    to one writer, so that a long recording has many writers whose files do not overlap; points that have no row are not numbers."""
     from pyspark.sql import functions as F
 
     df.sparkSession.dataSource.register(NpyDataSource)
     rows = df.select("camera_id", F.col("frame").cast("long").alias("frame"), F.col("point").cast("long").alias("point"), *[F.col(f"v{k}").cast("double").alias(f"v{k}") for k in range(3)])
-    dealt = rows.repartition("camera_id", F.floor(F.col("frame") / frames_per_task)).sortWithinPartitions("camera_id", "frame", "point")
+    dealt = rows.repartitionByRange("camera_id", F.floor(F.col("frame") / frames_per_task)).sortWithinPartitions("camera_id", "frame", "point")
     dealt.write.format("npy").option("points", points).mode(mode).save(path)

@@ -125,6 +125,17 @@ def test_arrays_round_trip(spark, tmp_path):
     assert np.load(one).shape == (2, 3, 3)
 
 
+def test_files_of_short_ranges_do_not_overlap_and_share_tasks(spark, tmp_path):
+    path, n = str(tmp_path / "arrays"), 6000
+    df = spark.range(n).selectExpr("'c' as camera_id", "id + if(id < 3000, 0, 50000) as frame", "0L as point", "cast(id as double) as v0", "1.0D as v1", "2.0D as v2").repartition(8)
+    npy.write_npy(df, path, 1, frames_per_task=10)
+    shapes = [np.load(os.path.join(d, f)).shape for d, _, fs in os.walk(path) for f in fs if f.endswith(".npy")]
+    assert sum(s[0] for s in shapes) == n and len(shapes) < 20  # no filled gap of 47,000 frames, no frame of another file's
+    got = npy.read_npy(spark, path, frames_per_task=10)
+    assert got.rdd.getNumPartitions() <= npy.TASKS
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in df.collect()}
+
+
 def test_a_failed_task_leaves_no_file(spark, tmp_path):
     path = str(tmp_path / "arrays")
     df = spark.createDataFrame([("cam0", f, p, 1.0, 1.0, 1.0) for f in range(50) for p in (0, 1)] + [("cam0", 49, 9, 1.0, 1.0, 1.0)], "camera_id string, frame long, point long, v0 double, v1 double, v2 double")
