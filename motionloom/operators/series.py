@@ -12,9 +12,11 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import runs
 from .temporal import curvatures, low_pass
 
 HALO_KNOTS = 64
@@ -39,54 +41,71 @@ def interpolate(time: np.ndarray, x: np.ndarray, v: np.ndarray, order: int) -> n
     return a * v[i] + b * v[i + 1] + ((a**3 - a) * m[i] + (b**3 - b) * m[i + 1]) * h[i] ** 2 / 6
 
 
+def _edges(batches, by: list[str], t: str, columns: list[str]):
+    """The first and last HALO_KNOTS values of each column of a block; a row without value for a block that has none."""
+    for table, keys in runs.whole_keys(batches):
+        for n, c in enumerate(columns):
+            known, at = np.flatnonzero(~np.isnan(runs.numbers(table, c))), []
+            cuts = np.searchsorted(known, [k for key in keys for k in key]).tolist()
+            for (lo, _), i, j in zip(keys, cuts[::2], cuts[1::2], strict=True):
+                at.append([lo] if i == j else known[i:j] if j - i <= 2 * HALO_KNOTS else known[[*range(i, i + HALO_KNOTS), *range(j - HALO_KNOTS, j)]])
+            few = table.take(pa.array(np.concatenate(at)))
+            told = [*(few.column(k) for k in [*by, "_b"]), pa.array(np.full(len(few), n, np.int32)), pa.array(runs.numbers(few, t)), pa.array(runs.numbers(few, c), from_pandas=True)]
+            yield from pa.table(told, [*by, "_b", "_n", "_t", "_v"]).to_batches()
+
+
+def _around(batches, by: list[str]):
+    """For each block of a series, the last HALO_KNOTS values before it and the first behind it, among the edges of all of its blocks."""
+    for table, keys in runs.whole_keys(batches):
+        block, ok = table.column("_b").to_numpy(), ~np.isnan(runs.numbers(table, "_v"))
+        known, at, goes = np.flatnonzero(ok), [], []
+        for lo, hi in keys:
+            own, wanted = known[np.searchsorted(known, lo) : np.searchsorted(known, hi)], np.unique(block[lo:hi])
+            left, right = np.searchsorted(block[own], wanted), np.searchsorted(block[own], wanted, side="right")
+            for b, i, j in zip(wanted.tolist(), left.tolist(), right.tolist(), strict=True):
+                near = np.concatenate((own[max(0, i - HALO_KNOTS) : i], own[j : j + HALO_KNOTS]))
+                at.append(near)
+                goes.append(np.full(len(near), b))
+        few = table.take(pa.array(np.concatenate(at)))
+        told = [*(few.column(k) for k in by), pa.array(np.concatenate(goes), pa.int64()), *(few.column(c) for c in ("_n", "_t", "_v"))]
+        yield from pa.table(told, [*by, "_b", "_n", "_t", "_v"]).to_batches()
+
+
+def _filled(batches, names: list[str], t: str, columns: list[str], order: int):
+    """Rows of blocks with their gaps filled from their own values and those around them."""
+    for table, keys in runs.whole_keys(batches):
+        home, time, near, value = table.column("_n").is_null().to_numpy(), runs.numbers(table, "_t"), runs.numbers(table, "_n"), runs.numbers(table, "_v")
+        for n, c in enumerate(columns):
+            y, all_y = runs.numbers(table, c), runs.numbers(table, c)
+            knot = np.where(home, y, np.where(near == n, value, np.nan))
+            gap, there = home & np.isnan(y), ~np.isnan(knot)
+            for lo, hi in keys:
+                if not gap[lo:hi].any():
+                    continue
+                start = time[lo:hi][home[lo:hi]][0]
+                x, wanted = time[lo:hi] - start, gap[lo:hi]
+                all_y[lo:hi][wanted] = interpolate(x[wanted], x[there[lo:hi]], knot[lo:hi][there[lo:hi]], order)
+            kind = table.schema.field(c).type
+            table = table.set_column(table.schema.get_field_index(c), c, pa.array(all_y, from_pandas=True).cast(kind))
+        yield from table.filter(pa.array(home)).select(names).to_batches()
+
+
 def fill_blocks(df: DataFrame, by: list[str], t: str, columns: list[str], width: float, order: int = 3) -> DataFrame:
     """Nulls of `columns` filled from the values present, per series of `by`, in blocks of `width` of t.
 
-    Each block's first and last HALO_KNOTS values of a column are gathered in one row; a pass over these rows (one a block)
-    gives every block the values before and behind it, however far away they are. Rows without t come back as they are.
+    Each block's first and last HALO_KNOTS values of a column are told; a pass over these (at most two times HALO_KNOTS rows a
+    block) gives every block the values before and behind it, however far away they are, as rows beside its own. Blocks follow
+    each other in sorted partitions, so that many short series cost what their rows cost. Rows without t come back as they are.
     """
+    if order not in (0, 1, 3):
+        raise ValueError(f"order {order}: 0, 1 and 3 are offered")
     rows, names = df.where(F.col(t).isNotNull()).withColumn("_b", F.floor(F.col(t) / width)), df.columns
     kind = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in by)
-    sides = ", ".join(f"{side}{n} array<array<double>>" for n in range(len(columns)) for side in ("first", "last"))
-
-    def edges(block: pd.DataFrame) -> pd.DataFrame:
-        block, out = block.sort_values(t, kind="stable"), {**{k: [block[k].iloc[0]] for k in by}, "_b": [block["_b"].iloc[0]]}
-        for n, c in enumerate(columns):
-            known = block.loc[block[c].notna(), [t, c]].to_numpy(float).tolist()
-            out[f"first{n}"], out[f"last{n}"] = [known[:HALO_KNOTS]], [known[-HALO_KNOTS:]]
-        return pd.DataFrame(out)
-
-    def around(blocks: pd.DataFrame) -> pd.DataFrame:
-        blocks = blocks.sort_values("_b").reset_index(drop=True)
-        for n in range(len(columns)):
-            before, behind, seen = [], [], []
-            for last in blocks[f"last{n}"]:
-                before.append(list(seen))
-                seen = [*seen, *last][-HALO_KNOTS:]
-            seen = []
-            for first in reversed(blocks[f"first{n}"].tolist()):
-                behind.append(list(seen))
-                seen = [*first, *seen][:HALO_KNOTS]
-            blocks[f"last{n}"], blocks[f"first{n}"] = before, behind[::-1]
-        return blocks
-
-    def fill(block: pd.DataFrame, halo: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(t, kind="stable").reset_index(drop=True)
-        time = block[t].to_numpy(float)
-        for n, c in enumerate(columns):
-            y = block[c].to_numpy(float)
-            if not np.isnan(y).any():
-                continue
-            before, behind = ([list(k) for k in halo[f"{side}{n}"].iloc[0]] for side in ("last", "first"))
-            own = np.column_stack((time, y))[~np.isnan(y)]
-            knots = np.array([*before, *own.tolist(), *behind], float).reshape(-1, 2)
-            found = interpolate(time - time[0], knots[:, 0] - time[0], knots[:, 1], order)
-            block[c] = np.where(np.isnan(y), found, y)
-        return block[names]
-
-    halos = rows.groupBy(*by, "_b").applyInPandas(edges, f"{kind}, _b long, {sides}")
-    halos = halos.groupBy(*by).applyInPandas(around, halos.schema)
-    filled = rows.groupBy(*by, "_b").cogroup(halos.groupBy(*by, "_b")).applyInPandas(fill, df.schema)
+    knots = f"{kind}, _b long, _n int, _t double, _v double"
+    edges = runs.sorted_keys(rows.select(*by, "_b", t, *columns), [*by, "_b"], [t]).mapInArrow(lambda batches: _edges(batches, by, t, columns), knots)
+    halos = runs.sorted_keys(edges, [*by, "_n"], ["_b", "_t"]).mapInArrow(lambda batches: _around(batches, by), knots)
+    both = rows.withColumn("_t", F.col(t).cast("double")).unionByName(halos, allowMissingColumns=True)
+    filled = runs.sorted_keys(both, [*by, "_b"], ["_t"]).mapInArrow(lambda batches: _filled(batches, names, t, columns, order), df.schema)
     return filled.unionByName(df.where(F.col(t).isNull()))
 
 

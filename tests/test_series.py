@@ -149,6 +149,48 @@ def test_filter_blocks_equal_the_whole_series(spark):
 
 
 def test_low_pass_is_the_recursive_filter_forth_and_back():
+@pytest.fixture
+def small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    yield
+    spark.conf.set(name, before)
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_many_short_series_share_batches(spark, small_batches):
+    """No group of pandas a series; series that go over the ends of batches, or fill several, are the same."""
+    rng = np.random.default_rng(5)
+    rows, want = [(None, 1.0, None), (None, 2.0, 4.0)], {(None, 1.0): 4.0, (None, 2.0): 4.0}
+    for k in range(60):
+        t = np.cumsum(rng.uniform(0.5, 2.0, int(rng.integers(1, 40))))
+        y = np.where(rng.random(len(t)) < 0.4, np.nan, rng.normal(0, 9, len(t)))
+        rows += [(k, float(a), None if np.isnan(b) else float(b)) for a, b in zip(t, y, strict=True)]
+        ok = ~np.isnan(y)
+        want |= {(k, float(a)): b for a, b in zip(t, np.where(ok, y, series.interpolate(t, t[ok], y[ok], 3)), strict=True)}
+    filled = series.fill_blocks(table(spark, rows, "k int, t double, y double"), ["k"], "t", ["y"], 9.0)
+    assert "InPandas" not in plan(filled)
+    got = {(r.k, r.t): np.nan if r.y is None else r.y for r in filled.collect()}
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], [want[k] for k in want], rtol=1e-11, atol=1e-9, equal_nan=True)
+
+
+def test_many_short_keys_of_a_filter_share_batches(spark, small_batches):
+    rng, rows, want = np.random.default_rng(6), [], {}
+    for k in range(80):
+        gate = temporal.VelocityGate(3.0)
+        for n in range(int(rng.integers(1, 25))):
+            x = None if rng.random() < 0.2 else float(rng.normal(0, 4))
+            rows.append((k, float(n), x))
+            value, held = gate.step(float(n), np.array([np.nan if x is None else x]))
+            want[k, float(n)] = (None if np.isnan(value[0]) else value[0], held)
+    gated = temporal.velocity_gate(table(spark, rows, "k int, t double, x double"), ["k"], "t", ["x"], 3.0)
+    assert "InPandas" not in plan(gated) and {(r.k, r.t): (r.x_out, r.is_held) for r in gated.collect()} == want
+
+
     """Against the difference equation of the bilinear transform, run forwards and backwards in the middle of a long series."""
     rate, cutoff, n = 30.0, 6.0, 2000
     x = np.random.default_rng(1).normal(0, 1, n)
