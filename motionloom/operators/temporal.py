@@ -1,7 +1,7 @@
 """Stateful filters over time: One Euro, prediction of lost keypoints, velocity gate, rigid skeletons.
 
 Each filter is one step function on a small state; batches run it per key over rows in order of time
-(`applyInPandas`), streams hand the same step to a stateful operator (streaming.filters). A key is one
+(in sorted partitions, see `runs`), streams hand the same step to a stateful operator (streaming.filters). A key is one
 keypoint of one recording, so that keys are many and short against a cluster.
 """
 
@@ -13,9 +13,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import runs
+
 
 @dataclass
 class OneEuro:
@@ -106,28 +109,29 @@ class VelocityGate:
 
 
 def over_time(df: DataFrame, by: list[str], t: str, columns: list[str], step: Callable, flag: str | None, order: list[str] | None = None) -> DataFrame:
-    """Runs a step function per key in order of t. `step()` makes a function (t, vector) -> vector or (vector or None, flag)."""
-    order = order or [t]
+    """Runs a step function per key in order of t. `step()` makes a function (t, vector) -> vector or (vector or None, flag).
+    Keys follow each other in sorted partitions; a key's state goes on from batch to batch, so that no key is held whole."""
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in df.columns)
     schema += "".join(f", `{c}_out` double" for c in columns) + (f", `{flag}` boolean" if flag else "")
-    names = [*df.columns, *(f"{c}_out" for c in columns), *([flag] if flag else [])]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
-        advance, out, flags = step(), np.full((len(rows), len(columns)), np.nan), []
-        for i, (now, x) in enumerate(zip(rows[t].to_numpy(float), rows[columns].to_numpy(float), strict=True)):
-            got = advance(now, x)
-            value, marked = got if flag else (got, False)
-            if value is not None:
-                out[i] = value
-            flags.append(marked)
-        for i, c in enumerate(columns):
-            rows[f"{c}_out"] = out[:, i]
-        if flag:
-            rows[flag] = flags
-        return rows[names]
-
-    return df.groupBy(*by).applyInPandas(run, schema)
+    kept, names = df.columns, [*df.columns, *(f"{c}_out" for c in columns), *([flag] if flag else [])]
+
+    def run(batches):
+        advance = None
+        for batch in batches:
+            first = batch.column(runs.FIRST).to_pylist()
+            x, out, flags = np.column_stack([runs.numbers(batch, c) for c in columns]), np.full((len(batch), len(columns)), np.nan), []
+            for i, now in enumerate(runs.numbers(batch, t).tolist()):
+                if first[i]:
+                    advance = step()
+                got = advance(now, x[i])
+                value, marked = got if flag else (got, False)
+                if value is not None:
+                    out[i] = value
+                flags.append(marked)
+            told = [batch.column(c) for c in kept] + [pa.array(out[:, k], from_pandas=True) for k in range(len(columns))]
+            yield pa.RecordBatch.from_arrays([*told, pa.array(flags, pa.bool_())] if flag else told, names)
+
+    return runs.sorted_keys(df, by, order or [t]).mapInArrow(run, schema)
 
 
 def one_euro(df: DataFrame, by: list[str], t: str, columns: list[str], **config) -> DataFrame:
@@ -191,11 +195,12 @@ def curvatures(h: np.ndarray, slope: np.ndarray) -> np.ndarray:
     high[0] -= h[0] * h[0] / h[1]
     middle[-1] += h[-1] * (1 + h[-1] / h[-2])
     low[-1] -= h[-1] * h[-1] / h[-2]
+    low, middle, high, rise = low.tolist(), middle.tolist(), high.tolist(), rise.tolist()  # plain floats: many short series
     for i in range(1, len(middle)):
         share = low[i] / middle[i - 1]
         middle[i] -= share * high[i - 1]
         rise[i] -= share * rise[i - 1]
-    inner = np.empty(len(middle))
+    inner = [0.0] * len(middle)
     inner[-1] = rise[-1] / middle[-1]
     for i in range(len(middle) - 2, -1, -1):
         inner[i] = (rise[i] - high[i] * inner[i + 1]) / middle[i]
@@ -267,7 +272,9 @@ class Rigid:
 
 
 def rigidify(points: DataFrame, bones: list[tuple[str, str, float]], root: str, by: list[str]) -> DataFrame:
-    """by, frame, keypoint, x, y, z of rigid skeletons. points: by, frame, keypoint, x, y, z; a key is one body in one recording."""
+    """by, frame, keypoint, x, y, z of rigid skeletons. points: by, frame, keypoint, x, y, z; a key is one body in one recording.
+
+    The plain form: one task holds a key whole. Recordings of any length: `rigid.rigid_blocks`, which gives the same."""
     keys = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in [*by, "frame", "keypoint"])
     named = F.map_from_entries(F.collect_list(F.struct("keypoint", F.array("x", "y", "z"))))
     frames = points.where("x is not null").groupBy(*by, "frame").agg(named.alias("at"))
