@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import camera as cam
 from ..functions import names
-from ..operators import align, calibration, gates, kinematics, series, stats, temporal, triangulate, windows
+from ..operators import align, calibration, gates, kinematics, rigid, series, stats, temporal, triangulate, windows
 from ..sources import files
 from ..streaming import frames as live
 from . import demo
@@ -388,7 +388,8 @@ BONES = [(str(a), str(b), 300.0 + 10 * a) for a, b in ((12, 0), (0, 1), (1, 2),
 
 @query()
 def rigid_skeleton(spark, sf_dir):
-    return rounded(temporal.rigidify(demo.points(spark, sf_dir).withColumn("recording", F.lit(0)), BONES, "12", ["recording"]), 4)
+    """All frames are one recording, which is spread over blocks of frames."""
+    return rounded(rigid.rigid_blocks(demo.points(spark, sf_dir).withColumn("recording", F.lit(0)), BONES, "12", ["recording"]), 4)
 
 
 # Timing: a stage is an event type, a camera a user

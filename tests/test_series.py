@@ -99,6 +99,16 @@ def test_rigid_blocks_equal_the_serial_step(spark, size):
     assert sorted(map(key, rigid.rigid_blocks(points, BONES, "a", ["recording"], block_frames=size).collect())) == want
 
 
+def test_the_registered_skeleton_is_dealt_in_blocks(spark, sf_dir):
+    """One recording of all frames is no single group, and is what the plain form gives."""
+    from motionloom.plans import demo, queries
+
+    df = queries.rigid_skeleton(spark, sf_dir)
+    assert "_b#" in plan(df)
+    points = demo.points(spark, sf_dir).withColumn("recording", F.lit(0))
+    assert set(df.collect()) == set(queries.rounded(temporal.rigidify(points, queries.BONES, "12", ["recording"]), 4).collect())
+
+
 def test_blocks_hand_on_few_frames():
     rows = {}
     for _, f, k, *p in walk(3000, 9, 0.3):
