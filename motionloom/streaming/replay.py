@@ -8,6 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a file of a replayed stream, about.
+ROWS_A_FILE = 250_000
+#: Recordings that share a state at most (a power of two).
+RECORDINGS_A_STATE = 64
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the one that spark.checkpoint.dir names; a temporary one only where all runs on this machine."""
@@ -28,15 +33,28 @@ def stateful_session(spark: SparkSession) -> SparkSession:
 
 
 def replayed(rows: DataFrame, ts: str, slices: int, session: SparkSession | None = None) -> DataFrame:
-    """A stream of rows as they came: `slices` spans of equal length of `ts`, one micro-batch each, in order."""
+    """A stream of rows as they came: `slices` spans of equal length of `ts`, one micro-batch each, in order.
+
+    rows are worked out once. Every slice has the same number of files (empty ones make it up), some ROWS_A_FILE rows each, so
+    that many tasks write and read it, and a trigger takes just its files."""
     spark = session or rows.sparkSession
     folder = shared_folder(rows.sparkSession, "replay")
+    staged = f"{folder}-staged"
+    rows.write.parquet(staged)
+    told, kind = rows.sparkSession.read.schema(rows.schema).parquet(staged), rows.schema
     micros = F.unix_micros(ts)
-    lo, hi = rows.agg(F.min(micros), F.max(micros)).first()
+    lo, hi, n = told.agg(F.min(micros), F.max(micros), F.count("*")).first()
     part = F.floor((micros - (lo or 0)) * slices / ((hi or 0) - (lo or 0) + 1))
-    for n in range(slices):  # files of later slices are younger, which is the order in which a file stream reads them
-        rows.where(part == n).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    files = max(1, -(-n // (slices * ROWS_A_FILE)))
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    for k in range(slices):  # files of later slices are younger, which is the order in which a file stream reads them
+        told.where(part == k).repartition(files).write.mode("append").parquet(folder)
+        there = sum(f.getPath().getName().startswith("part-") for f in system.listStatus(place))
+        for _ in range(files * (k + 1) - there):
+            rows.sparkSession.createDataFrame([], kind).coalesce(1).write.mode("append").parquet(folder)
+    system.delete(spark._jvm.org.apache.hadoop.fs.Path(staged), True)
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def played(stream: DataFrame, spark: SparkSession, mode: str = "append") -> DataFrame:
@@ -48,3 +66,9 @@ def played(stream: DataFrame, spark: SparkSession, mode: str = "append") -> Data
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def together(recording: str = "recording"):
+    """The key of a state: recordings of neighbouring numbers, RECORDINGS_A_STATE at most, share one, as each call of a state's
+    function costs milliseconds whatever it holds. A state stays bounded by what its few recordings hold."""
+    return F.shiftright(recording, RECORDINGS_A_STATE.bit_length() - 1)

@@ -129,6 +129,45 @@ def test_lengths_are_learnt_from_measured_points_alone(spark):
         assert got[f, "c"] == (np.median(low) if low else 6.0)
 
 
+# Streams
+
+def test_slices_of_many_files_come_in_order_and_recordings_share_states(spark, monkeypatch):
+    """Each slice has the same number of files, an empty one too; a state serves 64 recordings, and each is told as alone."""
+    from motionloom.streaming import epochs as live
+    from motionloom.streaming import pending, replay
+
+    assert replay.RECORDINGS_A_STATE == 64
+    monkeypatch.setattr(replay, "ROWS_A_FILE", 100)
+    rng, rows, events = np.random.default_rng(8), [], []
+    for n in range(1500):
+        t = float(n if n < 1000 else n + 3000)  # the middle slice is empty
+        recording = int(rng.integers(-3, 100))
+        load = rng.random() < 0.05
+        ok = None if load or rng.random() < 0.1 else bool(rng.random() < 0.3)
+        rows.append((recording, "load" if load else "frame", None if load else n, t, ok, f"v{n}" if load else None))
+        events.append((recording, "camera" if rng.random() < 0.5 else "result", int(n // 200), t, float(n)))
+    stamped = lambda df: df.withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
+    stream = replay.replayed(stamped(table(spark, rows, "recording long, kind string, frame long, t double, ok boolean, version string")), "ts", 3)
+    got = {r.frame: (r.recording, r.version, r.failures, r.status) for r in replay.played(live.epoch_stream(stream), spark).collect()}
+    held, want = {}, {}
+    for recording, kind, frame, t, ok, version in rows:
+        mine = held.setdefault(recording, epochs.Calibration())
+        if kind == "load":
+            mine.load(t, version)
+        else:
+            version, since, failures, status = mine.frame(ok)
+            want[frame] = (recording, version, None if since is None else failures, status)
+    assert got == want
+    one, alone, expected = replay.replayed(stamped(table(spark, events, "recording long, kind string, frame long, t double, value double")).drop("t"), "ts", 3, replay.stateful_session(spark)), {}, []
+    for recording, kind, frame, t, value in events:
+        mine, micros = alone.setdefault(recording, pending.Pending(400 * 10**6)), int(t * 1e6)
+        expected += [(recording, *x) for x in (mine.camera(frame, micros) if kind == "camera" else mine.result(frame, micros, value))]
+    end = int(events[-1][3] * 1e6)
+    expected += [(recording, *x) for recording, mine in alone.items() for x in mine.passed(end)]
+    told = replay.played(pending.pending_frames(one, 400.0), spark).selectExpr("recording", "frame", "unix_micros(ts)", "result", "status").collect()
+    assert sorted(map(str, map(tuple, told))) == sorted(map(str, expected))
+
+
 # Splines and filters
 
 def test_spline_blocks_equal_the_whole_series(spark):
