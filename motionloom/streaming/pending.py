@@ -7,6 +7,7 @@ time is over or the next frame comes. One loop, whether rows come in one batch o
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .replay import together
+
 MOST_PENDING = 2
 OUT = "recording long, frame long, ts timestamp, result double, status string"
 
@@ -57,48 +60,67 @@ class Pending:
         return out
 
 
+HELD = "owners array<long>, frames array<long>, results array<double>, waiters array<long>, waiting array<long>, since array<long>, timer long"
+
+
 class PendingFrames(StatefulProcessor):
-    """The state of one recording: `most` results, one frame that waits, and a timer for it."""
+    """The state of a few recordings (`replay.together`): of each `most` results and one frame that waits; and a timer for the
+    first of these."""
 
     def __init__(self, wait_seconds: float, most: int = MOST_PENDING):
         self.wait, self.most = int(wait_seconds * 1_000_000), most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "frames array<long>, results array<double>, waiting long, since long")
-
-    def _load(self) -> Pending:
-        pending = Pending(self.wait, self.most)
-        if self.held.exists():
-            frames, results, waiting, since = self.held.get()
-            pending.results = dict(zip(frames, results, strict=True))
-            pending.waiting = None if waiting is None else (waiting, since)
-        return pending
-
-    def _store(self, pending: Pending) -> None:
-        frame, since = pending.waiting or (None, None)
-        self.held.update(([*pending.results], [*pending.results.values()], frame, since))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if since is not None:
-            self.handle.registerTimer((since + self.wait) // 1000 + 1)
+        self.held = handle.getValueState("held", HELD)
+
+    def _due(self, since: int) -> int:
+        """The first millisecond at which a frame has waited too long."""
+        return (since + self.wait) // 1000 + 1
+
+    def _load(self) -> tuple[dict[int, Pending], int | None]:
+        pending: dict[int, Pending] = defaultdict(lambda: Pending(self.wait, self.most))
+        if not self.held.exists():
+            return pending, None
+        owners, frames, results, waiters, waiting, since, timer = self.held.get()
+        for recording, frame, value in zip(owners, frames, results, strict=True):
+            pending[recording].results[frame] = value
+        for recording, frame, ts in zip(waiters, waiting, since, strict=True):
+            pending[recording].waiting = (frame, ts)
+        return pending, timer
+
+    def _store(self, pending: dict[int, Pending], timer: int | None) -> None:
+        """timer: the one that is registered."""
+        results = [(recording, *result) for recording, p in pending.items() for result in p.results.items()]
+        waiting = [(recording, *p.waiting) for recording, p in pending.items() if p.waiting is not None]
+        first = min((self._due(since) for _, _, since in waiting), default=None)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        self.held.update((*([row[k] for row in results] for k in range(3)), *([row[k] for row in waiting] for k in range(3)), first))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pending, out = self._load(), []
+        (pending, timer), out = self._load(), []
         come = pd.concat(list(rows)).sort_values(["micros", "kind"], kind="stable")
-        for row in come.itertuples(index=False):
-            out += pending.camera(row.frame, row.micros) if row.kind == "camera" else pending.result(row.frame, row.micros, row.value)
-        self._store(pending)
-        yield self._told(key, out)
+        for recording, kind, frame, micros, value in zip(*(come[c].tolist() for c in ("recording", "kind", "frame", "micros", "value")), strict=True):
+            mine = pending[recording]
+            told = mine.camera(frame, micros) if kind == "camera" else mine.result(frame, micros, value)
+            out += [(recording, *one) for one in told]
+        self._store(pending, timer)
+        yield self._told(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        pending = self._load()
-        out = pending.passed(expiredTimerInfo.getExpiryTimeInMs() * 1000)
-        self._store(pending)
-        yield self._told(key, out)
-
-    def _told(self, key, out: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame([(key[0], *row) for row in out], columns=["recording", "frame", "ts", "result", "status"])
+        """Tells all frames whose time is over at the watermark, not just the one of the timer."""
+        (pending, _), now, over = self._load(), expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        gone = [(r, self._due(p.waiting[1])) for r, p in pending.items() if p.waiting is not None]
+        out = [(r, *one) for r, due in gone if due <= now or due < over for one in pending[r].passed(due * 1000)]
+        self._store(pending, None)
+        yield self._told(out)
+
+    def _told(self, out: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=["recording", "frame", "ts", "result", "status"])
         return frame.assign(ts=pd.to_datetime(frame["ts"], unit="us"), result=frame["result"].astype(float)).astype({"recording": "int64", "frame": "int64"})
 
     def close(self) -> None:
@@ -110,7 +132,7 @@ def pending_frames(events: DataFrame, wait_seconds: float, most: int = MOST_PEND
     kind (camera or result), frame, ts, value; the session keeps state in RocksDB (`replay.stateful_session`). A frame
     that waits is told when the watermark is over its time, at the latest."""
     rows = events.withColumn("micros", F.unix_micros("ts")).withWatermark("ts", late)
-    return rows.groupBy("recording").transformWithStateInPandas(PendingFrames(wait_seconds, most), OUT, "Append", "EventTime")
+    return rows.withColumn("_state", together()).groupBy("_state").transformWithStateInPandas(PendingFrames(wait_seconds, most), OUT, "Append", "EventTime")
 
 
 def pending_in_order(events: DataFrame, wait_seconds: float, most: int = MOST_PENDING) -> DataFrame:
