@@ -11,7 +11,8 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from .stats import pair_percentiles
 
 #: Unknowns of a camera: turn and shift (3 + 3), focal length, first radial distortion.
 UNKNOWNS = 8
+#: Frames whose views stand in arrays at once.
+FRAMES_AT_ONCE = 500
 
 
 @dataclass(frozen=True)
@@ -172,18 +175,34 @@ def packed_frames(views: DataFrame, board: DataFrame, by: list[str], names: tupl
     return kept.where(F.size(F.array_distinct(F.transform("views", lambda v: v["corner_id"]))) >= 3)
 
 
-def _frame(views, number: dict[str, int], good: set | None = None) -> Frame | None:
-    """good: the corners that count; None: all."""
-    views = [v for v in views if good is None or v["corner_id"] in good]
-    corners = sorted({v["corner_id"] for v in views})
+def _views(batch: pa.RecordBatch, number: dict[str, int]):
+    """The views of `packed_frames`, FRAMES_AT_ONCE frames at a time: the batch's part, its views as one column, their corners,
+    camera numbers, pixels and board's places as arrays, and where each frame's begin and end. Views never become Python objects one by one."""
+    for at in range(0, len(batch), FRAMES_AT_ONCE):
+        part = batch.slice(at, FRAMES_AT_ONCE)
+        listed = part.column("views")
+        flat, ends = listed.flatten(), np.cumsum(pc.list_value_length(listed).to_numpy(zero_copy_only=False)).tolist()
+        cameras = flat.field("camera_id").dictionary_encode()
+        cam = np.array([number[n] for n in cameras.dictionary.to_pylist()], int)[cameras.indices.to_numpy()]
+        values = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("u", "v", "_bx", "_by")]
+        corner, uv, board = flat.field("corner_id").to_numpy(zero_copy_only=False), np.column_stack(values[:2]), np.column_stack((*values[2:], np.zeros(len(cam))))
+        yield part, flat, (corner, cam, uv, board), list(zip([0, *ends[:-1]], ends, strict=True))
+
+
+def _frame(corner: np.ndarray, cam: np.ndarray, uv: np.ndarray, board: np.ndarray) -> Frame | None:
+    """The frame of these views; None: too few corners."""
+    corners, place = np.unique(corner, return_inverse=True)
     if len(corners) < 3:
         return None
-    place = {c: n for n, c in enumerate(corners)}
-    board = {v["corner_id"]: (v["_bx"], v["_by"], 0.0) for v in views}
-    return Frame(
-        np.array([number[v["camera_id"]] for v in views]), np.array([place[v["corner_id"]] for v in views]),
-        np.array([(v["u"], v["v"]) for v in views], float), np.array([board[c] for c in corners]),
-    )
+    places = np.empty((len(corners), 3))
+    places[place] = board
+    return Frame(cam, place, uv, places)
+
+
+def _errors(frame: Frame, rig: Rig) -> np.ndarray:
+    """Errors in pixels of all views, at points triangulated with these cameras."""
+    points = _triangulated(rig, frame.cam, frame.corner, frame.uv, len(frame.board))
+    return np.linalg.norm(rig.pixels(frame.cam, points[frame.corner]) - frame.uv, axis=1)
 
 
 def scored(frames: DataFrame, rig: Rig, by: list[str], stiffness: float) -> DataFrame:
@@ -194,15 +213,13 @@ def scored(frames: DataFrame, rig: Rig, by: list[str], stiffness: float) -> Data
 
     def score(batches):
         for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                frame = _frame(row["views"], number)
-                points = _triangulated(rig, frame.cam, frame.corner, frame.uv, len(frame.board))
-                errors = np.linalg.norm(rig.pixels(frame.cam, points[frame.corner]) - frame.uv, axis=1)
-                out += [(*[row[k] for k in by], v["corner_id"], v["camera_id"], e) for v, e in zip(row["views"], errors.tolist(), strict=True)]
-            yield pd.DataFrame(out, columns=[*by, "corner_id", "camera_id", "error"])
+            for part, flat, views, bounds in _views(batch, number):
+                errors = [_errors(_frame(*(v[lo:hi] for v in views)), rig) for lo, hi in bounds]
+                owner = pa.array(np.repeat(np.arange(len(bounds)), [hi - lo for lo, hi in bounds]))
+                told = [*(part.column(k).take(owner) for k in by), flat.field("corner_id"), flat.field("camera_id"), pa.array(np.concatenate(errors), from_pandas=True)]
+                yield pa.RecordBatch.from_arrays(told, [*by, "corner_id", "camera_id", "error"])
 
-    return frames.mapInPandas(score, f"{keys}, corner_id {kind}, camera_id string, error double")
+    return frames.mapInArrow(score, f"{keys}, corner_id {kind}, camera_id string, error double")
 
 
 def _pair_errors(errors: DataFrame, by: list[str]) -> DataFrame:
@@ -221,23 +238,23 @@ def camera_sums(frames: DataFrame, rig: Rig, stiffness: float, huber: float, lim
     def add(batches):
         whole, slope, cost, n = np.zeros((size, size)), np.zeros(size), 0.0, 0
         for batch in batches:
-            for views in batch["views"]:
-                frame = _frame(views, number)
-                if limit is not None:
-                    points = _triangulated(judge, frame.cam, frame.corner, frame.uv, len(frame.board))
-                    errors = np.linalg.norm(judge.pixels(frame.cam, points[frame.corner]) - frame.uv, axis=1)
-                    means = np.bincount(frame.corner, errors) / np.bincount(frame.corner)
-                    corners = sorted({v["corner_id"] for v in views})
-                    frame = _frame(views, number, {c for c, m in zip(corners, means.tolist(), strict=True) if m < limit})
-                if frame is None:
-                    continue
-                a, b, c = frame.reduced(rig, stiffness, huber)
-                if np.isfinite(a).all() and np.isfinite(b).all():
-                    whole, slope, cost, n = whole + a, slope + b, cost + c, n + 1
-        place = np.arange(size * size + size + 2)
-        yield pd.DataFrame({"place": place, "value": np.concatenate((whole.ravel(), slope, [cost, n]))})
-
-    parts = frames.select("views").mapInPandas(add, "place int, value double")
+            for _, _, views, bounds in _views(batch, number):
+                for lo, hi in bounds:
+                    own = tuple(v[lo:hi] for v in views)
+                    frame = _frame(*own)
+                    if limit is not None:
+                        means = np.bincount(frame.corner, _errors(frame, judge)) / np.bincount(frame.corner)
+                        good = (means < limit)[frame.corner]
+                        frame = _frame(*(v[good] for v in own))
+                    if frame is None:
+                        continue
+                    a, b, c = frame.reduced(rig, stiffness, huber)
+                    if np.isfinite(a).all() and np.isfinite(b).all():
+                        whole, slope, cost, n = whole + a, slope + b, cost + c, n + 1
+        place = np.arange(size * size + size + 2, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.concatenate((whole.ravel(), slope, [cost, n])))], ["place", "value"])
+
+    parts = frames.select("views").mapInArrow(add, "place int, value double")
     summed = parts.groupBy("place").agg(F.sum("value").alias("value")).orderBy("place").toPandas()["value"].to_numpy()
     if not len(summed):
         return np.zeros((size, size)), np.zeros(size), 0.0, 0

@@ -188,16 +188,6 @@ def test_spline_blocks_equal_the_whole_series(spark):
         series.interpolate(t, t, y, 2)
 
 
-def test_filter_blocks_equal_the_whole_series(spark):
-    rng = np.random.default_rng(4)
-    x = np.cumsum(rng.normal(0, 1, 5000))
-    df = table(spark, [(0, n, float(v)) for n, v in enumerate(x)] + [(1, n, float(v)) for n, v in enumerate(x[:40])] + [(2, 0, 1.0)], "k int, n int, y double")
-    got = {(r.k, r.n): r.y for r in series.smooth_blocks(df, ["k"], "n", ["y"], 30.0, 6.0, block_samples=600).collect()}
-    assert np.allclose([got[0, n] for n in range(5000)], temporal.low_pass(x, 30.0, 6.0), rtol=0, atol=1e-9)
-    assert np.allclose([got[1, n] for n in range(40)], temporal.low_pass(x[:40], 30.0, 6.0), rtol=0, atol=1e-9) and got[2, 0] == 1.0
-
-
-def test_low_pass_is_the_recursive_filter_forth_and_back():
 @pytest.fixture
 def small_batches(spark):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -240,6 +230,16 @@ def test_many_short_keys_of_a_filter_share_batches(spark, small_batches):
     assert "InPandas" not in plan(gated) and {(r.k, r.t): (r.x_out, r.is_held) for r in gated.collect()} == want
 
 
+def test_filter_blocks_equal_the_whole_series(spark):
+    rng = np.random.default_rng(4)
+    x = np.cumsum(rng.normal(0, 1, 5000))
+    df = table(spark, [(0, n, float(v)) for n, v in enumerate(x)] + [(1, n, float(v)) for n, v in enumerate(x[:40])] + [(2, 0, 1.0)], "k int, n int, y double")
+    got = {(r.k, r.n): r.y for r in series.smooth_blocks(df, ["k"], "n", ["y"], 30.0, 6.0, block_samples=600).collect()}
+    assert np.allclose([got[0, n] for n in range(5000)], temporal.low_pass(x, 30.0, 6.0), rtol=0, atol=1e-9)
+    assert np.allclose([got[1, n] for n in range(40)], temporal.low_pass(x[:40], 30.0, 6.0), rtol=0, atol=1e-9) and got[2, 0] == 1.0
+
+
+def test_low_pass_is_the_recursive_filter_forth_and_back():
     """Against the difference equation of the bilinear transform, run forwards and backwards in the middle of a long series."""
     rate, cutoff, n = 30.0, 6.0, 2000
     x = np.random.default_rng(1).normal(0, 1, n)
@@ -338,6 +338,22 @@ def test_intrinsics_from_boards(spark):
     assert one.n_views == 1 and one.fx is None
 
 
+def test_views_stay_in_arrays(spark, monkeypatch):
+    """A batch of frames is taken apart in slices of bounded size; slices of any size give the same views."""
+    import pyarrow as pa
+
+    number, rng = {"a": 0, "b": 1}, np.random.default_rng(3)
+    frames = [[{"corner_id": c, "camera_id": k, "u": rng.normal(), "v": rng.normal(), "_bx": 1.0 * c, "_by": 2.0 * c} for c in range(3 + n % 3) for k in "ab"] for n in range(23)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(23)), pa.array(frames)], ["frame", "views"])
+    for size in (1, 7, 500):
+        monkeypatch.setattr(adjust, "FRAMES_AT_ONCE", size)
+        got = []
+        for part, flat, (corner, cam, uv, board), bounds in adjust._views(batch.slice(2), number):
+            assert len(part) == len(bounds) <= size and len(flat) == len(cam)
+            got += [list(zip(corner[i:j].tolist(), cam[i:j].tolist(), uv[i:j].tolist(), board[i:j].tolist(), strict=True)) for i, j in bounds]
+        assert got == [[(v["corner_id"], number[v["camera_id"]], [v["u"], v["v"]], [v["_bx"], v["_by"], 0.0]) for v in views] for views in frames[2:]]
+
+
 def test_bundle_adjustment_finds_the_rig(spark):
     rng = np.random.default_rng(0)
     names = ("a", "b", "c", "d")
