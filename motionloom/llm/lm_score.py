@@ -26,17 +26,15 @@ ignored.
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import repeat
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ASCII_LOWER, cut, fold, ready, release, texts_of
+from ._common import ASCII_LOWER, cut, fold, ready, release
 
 END = "\n"  # no word holds one
 HEAD = 1 << 18
@@ -47,8 +45,12 @@ BANDS = (1 << 14, HEAD)
 SYMBOLS = OWN + len(BANDS) + 1
 EMBED, HIDDEN, WINDOW = 24, 32, 32
 STREAMS = 256
+#: Texts of like length that are scored side by side.
+LANES = 512
 #: Rows of states whose outputs are worked out at a time, so that they stay in a core's cache.
 ROWS = 8192
+#: Rows of one step of that: their logits, shares and errors are worked out one after the other.
+CACHED_ROWS = 1024
 #: Each round takes another share of the training documents; all rounds together take all.
 ROUNDS = SHARE = 2
 RATE = 0.15
@@ -57,27 +59,41 @@ BLOCK = 4096
 PARTS = 256
 #: Tokens that a task holds at a time, two bytes each, to train on and to score; many texts side by side keep steps full.
 GROUP_TOKENS, SCORE_TOKENS = 1 << 19, 1 << 22
+#: Tokens that a task counts, and looks up, at a time.
+COUNT_TOKENS, LOOK_UP_TOKENS = 1 << 21, 1 << 19
 
 
 def tokens(text: str) -> list[bytes]:
     return text.encode().translate(ASCII_LOWER).split()
 
 
+def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The `tokens` of all texts of an Arrow column, one after the other, and how many each text has."""
+    told = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    flat = told.flatten()
+    full = pc.greater(pc.binary_length(flat), 0)  # blanks at a text's ends leave empty ones
+    before = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))
+    return flat.filter(full), np.diff(before[told.offsets.to_numpy() - told.offsets[0].as_py()])
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """word, c over all rows of docs (text); the end token is END."""
 
+    def rows(held, ends):
+        told = pa.chunked_array(held, pa.string()).value_counts()
+        for words, c in ((told.field(0), told.field(1)), (pa.array([END]), pa.array([ends], pa.int64()))):
+            yield pa.RecordBatch.from_arrays([words, c], ["word", "c"])
+
     def each(batches):
-        counts: Counter = Counter()
-        rows = lambda: pa.RecordBatch.from_arrays([pa.array([k.decode() for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])  # noqa: E731, E501
+        held, size, ends = [], 0, 0
         for batch in batches:
-            for text in texts_of(batch.column(0)):
-                counts.update(tokens(text))
-            counts[END.encode()] += batch.num_rows
-            if len(counts) > 300_000:
-                yield rows()
-                counts.clear()
-        if counts:
-            yield rows()
+            held.append(words_of(batch.column(0))[0])
+            size, ends = size + len(held[-1]), ends + batch.num_rows
+            if size > COUNT_TOKENS:
+                yield from rows(held, ends)
+                held, size, ends = [], 0, 0
+        if ends:
+            yield from rows(held, ends)
 
     return docs.select("text").mapInArrow(each, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -89,9 +105,6 @@ class Words:
         self.words, self.total, self.distinct = words, total, distinct
         self.counts = np.array(counts, np.float64)
 
-    def index(self) -> dict[bytes, int]:
-        return {w.encode(): n for n, w in enumerate(self.words)}
-
     def base_logs(self) -> np.ndarray:
         """log10 of the smoothed share of each head word."""
         return np.log10((self.counts + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
@@ -145,65 +158,75 @@ class Gru:
         return np.where(symbols < OWN, symbols // CLASS_WORDS, symbols - OWN + CLASSES)
 
     @staticmethod
-    def tame(logits: np.ndarray) -> np.ndarray:
-        """Logits that can be raised to the power; only large ones need their row's maximum taken off."""
-        return logits - logits.max(axis=1, keepdims=True) if logits.size and logits.max() > 60 else logits
+    def logs(logits: np.ndarray, at: np.ndarray, learn: bool) -> np.ndarray:
+        """Natural log of each row's share at `at`. With learn, logits become shares, less one at `at`; else they are used up."""
+        if logits.size and logits.max() > 60:  # only large ones cannot be raised to the power as they are
+            logits -= logits.max(axis=1, keepdims=True)
+        n = np.arange(len(at))
+        told = logits[n, at]
+        np.exp(logits, out=logits)
+        sums = logits @ np.ones(logits.shape[1], np.float32)
+        if learn:
+            logits *= np.reciprocal(sums)[:, None]
+            logits[n, at] -= 1
+        return told - np.log(sums)
 
     def output(self, states: np.ndarray, targets: np.ndarray, learn: bool = False):
         """Natural log P(target | state), without shares in bands. With learn, also gradients of their negative sum."""
         w, kind = self.w, self.class_of(targets).astype(np.uint8)
         order = np.argsort(kind, kind="stable")  # rows of one class stand together
-        states, kind = states[order], kind[order].astype(np.int64)
+        kind = kind[order].astype(np.int64)
         at = targets[order] - kind * CLASS_WORDS
-        n = np.arange(len(order))
-        shares = self.tame(states @ w["classes"] + w["class_bias"])
-        logp = shares[n, kind]
-        np.exp(shares, out=shares)
-        sums = shares @ np.ones(shares.shape[1], np.float32)
-        logp -= np.log(sums)
-        if learn:
-            shares /= sums[:, None]
-            shares[n, kind] -= 1
-            back = shares @ w["classes"].T
-            grads = {"classes": states.T @ shares, "class_bias": shares.sum(axis=0, keepdims=True)}
-            grads |= {"words": np.zeros_like(w["words"]), "word_bias": np.zeros_like(w["word_bias"])}
         edges = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
-        ones = np.ones(CLASS_WORDS, np.float32)
-        for c in range(CLASSES):
-            rows = slice(edges[c], edges[c + 1])
-            if edges[c] == edges[c + 1]:
-                continue
-            part = slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)
-            own, which, k = states[rows], at[rows], n[: edges[c + 1] - edges[c]]
-            p = own @ w["words"][part].T
-            p += w["word_bias"][part].T
-            p = self.tame(p)
-            logp[rows] += p[k, which]
-            np.exp(p, out=p)
-            total = p @ ones
-            logp[rows] -= np.log(total)
+        # biases are weights of a state that is always one
+        classes, words = np.vstack((w["classes"], w["class_bias"])), np.hstack((w["words"], w["word_bias"]))
+        back_classes, back_words = np.ascontiguousarray(w["classes"].T), w["words"]
+        own = np.ones((CACHED_ROWS, HIDDEN + 1), np.float32)
+        shares, inner = np.empty((CACHED_ROWS, classes.shape[1]), np.float32), np.empty((CACHED_ROWS, CLASS_WORDS), np.float32)
+        found = np.empty(len(order), np.float32)
+        if learn:
+            back, by_class, by_word = np.empty((len(order), HIDDEN), np.float32), np.zeros_like(classes), np.zeros_like(words)
+        for start in range(0, len(order), CACHED_ROWS):
+            rows = order[start : start + CACHED_ROWS]
+            n, worded = len(rows), min(len(rows), max(0, edges[-1] - start))  # bands have no words
+            x, p, q = own[:n], shares[:n], inner[:worded]
+            x[:, :HIDDEN] = states[rows]
+            np.matmul(x, classes, out=p)
+            logp = self.logs(p, kind[start : start + n], learn)
+            parts = []
+            for c in range(int(kind[start]), int(kind[start + worded - 1]) + 1 if worded else 0):
+                first, last = max(edges[c] - start, 0), min(edges[c + 1] - start, n)
+                if first < last:
+                    parts.append((slice(first, last), slice(c * CLASS_WORDS, (c + 1) * CLASS_WORDS)))
+            for mine, part in parts:
+                np.matmul(x[mine], words[part].T, out=q[mine])
+            logp[:worded] += self.logs(q, at[start : start + worded], learn)
+            found[rows] = logp
             if learn:
-                p /= total[:, None]
-                p[k, which] -= 1
-                back[rows] += p @ w["words"][part]
-                np.matmul(p.T, own, out=grads["words"][part])
-                grads["word_bias"][part, 0] = p.sum(axis=0)
-        found = np.empty_like(logp)
-        found[order] = logp
+                by_class += x.T @ p
+                error = p @ back_classes
+                for mine, part in parts:
+                    error[mine] += q[mine] @ back_words[part]
+                    by_word[part] += q[mine].T @ x[mine]
+                back[rows] = error
         if not learn:
             return found
-        placed = np.empty_like(back)
-        placed[order] = back
-        return found, placed, grads
+        return found, back, {"classes": by_class[:HIDDEN], "class_bias": by_class[HIDDEN:], "words": np.ascontiguousarray(by_word[:, :HIDDEN]), "word_bias": by_word[:, HIDDEN:]}
+
+    def inputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each symbol's embedding with a one behind it, and the way into the gates with the bias as the last row."""
+        return np.hstack((self.w["embed"], np.ones((SYMBOLS, 1), np.float32))), np.vstack((self.w["enter"], self.w["enter_bias"]))
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Natural log-likelihood of each text, given as symbols that end with 0; without shares in bands."""
-        order = np.argsort([-len(t) for t in texts], kind="stable")
-        lengths = np.array([len(texts[n]) for n in order])
-        entered = self.w["embed"] @ self.w["enter"] + self.w["enter_bias"]
+        """Natural log-likelihood of each text, given as symbols that end with 0; without shares in bands.
+
+        LANES texts of like length go side by side, so that their states stay in a core's cache."""
+        lengths = np.array([len(t) for t in texts], np.int64)
+        order = np.argsort(-lengths, kind="stable")
+        flat, starts = np.concatenate([*texts, np.zeros(1, np.uint16)]), np.cumsum(lengths) - lengths
+        embed, enter = self.inputs()
         gates, candidate = self.w["gates"], self.w["candidate"]
         total = np.zeros(len(texts))
-        state, last = np.zeros((len(texts), HIDDEN), np.float32), np.zeros(len(texts), np.int64)
         states, targets, owners, held = [], [], [], 0
 
         def work_out():
@@ -211,48 +234,54 @@ class Gru:
             total[:] += np.bincount(np.concatenate(owners), weights=logp, minlength=len(texts))
             states.clear(), targets.clear(), owners.clear()
 
-        for start in range(0, int(lengths[0]) if len(lengths) else 0, WINDOW):
-            live = int((lengths > start).sum())
-            steps = min(WINDOW, int(lengths[0]) - start)
-            ids = np.full((live, steps), -1, np.int64)
-            for b in range(live):
-                part = texts[order[b]][start : start + steps]
-                ids[b, : len(part)] = part
-            ids = np.ascontiguousarray(ids.T)
-            for t in range(steps):
-                k = int(np.count_nonzero(ids[t] >= 0))  # the longest stand first
-                state = state[:k]
-                state = self.step(entered[last[:k]], state, gates, candidate)[0]
-                states.append(state)
-                targets.append(ids[t, :k])
-                owners.append(np.arange(k))
-                last = ids[t, :k]
-                held += k
-                if held > ROWS:
-                    work_out()
-                    held = 0
+        for lane in range(0, len(texts), LANES):
+            own = order[lane : lane + LANES]
+            at, longest_first = starts[own], -lengths[own]
+            state, last = np.zeros((HIDDEN, len(own)), np.float32).T, np.zeros(len(own), np.int64)
+            for start in range(0, -int(longest_first[0]), WINDOW):
+                live = np.searchsorted(longest_first, -np.arange(start, start + WINDOW)).tolist()  # texts with a symbol there
+                ids = flat[np.minimum(at[: live[0]] + np.arange(start, start + WINDOW)[:, None], len(flat) - 1)].astype(np.int64)
+                for t, k in enumerate(live):
+                    if not k:
+                        break
+                    state = self.step((enter.T @ embed[last[:k]].T).T, state[:k], gates, candidate)[0]
+                    last = ids[t, :k]
+                    states.append(state)
+                    targets.append(last)
+                    owners.append(own[:k])
+                    held += k
+                    if held > ROWS:
+                        work_out()
+                        held = 0
         if states:
             work_out()
-        found = np.zeros(len(texts))
-        found[order] = total
-        return found
+        return total
 
     @staticmethod
     def step(entered, state, gates, candidate):
-        zr = entered[:, : 2 * HIDDEN] + state @ gates
-        zr *= 0.5
-        np.tanh(zr, out=zr)  # a sigmoid
-        zr *= 0.5
-        zr += 0.5
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        inner = state @ candidate
-        new = r * inner
-        new += entered[:, 2 * HIDDEN :]
-        np.tanh(new, out=new)
+        """The states after one symbol and what they come from. A row is a text; work is done on columns, which learn and
+        scores hold contiguous."""
+        entered, state = entered.T, state.T
+        with np.errstate(over="ignore"):  # a gate of 0, a state of -1
+            zr = gates.T @ state
+            zr += entered[: 2 * HIDDEN]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            z, r = zr[:HIDDEN], zr[HIDDEN:]
+            inner = candidate.T @ state
+            new = r * inner
+            new += entered[2 * HIDDEN :]
+            new *= 2  # tanh(x) = 1 - 2 / (exp(2 x) + 1)
+            np.exp(new, out=new)
+            new += 1
+            np.divide(-2, new, out=new)
+            new += 1
         out = state - new
         out *= z
         out += new
-        return out, z, r, inner, new
+        return out.T, z.T, r.T, inner.T, new.T
 
     def learn(self, symbols: np.ndarray, rate: float = RATE) -> int:
         """One pass over a stream of texts by truncated backpropagation; returns the tokens learned from.
@@ -263,59 +292,68 @@ class Gru:
         stream = np.ascontiguousarray(np.resize(symbols, steps * streams).reshape(streams, steps).T).astype(np.int64)
         inputs = np.concatenate((np.zeros((1, streams), np.int64), stream[:-1]))
         w, squares = self.w, {k: np.full(s, 1e-4, np.float32) for k, s in self.SHAPES.items()}
-        state = np.zeros((streams, HIDDEN), np.float32)
+        state = np.zeros((HIDDEN, streams), np.float32)
+        errors, spare, other = np.empty((4 * HIDDEN, streams), np.float32), *np.empty((2, HIDDEN, streams), np.float32)
+        d_inner, d_z, d_r, d_new = errors.reshape(4, HIDDEN, streams)
 
         def adapt(values, sums, g, scale):
             g *= scale
             np.clip(g, -1, 1, out=g)
-            sums += g * g
-            g /= np.sqrt(sums)
+            again = g * g
+            sums += again
+            g /= np.sqrt(sums, out=again)
             g *= rate
             values -= g
 
         for start in range(0, steps, WINDOW):
             x, y = inputs[start : start + WINDOW], stream[start : start + WINDOW]
             size, scale = len(x), 16 / y.size
-            order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
-            ranked = x.ravel()[order]
-            first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-            seen = ranked[first]  # each symbol's way into the gates is worked out once
-            place = np.empty(x.size, np.int64)
-            place[order] = np.repeat(np.arange(len(seen)), np.diff(np.append(first, x.size)))
-            embedded = w["embed"][seen]
-            entered = (embedded @ w["enter"] + w["enter_bias"])[place].reshape(size, streams, -1)
-            alive = (x != 0).astype(np.float32)[:, :, None]  # a text starts without state
-            before, z, r, inner, new, states = (np.empty((size, streams, HIDDEN), np.float32) for _ in range(6))
+            embed, enter = self.inputs()
+            embedded = embed[x]
+            alive = (x != 0).astype(np.float32)  # a text starts without state
+            passed, states = [], np.empty((size, HIDDEN, streams), np.float32)
             for t in range(size):
-                np.multiply(state, alive[t], out=before[t])
-                state, z[t], r[t], inner[t], new[t] = self.step(entered[t], before[t], w["gates"], w["candidate"])
+                before = state * alive[t]
+                found = self.step((enter.T @ embedded[t].T).T, before.T, w["gates"], w["candidate"])
+                state, *parts = (a.T for a in found)
+                passed.append((before, *parts))
                 states[t] = state
-            _, back, grads = self.output(states.reshape(-1, HIDDEN), y.ravel(), learn=True)
-            back = back.reshape(size, streams, HIDDEN)
-            # what the errors of states are multiplied by, for all steps at once
-            by_new, by_z, by_r = (1 - z) * (1 - new * new), (before - new) * z * (1 - z), inner * r * (1 - r)
-            into = np.empty((size, streams, 3 * HIDDEN), np.float32)
-            d_inner = np.empty_like(z)
-            carried = np.zeros((streams, HIDDEN), np.float32)
-            back_gates, back_candidate = np.ascontiguousarray(w["gates"].T), np.ascontiguousarray(w["candidate"].T)
+            _, back, grads = self.output(states.transpose(0, 2, 1).reshape(-1, HIDDEN), y.ravel(), learn=True)
+            back = np.ascontiguousarray(back.reshape(size, streams, HIDDEN).transpose(0, 2, 1))
+            recur = np.hstack((w["candidate"], w["gates"]))
+            by_recur, by_enter = np.zeros((HIDDEN, 3 * HIDDEN), np.float32), np.zeros((3 * HIDDEN, EMBED + 1), np.float32)
+            by_input = np.empty((size, streams, EMBED), np.float32)
+            carried = np.zeros((HIDDEN, streams), np.float32)
             for t in range(size - 1, -1, -1):
+                before, z, r, inner, new = passed[t]
                 carried += back[t]
-                d_new = into[t, :, 2 * HIDDEN :]
-                np.multiply(carried, by_new[t], out=d_new)
-                np.multiply(carried, by_z[t], out=into[t, :, :HIDDEN])
-                np.multiply(d_new, by_r[t], out=into[t, :, HIDDEN : 2 * HIDDEN])
-                np.multiply(d_new, r[t], out=d_inner[t])
-                carried *= z[t]
-                carried += into[t, :, : 2 * HIDDEN] @ back_gates
-                carried += d_inner[t] @ back_candidate
+                np.subtract(1, z, out=spare)
+                np.multiply(carried, spare, out=d_new)
+                spare *= z
+                np.subtract(before, new, out=d_z)
+                d_z *= spare
+                d_z *= carried
+                np.multiply(new, new, out=other)
+                np.subtract(1, other, out=other)
+                d_new *= other
+                np.multiply(d_new, r, out=d_inner)
+                np.multiply(d_inner, inner, out=d_r)
+                np.subtract(1, r, out=spare)
+                d_r *= spare
+                carried *= z
+                carried += recur @ errors[: 3 * HIDDEN]
                 carried *= alive[t]
-            into, before = into.reshape(-1, 3 * HIDDEN), before.reshape(-1, HIDDEN)
-            grads["gates"] = before.T @ into[:, : 2 * HIDDEN]
-            grads["candidate"] = before.T @ d_inner.reshape(-1, HIDDEN)
-            by_symbol = np.add.reduceat(into[order], first, axis=0)
-            grads["enter"], grads["enter_bias"] = embedded.T @ by_symbol, by_symbol.sum(axis=0, keepdims=True)
+                by_recur += before @ errors[: 3 * HIDDEN].T
+                by_enter += errors[HIDDEN:] @ embedded[t]
+                np.matmul(errors[HIDDEN:].T, w["enter"].T, out=by_input[t])
+            grads["candidate"], grads["gates"] = by_recur[:, :HIDDEN], by_recur[:, HIDDEN:]
+            grads["enter"], grads["enter_bias"] = by_enter[:, :EMBED].T, by_enter[:, EMBED:].T
+            order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
+            ranked = x.ravel()[order]
+            first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+            seen = ranked[first]
             kept, sums = w["embed"][seen], squares["embed"][seen]
-            adapt(kept, sums, by_symbol @ w["enter"].T, scale)
+            adapt(kept, sums, np.add.reduceat(by_input.reshape(-1, EMBED)[order], first, axis=0), scale)
             w["embed"][seen], squares["embed"][seen] = kept, sums
             for k, g in grads.items():
                 adapt(w[k], squares[k], g, scale)
@@ -347,28 +385,43 @@ def coded(docs: DataFrame, words: Words, id_col: str = "doc_id", text_col: str =
     sent = spark.sparkContext.broadcast(words)
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["doc_id", "n_tokens", "n_known", "base", "band", "symbols", "rare"]
-    rare_type = pa.list_(pa.struct([("word", pa.string()), ("tf", pa.int64())]))
     schema = f"doc_id {kind}, n_tokens long, n_known long, base double, band double, symbols binary, rare array<struct<word:string,tf:long>>"
 
     def each(batches):
         head = sent.value
-        get, of_head = head.index().get, np.append(head.symbols(), SYMBOLS - 1).astype("<u2")  # the last: beyond the head
-        sums = np.column_stack((head.counts > 0, head.base_logs(), head.band_logs()))
+        known, of_head = pa.array(head.words, pa.string()), np.append(head.symbols(), SYMBOLS - 1).astype("<u2")  # the last: beyond the head
+        sums = [np.append(column, 0) for column in (head.counts > 0, head.base_logs(), head.band_logs())]
+
+        def rows(held):
+            ids, words, sizes = zip(*held, strict=True)
+            words, sizes = pa.chunked_array(words, pa.string()).combine_chunks(), np.concatenate(sizes)
+            ends = np.cumsum(sizes + 1)
+            own, at = np.repeat(np.arange(len(sizes)), sizes), np.zeros(ends[-1], np.int64)  # each text ends with END
+            found = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy()
+            at[np.arange(len(own)) + own] = found
+            n_known, base, band = (np.add.reduceat(column[at], ends - sizes - 1) for column in sums)
+            beyond = found < 0
+            told = words.filter(pa.array(beyond)).dictionary_encode()
+            kinds = max(1, len(told.dictionary))
+            key, tf = np.unique(own[beyond] * kinds + told.indices.to_numpy(), return_counts=True)
+            rare = pa.StructArray.from_arrays([told.dictionary.take(pa.array(key % kinds)), pa.array(tf, pa.int64())], ["word", "tf"])
+            of_text = pa.array(np.searchsorted(key, np.arange(len(sizes) + 1) * kinds), pa.int32())
+            places = pa.array(np.concatenate(([0], 2 * ends)), pa.int32()).buffers()[1]
+            symbols = pa.Array.from_buffers(pa.binary(), len(sizes), [None, places, pa.py_buffer(of_head[at].tobytes())])
+            numbers = [pa.array(sizes + 1, pa.int64()), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(band)]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *numbers, symbols, pa.ListArray.from_arrays(of_text, rare)], names)
+
+        held, size = [], 0
         for batch in batches:
-            rows, symbols, rare = [], [], []
-            for text in texts_of(batch.column(1)):
-                told = tokens(text)
-                at = np.fromiter(map(get, told, repeat(-1)), np.int64, len(told))
-                at = np.append(at, 0)
-                beyond = at < 0
-                rows.append((len(at), *sums[at[~beyond]].sum(axis=0)))
-                symbols.append(of_head[at].tobytes())
-                more = Counter(told[n] for n in np.flatnonzero(beyond).tolist())
-                rare.append([{"word": w.decode(), "tf": c} for w, c in more.items()])
-            n_tokens, n_known, base, band = zip(*rows, strict=True) if rows else ((),) * 4
-            arrays = [pa.array(n_tokens, pa.int64()), pa.array(map(int, n_known), pa.int64()), pa.array(base, pa.float64()), pa.array(band, pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, pa.array(symbols, pa.binary()), pa.array(rare, rare_type)], names)
-        get = sums = None
+            if batch.num_rows:
+                held.append((batch.column(0), *words_of(batch.column(1))))
+                size += len(held[-1][1])
+            if size > LOOK_UP_TOKENS:
+                yield rows(held)
+                held, size = [], 0
+        if held:
+            yield rows(held)
+        known = sums = None
         release()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(each, schema)

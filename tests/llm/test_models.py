@@ -5,6 +5,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from corpus import prose
 
@@ -196,3 +197,46 @@ def test_a_language_whose_first_text_is_over_the_bound_is_learnt(spark, monkeypa
     rows = [(n, en * 3, "en") for n in range(10)] + [(100, es * 200, "es"), (101, es * 300, "es")]
     field = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert sorted(field.languages) == ["en", "es"]
+
+
+ODD_WORDS = ["", None, "  a  b ", "A\tB\nC\x0bD\x0cE\rF\x1cG\x1d \x85 \xa0 É ÄÖ Ünï　x y", "\n\n", " ", "x\x00y Z", "İI K"]
+
+
+@pytest.mark.parametrize("skipped", [0, 3])
+def test_words_of_a_column_are_those_of_its_texts(skipped):
+    words, sizes = lm_score.words_of(pa.array(ODD_WORDS, pa.string()).slice(skipped))
+    told = [lm_score.tokens(t or "") for t in ODD_WORDS[skipped:]]
+    assert [w.encode() for w in words.to_pylist()] == [w for t in told for w in t] and sizes.tolist() == [len(t) for t in told]
+
+
+def test_lanes_and_cached_rows_change_no_score(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [np.append(rng.integers(1, lm_score.SYMBOLS, n), 0) for n in (0, 1, 31, 32, 33, 64, 200, 5, 5)]
+    model = lm_score.Gru()
+    alone = [model.scores([t])[0] for t in texts]
+    for name, value in (("LANES", 2), ("CACHED_ROWS", 7), ("ROWS", 40)):
+        monkeypatch.setattr(lm_score, name, value)
+        assert model.scores(texts) == pytest.approx(alone, rel=1e-5)
+    assert model.scores([]).tolist() == []
+
+
+def test_gradients_agree_with_differences():
+    """Of the outputs: each kind of weight, and a state."""
+    rng = np.random.default_rng(6)
+    states = np.tanh(rng.normal(size=(50, lm_score.HIDDEN))).astype(np.float32)
+    targets = rng.choice([0, 3, 70, lm_score.OWN - 1, lm_score.OWN, lm_score.SYMBOLS - 1], 50)
+    model = lm_score.Gru()
+    found, back, grads = model.output(states, targets, learn=True)
+    assert found == pytest.approx(model.output(states, targets), rel=1e-6)
+    loss = lambda: -model.output(states, targets).astype(float).sum()
+    for name, at in (("classes", (2, 1)), ("class_bias", (0, 0)), ("words", (70, 4)), ("word_bias", (3, 0))):
+        kept = model.w[name][at]
+        model.w[name][at] = kept + 1e-2
+        high = loss()
+        model.w[name][at] = kept - 1e-2
+        assert grads[name][at] == pytest.approx((high - loss()) / 2e-2, rel=2e-2, abs=2e-3)
+        model.w[name][at] = kept
+    moved = np.zeros_like(states)
+    moved[7, 3] = 1e-2
+    high, low = (-model.output(states + m, targets).astype(float).sum() for m in (moved, -moved))
+    assert back[7, 3] == pytest.approx((high - low) / 2e-2, rel=2e-2, abs=2e-3)
