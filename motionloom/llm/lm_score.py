@@ -59,8 +59,8 @@ BLOCK = 4096
 PARTS = 256
 #: Tokens that a task holds at a time, two bytes each, to train on and to score; many texts side by side keep steps full.
 GROUP_TOKENS, SCORE_TOKENS = 1 << 19, 1 << 22
-#: Tokens that a task counts, and looks up, at a time.
-COUNT_TOKENS, LOOK_UP_TOKENS = 1 << 21, 1 << 19
+#: Bytes of words that a task counts, and looks up, at a time: some two million and 800,000 words of prose.
+COUNT_BYTES, LOOK_UP_BYTES = 3 << 23, 1 << 23
 
 
 def tokens(text: str) -> list[bytes]:
@@ -88,8 +88,8 @@ def token_counts(docs: DataFrame) -> DataFrame:
         held, size, ends = [], 0, 0
         for batch in batches:
             held.append(words_of(batch.column(0))[0])
-            size, ends = size + len(held[-1]), ends + batch.num_rows
-            if size > COUNT_TOKENS:
+            size, ends = size + held[-1].nbytes, ends + batch.num_rows
+            if size > COUNT_BYTES:
                 yield from rows(held, ends)
                 held, size, ends = [], 0, 0
         if ends:
@@ -174,6 +174,7 @@ class Gru:
     def output(self, states: np.ndarray, targets: np.ndarray, learn: bool = False):
         """Natural log P(target | state), without shares in bands. With learn, also gradients of their negative sum."""
         w, kind = self.w, self.class_of(targets).astype(np.uint8)
+        states = np.ascontiguousarray(states)  # rows are taken from it, block by block
         order = np.argsort(kind, kind="stable")  # rows of one class stand together
         kind = kind[order].astype(np.int64)
         at = targets[order] - kind * CLASS_WORDS
@@ -190,7 +191,7 @@ class Gru:
             rows = order[start : start + CACHED_ROWS]
             n, worded = len(rows), min(len(rows), max(0, edges[-1] - start))  # bands have no words
             x, p, q = own[:n], shares[:n], inner[:worded]
-            x[:, :HIDDEN] = states[rows]
+            x[:, :HIDDEN] = states.take(rows, axis=0)
             np.matmul(x, classes, out=p)
             logp = self.logs(p, kind[start : start + n], learn)
             parts = []
@@ -244,7 +245,7 @@ class Gru:
                 for t, k in enumerate(live):
                     if not k:
                         break
-                    state = self.step((enter.T @ embed[last[:k]].T).T, state[:k], gates, candidate)[0]
+                    state = self.step((enter.T @ embed.take(last[:k], axis=0).T).T, state[:k], gates, candidate)[0]
                     last = ids[t, :k]
                     states.append(state)
                     targets.append(last)
@@ -309,7 +310,7 @@ class Gru:
             x, y = inputs[start : start + WINDOW], stream[start : start + WINDOW]
             size, scale = len(x), 16 / y.size
             embed, enter = self.inputs()
-            embedded = embed[x]
+            embedded = embed.take(x, axis=0)
             alive = (x != 0).astype(np.float32)  # a text starts without state
             passed, states = [], np.empty((size, HIDDEN, streams), np.float32)
             for t in range(size):
@@ -353,7 +354,7 @@ class Gru:
             first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
             seen = ranked[first]
             kept, sums = w["embed"][seen], squares["embed"][seen]
-            adapt(kept, sums, np.add.reduceat(by_input.reshape(-1, EMBED)[order], first, axis=0), scale)
+            adapt(kept, sums, np.add.reduceat(by_input.reshape(-1, EMBED).take(order, axis=0), first, axis=0), scale)
             w["embed"][seen], squares["embed"][seen] = kept, sums
             for k, g in grads.items():
                 adapt(w[k], squares[k], g, scale)
@@ -415,8 +416,8 @@ def coded(docs: DataFrame, words: Words, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             if batch.num_rows:
                 held.append((batch.column(0), *words_of(batch.column(1))))
-                size += len(held[-1][1])
-            if size > LOOK_UP_TOKENS:
+                size += held[-1][1].nbytes
+            if size > LOOK_UP_BYTES:
                 yield rows(held)
                 held, size = [], 0
         if held:

@@ -240,3 +240,22 @@ def test_gradients_agree_with_differences():
     moved[7, 3] = 1e-2
     high, low = (-model.output(states + m, targets).astype(float).sum() for m in (moved, -moved))
     assert back[7, 3] == pytest.approx((high - low) / 2e-2, rel=2e-2, abs=2e-3)
+
+
+def test_words_are_counted_and_coded_alike_in_small_parts(spark, monkeypatch):
+    rows = spark.createDataFrame([(n, f"one two{n % 3} {'long' * n} A a\n") for n in range(12)] + [(99, None)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(lm_score, "HEAD", 3)  # so that words beyond the head occur
+
+    def found():
+        counts = lm_score.token_counts(rows)
+        told = lm_score.coded(rows, lm_score.vocabulary(counts)).collect()
+        return sorted(counts.collect()), [(r.doc_id, r.n_tokens, r.n_known, r.base, r.band, bytes(r.symbols), sorted(r.rare)) for r in told]
+
+    whole = found()
+    for name in ("COUNT_BYTES", "LOOK_UP_BYTES"):
+        monkeypatch.setattr(lm_score, name, 0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert found() == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
