@@ -323,13 +323,12 @@ def observation_cache(spark, sf_dir):
     return rounded(told)
 
 
-@query(f"SELECT 'label' || label AS camera_id, frame, keypoint::BIGINT AS point, {r('x', 'v0')}, {r('y', 'v1')}, {r('z', 'v2')} FROM ({demo.POINTS_SQL}) WHERE keypoint::INT < 5")
+@query(f"SELECT 'label' || label AS camera_id, frame, keypoint::BIGINT AS point, {r('x', 'v0')}, {r('y', 'v1')}, {r('z', 'v2')} FROM ({demo.POINTS_SQL})")
 def array_round_trip(spark, sf_dir):
     """Points as arrays of a camera (a label) and back, in ranges of 100 frames."""
-    points = demo.points(spark, sf_dir).where("cast(keypoint as int) < 5")
-    rows = points.select(F.concat(F.lit("label"), "label").alias("camera_id"), "frame", F.col("keypoint").cast("long").alias("point"), F.col("x").alias("v0"), F.col("y").alias("v1"), F.col("z").alias("v2"))
+    rows = demo.points(spark, sf_dir).select(F.concat(F.lit("label"), "label").alias("camera_id"), "frame", F.col("keypoint").cast("long").alias("point"), F.col("x").alias("v0"), F.col("y").alias("v1"), F.col("z").alias("v2"))
     folder = replay.shared_folder(spark, "arrays")
-    npy.write_npy(rows, folder, 5, frames_per_task=100)
+    npy.write_npy(rows, folder, demo.KEYPOINTS, frames_per_task=100)
     return rounded(npy.read_npy(spark, folder, frames_per_task=100))
 
 

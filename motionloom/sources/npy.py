@@ -1,7 +1,7 @@
 """A data source `npy` of per-camera arrays: read in ranges of frames, written in two phases.
 
 Below `path` a camera has a folder `camera_id=<name>` with files of (frames, points, values) arrays of doubles, each with
-its first frame in its name; frames without any number are not told when it is read. Tasks write into a folder of the writing; only the commit moves whole files to their places,
+its first frame in its name; frames without any number are not told when it is read, but for those that a row of nulls was written for. Tasks write into a folder of the writing; only the commit moves whole files to their places,
 and an abort takes the folder away, so that a failed task leaves no file.
 """
 
@@ -27,6 +27,8 @@ FRAMES_A_FILE = 10_000
 GAP_FRAMES = 1_000
 #: Frames that are read or told at once.
 FRAMES_A_BATCH = 1_000
+#: The bits of a null that was written: a NaN of its own, so that a frame of nulls is told and a frame that fills a gap is not.
+NULL = np.uint64(0x7FF8_0000_0000_0001)
 
 
 def _place(path: str):
@@ -71,7 +73,7 @@ class NpyReader(DataSourceReader):
         system, top = _place(self.path)
         files = []
         for info in sorted(system.get_file_info(fs.FileSelector(top, recursive=True)), key=lambda i: i.path):
-            named = re.search(r"/camera_id=([^/]+)/frames-(\d+)-[0-9a-f]+\.npy$", info.path)
+            named = re.search(r"/camera_id=([^/]+)/frames-(-?\d+)-[0-9a-f]+\.npy$", info.path)
             if named is None or "/_" in info.path[len(top) :]:
                 continue
             with system.open_input_file(info.path) as file:
@@ -102,7 +104,7 @@ class NpyReader(DataSourceReader):
                     block = np.frombuffer(file.read(n * row), kind).reshape(n * points, values).astype(np.float64)
                     wide = np.full((n * points, 3), np.nan)
                     wide[:, :values] = block
-                    told = np.repeat(~np.isnan(wide).reshape(n, -1).all(axis=1), points)
+                    told = np.repeat((~np.isnan(wide) | (wide.view(np.uint64) == NULL)).reshape(n, -1).any(axis=1), points)
                     frame, point, wide = np.repeat(np.arange(at, at + n) + part.first, points)[told], np.tile(np.arange(points), n)[told], wide[told]
                     arrays = [pa.array([part.camera_id] * len(frame), pa.string()), pa.array(frame), pa.array(point), *(pa.array(wide[:, c], from_pandas=True) for c in range(3))]
                     yield pa.RecordBatch.from_arrays(arrays, ["camera_id", "frame", "point", "v0", "v1", "v2"])
@@ -138,6 +140,7 @@ class NpyWriter(DataSourceArrowWriter):
         for batch in batches:
             frames, points = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("frame", "point"))
             values = np.column_stack([np.asarray(batch.column(f"v{k}").to_numpy(zero_copy_only=False), float) for k in range(3)])
+            values[np.isnan(values)] = NULL.view(np.float64)
             names = batch.column("camera_id").dictionary_encode()
             code = names.indices.to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero((np.diff(code) != 0) | (np.diff(frames) > GAP_FRAMES)) + 1

@@ -136,6 +136,21 @@ def test_files_of_short_ranges_do_not_overlap_and_share_tasks(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in df.collect()}
 
 
+def test_arrays_of_the_query_hold_every_point(spark, sf_dir):
+    from motionloom.plans import demo, long_queries
+
+    told = long_queries.array_round_trip(spark, sf_dir).groupBy("point").count().collect()
+    n = demo.embeddings(spark, sf_dir).count()
+    assert {r.point: r["count"] for r in told} == {k: n for k in range(demo.KEYPOINTS)}
+
+
+def test_frames_of_nulls_and_frames_before_zero_come_back(spark, tmp_path):
+    path = str(tmp_path / "arrays")
+    rows = [("c", f, p, None if f in (-3, 6) else float(f), None, None if f in (-3, 6) else 0.5) for f in (-5, -4, -3, 0, 6, 7) for p in range(2)]
+    npy.write_npy(spark.createDataFrame(rows, npy.SCHEMA), path, 2)
+    assert {tuple(r) for r in npy.read_npy(spark, path).collect()} == set(rows)
+
+
 def test_a_failed_task_leaves_no_file(spark, tmp_path):
     path = str(tmp_path / "arrays")
     df = spark.createDataFrame([("cam0", f, p, 1.0, 1.0, 1.0) for f in range(50) for p in (0, 1)] + [("cam0", 49, 9, 1.0, 1.0, 1.0)], "camera_id string, frame long, point long, v0 double, v1 double, v2 double")
