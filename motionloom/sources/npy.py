@@ -1,7 +1,8 @@
 """A data source `npy` of per-camera arrays: read in ranges of frames, written in two phases.
 
 Below `path` a camera has a folder `camera_id=<name>` with files of (frames, points, values) arrays of doubles, each with
-its first frame in its name; frames without any number are not told when it is read, but for those that a row of nulls was written for. Tasks write into a folder of the writing; only the commit moves whole files to their places,
+its first frame in its name; frames without any number are not told when it is read, but for those that a row of nulls was written for. Where
+less than half of the frames between a file's first and last are there, it has only these, and their numbers as a second array. Tasks write into a folder of the writing; only the commit moves whole files to their places,
 and an abort takes the folder away, so that a failed task leaves no file.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from urllib.parse import quote, unquote
 
 import numpy as np
@@ -23,7 +24,7 @@ FRAMES_A_TASK = 100_000
 TASKS = 200
 #: Frames of an array that a task holds while it writes.
 FRAMES_A_FILE = 10_000
-#: Frames that are not there fill a file up to this many in a row; a longer gap begins another file.
+#: Frames that are not there may fill a file up to this many in a row; a longer gap begins another file.
 GAP_FRAMES = 1_000
 #: Frames that are read or told at once.
 FRAMES_A_BATCH = 1_000
@@ -52,6 +53,7 @@ class Frames:
     file: str
     camera_id: str
     first: int  # frame number of the file's first row
+    numbered: bool  # whether the file has the numbers of its frames
     start: int
     stop: int
 
@@ -73,12 +75,12 @@ class NpyReader(DataSourceReader):
         system, top = _place(self.path)
         files = []
         for info in sorted(system.get_file_info(fs.FileSelector(top, recursive=True)), key=lambda i: i.path):
-            named = re.search(r"/camera_id=([^/]+)/frames-(-?\d+)-[0-9a-f]+\.npy$", info.path)
+            named = re.search(r"/camera_id=([^/]+)/(frames|numbered)-(-?\d+)-[0-9a-f]+\.npy$", info.path)
             if named is None or "/_" in info.path[len(top) :]:
                 continue
             with system.open_input_file(info.path) as file:
                 frames = _header(file)[0][0]
-            files.append(Frames(info.path, unquote(named[1]), int(named[2]), 0, frames))
+            files.append(Frames(info.path, unquote(named[1]), int(named[3]), named[2] == "numbered", 0, frames))
         step = max(self.step, min(FRAMES_A_TASK, -(-sum(f.stop for f in files) // TASKS)))
         out, room = [], 0
         for whole in files:
@@ -88,7 +90,7 @@ class NpyReader(DataSourceReader):
                     out.append(Ranges([]))
                     room = step
                 n = min(room, whole.stop - at)
-                out[-1].frames.append(Frames(whole.file, whole.camera_id, whole.first, at, at + n))
+                out[-1].frames.append(replace(whole, start=at, stop=at + n))
                 at, room = at + n, room - n
         return out
 
@@ -96,8 +98,13 @@ class NpyReader(DataSourceReader):
         system, _ = _place(self.path)
         for part in partition.frames if partition is not None else []:
             with system.open_input_file(part.file) as file:
-                (_, points, values), kind, head = _header(file)
+                (frames, points, values), kind, head = _header(file)
                 row = points * values * kind.itemsize
+                if part.numbered:
+                    file.seek(head + frames * row)
+                    np.lib.format.read_magic(file)
+                    np.lib.format.read_array_header_1_0(file)
+                    numbers = file.tell()
                 for at in range(part.start, part.stop, FRAMES_A_BATCH):
                     n = min(FRAMES_A_BATCH, part.stop - at)
                     file.seek(head + at * row)
@@ -105,7 +112,11 @@ class NpyReader(DataSourceReader):
                     wide = np.full((n * points, 3), np.nan)
                     wide[:, :values] = block
                     told = np.repeat((~np.isnan(wide) | (wide.view(np.uint64) == NULL)).reshape(n, -1).any(axis=1), points)
-                    frame, point, wide = np.repeat(np.arange(at, at + n) + part.first, points)[told], np.tile(np.arange(points), n)[told], wide[told]
+                    number = np.arange(at, at + n) + part.first
+                    if part.numbered:
+                        file.seek(numbers + 8 * at)
+                        number = np.frombuffer(file.read(8 * n), "<i8").astype(np.int64)
+                    frame, point, wide = np.repeat(number, points)[told], np.tile(np.arange(points), n)[told], wide[told]
                     arrays = [pa.array([part.camera_id] * len(frame), pa.string()), pa.array(frame), pa.array(point), *(pa.array(wide[:, c], from_pandas=True) for c in range(3))]
                     yield pa.RecordBatch.from_arrays(arrays, ["camera_id", "frame", "point", "v0", "v1", "v2"])
 
@@ -125,16 +136,21 @@ class NpyWriter(DataSourceArrowWriter):
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         system, top = _place(self.path)
-        files, held, used, camera, first = [], np.empty((0, self.points, 3)), 0, None, 0
+        files, held, numbers, used, camera = [], np.empty((0, self.points, 3)), np.empty(FRAMES_A_FILE, np.int64), 0, None
 
         def flush():
             if used:
-                name = f"camera_id={quote(camera, safe='')}/frames-{first:012d}-{uuid.uuid4().hex}.npy"
+                first, span, arrays = int(numbers[0]), int(numbers[used - 1] - numbers[0]) + 1, [held[:used], numbers[:used]]
+                if span <= 2 * used:
+                    arrays = [np.full((span, self.points, 3), np.nan)]  # frames between have no numbers
+                    arrays[0][numbers[:used] - first] = held[:used]
+                name = f"camera_id={quote(camera, safe='')}/{'frames' if len(arrays) == 1 else 'numbered'}-{first:012d}-{uuid.uuid4().hex}.npy"
                 here = f"{top}/{self.own}/{name}"
                 system.create_dir(here.rsplit("/", 1)[0], recursive=True)
                 with system.open_output_stream(here) as out:
-                    np.lib.format.write_array_header_1_0(out, {"descr": "<f8", "fortran_order": False, "shape": (used, self.points, 3)})
-                    out.write(held[:used].astype("<f8", copy=False).tobytes())
+                    for array, kind in zip(arrays, ("<f8", "<i8")):
+                        np.lib.format.write_array_header_1_0(out, {"descr": kind, "fortran_order": False, "shape": array.shape})
+                        out.write(array.astype(kind, copy=False).tobytes())
                 files.append((here, f"{top}/{name}"))
 
         for batch in batches:
@@ -147,16 +163,18 @@ class NpyWriter(DataSourceArrowWriter):
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(frames)], strict=True):
                 while lo < hi:  # one camera's frames without a long gap
                     name = names.dictionary[int(code[lo])].as_py()
-                    if name != camera or not used or frames[lo] - first >= FRAMES_A_FILE or frames[lo] - first - used >= GAP_FRAMES:
+                    if name != camera or not used or frames[lo] - numbers[used - 1] > GAP_FRAMES or used == FRAMES_A_FILE and frames[lo] != numbers[used - 1]:
                         flush()
-                        camera, first, used = name, int(frames[lo]), 0
-                    end = lo + int(np.searchsorted(frames[lo:hi], first + FRAMES_A_FILE))
-                    more = int(frames[end - 1]) - first + 1
+                        camera, used = name, 0
+                    at = used - (used > 0 and frames[lo] == numbers[used - 1])  # a frame goes on in the next batch
+                    rows = at + np.concatenate(([0], np.cumsum(np.diff(frames[lo:hi]) != 0)))
+                    rows = rows[: np.searchsorted(rows, FRAMES_A_FILE)]
+                    end, more = lo + len(rows), int(rows[-1]) + 1
                     if more > len(held):
                         held = np.concatenate((held, np.empty((min(FRAMES_A_FILE, 2 * more) - len(held), self.points, 3))))
-                    held[used:more] = np.nan  # frames between have no numbers
-                    held[frames[lo:end] - first, points[lo:end]] = values[lo:end]
-                    used, lo = max(used, more), end
+                    held[used:more] = np.nan  # points that have no row
+                    held[rows, points[lo:end]], numbers[rows] = values[lo:end], frames[lo:end]
+                    used, lo = more, end
         flush()
         return Written(files)
 

@@ -4,6 +4,7 @@ import os
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,34 @@ def test_frames_of_nulls_and_frames_before_zero_come_back(spark, tmp_path):
     assert {tuple(r) for r in npy.read_npy(spark, path).collect()} == set(rows)
 
 
+def test_files_of_scattered_frames_hold_only_these(spark, tmp_path):
+    path, n = str(tmp_path / "arrays"), 900
+    df = spark.range(n * 3).selectExpr("'c' as camera_id", "floor(id / 3) * if(id < 900, 10, 11) as frame", "id % 3 as point", "cast(id as double) as v0", "1.0D as v1", "2.0D as v2")
+    df = df.where("frame > 0 or point = 1").localCheckpoint()
+    npy.write_npy(df, path, 3)
+    shapes = [np.load(os.path.join(d, f)).shape for d, _, fs in os.walk(path) for f in fs if f.endswith(".npy")]
+    assert sum(s[0] for s in shapes) == n
+    for step in (1, 7, 100_000):
+        got = npy.read_npy(spark, path, frames_per_task=step)
+        assert {tuple(r) for r in got.where("v0 is not null").collect()} == {tuple(r) for r in df.collect()}
+        assert [tuple(r)[1:3] for r in got.where("v0 is null").orderBy("point").collect()] == [(0, 0), (0, 2)]
+
+
+@pytest.mark.parametrize("held, batch", [(1, 1), (3, 1), (3, 2), (4, 5), (100, 7)])
+def test_files_that_are_full_and_frames_over_two_batches(tmp_path, monkeypatch, held, batch):
+    monkeypatch.setattr(npy, "FRAMES_A_FILE", held)
+    frames = [0, 1, 2, 5, 6, 30, 60, 61, 62, 63, 90, 5000, 5001, 5002]
+    rows = [(c, f, p, f + 0.5, None if f == 30 else float(p), None) for c in ("a", "b") for f in frames for p in range(2)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("camera_id", "frame", "point", "v0", "v1", "v2"), r)) for r in rows[at : at + batch]], pa.schema([("camera_id", pa.string()), ("frame", pa.int64()), ("point", pa.int64()), *((f"v{k}", pa.float64()) for k in range(3))])) for at in range(0, len(rows), batch)]
+    options = {"path": str(tmp_path), "points": "2"}
+    writer = npy.NpyWriter(options, False)
+    writer.commit([writer.write(iter(batches))])
+    shapes = [np.load(os.path.join(d, f)).shape[0] for d, _, fs in os.walk(tmp_path) for f in fs if f.endswith(".npy")]
+    assert max(shapes) <= 2 * held and sum(shapes) <= 2 * 2 * len(frames)
+    reader = npy.NpyReader(options | {"framespertask": "3"})
+    assert sorted((tuple(r.values()) for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist()), key=lambda r: r[:3]) == rows
+
+
 def test_a_failed_task_leaves_no_file(spark, tmp_path):
     path = str(tmp_path / "arrays")
     df = spark.createDataFrame([("cam0", f, p, 1.0, 1.0, 1.0) for f in range(50) for p in (0, 1)] + [("cam0", 49, 9, 1.0, 1.0, 1.0)], "camera_id string, frame long, point long, v0 double, v1 double, v2 double")
