@@ -1,8 +1,9 @@
 """A data source `npy` of per-camera arrays: read in ranges of frames, written in two phases.
 
 Below `path` a camera has a folder `camera_id=<name>` with files of (frames, points, values) arrays of doubles, each with
-its first frame in its name; frames without any number are not told when it is read, but for those that a row of nulls was written for. Where
-less than half of the frames between a file's first and last are there, it has only these, and their numbers as a second array. Tasks write into a folder of the writing; only the commit moves whole files to their places,
+its first frame in its name; frames without any number are not told when it is read, but for those that a row of nulls was
+written for. Where less than half of the frames between a file's first and last are there, it has only these, and their
+numbers as a second array. Tasks write into a folder of the writing; only the commit moves whole files to their places,
 and an abort takes the folder away, so that a failed task leaves no file.
 """
 
@@ -148,7 +149,7 @@ class NpyWriter(DataSourceArrowWriter):
                 here = f"{top}/{self.own}/{name}"
                 system.create_dir(here.rsplit("/", 1)[0], recursive=True)
                 with system.open_output_stream(here) as out:
-                    for array, kind in zip(arrays, ("<f8", "<i8")):
+                    for array, kind in zip(arrays, ("<f8", "<i8"), strict=False):  # numbers of frames where there are any
                         np.lib.format.write_array_header_1_0(out, {"descr": kind, "fortran_order": False, "shape": array.shape})
                         out.write(array.astype(kind, copy=False).tobytes())
                 files.append((here, f"{top}/{name}"))
