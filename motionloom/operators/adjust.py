@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .boards import turned
 from .lineage import cut
-from .stats import pair_percentiles
+from .stats import held_percentiles, pair_percentiles
 
 #: Unknowns of a camera: turn and shift (3 + 3), focal length, first radial distortion.
 UNKNOWNS = 8
@@ -57,110 +57,244 @@ def _project(rig: Rig, cam: np.ndarray, points: np.ndarray):
     return uv, around, z, a, b, r2, radial
 
 
-def _slopes(rig: Rig, cam: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pixels, and their derivatives by the camera's unknowns (N, 2, 8) and by the point (N, 2, 3)."""
-    uv, around, z, a, b, r2, radial = _project(rig, cam, points)
-    f, grow = rig.focal[cam], 2 * rig.k1[cam]
-    daa, dab, dbb = f * (radial + grow * a * a), f * grow * a * b, f * (radial + grow * b * b)
-    to_p = np.stack((np.column_stack((daa, dab, -daa * a - dab * b)), np.column_stack((dab, dbb, -dab * a - dbb * b))), axis=1) / z[:, None, None]
-    q = np.zeros((len(points), 3, 3))
-    q[:, 0, 1], q[:, 0, 2], q[:, 1, 2] = around[:, 2], -around[:, 1], around[:, 0]
-    q -= q.transpose(0, 2, 1)
-    ab = np.column_stack((a, b))
-    own = np.concatenate((to_p @ q, to_p, (ab * radial[:, None])[:, :, None], (ab * (f * r2)[:, None])[:, :, None]), axis=2)
-    return uv, own, to_p @ rig.turn[cam]
-
-
-def _triangulated(rig: Rig, cam: np.ndarray, corner: np.ndarray, uv: np.ndarray, n: int) -> np.ndarray:
-    """(n, 3) points from all of their views (linear, radial distortion taken out)."""
-    seen = (uv - rig.centre[cam]) / rig.focal[cam][:, None]
-    at = seen.copy()
-    for _ in range(20):
-        at = seen / (1 + rig.k1[cam] * (at * at).sum(axis=1))[:, None]
-    rows = np.concatenate((rig.turn[cam], rig.shift[cam][:, :, None]), axis=2)
-    equations = at[:, :, None] * rows[:, 2:3] - rows[:, :2]
-    sums = np.zeros((n, 4, 4))
-    np.add.at(sums, corner, np.einsum("nki,nkj->nij", equations, equations))
-    last = np.linalg.eigh(sums)[1][:, :, 0]
-    return last[:, :3] / last[:, 3:]
-
-
-def _board_pose(points: np.ndarray, board: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rigid motion that takes the board's places nearest to the points."""
-    mean_p, mean_b = points.mean(axis=0), board.mean(axis=0)
-    u, _, w = np.linalg.svd((points - mean_p).T @ (board - mean_b))
-    turn = u @ np.diag([1, 1, np.sign(np.linalg.det(u @ w))]) @ w
-    return turn, mean_p - turn @ mean_b
+def _toward(rig: Rig, cam: int, points: np.ndarray):
+    """Points (3, N) through one camera: turned points, depth (null behind it), normalised a and b, squared radius, radial factor."""
+    around = rig.turn[cam] @ points
+    x, y, z = around + rig.shift[cam][:, None]
+    z = np.where(z > 1e-6, z, np.nan)
+    a, b = x / z, y / z
+    r2 = a * a + b * b
+    return around, z, a, b, r2, 1 + rig.k1[cam] * r2
+
+
+def _slopes(rig: Rig, cam: int, points: np.ndarray, u: np.ndarray, v: np.ndarray, own: bool):
+    """Errors of one camera's views of points (3, N), and the pixels' derivatives (two lists of rows) by the point; those by the
+    camera's unknowns too if `own`."""
+    around, z, a, b, r2, radial = _toward(rig, cam, points)
+    f, grow = rig.focal[cam], 2 * rig.k1[cam] * rig.focal[cam]
+    fr = f * radial
+    error = a * fr + (rig.centre[cam, 0] - u), b * fr + (rig.centre[cam, 1] - v)
+    daa, dab, dbb = (fr + grow * a * a) / z, grow * a * b / z, (fr + grow * b * b) / z
+    to_p = np.stack((daa, dab, -daa * a - dab * b)), np.stack((dab, dbb, -dab * a - dbb * b))
+    by_point = tuple(rig.turn[cam].T @ t for t in to_p)
+    if not own:
+        return error, by_point, None
+    x, y, z = around
+    turns = ((t[2] * y - t[1] * z, t[0] * z - t[2] * x, t[1] * x - t[0] * y) for t in to_p)
+    return error, by_point, tuple(np.stack((*w, *t, c * radial, c * (f * r2))) for w, t, c in zip(turns, to_p, (a, b), strict=True))
+
+
+def _factored(m: list[list[np.ndarray]]) -> tuple[list[list[np.ndarray]], list[np.ndarray]]:
+    """Many small symmetric matrices, an array an entry of the lower triangle, as unit lower triangle and diagonal."""
+    low, diagonal = [[None] * i for i in range(len(m))], []
+    for i, row in enumerate(m):
+        for j in range(i):
+            low[i][j] = (row[j] - sum(low[i][k] * low[j][k] * diagonal[k] for k in range(j))) / diagonal[j]
+        diagonal.append(row[i] - sum(low[i][k] * low[i][k] * diagonal[k] for k in range(i)))
+    return low, diagonal
+
+
+def _forward(low, rows: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows with the lower triangle taken out."""
+    done = []
+    for i, row in enumerate(rows):
+        done.append(row - sum(low[i][k] * done[k] for k in range(i)) if i else row)
+    return done
+
+
+def _backward(low, rows: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows with the transposed lower triangle taken out."""
+    done = list(rows)
+    for i in reversed(range(len(rows) - 1)):
+        done[i] = rows[i] - sum(low[k][i] * done[k] for k in range(i + 1, len(rows)))
+    return done
+
+
+def _last_directions(m: list[list[np.ndarray]]) -> np.ndarray:
+    """(4, N) the eigenvector of the smallest eigenvalue of many 4 x 4 sums of squares. Inverse iteration, which begins at the
+    least-squares point; where it does not stand still (two eigenvalues alike), all eigenvectors are computed."""
+    low, diagonal = _factored(m)
+    trace = m[0][0] + m[1][1] + m[2][2] + m[3][3]
+    diagonal[3] = np.where(np.abs(diagonal[3]) < 1e-18 * trace, 1e-18 * trace, diagonal[3])
+    zero = np.zeros_like(trace)
+    last = np.stack(_backward(low, [zero, zero, zero, zero + 1]))
+    last /= np.sqrt((last * last).sum(axis=0))
+    for _ in range(8):
+        rows = _forward(low, list(last))
+        found = np.stack(_backward(low, [r / d for r, d in zip(rows, diagonal, strict=True)]))
+        found /= np.sqrt((found * found).sum(axis=0)) * np.where((found * last).sum(axis=0) < 0, -1.0, 1.0)
+        moved = np.abs(found - last).max(axis=0)
+        last = found
+        if (moved < 1e-14).all():
+            break
+    lost = np.flatnonzero(~(moved < 1e-14) & np.isfinite(trace))
+    if len(lost):
+        whole = np.empty((len(lost), 4, 4))
+        for i in range(4):
+            for j in range(i + 1):
+                whole[:, i, j] = whole[:, j, i] = m[i][j][lost]
+        last[:, lost] = np.linalg.eigh(whole)[1][:, :, 0].T
+    return last
 
 
 @dataclass(frozen=True)
-class Frame:
-    """A frame's views: camera number, corner number within the frame, pixels; the board's places (n, 3) of its corners."""
+class Frames:
+    """Views of many frames side by side. by_camera: camera number, then of its views the place among all views, the point and
+    the pixels. A point is a corner of a frame: its board's places are (3, N); a frame's points begin at `begins`, `owner` is a
+    point's frame. `point` is the point of each view."""
 
-    cam: np.ndarray
-    corner: np.ndarray
-    uv: np.ndarray
+    by_camera: tuple[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray], ...]
+    point: np.ndarray
     board: np.ndarray
+    owner: np.ndarray
+    begins: np.ndarray
+
+    @classmethod
+    def of(cls, corner: np.ndarray, cam: np.ndarray, uv: np.ndarray, board: np.ndarray, frame: np.ndarray) -> Frames:
+        """Views in order of their frames and corners; `frame` is the frame of each, frames of no view do not count."""
+        first = np.ones(len(corner), bool)
+        first[1:] = (corner[1:] != corner[:-1]) | (frame[1:] != frame[:-1])
+        point, at = np.cumsum(first) - 1, np.flatnonzero(first)
+        begins = np.flatnonzero(np.diff(frame[at], prepend=-1))
+        owner = np.repeat(np.arange(len(begins)), np.diff(begins, append=len(at)))
+        order = np.argsort(cam, kind="stable")
+        ends = np.flatnonzero(np.diff(cam[order], append=-1)) + 1
+        parts = [order[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)]
+        return cls(tuple((int(cam[p[0]]), p, point[p], uv[p, 0], uv[p, 1]) for p in parts), point, np.ascontiguousarray(board[at].T), owner, begins)
+
+    def _per_point(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return np.bincount(at, values, len(self.owner))
+
+    def _per_frame(self, values: np.ndarray) -> np.ndarray:
+        """Sums over the last axis, which is of points."""
+        return np.add.reduceat(values, self.begins, axis=-1)
+
+    def triangulated(self, rig: Rig) -> np.ndarray:
+        """(3, N) points from all of their views (linear, radial distortion taken out)."""
+        sums = [[np.zeros(len(self.owner)) for _ in range(i + 1)] for i in range(4)]
+        for c, _, at, u, v in self.by_camera:
+            a, b = (u - rig.centre[c, 0]) / rig.focal[c], (v - rig.centre[c, 1]) / rig.focal[c]
+            grow, radial = rig.k1[c] * (a * a + b * b), np.ones(len(a))
+            for _ in range(20):
+                before, radial = radial, 1 / (1 + grow * radial * radial)
+                if np.array_equal(before, radial):
+                    break
+            rows = np.column_stack((rig.turn[c], rig.shift[c]))[:, :, None]
+            e, g = (a * radial) * rows[2] - rows[0], (b * radial) * rows[2] - rows[1]
+            for i in range(4):
+                for j in range(i + 1):
+                    sums[i][j] += self._per_point(at, e[i] * e[j] + g[i] * g[j])
+        last = _last_directions(sums)
+        return last[:3] / last[3]
+
+    def errors(self, rig: Rig) -> np.ndarray:
+        """Errors in pixels of all views, at points triangulated with these cameras."""
+        points, told = self.triangulated(rig), np.empty(len(self.point))
+        for c, place, at, u, v in self.by_camera:
+            _, _, a, b, _, radial = _toward(rig, c, points[:, at])
+            told[place] = np.hypot(a * (rig.focal[c] * radial) + rig.centre[c, 0] - u, b * (rig.focal[c] * radial) + rig.centre[c, 1] - v)
+        return told
+
+    def board_poses(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(F, 3, 3) and (3, F): the rigid motions that take the board's places nearest to the points; null where a point is."""
+        count = np.diff(self.begins, append=len(self.owner))
+        mean_p, mean_b = self._per_frame(points) / count, self._per_frame(self.board) / count
+        p, b = points - mean_p[:, self.owner], self.board - mean_b[:, self.owner]
+        spread = np.stack([self._per_frame(p[i] * b) for i in range(3)]).transpose(2, 0, 1)
+        lost = ~np.isfinite(spread).all(axis=(1, 2))
+        u, _, w = np.linalg.svd(np.where(lost[:, None, None], 0.0, spread))
+        u[:, :, 2] *= np.sign(np.linalg.det(u @ w))[:, None]
+        turn = u @ w
+        turn[lost] = np.nan
+        return turn, mean_p - np.einsum("fij,jf->if", turn, mean_b)
 
     def solved(self, rig: Rig, stiffness: float, huber: float, rounds: int = 4):
-        """The frame's points and board pose at these cameras, and the last normal equations: all of the local unknowns
-        (three a point, six of the board), the cameras', and both; with slopes and cost."""
-        n = len(self.board)
-        points = _triangulated(rig, self.cam, self.corner, self.uv, n)
-        turn, shift = _board_pose(points, self.board)
-        at = np.arange(n)
+        """The frames' points and boards' poses at these cameras, and at the last of them: each point's normal equations (three
+        unknowns a point, with the six of its board) factored, those of the boards with the points eliminated, and the costs."""
+        points = self.triangulated(rig)
+        turn, shift = self.board_poses(points)
+        n, size = len(self.owner), 3 * np.diff(self.begins, append=len(self.owner)) + 6
+        square = stiffness * stiffness
         for k in range(rounds + 1):
-            uv, own, by_point = _slopes(rig, self.cam, points[self.corner])
-            error = uv - self.uv
-            size = np.linalg.norm(error, axis=1)
-            weight = np.where(size > huber, huber / np.maximum(size, 1e-300), 1.0)
-            around = self.board @ turn.T
-            gap = stiffness * (points - around - shift)
-            local = np.zeros((3 * n + 6, 3 * n + 6))
-            slope = np.zeros(3 * n + 6)
-            blocks = np.zeros((n, 3, 3))
-            np.add.at(blocks, self.corner, np.einsum("nki,nkj->nij", by_point * weight[:, None, None], by_point))
-            blocks += stiffness**2 * np.eye(3)
-            pulls = np.zeros((n, 3))
-            np.add.at(pulls, self.corner, np.einsum("nki,nk->ni", by_point, error * weight[:, None]))
-            pulls += stiffness * gap
-            lever = np.zeros((n, 3, 6))  # of the gap, by the board's turn and shift
-            lever[:, 0, 1], lever[:, 0, 2], lever[:, 1, 2] = -around[:, 2], around[:, 1], -around[:, 0]
-            lever[:, :, :3] -= lever[:, :, :3].transpose(0, 2, 1).copy()
-            lever[:, :, 3:] = -np.eye(3)
-            lever *= stiffness
+            blocks = [[np.full(n, square) if i == j else np.zeros(n) for j in range(i + 1)] for i in range(3)]
+            around = np.einsum("nij,jn->in", turn[self.owner], self.board)
+            gap = stiffness * (points - around - shift[:, self.owner])
+            pulls, cost = stiffness * gap, (gap * gap).sum(axis=0)
+            views = []
+            for c, _, at, u, v in self.by_camera:
+                (eu, ev), (ju, jv), own = _slopes(rig, c, points[:, at], u, v, k == rounds)
+                far = np.hypot(eu, ev)
+                weight = np.where(far > huber, huber / np.maximum(far, 1e-300), 1.0)
+                wu, wv = weight * ju, weight * jv
+                for i in range(3):
+                    for j in range(i + 1):
+                        blocks[i][j] += self._per_point(at, wu[i] * ju[j] + wv[i] * jv[j])
+                    pulls[i] += self._per_point(at, wu[i] * eu + wv[i] * ev)
+                if k == rounds:
+                    cost += self._per_point(at, np.where(far > huber, huber * (2 * far - huber), far * far))
+                    views.append((c, at, own, (wu, wv), (eu, ev), weight))
+            x, y, z = around
+            zero, one = np.zeros(n), np.ones(n)
+            # the gap by the board's turn and shift, without the stiffness
+            lever = np.stack([np.stack(row) for row in ((zero, -z, y, -one, zero, zero), (z, zero, -x, zero, -one, zero), (-y, x, zero, zero, zero, -one))])
+            levers = square * self._per_frame(np.einsum("ian,ibn->abn", lever, lever))
+            trace = self._per_frame(blocks[0][0] + blocks[1][1] + blocks[2][2]) + np.einsum("aaf->f", levers)
+            least = 1e-12 * trace / size
             for i in range(3):
-                for j in range(3):
-                    local[3 * at + i, 3 * at + j] = blocks[:, i, j]
-                local[np.ix_(3 * at + i, range(3 * n, 3 * n + 6))] = stiffness * lever[:, i]
-            local[3 * n :, : 3 * n] = local[: 3 * n, 3 * n :].T
-            local[3 * n :, 3 * n :] = np.einsum("nki,nkj->ij", lever, lever)
-            slope[: 3 * n], slope[3 * n :] = pulls.ravel(), np.einsum("nki,nk->i", lever, gap)
-            local += 1e-12 * np.trace(local) / len(local) * np.eye(len(local))
+                blocks[i][i] += least[self.owner]
+            low, diagonal = _factored(blocks)
+            by_board = np.stack(_forward(low, list(square * lever)))
+            pulled = np.stack(_forward(low, list(pulls)))
+            diagonal = np.stack(diagonal)
+            over = by_board / diagonal[:, None]
+            left = levers + least * np.eye(6)[:, :, None] - self._per_frame(np.einsum("ian,ibn->abn", over, by_board))
+            slope = self._per_frame(stiffness * np.einsum("ian,in->an", lever, gap) - np.einsum("ian,in->an", over, pulled))
+            left, slope = left.transpose(2, 0, 1), slope.T
             if k == rounds:
                 break
-            step = -np.linalg.solve(local, slope)
-            points = points + step[: 3 * n].reshape(n, 3)
-            turn, shift = turned(step[None, 3 * n : 3 * n + 3])[0] @ turn, shift + step[3 * n + 3 :]
-        cost = float(np.where(size > huber, huber * (2 * size - huber), size * size).sum() + (gap * gap).sum())
-        return points, (local, slope, own, by_point, error, weight), cost
-
-    def reduced(self, rig: Rig, stiffness: float, huber: float) -> tuple[np.ndarray, np.ndarray, float]:
-        """Normal equations of the cameras with the frame's unknowns eliminated, their slope, and the frame's cost."""
-        _, (local, slope, own, by_point, error, weight), cost = self.solved(rig, stiffness, huber)
-        size, n = UNKNOWNS * len(rig.names), len(self.board)
-        cameras, both, pull = np.zeros((len(rig.names), UNKNOWNS, UNKNOWNS)), np.zeros((len(rig.names), UNKNOWNS, n, 3)), np.zeros((len(rig.names), UNKNOWNS))
-        weighted = own * weight[:, None, None]
-        np.add.at(cameras, self.cam, np.einsum("nki,nkj->nij", weighted, own))
-        np.add.at(both, (self.cam, slice(None), self.corner), np.einsum("nki,nkj->nij", weighted, by_point))
-        np.add.at(pull, self.cam, np.einsum("nki,nk->ni", weighted, error))
-        cross = np.zeros((size, 3 * n + 6))
-        cross[:, : 3 * n] = both.reshape(size, 3 * n)
-        whole = np.zeros((size, size))
-        for c in range(len(rig.names)):
-            whole[UNKNOWNS * c : UNKNOWNS * (c + 1), UNKNOWNS * c : UNKNOWNS * (c + 1)] = cameras[c]
-        solved = np.linalg.solve(local, np.column_stack((cross.T, slope)))
-        return whole - cross @ solved[:, :-1], pull.ravel() - cross @ solved[:, -1], cost
+            step = -np.linalg.solve(left, slope[:, :, None])[:, :, 0]
+            rows = -(pulled + np.einsum("ian,na->in", by_board, step[self.owner])) / diagonal
+            points = points + np.stack(_backward(low, list(rows)))
+            turn, shift = turned(step[:, :3]) @ turn, shift + step[:, 3:].T
+        return points, (low, diagonal, over, pulled, left, slope, views), self._per_frame(cost)
+
+    def reduced(self, rig: Rig, stiffness: float, huber: float) -> tuple[np.ndarray, np.ndarray, float, int]:
+        """Normal equations of the cameras with the frames' unknowns eliminated, their slope, the cost and the number of frames,
+        summed over all frames whose numbers are finite."""
+        _, (low, diagonal, over, pulled, left, slope, views), cost = self.solved(rig, stiffness, huber)
+        size, n = UNKNOWNS * len(rig.names), len(self.owner)
+        cross = np.zeros((3, n, size))
+        broken = ~(np.isfinite(pulled).all(axis=0) & np.isfinite(diagonal).all(axis=0) & np.isfinite(over).all(axis=(0, 1)))
+        for c, at, own, weighted, _, _ in views:
+            mine = slice(UNKNOWNS * c, UNKNOWNS * (c + 1))
+            for i in range(3):
+                for k in range(UNKNOWNS):
+                    cross[i, :, mine.start + k] += self._per_point(at, weighted[0][i] * own[0][k] + weighted[1][i] * own[1][k])
+            broken[at[~np.isfinite(own[0]).all(axis=0) | ~np.isfinite(own[1]).all(axis=0)]] = True
+        fine = np.bincount(self.owner, broken, len(self.begins)) == 0
+        fine &= np.isfinite(left).all(axis=(1, 2)) & np.isfinite(slope).all(axis=1) & np.isfinite(cost)
+        keep = fine[self.owner]
+        if not fine.all():
+            cross[:, ~keep], over[:, :, ~keep], pulled[:, ~keep], diagonal[:, ~keep] = 0.0, 0.0, 0.0, 1.0
+            low = [[np.where(keep, entry, 0.0) for entry in row] for row in low]
+            left, slope = np.where(fine[:, None, None], left, np.eye(6)), np.where(fine[:, None], slope, 0.0)
+        whole, pull = np.zeros((size, size)), np.zeros(size)
+        for c, at, own, _, error, weight in views:
+            mine = slice(UNKNOWNS * c, UNKNOWNS * (c + 1))
+            counts = keep[at]
+            if not counts.all():
+                own, error, weight = [o[:, counts] for o in own], [e[counts] for e in error], weight[counts]
+            for o, e in zip(own, error, strict=True):
+                whole[mine, mine] += (o * weight) @ o.T
+                pull[mine] += (o * weight) @ e
+        rows = np.stack(_forward([[entry[:, None] for entry in row] for row in low], list(cross)))
+        scaled = (rows / diagonal[:, :, None]).reshape(3 * n, size)
+        whole -= scaled.T @ rows.reshape(3 * n, size)
+        pull -= scaled.T @ pulled.ravel()
+        by_board = -np.add.reduceat(over.transpose(2, 1, 0) @ rows.transpose(1, 0, 2), self.begins, axis=0)
+        solved = np.linalg.solve(left, np.concatenate((by_board, slope[:, :, None]), axis=2)).reshape(-1, size + 1)
+        flat = by_board.reshape(-1, size)
+        return whole - flat.T @ solved[:, :-1], pull - flat.T @ solved[:, -1], float(cost[fine].sum()), int(fine.sum())
 
 
 def packed_frames(views: DataFrame, board: DataFrame, by: list[str], names: tuple[str, ...]) -> DataFrame:
@@ -170,7 +304,8 @@ def packed_frames(views: DataFrame, board: DataFrame, by: list[str], names: tupl
     met = met.join(F.broadcast(board.select("corner_id", F.col("bx").cast("double").alias("_bx"), F.col("by").cast("double").alias("_by"))), "corner_id")
     entry = F.struct("corner_id", "camera_id", "u", "v", "_bx", "_by")
     grouped = met.groupBy(*by).agg(F.array_sort(F.collect_set(entry)).alias("views"))
-    shared = F.filter("views", lambda v: F.size(F.filter("views", lambda w: w["corner_id"] == v["corner_id"])) >= 2)
+    like = lambda v, at: F.coalesce(F.get("views", at)["corner_id"] == v["corner_id"], F.lit(False))
+    shared = F.filter("views", lambda v, at: like(v, at - 1) | like(v, at + 1))  # a corner's views stand beside each other
     kept = grouped.withColumn("views", shared)
     return kept.where(F.size(F.array_distinct(F.transform("views", lambda v: v["corner_id"]))) >= 3)
 
@@ -189,24 +324,17 @@ def _views(batch: pa.RecordBatch, number: dict[str, int]):
         yield part, flat, (corner, cam, uv, board), list(zip([0, *ends[:-1]], ends, strict=True))
 
 
-def _frame(corner: np.ndarray, cam: np.ndarray, uv: np.ndarray, board: np.ndarray) -> Frame | None:
-    """The frame of these views; None: too few corners."""
-    corners, place = np.unique(corner, return_inverse=True)
-    if len(corners) < 3:
-        return None
-    places = np.empty((len(corners), 3))
-    places[place] = board
-    return Frame(cam, place, uv, places)
-
-
-def _errors(frame: Frame, rig: Rig) -> np.ndarray:
-    """Errors in pixels of all views, at points triangulated with these cameras."""
-    points = _triangulated(rig, frame.cam, frame.corner, frame.uv, len(frame.board))
-    return np.linalg.norm(rig.pixels(frame.cam, points[frame.corner]) - frame.uv, axis=1)
+def _of_three(views: tuple[np.ndarray, ...], frame: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Views, in order of frames and corners, of the frames with three corners at least."""
+    corner = views[0]
+    first = np.ones(len(frame), bool)
+    first[1:] = (corner[1:] != corner[:-1]) | (frame[1:] != frame[:-1])
+    enough = (np.bincount(frame, first) >= 3)[frame]
+    return tuple(v[enough] for v in views), frame[enough]
 
 
 def scored(frames: DataFrame, rig: Rig, by: list[str], stiffness: float) -> DataFrame:
-    """by, corner_id, camera_id, error (pixels) of every view of `packed_frames`, at points triangulated with these cameras."""
+    """by, corner_id, views (camera_id, error in pixels) of every corner of `packed_frames`, at points triangulated with these cameras."""
     number = {name: n for n, name in enumerate(rig.names)}
     keys = ", ".join(f"`{k}` {frames.schema[k].dataType.simpleString()}" for k in by)
     kind = frames.schema["views"].dataType.elementType["corner_id"].dataType.simpleString()
@@ -214,18 +342,21 @@ def scored(frames: DataFrame, rig: Rig, by: list[str], stiffness: float) -> Data
     def score(batches):
         for batch in batches:
             for part, flat, views, bounds in _views(batch, number):
-                errors = [_errors(_frame(*(v[lo:hi] for v in views)), rig) for lo, hi in bounds]
-                owner = pa.array(np.repeat(np.arange(len(bounds)), [hi - lo for lo, hi in bounds]))
-                told = [*(part.column(k).take(owner) for k in by), flat.field("corner_id"), flat.field("camera_id"), pa.array(np.concatenate(errors), from_pandas=True)]
-                yield pa.RecordBatch.from_arrays(told, [*by, "corner_id", "camera_id", "error"])
+                owner = np.repeat(np.arange(len(bounds)), [hi - lo for lo, hi in bounds])
+                sights = Frames.of(*views, owner)
+                with np.errstate(all="ignore"):
+                    errors = pa.array(sights.errors(rig), from_pandas=True)
+                first = np.flatnonzero(np.diff(sights.point, prepend=-1))
+                entries = pa.StructArray.from_arrays([flat.field("camera_id"), errors], ["camera_id", "error"])
+                listed = pa.ListArray.from_arrays(pa.array(np.append(first, len(owner)).astype(np.int32)), entries)
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(owner[first])) for k in by), flat.field("corner_id").take(pa.array(first)), listed], [*by, "corner_id", "views"])
 
-    return frames.mapInArrow(score, f"{keys}, corner_id {kind}, camera_id string, error double")
+    return frames.mapInArrow(score, f"{keys}, corner_id {kind}, views array<struct<camera_id: string, error: double>>")
 
 
-def _pair_errors(errors: DataFrame, by: list[str]) -> DataFrame:
+def _pair_errors(errors: DataFrame) -> DataFrame:
     """cam_a, cam_b, error: the mean of both for every two cameras that see a corner (a rig's cameras squared to a corner)."""
-    seen = errors.groupBy(*by, "corner_id").agg(F.array_sort(F.collect_list(F.struct("camera_id", "error"))).alias("all"))
-    one = seen.select("all", F.posexplode("all").alias("i", "a"))
+    one = errors.select(F.col("views").alias("all"), F.posexplode("views").alias("i", "a"))
     two = one.select("a", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("b"))
     return two.select(F.col("a.camera_id").alias("cam_a"), F.col("b.camera_id").alias("cam_b"), ((F.col("a.error") + F.col("b.error")) / 2).alias("error"))
 
@@ -239,18 +370,16 @@ def camera_sums(frames: DataFrame, rig: Rig, stiffness: float, huber: float, lim
         whole, slope, cost, n = np.zeros((size, size)), np.zeros(size), 0.0, 0
         for batch in batches:
             for _, _, views, bounds in _views(batch, number):
-                for lo, hi in bounds:
-                    own = tuple(v[lo:hi] for v in views)
-                    frame = _frame(*own)
+                frame = np.repeat(np.arange(len(bounds)), [hi - lo for lo, hi in bounds])
+                with np.errstate(all="ignore"):
                     if limit is not None:
-                        means = np.bincount(frame.corner, _errors(frame, judge)) / np.bincount(frame.corner)
-                        good = (means < limit)[frame.corner]
-                        frame = _frame(*(v[good] for v in own))
-                    if frame is None:
-                        continue
-                    a, b, c = frame.reduced(rig, stiffness, huber)
-                    if np.isfinite(a).all() and np.isfinite(b).all():
-                        whole, slope, cost, n = whole + a, slope + b, cost + c, n + 1
+                        seen = Frames.of(*views, frame)
+                        good = (np.bincount(seen.point, seen.errors(judge)) / np.bincount(seen.point) < limit)[seen.point]
+                        views, frame = tuple(v[good] for v in views), frame[good]
+                    views, frame = _of_three(views, frame)
+                    if len(frame):
+                        a, b, c, m = Frames.of(*views, frame).reduced(rig, stiffness, huber)
+                        whole, slope, cost, n = whole + a, slope + b, cost + c, n + m
         place = np.arange(size * size + size + 2, dtype=np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.concatenate((whole.ravel(), slope, [cost, n])))], ["place", "value"])
 
@@ -279,12 +408,13 @@ def adjust(
     told, damping = [], 1e-9
     for limit in np.exp(np.linspace(np.log(start), np.log(end), rounds)).tolist():
         errors = cut(scored(frames, rig, by, stiffness))
-        means = errors.groupBy(*by, "corner_id").agg(F.avg("error").alias("error"))
-        median = means.agg(F.percentile("error", F.lit(0.5))).first()[0]
+        seen = F.filter(F.transform("views", lambda v: v["error"]), lambda e: e.isNotNull())
+        means = errors.select((F.aggregate(seen, F.lit(0.0), lambda a, e: a + e) / F.nullif(F.size(seen), F.lit(0))).alias("error"))
+        median = held_percentiles(means, [], "error", {"median": 0.5}).first()["median"]
         if median is None or median < enough:
             told.append({"median": median, "limit": limit, "cost": None})
             break
-        lowest, highest = pair_percentiles(_pair_errors(errors, by)).agg(F.max("low"), F.max("high")).first()
+        lowest, highest = pair_percentiles(_pair_errors(errors), held=True).agg(F.max("low"), F.max("high")).first()
         limit = max(min(limit, limit if highest is None else highest), lowest or 0.0)
         judge = rig
         whole, slope, cost, n = camera_sums(frames, rig, stiffness, huber, limit, judge)

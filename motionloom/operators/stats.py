@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 MAX_TEMPORAL_CV, MAX_PROPORTION_CV, MAX_SYMMETRY_DIFF, MAX_EQUIVALENCE_DIFF = 0.15, 0.15, 0.15, 0.25
 MIN_HEIGHT_MM, MAX_HEIGHT_MM = 1000.0, 2200.0
 MIN_VALID_FRACTION, MIN_ASSESSABLE = 0.25, 4
+#: Sketches of percentiles: error of a rank as one part of so many, share of a group on either side of a wanted rank, and values of a group that needs none.
+SKETCH_ACCURACY, SKETCH_MARGIN, SMALL_GROUP = 10_000, 0.002, 20_000
 
 
 def median(c: Column | str) -> Column:
@@ -93,8 +95,46 @@ def equivalence(a: DataFrame, b: DataFrame) -> DataFrame:
     return joined.select("segment", diff.alias("diff"), (diff <= MAX_EQUIVALENCE_DIFF).alias("equivalent"))
 
 
-def pair_percentiles(errors: DataFrame, low: float = 0.15, high: float = 0.75, over: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, cam_a, cam_b, n, low, high of the mean error of points that both see; pairs with over `over` points."""
+def held_percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float], small: int = SMALL_GROUP) -> DataFrame:
+    """by, n (rows) and the exact percentiles (name: share) of a df that may be read twice. No task holds a large group's values:
+    a sketch gives a value on either side of the wanted ranks, and only the few values between these two are sorted. Groups are
+    few (they are broadcast)."""
+    v, near = F.col(value), [min(max(p + d, 0.0), 1.0) for p in shares.values() for d in (-SKETCH_MARGIN, SKETCH_MARGIN)]
+    groups = df.groupBy(*by).agg(F.count("*").alias("n"), F.count(v).alias("_seen"), F.percentile_approx(v, near, SKETCH_ACCURACY).alias("_near"))
+    groups = groups.withColumn("_near", F.when(F.col("_seen") > small, F.col("_near")))  # of small groups all values are sorted
+    if by:
+        on = [F.col(f"df.{k}").eqNullSafe(F.col(f"groups.{k}")) for k in by]
+        joined = df.alias("df").join(F.broadcast(groups.alias("groups")), on).select(*[f"df.{k}" for k in by], f"df.{value}", "n", "_seen", "_near")
+    else:
+        joined = df.select(value).crossJoin(F.broadcast(groups))
+    sides = [(F.get("_near", F.lit(2 * k)), F.get("_near", F.lit(2 * k + 1))) for k in range(len(shares))]
+    told = []
+    for k, (lo, hi) in enumerate(sides):
+        between = F.col("_near").isNull() | (v > lo) & (v < hi)
+        told += [F.count_if(v < lo).alias(f"_below{k}"), F.count_if(v == lo).alias(f"_low{k}"), F.count_if(v == hi).alias(f"_high{k}"), F.sort_array(F.collect_list(F.when(between, v))).alias(f"_between{k}")]
+    counted = joined.groupBy(*by).agg(*[F.first(c).alias(c) for c in ("n", "_seen", "_near")], *told)
+
+    def ranked(k: int, rank):
+        (lo, hi), inside = sides[k], F.col(f"_between{k}")
+        at = (rank - F.col(f"_below{k}") - F.col(f"_low{k}")).cast("int")
+        lost = (rank < F.col(f"_below{k}")) | (at >= F.size(inside) + F.col(f"_high{k}"))
+        outside = F.when(lost, F.raise_error(F.lit("a percentile is not between its sketch's values"))).when(at < 0, lo).otherwise(hi)
+        return F.when((at >= 0) & (at < F.size(inside)), F.get(inside, at)).otherwise(outside)
+
+    out = []
+    for k, (name, p) in enumerate(shares.items()):
+        position = (F.col("_seen") - 1) * F.lit(p)
+        first, last = ranked(k, F.floor(position)), ranked(k, F.ceil(position))
+        between = (F.ceil(position) - position) * first + (position - F.floor(position)) * last
+        out.append(F.when(F.col("_seen") > 0, F.when(first == last, first).otherwise(between)).alias(name))
+    return counted.select(*by, F.coalesce("n", F.lit(0)).alias("n"), *out)
+
+
+def pair_percentiles(errors: DataFrame, low: float = 0.15, high: float = 0.75, over: int = 10, by: tuple[str, ...] = (), held: bool = False) -> DataFrame:
+    """by, cam_a, cam_b, n, low, high of the mean error of points that both see; pairs with over `over` points. held: errors may
+    be read twice and pairs are few but large (see `held_percentiles`)."""
+    if held:
+        return held_percentiles(errors, [*by, "cam_a", "cam_b"], "error", {"low": low, "high": high}).where(F.col("n") > over)
     return errors.groupBy(*by, "cam_a", "cam_b").agg(
         F.count("*").alias("n"), F.percentile("error", F.lit(low)).alias("low"), F.percentile("error", F.lit(high)).alias("high")
     ).where(F.col("n") > over)

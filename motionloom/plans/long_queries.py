@@ -4,6 +4,7 @@ from __future__ import annotations
 
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -239,7 +240,7 @@ def rig_adjustment(spark, sf_dir):
     """Views of every frame's board in all cameras; the adjustment starts at a rig whose cameras but the first were moved."""
     true = _rig()
     number = F.transform(F.array(*[F.lit(n) for n in true.names]), lambda n: n)
-    df = _poses(spark, sf_dir).select("*", F.posexplode(number).alias("cam", "camera_id"))
+    df = _poses(spark, sf_dir).repartition("frame").select("*", F.posexplode(number).alias("cam", "camera_id"))  # before a frame becomes 80 rows
     df = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(CORNERS - 1))).alias("corner_id"))
     bx, by = (F.col("corner_id") % 5) * 40.0, F.floor(F.col("corner_id") / 5) * 40.0
     world = [F.col(f"r{i}0") * bx + F.col(f"r{i}1") * by + (F.col(f"t{i}") if i < 2 else F.col("t2") + 600) for i in range(3)]
@@ -248,10 +249,11 @@ def rig_adjustment(spark, sf_dir):
 
     def see(batches):
         for batch in batches:
-            uv = true.pixels(batch["cam"].to_numpy(int), batch[["x", "y", "z"]].to_numpy(float))
-            yield batch[names].assign(u=uv[:, 0], v=uv[:, 1])
+            cam, *xyz = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cam", *"xyz"))
+            uv = true.pixels(cam, np.column_stack(xyz))
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), *(pa.array(c, from_pandas=True) for c in uv.T)], [*names, "u", "v"])
 
-    views = placed.mapInPandas(see, "frame long, camera_id string, corner_id int, u double, v double")
+    views = placed.mapInArrow(see, "frame long, camera_id string, corner_id int, u double, v double")
     off = np.array([0.0] * 8 + [0.002, -0.001, 0.001, 3, -4, 2, 3, 0.002] * 3)
     found, _ = adjust.adjust(views, _board(spark), true.moved(off), ["frame"], 2 / 40, rounds=3, steps=3, enough=1e-9)
     rows = [(n, *map(float, t), float(f), float(k)) for n, t, f, k in zip(found.names, found.shift, found.focal, found.k1, strict=True)]

@@ -1,12 +1,13 @@
 """Block forms against the whole: as-of joins, epochs, rigid skeletons, splines and filters; boards and rigs against known ones."""
 
 import math
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from motionloom.operators import adjust, asof, boards, epochs, rigid, robust, series, temporal
+from motionloom.operators import adjust, asof, boards, epochs, rigid, robust, series, stats, temporal
 
 
 def table(spark, rows, schema):
@@ -387,6 +388,97 @@ def test_bundle_adjustment_finds_the_rig(spark):
     assert np.array_equal(found.turn[0], true.turn[0]) and np.array_equal(found.shift[0], true.shift[0])
 
 
+def _rig_scene(n_frames, seed, noise):
+    """A rig, the views of frames (camera, corner, pixels, board's places, frame; all in order) and a step of all unknowns."""
+    rng = np.random.default_rng(seed)
+    turns = np.array([boards.turned(np.array([[0.0, k * 0.4 - 0.6, 0.1 * k]]))[0] for k in range(4)])
+    rig = adjust.Rig(tuple("abcd"), turns, np.array([[100.0 * k, -20.0, 2600.0 + 50 * k] for k in range(4)]), np.array([900.0, 950, 1000, 880]), np.array([0.02, -0.01, 0.03, 0]), np.tile([640.0, 360], (4, 1)))
+    views = []
+    for f in range(n_frames):
+        some = np.sort(rng.permutation(35)[: rng.integers(3, 36)])
+        places = np.array([(x, y, 0.0) for _, x, y in BOARD])[some]
+        points = places @ boards.turned(rng.normal(0, 0.4, (1, 3)))[0].T + rng.normal(0, 100, 3)
+        for i, (corner, place) in enumerate(zip(some, places, strict=True)):
+            for cam in np.sort(rng.permutation(4)[: rng.integers(2, 5)]):
+                views.append((corner, cam, *(rig.pixels(np.array([cam]), points[i : i + 1])[0] + rng.normal(0, noise, 2)), *place, f))
+    v = np.array(views)
+    return rig, (v[:, 0].astype(int), v[:, 1].astype(int), v[:, 2:4], v[:, 4:7], v[:, 7].astype(int)), np.tile([0.002, -0.001, 0.001, 2, -3, 2, 3, 0.002], 4)
+
+
+def test_frames_are_solved_side_by_side():
+    """Frames together give the sums of frames one by one, many times faster; the slope is that of the cost; a frame that has a
+    point behind a camera, or no number, takes nothing from the others."""
+    rig, views, step = _rig_scene(120, 2, 0.5)
+    rig = rig.moved(step)
+    start = time.perf_counter()
+    whole, slope, cost, n = adjust.Frames.of(*views).reduced(rig, 0.05, 2.0)
+    together, start = time.perf_counter() - start, time.perf_counter()
+    each = [adjust.Frames.of(*(v[views[4] == f] for v in views)).reduced(rig, 0.05, 2.0) for f in range(120)]
+    assert n == 120 and time.perf_counter() - start > 5 * together
+    for k, got in enumerate((whole, slope, cost, n)):
+        want = sum(e[k] for e in each)
+        assert np.allclose(got, want, rtol=1e-9, atol=1e-9 * np.abs(want).max())
+    assert np.allclose(whole, whole.T) and np.linalg.eigvalsh(whole).min() > -1e-6 * np.abs(whole).max()
+    for k, h in ((8, 1e-6), (12, 1e-3), (14, 1e-3), (15, 1e-6), (25, 1e-6), (31, 1e-6)):  # unknowns of several cameras
+        ends = [adjust.Frames.of(*views).solved(rig.moved(np.eye(32)[k] * d), 0.05, 50.0, rounds=8)[2].sum() for d in (h, -h)]
+        at = adjust.Frames.of(*views).reduced(rig, 0.05, 50.0)[1][k]
+        assert abs((ends[0] - ends[1]) / (4 * h) - at) < 1e-3 * abs(at) + 1e-3
+    bad = tuple(v.copy() for v in views)
+    bad[2][np.flatnonzero(views[4] == 7)[0]] = np.nan
+    with np.errstate(all="ignore"):
+        got = adjust.Frames.of(*bad).reduced(rig, 0.05, 2.0)
+    assert got[3] == 119 and np.isclose(got[2], cost - each[7][2]) and np.allclose(got[0], whole - each[7][0], atol=1e-9 * np.abs(whole).max())
+
+
+def test_points_of_all_views():
+    """Triangulated points are the last directions of their equations, also where two directions are alike."""
+    rig, views, _ = _rig_scene(40, 3, 0.3)
+    frames = adjust.Frames.of(*views)
+    points = frames.triangulated(rig)
+    for k in range(0, points.shape[1], 17):
+        rows = []
+        for cam, uv in zip(views[1][frames.point == k], views[2][frames.point == k], strict=True):
+            seen = (uv - rig.centre[cam]) / rig.focal[cam]
+            at = seen.copy()
+            for _ in range(50):
+                at = seen / (1 + rig.k1[cam] * at @ at)
+            whole = np.column_stack((rig.turn[cam], rig.shift[cam]))
+            rows += [a * whole[2] - w for a, w in zip(at, whole[:2], strict=True)]
+        last = np.linalg.svd(np.array(rows))[2][-1]
+        assert np.allclose(points[:, k], last[:3] / last[3], rtol=1e-6, atol=1e-6)
+    rng = np.random.default_rng(4)
+    turn = np.linalg.qr(rng.normal(size=(50, 4, 4)))[0]
+    sums = np.einsum("nij,j,nkj->nik", turn, [0.9, 1.0, 5.0, 80.0], turn)
+    got = adjust._last_directions([[sums[:, i, j] for j in range(i + 1)] for i in range(4)])
+    assert np.allclose(np.abs((got.T * turn[:, :, 0]).sum(axis=1)), 1)
+
+
+@pytest.mark.parametrize("rows", [0, 12, 5000])
+def test_held_percentiles(spark, rows):
+    """As by the whole group's values, for groups of few and many values, ties and nulls."""
+    value = "CASE WHEN id % 3 = 0 THEN floor(rand(7) * 20) WHEN id % 50 > 0 THEN randn(5) END AS error"
+    df = spark.range(rows).selectExpr("CASE WHEN id % 4 > 0 THEN 'a' WHEN id % 8 > 0 THEN 'b' END AS cam_a", "'c' AS cam_b", value).localCheckpoint()
+    shares = {"low": 0.15, "mid": 0.5, "q1": 1.0}
+    whole = lambda by: sorted(map(str, df.groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile("error", F.lit(p)).alias(k) for k, p in shares.items()]).collect()))
+    for by, small in (([], 400), (["cam_a", "cam_b"], 400), (["cam_a", "cam_b"], 10**6)):
+        assert sorted(map(str, stats.held_percentiles(df, by, "error", shares, small).collect())) == whole(by)
+    assert sorted(map(str, stats.pair_percentiles(df, held=True).collect())) == sorted(map(str, stats.pair_percentiles(df).collect()))
+
+
+def test_packed_views_and_scores(spark):
+    """Corners that one view alone shows go, copies count once, and every corner's errors come in one row."""
+    rig, views, step = _rig_scene(12, 5, 0.5)
+    rows = [(int(f), "abcd"[c], int(i), float(u), float(v)) for i, c, (u, v), _, f in zip(*views, strict=True)]
+    alone = [(0, "a", n, 5.0, 5.0) for n in range(35) if n not in {r[2] for r in rows if r[0] == 0}]
+    df = table(spark, rows + rows[:40] + alone + [(99, "a", n, 1.0, 1.0) for n in range(9)], "frame int, camera_id string, corner_id int, u double, v double")
+    frames = adjust.packed_frames(df, table(spark, BOARD, "corner_id int, bx double, by double"), ["frame"], rig.names)
+    got = {r.frame: [(v.camera_id, v.corner_id, v.u, v.v) for v in r["views"]] for r in frames.collect()}
+    assert got == {f: sorted([r[1:] for r in rows if r[0] == f], key=lambda v: (v[1], v[0])) for f in {r[0] for r in rows}}
+    errors = adjust.Frames.of(*views).errors(rig.moved(step))
+    told = {(r.frame, r.corner_id, v.camera_id): v.error for r in adjust.scored(frames, rig.moved(step), ["frame"], 0.05).collect() for v in r["views"]}
+    assert len(told) == len(rows) and all(abs(told[r[0], r[2], r[1]] - e) < 1e-9 for r, e in zip(rows, errors, strict=True))
+
+
 # Means of many transforms
 
 def test_robust_means_of_many_pairs(spark, monkeypatch):
