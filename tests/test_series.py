@@ -477,6 +477,10 @@ def test_packed_views_and_scores(spark):
     errors = adjust.Frames.of(*views).errors(rig.moved(step))
     told = {(r.frame, r.corner_id, v.camera_id): v.error for r in adjust.scored(frames, rig.moved(step), ["frame"], 0.05).collect() for v in r["views"]}
     assert len(told) == len(rows) and all(abs(told[r[0], r[2], r[1]] - e) < 1e-9 for r, e in zip(rows, errors, strict=True))
+    none = adjust.adjust(df.where("frame = 99"), table(spark, BOARD, "corner_id int, bx double, by double"), rig, ["frame"], 0.05, rounds=2)
+    assert none[0] is rig and [t["median"] for t in none[1]] == [None]
+    sums = adjust.camera_sums(frames, rig, 0.05, 2.0, 0.0, rig)  # a limit that no corner keeps
+    assert sums[3] == 0 and not sums[0].any()
 
 
 # Means of many transforms
